@@ -29,8 +29,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.token_ids import token_ids
+
+    return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
