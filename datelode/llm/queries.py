@@ -35,6 +35,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.suffix_dedup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datelode.llm.decontaminate import contamination
 
@@ -65,7 +71,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op8_decontamination, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_suffix_dedup, op8_decontamination, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
