@@ -29,6 +29,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datelode.llm.token_ids import token_ids
 
@@ -91,7 +97,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_suffix_dedup, op6_url_filter, op8_decontamination, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_token_ids, op5_suffix_dedup, op6_url_filter, op8_decontamination, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
