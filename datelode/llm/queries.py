@@ -35,6 +35,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datelode.llm.token_ids import token_ids
 
@@ -67,6 +73,12 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.html_crf import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datelode.llm.decontaminate import contamination
 
@@ -97,7 +109,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_token_ids, op5_suffix_dedup, op6_url_filter, op8_decontamination, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_token_ids, op5_suffix_dedup, op6_url_filter, op7_html_extraction, op8_decontamination, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
