@@ -1,11 +1,296 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators: name -> (spark, sf_dir) -> DataFrame. Their SQL is in datelode.oracles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from datelode import oracles
+from datelode.functions.vectors import sign_hash
+from datelode.operators import dedup, evidence, labels, mine, profile, resolve, similar, timeline
+from datelode.plans import export
+from datelode.sources import logs
+from datelode.sources.album import album, with_screenshot
+
+HAMMING_LIMIT, COSINE, LEND_COSINE = 16, 0.35, 0.3
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    return resolve.resolve(evidence.all_evidence(album(spark, sf_dir)))
+
+
+def _flat(resolved: DataFrame) -> DataFrame:
+    return resolved.withColumn("source_summary", F.array_join("source_summary", ","))
+
+
+def album_items(spark, sf_dir):
+    return with_screenshot(album(spark, sf_dir)).select("item_id", "relpath", "stem", "ext", "filesize", "format_real", "is_screenshot")
+
+
+def _evidence(emit: Callable) -> Callable:
+    return lambda spark, sf_dir: emit(album(spark, sf_dir)).select("item_id", "ev_seq", "source", "dt", "precision", "confidence", "is_direct")
+
+
+def evidence_union(spark, sf_dir):
+    return evidence.all_evidence(album(spark, sf_dir)).groupBy("source", "precision", "is_direct").agg(F.count("*").alias("n"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+
+
+def resolve_time(spark, sf_dir):
+    return _flat(_resolved(spark, sf_dir))
+
+
+def time_interval(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("item_id", "precision", "range_start", "range_end")
+
+
+def conflict_report(spark, sf_dir):
+    return _resolved(spark, sf_dir).where("n_conflicts > 0").groupBy("primary_source", "n_conflicts").agg(F.count("*").alias("items"))
+
+
+def resolve_orders(spark, sf_dir):
+    rows = resolve.order_evidence(_read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem"))
+    return _flat(resolve.resolve(rows)).select("item_id", "final_datetime", "primary_source", "source_summary", "n_conflicts")
+
+
+def exact_dups(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.sha1(F.col("text").cast("binary")).alias("sha1"), F.col("doc_id").alias("item_id"))
+    return dedup.exact_groups(docs)
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    items = with_screenshot(album(spark, sf_dir))
+    found = _resolved(spark, sf_dir).select("item_id", "confidence")
+    score = dedup.quality_score(F.col("confidence"), F.col("exif_original").isNotNull(), F.col("has_gps"), F.col("ext"), F.col("format_real"), F.col("is_screenshot"), F.lit(False))
+    return items.join(found, "item_id", "left").withColumn("score", score)
+
+
+def _dups(spark, sf_dir) -> DataFrame:
+    return dedup.ranked_groups(_scored(spark, sf_dir).select("item_id", "sha1", "score", "filesize", "relpath"))
+
+
+def dup_rank(spark, sf_dir):
+    return _dups(spark, sf_dir)
+
+
+def group_kinds(spark, sf_dir):
+    items = album(spark, sf_dir).select(F.concat(F.col("ext"), F.pmod("event_id", F.lit(50)).cast("string")).alias("group_id"), "sha1")
+    return dedup.group_kind(items)
+
+
+def _hashes(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("h"))
+
+
+def hamming_pairs(spark, sf_dir):
+    return dedup.hamming_pairs(_hashes(spark, sf_dir), HAMMING_LIMIT)
+
+
+def near_dup_groups(spark, sf_dir):
+    return dedup.near_groups(_hashes(spark, sf_dir), HAMMING_LIMIT)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def cosine_pairs(spark, sf_dir):
+    return similar.cosine_pairs(_vectors(spark, sf_dir), COSINE)
+
+
+def knn_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return similar.nearest(v, v, 5, LEND_COSINE)
+
+
+def similar_lend(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    known = v.select(F.col("id").alias("item_id"), F.when(F.col("id") % 3 != 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 365 as int))")).alias("final_datetime"), F.when(F.col("id") % 3 != 0, F.lit(0.5) + (F.col("id") % 5) / 10).alias("confidence"))
+    return similar.lend(similar.nearest(v, v, 5, LEND_COSINE), known)
+
+
+def sessions_by_user(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return timeline.sessionize(rows, "ts", ["user_id"], "event_id").groupBy("user_id", "session_idx").agg(F.count("*").alias("n"), F.min("ts").alias("time_start"), F.max("ts").alias("time_end"))
+
+
+def _dated(spark, sf_dir) -> DataFrame:
+    return album(spark, sf_dir).join(_resolved(spark, sf_dir).select("item_id", "final_datetime", "confidence"), "item_id", "left")
+
+
+KEY = ["user_id"]
+
+
+def _stats(spark, sf_dir) -> DataFrame:
+    return timeline.session_stats(timeline.sessionize(timeline.anchors(_dated(spark, sf_dir)), "final_datetime", KEY, "item_id"), KEY)
+
+
+def session_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).withColumn("year_candidates", F.array_join(F.transform("year_candidates", lambda y: y.cast("string")), ","))
+
+
+def session_assign(spark, sf_dir):
+    return timeline.build_sessions(_dated(spark, sf_dir), KEY)
+
+
+def folder_prefix(spark, sf_dir):
+    return timeline.session_folders(timeline.build_sessions(_dated(spark, sf_dir), KEY).join(album(spark, sf_dir).select("item_id", "relpath"), "item_id"), KEY)
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    items = album(spark, sf_dir)
+    return timeline.folder_tokens(items, evidence.foldername_evidence(items))
+
+
+def struct_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("item_id", "folder_text", "depth", F.size("candidates").alias("n_candidates"), F.array_join(F.transform("candidates", lambda d: F.date_format(d, "yyyy-MM-dd")), ",").alias("dates"))
+
+
+def struct_resolve(spark, sf_dir):
+    sessions = timeline.build_sessions(_dated(spark, sf_dir), KEY)
+    rows = _tokens(spark, sf_dir).where(F.size("candidates") > 1).join(sessions.select("item_id", *KEY, "session_idx"), "item_id")
+    rows = rows.join(_stats(spark, sf_dir).select(*KEY, "session_idx", "year_candidates", "time_start", "time_end", "n_anchors"), [*KEY, "session_idx"], "left")
+    return timeline.disambiguate(rows).select("item_id", "folder_text", "dt", "precision", F.col("struct_confidence").alias("confidence"))
+
+
+def interpolate(spark, sf_dir):
+    members = timeline.build_sessions(_dated(spark, sf_dir), KEY).join(_dated(spark, sf_dir).select("item_id", "relpath", "stem", "final_datetime", "confidence", "mtime"), "item_id")
+    return timeline.interpolate(members, KEY)
+
+
+def digit_signatures(spark, sf_dir):
+    return mine.signatures(mine.name_parts(album(spark, sf_dir))).select("sig", "total", "n", "group_total")
+
+
+def mined_patterns(spark, sf_dir):
+    found = mine.mined_patterns(album(spark, sf_dir))
+    return spark.createDataFrame([(p.name, p.core, p.precision, p.confidence) for p in found], "name string, core string, precision string, confidence double")
+
+
+def _plan(spark, sf_dir) -> DataFrame:
+    near = _dups(spark, sf_dir).withColumn("needs_review", F.lit(False))
+    return export.plan(album(spark, sf_dir), _resolved(spark, sf_dir), near)
+
+
+def export_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+def bucket_counts(spark, sf_dir):
+    return export.bucket_counts(_plan(spark, sf_dir))
+
+
+def kept_backfill(spark, sf_dir):
+    return export.with_kept(_plan(spark, sf_dir)).where("duplicate_rank > 0").select("item_id", "duplicate_group_id", "duplicate_rank", "duplicate_kept_relpath")
+
+
+def review_notes(spark, sf_dir):
+    return export.notes(export.with_kept(_plan(spark, sf_dir)))
+
+
+def latest_status(spark, sf_dir):
+    log = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return export.latest(log, "o_custkey", "o_orderkey")
+
+
+def incremental_scan(spark, sf_dir):
+    files = album(spark, sf_dir).select("item_id", "relpath", "filesize", "mtime", "event_id")
+    cache = files.where("event_id % 3 <> 0").select("relpath", "filesize", "mtime")
+    return logs.cached_and_new(files, cache, ["relpath", "filesize", "mtime"])[1].select("item_id", "relpath")
+
+
+def profile_depth(spark, sf_dir):
+    depth = F.size(F.split(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "/")) - 1
+    return profile.histogram(_read(spark, sf_dir, "pages"), depth, "depth")
+
+
+def profile_conf_hist(spark, sf_dir):
+    return profile.histogram(_resolved(spark, sf_dir), profile.confidence_bucket(F.col("confidence")), "bucket")
+
+
+def profile_charclass(spark, sf_dir):
+    return profile.char_histogram(album(spark, sf_dir), "stem")
+
+
+def profile_coverage(spark, sf_dir):
+    items = album(spark, sf_dir)
+    return profile.coverage(items, evidence.all_evidence(items))
+
+
+def profile_percentiles(spark, sf_dir):
+    items = album(spark, sf_dir)
+    return profile.percentile_at(items, "filesize", 95).unionByName(profile.percentile_at(items, "filesize", 50))
+
+
+def profile_ext(spark, sf_dir):
+    return profile.histogram(album(spark, sf_dir), F.col("ext"), "ext")
+
+
+def profile_length(spark, sf_dir):
+    return profile.histogram(album(spark, sf_dir), profile.length_bucket(F.length("stem")), "bucket")
+
+
+def light_dates(spark, sf_dir):
+    return profile.histogram(album(spark, sf_dir), profile.has_light_date(F.col("stem")), "has_date")
+
+
+def top_folders(spark, sf_dir):
+    return profile.histogram(album(spark, sf_dir), F.element_at(F.split("relpath", "/"), -2), "folder").orderBy(F.desc("n"), "folder").limit(20)
+
+
+def run_summary(spark, sf_dir):
+    return profile.run_summary(album(spark, sf_dir), _resolved(spark, sf_dir))
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    items = album(spark, sf_dir)
+    best = evidence.filename_evidence(items).where("pattern_name IN ('DATETIME8_6', 'DATE8')").groupBy("item_id").agg(F.max_by(F.struct("pattern_name", "matched_text"), F.length("matched_text")).alias("m"))
+    rows = items.join(best, "item_id", "left").select("item_id", "stem", F.coalesce("m.pattern_name", F.lit("")).alias("p"), (F.coalesce(F.expr("locate(m.matched_text, stem)"), F.lit(1)) - 1).alias("start"))
+    return rows.select(F.col("item_id").alias("id"), "stem", labels.bio_labels(F.col("stem"), F.col("p"), F.col("start")).alias("labels"))
+
+
+def bio_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("id", F.array_join("labels", " ").alias("labels"))
+
+
+def bio_spans(spark, sf_dir):
+    return labels.spans(_labelled(spark, sf_dir))
+
+
+def span_prf(spark, sf_dir):
+    gold = labels.spans(_labelled(spark, sf_dir))
+    return labels.span_metrics(gold.where("field <> 'SECOND'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end"))), gold)
+
+
+def char_vocab(spark, sf_dir):
+    return labels.vocabulary(album(spark, sf_dir), "stem")
+
+
+def label_weights(spark, sf_dir):
+    return labels.label_weights(_labelled(spark, sf_dir))
+
+
+def livephoto_entry(spark, sf_dir):
+    entries = album(spark, sf_dir).select(F.concat(F.lit("a"), F.pmod("event_id", F.lit(40)).cast("string")).alias("archive"), F.concat(F.when(F.col("event_id") % 3 == 0, "__").otherwise(""), "filename").alias("name"))
+    return logs.first_photo(entries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = [
+        album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate,
+        digit_signatures, mined_patterns, export_plan, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
+    ]
+    found = {f.__name__: f for f in plain}
+    return found | {f.__name__: _evidence(f) for f in (evidence.exif_evidence, evidence.filesystem_evidence, evidence.filename_evidence, evidence.foldername_evidence)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.sql()
 
-def queries() -> dict:
-    return {}
 
 
-def oracle_sql() -> dict:
-    return {}
