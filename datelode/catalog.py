@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from datelode import oracles
 from datelode.functions.vectors import sign_hash
 from datelode.operators import dedup, evidence, labels, mine, profile, resolve, similar, timeline
+from datelode.operators.components import saved
 from datelode.plans import export
 from datelode.sources import logs
 from datelode.sources.album import album, with_screenshot
@@ -63,19 +64,19 @@ def exact_dups(spark, sf_dir):
     return dedup.exact_groups(docs)
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+def _scored(spark, sf_dir, resolved: DataFrame) -> DataFrame:
     items = with_screenshot(album(spark, sf_dir))
-    found = _resolved(spark, sf_dir).select("item_id", "confidence")
+    found = resolved.select("item_id", "confidence")
     score = dedup.quality_score(F.col("confidence"), F.col("exif_original").isNotNull(), F.col("has_gps"), F.col("ext"), F.col("format_real"), F.col("is_screenshot"), F.lit(False))
     return items.join(found, "item_id", "left").withColumn("score", score)
 
 
-def _dups(spark, sf_dir) -> DataFrame:
-    return dedup.ranked_groups(_scored(spark, sf_dir).select("item_id", "sha1", "score", "filesize", "relpath"))
+def _dups(spark, sf_dir, resolved: DataFrame) -> DataFrame:
+    return dedup.ranked_groups(_scored(spark, sf_dir, resolved).select("item_id", "sha1", "score", "filesize", "relpath"))
 
 
 def dup_rank(spark, sf_dir):
-    return _dups(spark, sf_dir)
+    return _dups(spark, sf_dir, _resolved(spark, sf_dir))
 
 
 def group_kinds(spark, sf_dir):
@@ -120,18 +121,19 @@ def sessions_by_user(spark, sf_dir):
 
 
 def _dated(spark, sf_dir) -> DataFrame:
-    return album(spark, sf_dir).join(_resolved(spark, sf_dir).select("item_id", "final_datetime", "confidence"), "item_id", "left")
+    """Items with their resolved time, written once: sessions read it several times."""
+    return saved(album(spark, sf_dir).join(_resolved(spark, sf_dir).select("item_id", "final_datetime", "confidence"), "item_id", "left"))
 
 
 KEY = ["user_id"]
 
 
-def _stats(spark, sf_dir) -> DataFrame:
-    return timeline.session_stats(timeline.sessionize(timeline.anchors(_dated(spark, sf_dir)), "final_datetime", KEY, "item_id"), KEY)
+def _stats(dated: DataFrame) -> DataFrame:
+    return timeline.session_stats(timeline.sessionize(timeline.anchors(dated), "final_datetime", KEY, "item_id"), KEY)
 
 
 def session_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).withColumn("year_candidates", F.array_join(F.transform("year_candidates", lambda y: y.cast("string")), ","))
+    return _stats(_dated(spark, sf_dir)).withColumn("year_candidates", F.array_join(F.transform("year_candidates", lambda y: y.cast("string")), ","))
 
 
 def session_assign(spark, sf_dir):
@@ -139,7 +141,8 @@ def session_assign(spark, sf_dir):
 
 
 def folder_prefix(spark, sf_dir):
-    return timeline.session_folders(timeline.build_sessions(_dated(spark, sf_dir), KEY).join(album(spark, sf_dir).select("item_id", "relpath"), "item_id"), KEY)
+    dated = _dated(spark, sf_dir)
+    return timeline.session_folders(timeline.build_sessions(dated, KEY).join(dated.select("item_id", "relpath"), "item_id"), KEY)
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
@@ -152,14 +155,16 @@ def struct_tokens(spark, sf_dir):
 
 
 def struct_resolve(spark, sf_dir):
-    sessions = timeline.build_sessions(_dated(spark, sf_dir), KEY)
+    dated = _dated(spark, sf_dir)
+    sessions = timeline.build_sessions(dated, KEY)
     rows = _tokens(spark, sf_dir).where(F.size("candidates") > 1).join(sessions.select("item_id", *KEY, "session_idx"), "item_id")
-    rows = rows.join(_stats(spark, sf_dir).select(*KEY, "session_idx", "year_candidates", "time_start", "time_end", "n_anchors"), [*KEY, "session_idx"], "left")
+    rows = rows.join(_stats(dated).select(*KEY, "session_idx", "year_candidates", "time_start", "time_end", "n_anchors"), [*KEY, "session_idx"], "left")
     return timeline.disambiguate(rows).select("item_id", "folder_text", "dt", "precision", F.col("struct_confidence").alias("confidence"))
 
 
 def interpolate(spark, sf_dir):
-    members = timeline.build_sessions(_dated(spark, sf_dir), KEY).join(_dated(spark, sf_dir).select("item_id", "relpath", "stem", "final_datetime", "confidence", "mtime"), "item_id")
+    dated = _dated(spark, sf_dir)
+    members = timeline.build_sessions(dated, KEY).join(dated.select("item_id", "relpath", "stem", "final_datetime", "confidence", "mtime"), "item_id")
     return timeline.interpolate(members, KEY)
 
 
@@ -173,8 +178,9 @@ def mined_patterns(spark, sf_dir):
 
 
 def _plan(spark, sf_dir) -> DataFrame:
-    near = _dups(spark, sf_dir).withColumn("needs_review", F.lit(False))
-    return export.plan(album(spark, sf_dir), _resolved(spark, sf_dir), near)
+    resolved = saved(_resolved(spark, sf_dir))
+    near = _dups(spark, sf_dir, resolved).withColumn("needs_review", F.lit(False))
+    return export.plan(album(spark, sf_dir), resolved, near)
 
 
 def export_plan(spark, sf_dir):
