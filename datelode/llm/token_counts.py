@@ -97,6 +97,11 @@ def frequent_pretokens(docs: DataFrame, capacity: int = CAPACITY, fan_in: int =
     return total
 
 
+def piece_counts(model, words: list[str]) -> list[int]:
+    """Pieces of each pre-token; the empty one is a lone space at the end of a text, one piece."""
+    return [len(x) if w else 1 for w, x in zip(words, model.encode(words, num_threads=1), strict=True)]
+
+
 class PieceCounter:
     """Both tiers; used inside a Python worker."""
 
@@ -107,9 +112,6 @@ class PieceCounter:
         self.cache: dict[str, int] = {}
         self.table = _Tiers(_unpack(*table), self.cache)
 
-    def counts(self, words: list[str]) -> list[int]:
-        return [len(x) for x in self.model.encode(words, num_threads=1)]
-
     def of(self, texts: list[str]) -> list[int]:
         split = [pretokens(t) for t in texts]
         table, cache = self.table, self.cache
@@ -117,7 +119,7 @@ class PieceCounter:
             cache.clear()
         new = list({w for words in split for w in words if w not in table and w not in cache})
         if new:
-            cache.update(zip(new, self.counts(new), strict=True))
+            cache.update(zip(new, piece_counts(self.model, new), strict=True))
         return [sum(map(table.__getitem__, words)) for words in split]
 
 
@@ -139,7 +141,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, capacity:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    table = spark.sparkContext.broadcast(_pack(Counter(dict(zip(top, map(len, model.encode(top, num_threads=1)), strict=True))))) if top else spark.sparkContext.broadcast(_pack(Counter()))
+    table = spark.sparkContext.broadcast(_pack(Counter(dict(zip(top, piece_counts(model, top), strict=True))))) if top else spark.sparkContext.broadcast(_pack(Counter()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model_path, table.value)
