@@ -8,15 +8,15 @@ steps, each a class of equal suffixes kept as 64-bit hashes instead of a sorted
 needed here, not the order between different ones):
 
 1. dictionary: for each phrase a key of the content from its trigger over CORE bytes to the next
-   trigger. A suffix that starts in phrase i and reaches LENGTH bytes holds all of the key content of
-   phrase i+1; if that is unique in the corpus, so is the suffix. Most of a corpus ends here.
-2. parse: a phrase together with the bytes that its last suffix needs (one key, 128 bits with the
+   trigger. A suffix that starts in phrase i and reaches LENGTH bytes holds the key content of the
+   phrases behind it; if one of those is unique in the corpus, so is the suffix. Most of a corpus
+   ends here.
+2. parse: a phrase together with the bytes that its last suffix needs (one key, 96 bits with the
    first). If it occurs twice, every suffix that starts in the phrase does.
 3. corpus: the suffixes that neither step decides, at the ends of repeats, are compared by a 128-bit
    hash of their LENGTH bytes.
 
-Keys are dealt by hash; hot keys stream or are summed on the map side, and joins back are such that
-Spark splits hot keys. Texts travel zstd-compressed. Rows are told apart by an id of their own, so repeated rows and null ids are
+Keys are dealt by hash and equal ones stream by in sorted order, so a hot key costs no memory. Texts travel zstd-compressed. Rows are told apart by an id of their own, so repeated rows and null ids are
 distinct documents (and repeat each other). Null text is empty: nothing removed. Other columns are
 dropped by the report and kept by removed(); an empty table gives an empty result.
 """
@@ -35,7 +35,7 @@ from datelode.llm.common import materialize, parts, slices
 
 LENGTH = 400
 SPACING = 40
-CORE = 64
+CORE = 48
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,13 +64,15 @@ class Parse:
         self.end = np.where(self.live, np.minimum(n, self.next - 1 + length), self.start)  # what its suffixes need
         k = np.searchsorted(self.start, self.start + CORE)  # the first trigger CORE bytes on
         self.core = np.where(k < len(self.start), self.start[np.minimum(k, len(self.start) - 1)], n + 1)
-        core_of_next = np.concatenate([self.core[1:], [n + 1]])
-        #: Does every suffix of the phrase hold the next phrase's key content and the trigger behind it?
-        self.guarded = core_of_next + 8 <= self.start + length
+        #: How many phrases behind this one have their key content, and the trigger behind it, in every suffix of it.
+        self.guards = np.searchsorted(self.core, self.start + length - 8, side="right") - 1 - np.arange(len(self.start))
+        self.guards = np.maximum(self.guards, 0)
 
 
 def _phrases(rows: DataFrame, length: int) -> DataFrame:
-    """For each phrase: row, at (its place), prev (place of the phrase before it, -1 if no suffix starts there), g (dictionary key), e (parse key, 0 if no suffix starts in it)."""
+    """For each phrase: row, k (its number), at and n (first place and number of the suffixes that start in it), need (guards of the phrase before it; 0 if no suffix starts there or none guards it), g (dictionary key), e (parse key; 0 if no suffix starts in it).
+
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -78,78 +80,86 @@ def _phrases(rows: DataFrame, length: int) -> DataFrame:
         hash64 = xxhash.xxh3_64_intdigest
         for batch in batches:
             for piece in slices(batch, "body", 1_000_000):
-                ids, ats, prevs, gs, es = [], [], [], [], []
+                ids, out = [], []
                 for row, body in zip(piece.column("row").to_pylist(), piece.column("body").to_pylist(), strict=True):
                     if len(body) < length:
                         continue
                     p = Parse(body, length)
                     view = memoryview(body)
-                    e = [hash64(view[a:b]) if b > a else 0 for a, b in zip(p.start.tolist(), p.end.tolist(), strict=True)]
+                    e = np.array([hash64(view[a:b]) if b > a else 0 for a, b in zip(p.start.tolist(), p.end.tolist(), strict=True)], dtype=np.uint64)
                     whole = p.core + 8 <= np.where(p.live, p.end, len(body))
-                    g = [hash64(view[a:b]) if ok else x for a, b, x, ok in zip(p.start.tolist(), p.core.tolist(), e, whole.tolist(), strict=True)]
+                    g = np.array([hash64(view[a:b]) if ok else x for a, b, x, ok in zip(p.start.tolist(), p.core.tolist(), e.tolist(), whole.tolist(), strict=True)], dtype=np.uint64)
+                    small = (e >> np.uint64(33)).astype(np.int32) + p.live  # 0 stays for phrases without suffixes
+                    need = np.concatenate([[0], np.where(p.live, p.guards, 0)[:-1]])
                     keep = whole | p.live
                     ids.append(np.full(int(keep.sum()), row))
-                    ats.append(p.start[keep])
-                    prevs.append(np.concatenate([[-1], np.where(p.live, p.start, -1)[:-1]])[keep])
-                    gs.append(np.array(g, dtype=np.uint64)[keep])
-                    es.append(np.array(e, dtype=np.uint64)[keep])
+                    out.append([x[keep] for x in (np.arange(len(keep)), p.start, np.maximum(p.last - p.start, 0), need, g.view(np.int64), small)])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(ats), pa.int32()), pa.array(np.concatenate(prevs), pa.int32()), pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(es).view(np.int64))], names=["row", "at", "prev", "g", "e"])
+                    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "k", "at", "n", "need", "g", "e"])
 
-    return rows.mapInArrow(run, "row long, at int, prev int, g long, e long")
+    return rows.mapInArrow(run, "row long, k int, at int, n int, need int, g long, e int")
 
 
-def _repeated_phrases(phrases: DataFrame) -> DataFrame:
-    """row, at, prev, g, whole, first for phrases whose dictionary key occurs twice.
+def _runs(dealt: DataFrame, keys: int) -> DataFrame:
+    """Rows of dealt (sorted by its last columns g, e) whose g occurs twice, with whole (g and e do) and first (of its equals).
 
-    whole: the parse key occurs twice too; first: of its equals this is the one to stand for all.
-    One exchange by the dictionary key, which equal parse keys share; sorted runs are told apart as
-    they stream by, so a hot key costs no memory.
+    Sorted runs are told apart as they stream by, so a hot key costs no memory.
     """
-    dealt = phrases.repartition(parts(phrases.sparkSession), "g").sortWithinPartitions("g", "e")
+    names = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "at", "prev", "g", "whole", "first"]
         held, before = None, None  # the last row, whose run may go on, and the keys of the row before it
 
-        def told(row, at, prev, g, e, last: bool) -> pa.RecordBatch:
+        def told(columns, last: bool) -> pa.RecordBatch:
+            g, e = columns[-2:]
             up = np.concatenate([[before is not None and before[0] == g[0]], g[1:] == g[:-1]])
             same = np.concatenate([[before is not None and before == (g[0], e[0])], up[1:] & (e[1:] == e[:-1])])
             n = len(g) if last else len(g) - 1
-            twice = (up | np.append(up[1:], False))[:n]
             whole = ((same | np.append(same[1:], False)) & (e != 0))[:n]
-            return pa.RecordBatch.from_arrays([pa.array(x[:n][twice]) for x in (row, at, prev, g, whole, ~same)], names=names)
+            pick = (up | np.append(up[1:], False))[:n] if keys == 1 else whole
+            out = [x[:n][pick] for x in columns[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, whole[pick], ~same[:n][pick])], names=[*names[:-1], "whole", "first"])
 
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
             if not len(now[0]):
                 continue
             now = now if held is None else [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
-            yield told(*now, last=False)
+            yield told(now, last=False)
             if len(now[0]) > 1:
-                before = (now[3][-2], now[4][-2])
+                before = (now[-2][-2], now[-1][-2])
             held = [x[-1:] for x in now]
         if held is not None:
-            yield told(*held, last=True)
+            yield told(held, last=True)
 
-    return dealt.mapInArrow(run, "row long, at int, prev int, g long, whole boolean, first boolean")
+    ddl = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return dealt.mapInArrow(run, f"{ddl}, whole boolean, first boolean")
+
+
+def _repeated_phrases(phrases: DataFrame) -> DataFrame:
+    """row, k, at, n, need, g, whole, first for phrases whose dictionary key occurs twice: one exchange by that key, which equal parse keys share."""
+    return _runs(phrases.repartition(parts(phrases.sparkSession), "g").sortWithinPartitions("g", "e"), 1)
 
 
-def _marks(flags: DataFrame) -> DataFrame:
-    """row, marks: for each text the repeated phrases and the phrases whose suffixes must be compared one by one.
+def _marks(flags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, a, b): places a..b-1 whose suffixes the parse step decides; (row, compare): phrases whose suffixes must be compared.
 
-    Open is a phrase that the parse step leaves undecided before a repeated one. Its partner may be a
-    decided phrase; so of each class of decided phrases the first is compared as well where the
-    repeated key behind it follows an open phrase anywhere.
+    Open is a phrase that the parse step leaves undecided although all keys that guard it are repeated.
+    Its partner may be a decided phrase; so of each class of decided phrases the first is compared as
+    well where the repeated key behind it follows an open phrase anywhere.
     """
-    w = Window.partitionBy("row").orderBy("at")  # bounded by the document
-    seen = flags.select("*", (F.lag("at").over(w) == F.col("prev")).alias("near"), F.lag("whole").over(w).alias("w"), F.lag("first").over(w).alias("f"))
+    w = Window.partitionBy("row").orderBy("k")  # both windows are bounded by the document
+    seen = flags.select("*", (F.col("k") - F.row_number().over(w)).alias("island"), (F.lag("k").over(w) == F.col("k") - 1).alias("near"), F.lag("whole").over(w).alias("w"), F.lag("first").over(w).alias("f"))
+    reach = F.max("k").over(Window.partitionBy("row", "island"))
     decided = F.coalesce(F.col("near") & F.col("w"), F.lit(False))
-    seen = materialize(seen.select("row", "at", "prev", "g", "whole", "first", (decided & F.col("f")).alias("stands"), ((F.col("prev") >= 0) & ~decided).alias("open")))
+    seen = seen.select("row", "k", "at", "n", "g", "whole", (decided & F.col("f")).alias("stands"), ((F.col("need") > 0) & ~decided & (reach >= F.col("k") + F.col("need") - 1)).alias("open"))
+    seen = materialize(seen.where("whole OR stands OR open"))
     keys = seen.where("open").select("g").distinct()
-    compared = seen.where("open").select("row", "prev").union(seen.where("stands").join(keys.hint("merge"), "g", "left_semi").select("row", "prev"))
-    marks = seen.select("row", F.struct("at", "whole", "first", F.lit(False).alias("compare")).alias("m")).union(compared.select("row", F.struct(F.col("prev").alias("at"), F.lit(False).alias("whole"), F.lit(False).alias("first"), F.lit(True).alias("compare")).alias("m")))
-    return marks.groupBy("row").agg(F.collect_list("m").alias("marks"))
+    compared = seen.where("open").select("row", "k").union(seen.where("stands").join(keys.hint("merge"), "g", "left_semi").select("row", "k"))
+    compared = compared.groupBy("row").agg(F.collect_list(F.col("k") - 1).alias("compare"))  # bounded by the document
+    return seen.where("whole").select("row", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")), compared
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -158,7 +168,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for piece in slices(batch, "body"):
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([z.compress(b) for b in piece.column("body").to_pylist()], pa.binary())], names=["row", "packed"])
@@ -174,67 +184,54 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield z.decompress(x.as_py())
 
 
-def _open_suffixes(texts: DataFrame, marks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(row, a, b): start places a..b-1 decided by the parse step; (row, at, h1, h2): suffixes to compare."""
-    joined = texts.join(marks, "row", "left").select("row", "packed", *(F.col(f"marks.{c}").alias(c) for c in ("at", "whole", "first", "compare")))
+def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
+    """row, a, g, e: a 128-bit hash of the length bytes from each place a that is compared."""
+    joined = texts.join(compare, "row", "left").select("row", "packed", "compare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hash128 = xxhash.xxh3_128_digest
         for batch in batches:
-            rows, begins, ends, keys, size = [], [], [], [], 0
+            rows, places, keys, size = [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                nonlocal rows, begins, ends, keys, size
+                nonlocal rows, places, keys, size
                 h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)  # noqa: B023
-                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(begins), pa.int32()), pa.array(np.concatenate(ends), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["row", "a", "b", "h1", "h2"])  # noqa: B023
-                rows, begins, ends, keys, size = [], [], [], [], 0
+                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1] | 1)], names=["row", "a", "g", "e"])  # noqa: B023
+                rows, places, keys, size = [], [], [], 0
                 return made
 
-            for row, body, *marks in zip(batch.column("row").to_pylist(), _unpack(batch), *(batch.column(c) for c in ("at", "whole", "first", "compare")), strict=True):
+            for row, body, compare in zip(batch.column("row").to_pylist(), _unpack(batch), batch.column("compare"), strict=True):
                 if len(body) < length:
                     continue
                 p = Parse(body, length)
-                done, first, left = np.zeros((3, len(p.start)), dtype=bool)
-                if marks[0].is_valid:
-                    at, *kinds = (m.values.to_numpy(zero_copy_only=False) for m in marks)
-                    k = np.searchsorted(p.start, at)
-                    for flag, kind in zip((done, first, left), kinds, strict=True):
-                        flag[k[kind]] = True
-                done &= p.live
-                left = p.live & (left | ~p.guarded & (~done | first))
-                if done.any():
-                    begin, end = p.start[done], p.last[done]
-                    keep_a = np.concatenate([[True], begin[1:] != end[:-1]])
-                    rows.append(np.full(int(keep_a.sum()), row))
-                    begins.append(begin[keep_a])
-                    ends.append(end[np.append(keep_a[1:], True)])
-                    keys.append(bytes(16 * int(keep_a.sum())))
-                    size += int(keep_a.sum())
+                left = p.live & (p.guards == 0)  # no key guards these
+                if compare.is_valid:
+                    left[compare.values.to_numpy()] = True
+                    left &= p.live
                 if left.any():
                     view = memoryview(body)
-                    places = np.concatenate([np.arange(a, b) for a, b in zip(p.start[left].tolist(), p.last[left].tolist(), strict=True)])
-                    rows.append(np.full(len(places), row))
-                    begins.append(places)
-                    ends.append(np.full(len(places), -1))
-                    keys.append(b"".join([hash128(view[k : k + length]) for k in places.tolist()]))
-                    size += len(places)
+                    at = np.concatenate([np.arange(a, b) for a, b in zip(p.start[left].tolist(), p.last[left].tolist(), strict=True)])
+                    rows.append(np.full(len(at), row))
+                    places.append(at)
+                    keys.append(b"".join([hash128(view[k : k + length]) for k in at.tolist()]))
+                    size += len(at)
                 if size > 100_000:
                     yield out()
             if size:
                 yield out()
 
-    made = materialize(joined.mapInArrow(run, "row long, a int, b int, h1 long, h2 long"))
-    return made.where("b >= 0").select("row", "a", "b"), made.where("b < 0").select("row", F.col("a").alias("at"), "h1", "h2")
+    return joined.mapInArrow(run, "row long, a int, g long, e long")
 
 
 def repeated_starts(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, spans: for each text with repeats the runs [a, b) of places where a repeated string starts."""
-    decided, still = _open_suffixes(texts, _marks(_repeated_phrases(_phrases(rows, length))), length)
-    twice = still.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = still.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("row", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    return decided.union(found).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the document
+    decided, compare = _marks(_repeated_phrases(_phrases(rows, length)))
+    suffixes = _compared(texts, compare, length)
+    found = _runs(suffixes.repartition(parts(rows.sparkSession), "g").sortWithinPartitions("g", "e"), 2)
+    spans = decided.union(found.select("row", "a", (F.col("a") + 1).alias("b")))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the document
 
 
 def _removal(a: list[int], b: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
