@@ -34,14 +34,14 @@ WORDS = 500_000
 PAIRS = 400_000
 _END = ""  # stands for the word-end mark, so that each unit is one character
 #: Up to this character, letters and numbers are the same in every version of Unicode.
-_STABLE = "\u017f"
+STABLE = "\u017f"
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0"
 
 
 @cache
-def _splitter() -> re.Pattern:
-    """The pre-token pattern for chunks of characters up to _STABLE."""
-    of = lambda kind: "".join(re.escape(chr(c)) for c in range(ord(_STABLE) + 1) if unicodedata.category(chr(c))[0] == kind)
+def pretoken_pattern() -> re.Pattern:
+    """The pre-token pattern for chunks of characters up to STABLE."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(ord(STABLE) + 1) if unicodedata.category(chr(c))[0] == kind)
     letter, number = of("L"), of("N")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
 
@@ -83,7 +83,7 @@ class BacktrackingBpe:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._split = _splitter()
+        self._split = pretoken_pattern()
         self._letters = {b: c for b, c in enumerate(_byte_letters())}
         unit = lambda s: s.removesuffix(self.suffix) + _END if s.endswith(self.suffix) else s
         self.vocab = {unit(s): i for s, i in model["vocab"].items()}
@@ -181,9 +181,9 @@ class BacktrackingBpe:
     def _plain(self, text: str) -> bytes:
         """Ids (little-endian uint32) of text without special strings.
 
-        Characters beyond _STABLE are composed, lowered and split by the library's own tables.
+        Characters beyond STABLE are composed, lowered and split by the library's own tables.
         """
-        stable = text.isascii() or (text and max(text) <= _STABLE)
+        stable = text.isascii() or (text and max(text) <= STABLE)
         if stable:
             text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
         out = []

@@ -43,29 +43,29 @@ def _plan(values: np.ndarray) -> np.ndarray:
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) and the offset table: the first word of each block and the end."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
-    words, offsets, at = [], [0], 0
-    for k in range(0, len(values), BLOCK):
-        words.append(_encode_block(values[k : k + BLOCK]))
-        at += len(words[-1])
-        offsets.append(at)
-    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.array(offsets, dtype=np.uint32)
-
-
-def _encode_block(values: np.ndarray) -> np.ndarray:
     n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
     best = _plan(values)
     step = _COUNTS[best].tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
+    starts, heads, i = [], [], 0
+    add = starts.append
+    for end in range(BLOCK, n + BLOCK, BLOCK):  # the last word of a block takes what is left of it
+        end = min(end, n)
+        heads.append(len(starts))
+        while i < end:
+            add(i)
+            i += step[i]
+        i = end
     starts = np.array(starts)
     selector = best[starts]
-    to = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(selector == ESCAPE)[:-1]])  # an escape takes two words
-    out = np.zeros(len(starts) + int((selector == ESCAPE).sum()), dtype=np.uint64)
+    escapes = selector == ESCAPE
+    to = np.arange(len(starts)) + np.cumsum(escapes) - escapes  # an escape takes two words
+    total = len(starts) + int(escapes.sum())
+    out = np.zeros(total, dtype=np.uint64)
     padded = np.concatenate([values, np.zeros(64, dtype=np.uint64)])
     for s in np.unique(selector).tolist():
-        mine = selector == s
+        mine = np.flatnonzero(selector == s)
         first = starts[mine]
         word = np.full(len(first), s, dtype=np.uint64)
         if s == ESCAPE:
@@ -75,7 +75,7 @@ def _encode_block(values: np.ndarray) -> np.ndarray:
             for k in range(count):
                 word |= padded[first + k] << np.uint64(4 + k * bits)
         out[to[mine]] = word
-    return out
+    return out, np.append(to[heads], total).astype(np.uint32)
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

@@ -14,6 +14,7 @@ by id, then by the hash of their text; other columns are dropped; an empty table
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,48 +23,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelode.llm import simple8b
+from datelode.llm import bpe, simple8b
 from datelode.llm.common import parts, scratch_dir, slices
 
 SEGMENT_IDS = 1 << 17
-#: Chunks that a worker remembers.
-CACHE_ENTRIES = 400_000
-_BREAK = "<|endoftext|>"  # a special string of the vocabulary: parts a batch of chunks in one call
+#: Pre-tokens that a worker remembers.
+CACHE_ENTRIES = 600_000
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library; blank-separated chunks are encoded once per worker.
+    """Encodes with the tokenizers library; each pre-token is encoded once per worker.
 
-    White space never lies inside a token of a word-level vocabulary, so chunks are independent.
+    Texts are lowered and split as the vocabulary's rules say. Pre-tokens written with blanks between are
+    split into themselves, each ending in a word-end token: many new ones go through the library in one
+    call. Texts with special strings or characters beyond the stable ones go through it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.mark = self.library.token_to_id(_BREAK)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            ids = np.array(self.library.encode(_BREAK.join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                self.known[c] = raw[4 * at : 4 * end]
-                at = end + 1
-        for c in set(chunks) - set(plain):
-            self.known[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.split, self.odd = bpe.pretoken_pattern(), re.compile(rf"<\||[^\0-{bpe.STABLE}]").search
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        if new := set().union(*split) - self.known.keys():
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        split = [None if self.odd(t) else self.split.findall(t.lower()) for t in texts]
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        new = list(set().union(*filter(None, split)) - self.words.keys())
+        for k in range(0, len(new), 4000):
+            some = new[k : k + 4000]
+            ids = self._whole(" ".join(some))
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                self.words[word] = raw[at:end]
+                at = end
+        known = self.words.__getitem__
+        return [self._whole(t).tobytes() if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
 
 _FIELDS = [("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("length_offsets", pa.binary()), ("words", pa.binary()), ("offsets", pa.binary())]
