@@ -16,7 +16,8 @@ needed here, not the order between different ones):
 3. corpus: the suffixes that neither step decides, at the ends of repeats, are compared by a 128-bit
    hash of their LENGTH bytes.
 
-Keys are dealt by hash and equal ones stream by in sorted order, so a hot key costs no memory. Texts travel zstd-compressed. Rows are told apart by an id of their own, so repeated rows and null ids are
+Keys are dealt by hash and equal ones stream by in sorted order, so a hot key costs no memory; rows
+whose answer their own task knows are salted, so it costs no time in one task either. Texts travel zstd-compressed. Rows are told apart by an id of their own, so repeated rows and null ids are
 distinct documents (and repeat each other). Null text is empty: nothing removed. Other columns are
 dropped by the report and kept by removed(); an empty table gives an empty result.
 """
@@ -69,6 +70,27 @@ class Parse:
         self.guards = np.maximum(self.guards, 0)
 
 
+#: Ways that rows of a locally known key are spread.
+SALTS = 63
+
+
+def _known(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What one task sees of its own keys: known (1: g occurs twice, 2: g and e do) and salt.
+
+    The first row of each (g, e) has salt 0 and goes where all of its key meet; the others already know
+    their answer and are spread, so a hot key sends one row a slice to its own task.
+    """
+    order = np.lexsort((e, g))
+    g, e = g[order], e[order]
+    up = np.concatenate([[False], g[1:] == g[:-1]])
+    same = np.concatenate([[False], up[1:] & (e[1:] == e[:-1])])
+    known = (up | np.append(up[1:], False)) + 2 * ((same | np.append(same[1:], False)) & (e != 0))
+    out, salt = np.empty(len(g), dtype=np.int32), np.empty(len(g), dtype=np.int32)
+    out[order] = known
+    salt[order] = np.where(same, 1 + np.arange(len(g)) % SALTS, 0)
+    return out, salt
+
+
 def _phrases(rows: DataFrame, length: int) -> DataFrame:
     """For each phrase: row, k (its number), at and n (first place and number of the suffixes that start in it), need (guards of the phrase before it; 0 if no suffix starts there or none guards it), g (dictionary key), e (parse key; 0 if no suffix starts in it).
 
@@ -95,32 +117,35 @@ def _phrases(rows: DataFrame, length: int) -> DataFrame:
                     ids.append(np.full(int(keep.sum()), row))
                     out.append([x[keep] for x in (np.arange(len(keep)), p.start, np.maximum(p.last - p.start, 0), need, g.view(np.int64), small)])
                 if ids:
-                    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "k", "at", "n", "need", "g", "e"])
+                    *columns, g, e = (np.concatenate(x) for x in zip(*out, strict=True))
+                    columns += [*_known(g, e), g, e]
+                    kinds = (*[pa.int32()] * 6, pa.int64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "k", "at", "n", "need", "known", "salt", "g", "e"])
 
-    return rows.mapInArrow(run, "row long, k int, at int, n int, need int, g long, e int")
+    return rows.mapInArrow(run, "row long, k int, at int, n int, need int, known int, salt int, g long, e int")
 
 
-def _runs(dealt: DataFrame, keys: int) -> DataFrame:
-    """Rows of dealt (sorted by its last columns g, e) whose g occurs twice, with whole (g and e do) and first (of its equals).
+def _runs(rows: DataFrame, keys: int) -> DataFrame:
+    """Rows whose g occurs twice (keys 2: g and e), with whole (g and e do) and first (of its equals).
 
-    Sorted runs are told apart as they stream by, so a hot key costs no memory.
+    The last columns of rows are known, salt, g, e. Sorted runs are told apart as they stream by, so a hot
+    key costs no memory.
     """
-    names = dealt.columns
+    dealt = rows.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "e", "salt")
+    names = [c for c in dealt.columns if c not in ("known", "salt", "e")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # the last row, whose run may go on, and the keys of the row before it
 
         def told(columns, last: bool) -> pa.RecordBatch:
-            g, e = columns[-2:]
+            known, salt, g, e = columns[-4:]
             up = np.concatenate([[before is not None and before[0] == g[0]], g[1:] == g[:-1]])
             same = np.concatenate([[before is not None and before == (g[0], e[0])], up[1:] & (e[1:] == e[:-1])])
             n = len(g) if last else len(g) - 1
-            whole = ((same | np.append(same[1:], False)) & (e != 0))[:n]
-            pick = (up | np.append(up[1:], False))[:n] if keys == 1 else whole
-            out = [x[:n][pick] for x in columns[:-1]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, whole[pick], ~same[:n][pick])], names=[*names[:-1], "whole", "first"])
+            whole = ((same | np.append(same[1:], False)) & (e != 0) | (known > 1))[:n]
+            pick = (up | np.append(up[1:], False) | (known > 0))[:n] if keys == 1 else whole
+            first = (~same & (salt == 0))[:n]
+            return pa.RecordBatch.from_arrays([pa.array(x[:n][pick]) for x in (*columns[:-4], g)] + [pa.array(whole[pick]), pa.array(first[pick])], names=[*names, "whole", "first"])
 
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
@@ -134,13 +159,13 @@ def _runs(dealt: DataFrame, keys: int) -> DataFrame:
         if held is not None:
             yield told(held, last=True)
 
-    ddl = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in names[:-1])
+    ddl = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in names)
     return dealt.mapInArrow(run, f"{ddl}, whole boolean, first boolean")
 
 
 def _repeated_phrases(phrases: DataFrame) -> DataFrame:
     """row, k, at, n, need, g, whole, first for phrases whose dictionary key occurs twice: one exchange by that key, which equal parse keys share."""
-    return _runs(phrases.repartition(parts(phrases.sparkSession), "g").sortWithinPartitions("g", "e"), 1)
+    return _runs(phrases, 1)
 
 
 def _marks(flags: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +210,7 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
-    """row, a, g, e: a 128-bit hash of the length bytes from each place a that is compared."""
+    """row, a, known, salt, g, e: a 128-bit hash (g, e) of the length bytes from each place a that is compared."""
     joined = texts.join(compare, "row", "left").select("row", "packed", "compare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +223,8 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
             def out() -> pa.RecordBatch:
                 nonlocal rows, places, keys, size
                 h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)  # noqa: B023
-                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1] | 1)], names=["row", "a", "g", "e"])  # noqa: B023
+                g, e = h[:, 0], h[:, 1] | 1  # 0 would say that there is no key
+                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), *map(pa.array, (*_known(g, e), g, e))], names=["row", "a", "known", "salt", "g", "e"])  # noqa: B023
                 rows, places, keys, size = [], [], [], 0
                 return made
 
@@ -222,14 +248,14 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
             if size:
                 yield out()
 
-    return joined.mapInArrow(run, "row long, a int, g long, e long")
+    return joined.mapInArrow(run, "row long, a int, known int, salt int, g long, e long")
 
 
 def repeated_starts(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, spans: for each text with repeats the runs [a, b) of places where a repeated string starts."""
     decided, compare = _marks(_repeated_phrases(_phrases(rows, length)))
     suffixes = _compared(texts, compare, length)
-    found = _runs(suffixes.repartition(parts(rows.sparkSession), "g").sortWithinPartitions("g", "e"), 2)
+    found = _runs(suffixes, 2)
     spans = decided.union(found.select("row", "a", (F.col("a") + 1).alias("b")))
     return spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the document
 
