@@ -87,7 +87,7 @@ plan AS (SELECT item_id, relpath AS source_relpath, CASE WHEN unsupported THEN '
 kept AS (SELECT p.*, k.source_relpath AS duplicate_kept_relpath FROM plan p LEFT JOIN (SELECT duplicate_group_id, source_relpath FROM plan WHERE duplicate_group_id <> '' AND duplicate_rank = 0) k USING (duplicate_group_id))"""
 
 _LINE = "─" * 40
-NOTES = f"""SELECT item_id, bucket, CASE WHEN bucket = 'review' THEN concat_ws(chr(10), 'review note', '{_LINE}', 'file      : ' || source_relpath, 'reason    : ' || reason, '', 'time inference result:', '  datetime : ' || coalesce(CAST(final_datetime AS STRING), 'unknown'),
+NOTES = f"""SELECT item_id, bucket, CASE WHEN bucket = 'review' THEN concat_ws(chr(10), 'review note', '{_LINE}', 'file      : ' || source_relpath, 'reason    : ' || reason, '', 'resolved time:', '  datetime : ' || coalesce(CAST(final_datetime AS STRING), 'unknown'),
   '  confidence: ' || printf('%.2f', confidence), '  source   : ' || CASE WHEN primary_source = '' THEN '-' ELSE primary_source END,
   CASE WHEN duplicate_group_id <> '' THEN concat_ws(chr(10), '', 'duplicate info:', '  group  : ' || duplicate_group_id, '  rank   : ' || CAST(duplicate_rank AS STRING), '  kind   : ' || duplicate_kind) END)
   ELSE concat_ws(chr(10), 'duplicate file', '{_LINE}', 'This file is a duplicate and was not selected for export.', '', 'file     : ' || source_relpath, 'kept as  : ' || coalesce(duplicate_kept_relpath, '(unknown)'), 'kind     : ' || duplicate_kind, 'group    : ' || duplicate_group_id, 'rank     : ' || CAST(duplicate_rank AS STRING), '', 'You can safely delete this file.') END || chr(10) AS note

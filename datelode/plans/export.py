@@ -85,7 +85,7 @@ def notes(actions: DataFrame) -> DataFrame:
     line = F.lit("─" * 40)
     about_group = F.when(F.col("duplicate_group_id") != "", F.concat_ws("\n", F.lit(""), F.lit("duplicate info:"), F.concat(F.lit("  group  : "), "duplicate_group_id"), F.concat(F.lit("  rank   : "), F.col("duplicate_rank").cast("string")), F.concat(F.lit("  kind   : "), "duplicate_kind")))
     review = F.concat_ws(
-        "\n", F.lit("review note"), line, F.concat(F.lit("file      : "), "source_relpath"), F.concat(F.lit("reason    : "), "reason"), F.lit(""), F.lit("time inference result:"),
+        "\n", F.lit("review note"), line, F.concat(F.lit("file      : "), "source_relpath"), F.concat(F.lit("reason    : "), "reason"), F.lit(""), F.lit("resolved time:"),
         F.concat(F.lit("  datetime : "), F.coalesce(F.col("final_datetime").cast("string"), F.lit("unknown"))), F.concat(F.lit("  confidence: "), F.format_number("confidence", 2)),
         F.concat(F.lit("  source   : "), F.when(F.col("primary_source") == "", F.lit("-")).otherwise(F.col("primary_source"))), about_group,
     )
