@@ -223,13 +223,19 @@ class BacktrackingBpe:
         return out[:-1].tobytes()
 
 
+@cache
+def _coder(path: str) -> BacktrackingBpe:
+    """One a worker process, so that what it remembers serves all its tasks."""
+    return BacktrackingBpe(path)
+
+
 def encode_decode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with texts=True also ids (array<int>) and decoded (string)."""
     rows = doc_bytes(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BacktrackingBpe(path)
+        bpe = _coder(path)
         for batch in batches:
             for piece in slices(batch, "body"):
                 n, a, b, all_ids, shown = [], [], [], [], []

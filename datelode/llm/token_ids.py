@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,12 @@ class ChunkEncoder:
         return [self._whole(t).tobytes() if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
 
+@cache
+def _encoder(path: str) -> ChunkEncoder:
+    """One a worker process, so that what it remembers serves all its tasks."""
+    return ChunkEncoder(path)
+
+
 _FIELDS = [("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("length_offsets", pa.binary()), ("words", pa.binary()), ("offsets", pa.binary())]
 _DDL = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, lengths binary, length_offsets binary, words binary, offsets binary"
 
@@ -82,7 +89,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = ChunkEncoder(vocabulary), TaskContext.get().partitionId()
+        encoder, shard = _encoder(vocabulary), TaskContext.get().partitionId()
         segment = start = size = 0
         ids: list[int | None] = []
         raws: list[bytes] = []
