@@ -5,8 +5,9 @@ consecutive words of an item, or the whole of a shorter item with words. Words t
 be part of a match; in a shard's sequence a run of them becomes one mark. Each shard (at most
 SHARD_WORDS words, or one longer document) is indexed in the task that reads it; backward search
 gives the row interval of each phrase, sampled suffix positions place the occurrences, and spans are
-merged in each document. Nothing is shuffled. The phrases are broadcast in blocks of PHRASES, so what
-is sent at once is bounded however many test items there are.
+merged in each document. Nothing is shuffled for a test set of one block. The driver reads the test
+items (a stated query set, small next to a corpus) into blocks of about PHRASES words; each block is
+broadcast on its own, so what is sent at once is bounded however many test items there are.
 
 Null texts have no words: never contaminated, and null items are never found. Item ids that are null
 are left out of the list of ids. Repeated rows give one output row each; other columns are dropped;
@@ -144,7 +145,7 @@ def _scan(docs: DataFrame, phrases: Phrases, ddl: str, row) -> DataFrame:
 
 
 def phrase_blocks(items: DataFrame, window: int = WINDOW, limit: int = PHRASES) -> list[Phrases]:
-    """The test set in blocks of about limit phrases; one block at a time is on the driver's way to the tasks."""
+    """The test set in blocks of about limit words."""
     blocks, some, size = [], [], 0
     rows = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     for r in rows.toLocalIterator():
