@@ -11,8 +11,9 @@ needed here, not the order between different ones):
    trigger. A suffix that starts in phrase i and reaches LENGTH bytes holds the key content of the
    phrases behind it; if one of those is unique in the corpus, so is the suffix. Most of a corpus
    ends here.
-2. parse: a phrase together with the bytes that its last suffix needs (one key, 96 bits with the
-   first). If it occurs twice, every suffix that starts in the phrase does.
+2. parse: a phrase together with the bytes that its last suffix needs (a 64-bit key of its own beside
+   the first, so a first key that many different phrases share does not weaken the comparison). If it
+   occurs twice, every suffix that starts in the phrase does.
 3. corpus: the suffixes that neither step decides, at the ends of repeats, are compared by a 128-bit
    hash of their LENGTH bytes.
 
@@ -74,8 +75,8 @@ class Parse:
 SALTS = 63
 
 
-def _known(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What one task sees of its own keys: known (1: g occurs twice, 2: g and e do) and salt.
+def _known(g: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """What one task sees of its own keys, as tag: known (1: g occurs twice, 2: g and e do) + 4 * salt.
 
     The first row of each (g, e) has salt 0 and goes where all of its key meet; the others already know
     their answer and are spread, so a hot key sends one row a slice to its own task.
@@ -85,10 +86,9 @@ def _known(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up = np.concatenate([[False], g[1:] == g[:-1]])
     same = np.concatenate([[False], up[1:] & (e[1:] == e[:-1])])
     known = (up | np.append(up[1:], False)) + 2 * ((same | np.append(same[1:], False)) & (e != 0))
-    out, salt = np.empty(len(g), dtype=np.int32), np.empty(len(g), dtype=np.int32)
-    out[order] = known
-    salt[order] = np.where(same, 1 + np.arange(len(g)) % SALTS, 0)
-    return out, salt
+    tag = np.empty(len(g), dtype=np.int32)
+    tag[order] = known + 4 * np.where(same, 1 + np.arange(len(g)) % SALTS, 0)
+    return tag
 
 
 def _phrases(rows: DataFrame, length: int) -> DataFrame:
@@ -111,41 +111,42 @@ def _phrases(rows: DataFrame, length: int) -> DataFrame:
                     e = np.array([hash64(view[a:b]) if b > a else 0 for a, b in zip(p.start.tolist(), p.end.tolist(), strict=True)], dtype=np.uint64)
                     whole = p.core + 8 <= np.where(p.live, p.end, len(body))
                     g = np.array([hash64(view[a:b]) if ok else x for a, b, x, ok in zip(p.start.tolist(), p.core.tolist(), e.tolist(), whole.tolist(), strict=True)], dtype=np.uint64)
-                    small = (e >> np.uint64(33)).astype(np.int32) + p.live  # 0 stays for phrases without suffixes
+                    full = np.where(p.live, np.maximum(e, np.uint64(1)), np.uint64(0))  # 0 stays for phrases without suffixes
                     need = np.concatenate([[0], np.where(p.live, p.guards, 0)[:-1]])
                     keep = whole | p.live
                     ids.append(np.full(int(keep.sum()), row))
-                    out.append([x[keep] for x in (np.arange(len(keep)), p.start, np.maximum(p.last - p.start, 0), need, g.view(np.int64), small)])
+                    out.append([x[keep] for x in (np.arange(len(keep)), p.start, np.maximum(p.last - p.start, 0), need, g.view(np.int64), full.view(np.int64))])
                 if ids:
                     *columns, g, e = (np.concatenate(x) for x in zip(*out, strict=True))
-                    columns += [*_known(g, e), g, e]
-                    kinds = (*[pa.int32()] * 6, pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "k", "at", "n", "need", "known", "salt", "g", "e"])
+                    columns += [_known(g, e), g, e]
+                    kinds = (*[pa.int32()] * 5, pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "k", "at", "n", "need", "tag", "g", "e"])
 
-    return rows.mapInArrow(run, "row long, k int, at int, n int, need int, known int, salt int, g long, e int")
+    return rows.mapInArrow(run, "row long, k int, at int, n int, need int, tag int, g long, e long")
 
 
 def _runs(rows: DataFrame, keys: int) -> DataFrame:
     """Rows whose g occurs twice (keys 2: g and e), with whole (g and e do) and first (of its equals).
 
-    The last columns of rows are known, salt, g, e. Sorted runs are told apart as they stream by, so a hot
+    The last columns of rows are tag, g, e. Sorted runs are told apart as they stream by, so a hot
     key costs no memory.
     """
-    dealt = rows.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "e", "salt")
-    names = [c for c in dealt.columns if c not in ("known", "salt", "e")]
+    dealt = rows.repartition(parts(rows.sparkSession), F.col("g"), F.shiftright("tag", 2)).sortWithinPartitions("g", "e", "tag")
+    names = [c for c in dealt.columns if c not in ("tag", "e")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # the last row, whose run may go on, and the keys of the row before it
 
         def told(columns, last: bool) -> pa.RecordBatch:
-            known, salt, g, e = columns[-4:]
+            tag, g, e = columns[-3:]
+            known, salt = tag & 3, tag >> 2
             up = np.concatenate([[before is not None and before[0] == g[0]], g[1:] == g[:-1]])
             same = np.concatenate([[before is not None and before == (g[0], e[0])], up[1:] & (e[1:] == e[:-1])])
             n = len(g) if last else len(g) - 1
             whole = ((same | np.append(same[1:], False)) & (e != 0) | (known > 1))[:n]
             pick = (up | np.append(up[1:], False) | (known > 0))[:n] if keys == 1 else whole
             first = (~same & (salt == 0))[:n]
-            return pa.RecordBatch.from_arrays([pa.array(x[:n][pick]) for x in (*columns[:-4], g)] + [pa.array(whole[pick]), pa.array(first[pick])], names=[*names, "whole", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(x[:n][pick]) for x in (*columns[:-3], g)] + [pa.array(whole[pick]), pa.array(first[pick])], names=[*names, "whole", "first"])
 
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
@@ -210,7 +211,7 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
-    """row, a, known, salt, g, e: a 128-bit hash (g, e) of the length bytes from each place a that is compared."""
+    """row, a, tag, g, e: a 128-bit hash (g, e) of the length bytes from each place a that is compared."""
     joined = texts.join(compare, "row", "left").select("row", "packed", "compare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
                 nonlocal rows, places, keys, size
                 h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)  # noqa: B023
                 g, e = h[:, 0], h[:, 1] | 1  # 0 would say that there is no key
-                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), *map(pa.array, (*_known(g, e), g, e))], names=["row", "a", "known", "salt", "g", "e"])  # noqa: B023
+                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), *map(pa.array, (_known(g, e), g, e))], names=["row", "a", "tag", "g", "e"])  # noqa: B023
                 rows, places, keys, size = [], [], [], 0
                 return made
 
@@ -248,7 +249,7 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
             if size:
                 yield out()
 
-    return joined.mapInArrow(run, "row long, a int, known int, salt int, g long, e long")
+    return joined.mapInArrow(run, "row long, a int, tag int, g long, e long")
 
 
 def repeated_starts(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
