@@ -92,7 +92,7 @@ def _known(g: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _phrases(rows: DataFrame, length: int) -> DataFrame:
-    """For each phrase: row, k (its number), at and n (first place and number of the suffixes that start in it), need (guards of the phrase before it; 0 if no suffix starts there or none guards it), g (dictionary key), e (parse key; 0 if no suffix starts in it).
+    """For each phrase: row, k (its number), at and n (first place and number of the suffixes that start in it), need (guards of the phrase before it; -1 if no suffix starts there), g (dictionary key), e (parse key; 0 if no suffix starts in it).
 
     """
 
@@ -112,7 +112,7 @@ def _phrases(rows: DataFrame, length: int) -> DataFrame:
                     whole = p.core + 8 <= np.where(p.live, p.end, len(body))
                     g = np.array([hash64(view[a:b]) if ok else x for a, b, x, ok in zip(p.start.tolist(), p.core.tolist(), e.tolist(), whole.tolist(), strict=True)], dtype=np.uint64)
                     full = np.where(p.live, np.maximum(e, np.uint64(1)), np.uint64(0))  # 0 stays for phrases without suffixes
-                    need = np.concatenate([[0], np.where(p.live, p.guards, 0)[:-1]])
+                    need = np.concatenate([[-1], np.where(p.live, p.guards, -1)[:-1]])
                     keep = whole | p.live
                     ids.append(np.full(int(keep.sum()), row))
                     out.append([x[keep] for x in (np.arange(len(keep)), p.start, np.maximum(p.last - p.start, 0), need, g.view(np.int64), full.view(np.int64))])
@@ -172,15 +172,16 @@ def _repeated_phrases(phrases: DataFrame) -> DataFrame:
 def _marks(flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, a, b): places a..b-1 whose suffixes the parse step decides; (row, compare): phrases whose suffixes must be compared.
 
-    Open is a phrase that the parse step leaves undecided although all keys that guard it are repeated.
-    Its partner may be a decided phrase; so of each class of decided phrases the first is compared as
-    well where the repeated key behind it follows an open phrase anywhere.
+    Open is a phrase that the parse step leaves undecided although all keys that guard it are repeated,
+    if any do; one without guards is compared in any case. Its partner may be a decided phrase; so of each
+    class of decided phrases the first is compared as well where the repeated key behind it follows an
+    open phrase anywhere.
     """
     w = Window.partitionBy("row").orderBy("k")  # both windows are bounded by the document
     seen = flags.select("*", (F.col("k") - F.row_number().over(w)).alias("island"), (F.lag("k").over(w) == F.col("k") - 1).alias("near"), F.lag("whole").over(w).alias("w"), F.lag("first").over(w).alias("f"))
     reach = F.max("k").over(Window.partitionBy("row", "island"))
     decided = F.coalesce(F.col("near") & F.col("w"), F.lit(False))
-    seen = seen.select("row", "k", "at", "n", "g", "whole", (decided & F.col("f")).alias("stands"), ((F.col("need") > 0) & ~decided & (reach >= F.col("k") + F.col("need") - 1)).alias("open"))
+    seen = seen.select("row", "k", "at", "n", "g", "whole", (decided & F.col("f")).alias("stands"), ((F.col("need") >= 0) & ~decided & (reach >= F.col("k") + F.col("need") - 1)).alias("open"))
     seen = materialize(seen.where("whole OR stands OR open"))
     keys = seen.where("open").select("g").distinct()
     compared = seen.where("open").select("row", "k").union(seen.where("stands").join(keys.hint("merge"), "g", "left_semi").select("row", "k"))
