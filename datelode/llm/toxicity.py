@@ -4,9 +4,10 @@ Terms are lower-cased words (runs of letters, digits and non-ASCII) and their be
 bytes, for languages that build words, hashed to BUCKETS by XXH64; a text is the set of its terms. The score is sigmoid(w0 + sum of w + sum over pairs of <v, v'>): the
 pairs catch what no single word shows. The sum over pairs is half of (sum v)^2 - sum v^2, so a text
 costs its number of terms. Training: at most SAMPLE labelled rows, those with the smallest hash of
-their id, are turned into term sets in Spark and collected (bounded by SAMPLE); Adagrad on log loss,
-with L2, over terms of MIN_TEXTS sample texts at least whose share of toxic texts
-stands out by MIN_Z (others weigh nothing). The model (w0, w, v) is broadcast; its
+their id, are turned into term sets in Spark and collected (bounded by SAMPLE); Adagrad on log loss
+over all terms of MIN_TEXTS sample texts at least (others weigh nothing): a term that says nothing
+alone stays, as a pair may need it. Weights are fitted first, each held back by one standard deviation
+of its chance gradient (L1), then factors, with L2, join in for what weights leave over. The model (w0, w, v) is broadcast; its
 size is fixed by BUCKETS and FACTORS. Rows whose crc32(doc_id as text) mod FOLDS is 0 never train.
 
 Null text is empty and scores as w0 alone does; null ids score too and are never training rows (their
@@ -31,8 +32,9 @@ FACTORS = 4
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 10_000
 MIN_TEXTS = 5
-#: Standard deviations by which a term's share of toxic texts differs from the sample's, at least.
-MIN_Z = 4.0
+BATCH = 64
+#: First sum of squared factor gradients: chance pairs of a term stay small, steady ones grow.
+DAMPING = 100.0
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -81,43 +83,49 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(terms, starts), -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float = 0.1, l2: float = 1e-3, seed: int = 3) -> Machine:
-    """Adagrad over batches of texts; only the buckets of a batch are touched."""
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float = 0.1, l2: float = 0.1, seed: int = 3) -> Machine:
+    """Adagrad over batches of texts, epochs without factors and as many with them; only the buckets of a batch are touched."""
     rng = np.random.default_rng(seed)
-    m = Machine(0.0, np.zeros(BUCKETS, dtype=np.float32), (rng.standard_normal((BUCKETS, FACTORS)) * 0.01).astype(np.float32))
+    m = Machine(0.0, np.zeros(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, FACTORS), dtype=np.float32))
+    factors = (rng.standard_normal((BUCKETS, FACTORS)) * 0.01).astype(np.float32)
     positive = sum(y for _, y in rows)
     if not rows or not positive:
-        return Machine(-40.0, m.weights, np.zeros_like(m.factors))
+        return Machine(-40.0, m.weights, m.factors)
     m.bias = float(np.log(positive / max(1, len(rows) - positive)))
-    gw, gv, gb = np.full(BUCKETS, 1e-2, dtype=np.float32), np.full((BUCKETS, FACTORS), 1e-2, dtype=np.float32), 1.0
+    gw, gv, gb = np.full(BUCKETS, 1e-2, dtype=np.float32), np.full((BUCKETS, FACTORS), DAMPING, dtype=np.float32), 1.0
     texts = np.bincount(np.concatenate([t for t, _ in rows]), minlength=BUCKETS)
-    toxic = np.bincount(np.concatenate([t for t, y in rows if y]), minlength=BUCKETS)
-    p = positive / len(rows)
-    known = (texts >= MIN_TEXTS) & (np.abs(toxic - p * texts) >= MIN_Z * np.sqrt(p * (1 - p) * np.maximum(texts, 1)))
-    m.factors[~known] = 0
+    known = texts >= MIN_TEXTS
+    factors[~known] = 0
     rows = [(t[known[t]], y) for t, y in rows]
+    p, share = positive / len(rows), texts / len(rows)
+    touched = max(1, len(rows) / BATCH) * (1 - (1 - np.minimum(share, 1)) ** BATCH)  # batches of an epoch that hold the term
+    l1 = (np.sqrt(p * (1 - p) * texts) / np.maximum(touched, 1e-9)).astype(np.float32)
     order = np.arange(len(rows))
-    for _ in range(epochs):
+    for epoch in range(2 * epochs):
         rng.shuffle(order)
-        for k in range(0, len(order), 64):
-            some = [rows[i] for i in order[k : k + 64] if len(rows[i][0])]
+        if epoch == epochs:
+            m.factors = factors
+        for k in range(0, len(order), BATCH):
+            some = [rows[i] for i in order[k : k + BATCH] if len(rows[i][0])]
             if not some:
                 continue
             terms = np.concatenate([t for t, _ in some])
             sizes = np.array([len(t) for t, _ in some])
             starts, y = np.cumsum(sizes) - sizes, np.array([y for _, y in some])
-            v = m.factors[terms]
-            total = np.add.reduceat(v, starts, axis=0)
             off = (m.scores(terms, starts) - y).astype(np.float32)
             per = np.repeat(off, sizes)
             used, at = np.unique(terms, return_inverse=True)
-            dw = np.bincount(at, weights=per, minlength=len(used)).astype(np.float32) + l2 * m.weights[used]
-            pull = per[:, None] * (np.repeat(total, sizes, axis=0) - v)
-            dv = np.stack([np.bincount(at, weights=pull[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1).astype(np.float32) + l2 * m.factors[used]
+            dw = np.bincount(at, weights=per, minlength=len(used)).astype(np.float32)
+            if epoch >= epochs:
+                v = m.factors[terms]
+                pull = per[:, None] * (np.repeat(np.add.reduceat(v, starts, axis=0), sizes, axis=0) - v)
+                dv = np.stack([np.bincount(at, weights=pull[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1).astype(np.float32) + l2 * m.factors[used]
+                gv[used] += dv * dv
+                m.factors[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
             gw[used] += dw * dw
-            gv[used] += dv * dv
-            m.weights[used] -= rate * dw / np.sqrt(gw[used])
-            m.factors[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+            step = rate / np.sqrt(gw[used])
+            w = m.weights[used] - step * dw
+            m.weights[used] = np.sign(w) * np.maximum(np.abs(w) - step * l1[used], 0)
             gb += float(off.sum()) ** 2
             m.bias -= rate * float(off.sum()) / gb**0.5
     return m

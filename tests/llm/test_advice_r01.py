@@ -42,3 +42,17 @@ def test_suffix_dedup_compares_decided_phrases_with_unguarded_ones(spark):
     part = quiet(200) + passage[:600]
     assert Parse(part.encode()).guards[0] == 0
     assert [r.n_removed for r in sorted(report(documents(spark, [passage, passage, part])).collect())] == [700, 700, 600]
+
+
+def test_toxicity_learns_a_pair_of_neutral_words(spark):
+    from datelode.llm.toxicity import toxicity
+
+    rng = random.Random(9)
+    words, docs, toxic = [f"t{k}" for k in range(300)], [], []
+    for _ in range(1600):
+        a, b = rng.randrange(2), rng.randrange(2)
+        docs.append(" ".join([*rng.choices(words, k=20), ("idiots", "morons")[a], ("dutch", "danes")[b]]))
+        toxic.append(int(a == b))
+    labels = spark.createDataFrame([(k, 1, y) for k, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity(documents(spark, docs), labels).collect() if r.held_out]
+    assert sum(r.predicted == toxic[r.doc_id] for r in held) / len(held) > 0.95
