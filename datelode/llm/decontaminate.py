@@ -7,24 +7,27 @@ SHARD_WORDS words, or one longer document) is indexed in the task that reads it;
 gives the row interval of each phrase, sampled suffix positions place the occurrences, and spans are
 merged in each document. Nothing is shuffled for a test set of one block. The driver reads the test
 items (a stated query set, small next to a corpus) into blocks of about PHRASES words; each block is
-broadcast on its own, so what is sent at once is bounded however many test items there are.
+broadcast on its own, so what is sent at once is bounded however many test items there are. All
+blocks search the unchanged text; what they find is joined row by row, and text is cut once.
 
 Null texts have no words: never contaminated, and null items are never found. Item ids that are null
-are left out of the list of ids. Repeated rows give one output row each; other columns are dropped;
+are left out of the list of ids and count as one item. Repeated rows give one output row each; other columns are dropped;
 without documents the result is empty, without items no document is hit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelode.llm.common import doc_bytes, slices
+from datelode.llm.common import doc_bytes, materialize, slices
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -50,7 +53,7 @@ class Phrases:
         self.by_length = []
         for length in sorted({len(p) for p in found}):
             some = [p for p in found if len(p) == length]
-            self.by_length.append((length, np.array([[self.numbers[w] for w in p] for p in some], dtype=np.int64), [sorted(found[p]) for p in some]))
+            self.by_length.append((length, np.array([[self.numbers[w] for w in p] for p in some], dtype=np.int64), [list(found[p]) for p in some]))
         self.shortest = min((x[0] for x in self.by_length), default=window)
 
 
@@ -174,18 +177,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
         return _scan(docs, blocks[0], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", row)
 
-    from functools import reduce
+    keyed = _keyed(docs.select("doc_id", "text"))
+    merged = _found(keyed, blocks)
+    n_words = _scan(keyed.select(F.col("__row").alias("doc_id"), "text"), Phrases([], window), "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
+    return keyed.select("__row", "doc_id").join(n_words.select(F.col("doc_id").alias("__row"), "n_words"), "__row").join(merged, "__row", "left").select("doc_id", "n_words", F.coalesce(F.size("places").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"), F.col("places").isNotNull().alias("contaminated"))
 
-    def parts_of(bodies, n, places, found):  # several blocks: join what each found, row by row
-        return [pa.array(n, pa.int64()), pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array([sorted(str(x) for x in f if x is not None) for f in found], pa.list_(pa.string()))]
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("own"))
-    from datelode.llm.common import materialize
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once and for all."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
 
-    keyed = materialize(keyed)
-    found = reduce(DataFrame.unionByName, [_scan(keyed, b, "n_words long, places array<long>, found array<string>", parts_of) for b in blocks])
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    return keyed.select("doc_id", "own").join(merged, "doc_id").select(F.col("own").alias("doc_id"), "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+def _found(keyed: DataFrame, blocks: list[Phrases]) -> DataFrame:
+    """__row, places (hit words, sorted), found (item ids as text, sorted), n_items for each row that a block hits."""
+
+    def hit(bodies, n, places, found):
+        return [pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array([[None if x is None else str(x) for x in f] for f in found], pa.list_(pa.string()))]
+
+    texts = keyed.select(F.col("__row").alias("doc_id"), "text")
+    each = [_scan(texts, b, "places array<long>, found array<string>", hit).where(F.size("places") > 0) for b in blocks]
+    rows = reduce(DataFrame.unionByName, each).groupBy(F.col("doc_id").alias("__row"))  # bounded by the document's words
+    all_ = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return rows.agg(F.array_sort(all_("places")).alias("places"), all_("found").alias("f")).select("__row", "places", F.array_sort(F.filter("f", lambda x: x.isNotNull())).alias("found"), F.size("f").alias("n_items"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,30 +206,45 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
 
     A row keeps its other columns; a null text without hits becomes empty.
     """
-    import re
-
-    word = re.compile(rb"[^ ]+")
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    text = docs
-    for phrases in phrase_blocks(items, window):
-
-        def row(bodies, n, places, found):
-            out = []
-            for body, hit in zip(bodies, places, strict=True):
-                if len(hit):
-                    spans = [m.span() for m in word.finditer(body.translate(_TABLE))]
-                    kept, at = [], 0
-                    for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1):
-                        kept.append(body[at : spans[run[0]][0]])
-                        at = spans[run[-1]][1]
-                    body = b"".join([*kept, body[at:]])
-                out.append(body.decode("utf-8", "replace"))
-            return [pa.array(out, pa.string())]
-
-        text = _with_columns(text, phrases, others, row)
+    blocks = phrase_blocks(items, window)
+    if len(blocks) == 1:
+        text = _with_columns(docs, blocks[0], others, lambda bodies, n, places, found: [pa.array(map(_kept, bodies, places), pa.string())])
+    else:
+        keyed = _keyed(docs.select(*others, "text"))
+        text = _cut_places(keyed.join(_found(keyed, blocks).select("__row", "places"), "__row", "left"), others)
     return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else text.select(*docs.columns)
 
 
+_WORD = re.compile(rb"[^ ]+")
+
+
+def _kept(body: bytes, hit: np.ndarray) -> str:
+    """The text without the words at places hit (sorted)."""
+    if len(hit):
+        spans = [m.span() for m in _WORD.finditer(body.translate(_TABLE))]
+        kept, at = [], 0
+        for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1):
+            kept.append(body[at : spans[run[0]][0]])
+            at = spans[run[-1]][1]
+        body = b"".join([*kept, body[at:]])
+    return body.decode("utf-8", "replace")
+
+
+def _cut_places(rows: DataFrame, others: list[str]) -> DataFrame:
+    """others and text for rows(others, text, places), cut at places."""
+    rows = rows.select(*others, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__body"), F.coalesce("places", F.array().cast("array<long>")).alias("__places"))
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "__body", 4_000_000):
+                texts = [_kept(b, np.array(p, dtype=np.int64)) for b, p in zip(piece.column("__body").to_pylist(), piece.column("__places").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
+
+    return rows.mapInArrow(run, ddl)
+
+
 def _with_columns(docs: DataFrame, phrases: Phrases, others: list[str], row) -> DataFrame:
     """Like _scan, but the other columns travel along."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)

@@ -56,3 +56,21 @@ def test_toxicity_learns_a_pair_of_neutral_words(spark):
     labels = spark.createDataFrame([(k, 1, y) for k, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
     held = [r for r in toxicity(documents(spark, docs), labels).collect() if r.held_out]
     assert sum(r.predicted == toxic[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_decontamination_by_blocks_is_that_of_one_block(spark, monkeypatch):
+    from datelode.llm import decontaminate as d
+
+    w = [f"w{k}" for k in range(40)]
+    first, second, split = " ".join(w[:12]), " ".join(w[6:20]), " ".join([*w[25:30], *w[30:35]])
+    bench = spark.createDataFrame([(1, first), (2, second), (3, split), (None, first)], "item_id long, text string").coalesce(1)
+    texts = [" ".join(w[:20]) + " end", " ".join([*w[25:30], *w[:12], *w[30:35]]), None, "nothing here"]  # overlap; words that a cut brings together
+    df = documents(spark, texts)
+    report = lambda: sorted(map(tuple, d.contamination(df, bench).collect()))
+    cut = lambda: [r.text for r in d.decontaminated(df, bench).orderBy("doc_id").collect()]
+    want = report(), cut()
+    assert want[1] == [" end", " ".join(w[25:30]) + "  " + " ".join(w[30:35]), "", "nothing here"] and want[0][0][3] == 3
+    blocks = d.phrase_blocks
+    monkeypatch.setattr(d, "phrase_blocks", lambda items, window: blocks(items, window, 14))
+    assert len(d.phrase_blocks(bench, 10)) > 2
+    assert (report(), cut()) == want
