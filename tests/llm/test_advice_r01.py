@@ -74,3 +74,21 @@ def test_decontamination_by_blocks_is_that_of_one_block(spark, monkeypatch):
     monkeypatch.setattr(d, "phrase_blocks", lambda items, window: blocks(items, window, 14))
     assert len(d.phrase_blocks(bench, 10)) > 2
     assert (report(), cut()) == want
+
+
+def test_quality_rules_each_find_an_outlier(spark):
+    from datelode.llm.quality_rules import judge
+
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"word{rng.randrange(10**6)}" for _ in range(n))
+    texts = ["\n".join(line(6) for _ in range(10)) for _ in range(400)]
+    window = line(8)
+    texts.append(" ".join([window, line(24), window, line(24)]))  # 16 of 64 words repeat
+    copy = "Share this"
+    texts.append("\n".join([x for _ in range(7) for x in (line(10), copy, copy)][:-1]))  # 12 of 20 lines are copies, few words repeat
+    texts.append(texts[0].replace("word", "#w##"))  # symbols
+    texts.append("\n".join(" ".join("x%d" % rng.randrange(10) for _ in range(40)) for _ in range(2)))  # short words
+    got = {r.doc_id: r for r in judge(documents(spark, texts)).collect()}
+    assert all(got[k].kept for k in range(400)) and not any(r.base_failed for r in got.values())
+    assert 100 * got[400].n_repeat_words == 25 * got[400].n_words and 10 * got[401].n_dup_lines == 6 * 20
+    assert [k for k in range(400, 404) if got[k].kept] == []
