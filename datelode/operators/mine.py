@@ -79,16 +79,37 @@ def _pattern(lengths: list[int], seps: list[str]) -> Pattern | None:
     return Pattern(name, out, PRECISION[total], min(BASE[PRECISION[total]] + bonus, CAP), len(FIELDS[total]), no_digit=True)
 
 
+def _datable() -> Column:
+    """Whether _pattern has a pattern for lengths and seps: no field is cut in two by the end of a run."""
+    fits = F.lit(False)
+    for total, fields in FIELDS.items():
+        ends = F.array(*[F.lit(sum(fields[: k + 1])) for k in range(len(fields))])
+        run_ends = F.transform("lengths", lambda x, k: F.aggregate(F.slice("lengths", F.lit(1), k + 1), F.lit(0), lambda a, b: a + b))
+        fits = fits | ((F.col("total") == total) & (F.size(F.array_except(run_ends, ends)) == 0))
+    return fits & (F.size("seps") == F.size("lengths") - 1)
+
+
 def mined_patterns(items: DataFrame, limit: int = MAX_PATTERNS) -> list[Pattern]:
     """New patterns, most frequent structure first; each dates ACCEPT of its samples at least.
 
-    The driver sees one row a frequent structure (names have few) with at most SAMPLES samples.
+    Structures that can be dates are sampled in blocks of 10 * limit until limit patterns are found or none
+    is left; the driver sees one row a structure of a block, with the share of its samples that are dated.
     """
     parts = name_parts(items)
-    rows = frequent(signatures(parts)).orderBy(F.desc("n"), "sig").limit(10 * limit).collect()
-    found = [(r, p) for r in rows if (p := _pattern(list(r.lengths), list(r.seps)))]
-    if not found:
-        return []
+    dated = frequent(signatures(parts)).where(_datable())
+    out, last = [], None
+    while len(out) < limit:
+        rest = dated if last is None else dated.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("sig") > last.sig)))
+        rows = rest.orderBy(F.desc("n"), "sig").limit(10 * limit).collect()
+        if not rows:
+            break
+        out += _accepted(parts, [(r, _pattern(list(r.lengths), list(r.seps))) for r in rows], limit - len(out))
+        last = rows[-1]
+    return out
+
+
+def _accepted(parts: DataFrame, found: list, limit: int) -> list[Pattern]:
+    """The first patterns of found, at most limit, that date ACCEPT of their samples."""
     sig = F.concat(F.array_join(F.transform(digit_lengths(F.col("text")), lambda x: x.cast("string")), ","), F.lit("|"), F.array_join(separators(F.col("text")), " "))
     samples = parts.withColumn("sig", sig).where(F.col("sig").isin([r.sig for r, _ in found])).select("sig", "text").distinct()
     w = Window.partitionBy("sig").orderBy(F.xxhash64("text"), "text")
