@@ -1,11 +1,14 @@
 """BPE encoding and decoding with a backtracking encoder.
 
-A vocabulary is read from a tokenizers file (BPE with a word-end mark). Inside a pre-token an
-Aho-Corasick automaton lists all tokens that start at each place. The encoder goes left to right,
-takes the longest token whose pair with the token before it is compatible (the two, written
-together, are merged back into exactly these two), goes on to shorter ones, and steps back over a
-place that has no continuation; such a place is marked and never entered again, so the work is
-linear in the pre-token. A sequence in which all neighbours are compatible is the one that the merge
+A vocabulary is read from a tokenizers file (BPE with a word-end mark). One walk of an Aho-Corasick
+automaton over the reversed pre-token, along its failure links, gives the longest token that starts
+at each place (tokens are stored reversed, so it ends there). The encoder goes left to right,
+takes the longest token whose pair with the token before it is compatible, goes on to shorter ones,
+and steps back over a place that has no continuation; such a place is marked and never entered again,
+so the work is linear in the pre-token. Compatible are two tokens if no merge across their border comes
+before the merges that build them; that is read off a table of splits (which two parts a token is merged
+from, and when) by undoing the later merge of the two, step by step. A sequence in which all neighbours
+are compatible is the one that the merge
 rules give. Decoding gathers bytes from one blob by an offset table, for all ids of a batch at once.
 
 Null text is empty: no ids, empty decoded text. Texts of any length are encoded whole. Repeated rows
@@ -92,18 +95,24 @@ class BacktrackingBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[unit(a), unit(b)] = rank
-        whole = {a + b for a, b in self.merges}
-        self.usable = {s for s in self.vocab if len(s.removesuffix(_END)) == 1 or s in whole}  # what no merge builds can't come out
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for s in self.usable:
-            self.automaton.add_word(s)
-        self.automaton.make_automaton()
-        self.width, self.shorter = [0] * len(self.vocab), [-1] * len(self.vocab)
+        made: dict[str, list] = {}
+        for (x, y), rank in self.merges.items():
+            made.setdefault(x + y, []).append((rank, x, y))
+        self.usable = {s for s in self.vocab if len(s.removesuffix(_END)) == 1 or s in made}  # what no merge builds can't come out
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        n = max(self.vocab.values()) + 1
+        self.width, self.shorter, self.rank, self.left, self.right = [0] * n, [-1] * n, [-1] * n, [-1] * n, [-1] * n
+        self.merge_ids = {self.vocab[x] << 20 | self.vocab[y]: rank for (x, y), rank in self.merges.items() if x in self.vocab and y in self.vocab}
         for s in self.usable:
             i = self.vocab[s]
+            self.automaton.add_word(s[::-1], i)
             self.width[i] = len(s)
             self.shorter[i] = next((self.vocab[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.usable), -1)
-        self.longest = _Memo(self._longest)
+            ways = made.get(s, [])
+            rank, x, y = ways[0] if len(ways) == 1 else self._merged(self._units(s))[1] if ways else (-1, "", "")
+            if rank >= 0:
+                self.rank[i], self.left[i], self.right[i] = rank, self.vocab[x], self.vocab[y]
+        self.automaton.make_automaton()
         self.pairs = _Memo(self._check)
         self.words: dict[str, bytes] = {}
         self.chunks = _Memo(self._chunk, lambda c: len(c) < 200)
@@ -114,49 +123,60 @@ class BacktrackingBpe:
         self.blob = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in shown])])
 
-    def _merged(self, units: list[str]) -> list[str]:
-        """What the merge rules make of a short sequence; only fills the pair table."""
+    def _merged(self, units: list[str]) -> tuple[list[str], tuple[int, str, str]]:
+        """What the merge rules make of a short sequence, and the last merge (rank, left, right)."""
+        last = (-1, "", "")
         while len(units) > 1:
             rank, at = min((self.merges.get((a, b), 1 << 30), k) for k, (a, b) in enumerate(zip(units, units[1:], strict=False)))
             if rank == 1 << 30:
                 break
-            pair, out, k = (units[at], units[at + 1]), [], 0
-            while k < len(units):
-                if k + 1 < len(units) and (units[k], units[k + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(units[k])
-                    k += 1
-            units = out
-        return units
+            last = (rank, units[at], units[at + 1])
+            units = [*units[:at], units[at] + units[at + 1], *units[at + 2 :]]
+        return units, last
 
     @staticmethod
     def _units(s: str) -> list[str]:
         return [*s[:-2], s[-2:]] if s.endswith(_END) else list(s)
 
     def _check(self, key: int) -> bool:
-        """Entry of the pair table: are the two tokens written together merged back into just these two? (First -1: a token alone.)"""
+        """Entry of the pair table: do the two tokens stay as they are, one behind the other? (First -1: a token alone.)"""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         a, b = key >> 20, key & 0xFFFFF
-        want = [self.text[b]] if a < 0 else [self.text[a], self.text[b]]
-        return self._merged([u for s in want for u in self._units(s)]) == want
-
-    def _longest(self, path: str) -> int:
-        """The longest token that path, a way from the automaton's root, begins with."""
-        while path and path not in self.usable:
-            path = path[:-1]
-        return self.vocab[path] if path else -1
+        if a < 0:
+            return self._merged(self._units(self.text[b]))[0] == [self.text[b]]
+        return self.pairs[-1 << 20 | b] and self.compatible(a, b)
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Walks back in time over the merges that build a and b; at each stop their neighbours at the border must not merge before the next of them does."""
+        merges, rank, limit = self.merge_ids, self.rank, 1 << 30
+        while merges.get(a << 20 | b, 1 << 30) >= limit:
+            if rank[a] > rank[b]:
+                limit, a = rank[a], self.right[a]
+            elif rank[b] >= 0:
+                limit, b = rank[b] + 1, self.left[b]  # of equal merges the left one, across the border, comes first
+            else:
+                return True
+        return False
+
+    def longest(self, letters: str) -> list[int]:
+        """The longest token that starts at each place, -1 where none does."""
+        n = len(letters)
+        out, before = [-1] * n, -1
+        for end, token in self.automaton.iter(letters[::-1]):  # the matches at a place come longest first
+            if end != before:
+                out[n - 1 - end] = token
+                before = end
+        return out
 
     def pretoken(self, letters: str) -> list[int]:
         """Ids of one pre-token, given as byte letters with the end mark."""
-        fits, shorter, width, walk, longest = self.pairs, self.shorter, self.width, self.automaton.longest_prefix, self.longest
+        fits, shorter, width, longest = self.pairs, self.shorter, self.width, self.longest(letters)
         n = len(letters)
         open_at = bytearray(b"\1") * (n + 1)
         ids: list[int] = []
         at, last = 0, -1
-        token = longest[letters[: walk(letters)]]
+        token = longest[0]
         while True:
             while token >= 0:
                 end = at + width[token]
@@ -168,8 +188,7 @@ class BacktrackingBpe:
                 if end == n:
                     return ids
                 at, last = end, token
-                rest = letters[at:]
-                token = longest[rest[: walk(rest)]]
+                token = longest[at]
             else:  # no way on from here: give the token before up for a shorter one
                 if not ids:
                     raise ValueError(f"no encoding of {letters!r}")
