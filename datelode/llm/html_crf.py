@@ -10,6 +10,10 @@ labelled pages: PAGES pages made from a rule (see labelled_pages) that vary the
 tags, class names, the amount of text and the markup errors. Fitting is small, done once on the
 driver, and the weights are broadcast.
 
+A page is read in time linear in its length whatever its markup: a tag that is never closed is text, and
+from the first place where quotes leave no end to a tag, quotes no longer hide a ">". Ancestors are a
+chain of nodes; the weights of a chain are added up once a node, so deep nesting costs no more.
+
 Null html is empty: empty text, 0 characters. Unclosed and unknown tags, stray ends and broken
 references are read the way browsers do or kept as text. Repeated rows stay; other columns are
 dropped; an empty table gives an empty result.
@@ -31,31 +35,93 @@ from pyspark.sql import functions as F
 from datelode.llm.common import slices
 
 PAGES = 240
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+_SAME = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 _BLANK = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def blocks(page: str) -> list[tuple[str, list[tuple[str, str]], int]]:
-    """(text, ancestors as (tag, class id role), characters inside links) of each leaf block with text."""
+class Node:
+    """A block-level element that stands open, with those around it."""
+
+    __slots__ = ("parent", "tag", "names", "total")
+
+    def __init__(self, parent: Node | None, tag: str, names: str) -> None:
+        self.parent, self.tag, self.names, self.total = parent, tag, names, None
+
+    def own(self) -> list[str]:
+        return ["in:" + self.tag, *("name:" + w.lower() for w in _SPLIT_NAME.split(self.names) if w)]
+
+
+class _Open:
+    """The elements that stand open, with the places of each tag among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Node | None]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def top(self) -> Node | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, names: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.top() if tag in _INLINE else Node(self.top(), tag, names)))
+
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            self.at[self.stack.pop()[0]].pop()
+
+    def count(self, tag: str) -> int:
+        return len(self.at.get(tag, ()))
+
+
+class _Tags:
+    """Ends of the tags of one page, found in linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes = page, {c: page.rfind(c) for c in "\"'"}
+        self.last, self.quoted = page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at at; -1 if nothing closes it."""
+        if at > self.last:
+            return -1
+        page, k = self.page, at
+        while self.quoted:
+            k = _PLAIN.match(page, k).end()
+            if k == len(page):
+                self.quoted = False  # happens once a page
+            elif page[k] == ">":
+                return k
+            else:
+                k = page.find(page[k], k + 1) + 1 if self.quotes[page[k]] > k else k + 1
+        return page.find(">", at)
+
+
+def blocks(page: str) -> list[tuple[str, Node | None, int]]:
+    """(text, block-level element around it, characters inside links) of each leaf block with text."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    open_, tags = _Open(), _Tags(page)
     parts: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _BLANK.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, [x for x in stack if x[0] not in _INLINE], linked))
+                out.append((text, open_.top(), linked))
             parts.clear()
         linked = 0
 
@@ -64,77 +130,83 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, str]], int]]:
         if raw:
             text = references.unescape(raw)
             parts.append(text)
-            if links:
+            if open_.count("a"):
                 linked += len(text.strip())
 
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    start = 0  # of the text not yet taken
+    while m := _MARK.search(page, at):
+        tag = (m[2] or "").lower()
+        if not tag:
+            comment = page.startswith("<!--", m.start())
+            end = page.find("-->", m.start() + 4) + 3 if comment else page.find(">", m.end()) + 1
+            add(page[start : m.start()])
+            start = at = end if end > 2 * comment else len(page)
             continue
-        tag = m[2].lower()
+        end = tags.end(m.end())
+        if end < 0:
+            at = m.end()  # stays text
+            continue
+        add(page[start : m.start()])
+        attributes = page[m.end() : end]
+        start = at = end + 1
         if m[1]:
             if tag not in _INLINE:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
-            links = sum(t == "a" for t, _ in stack)
+            if open_.count(tag):
+                open_.cut(open_.last([tag]))
             continue
         if tag not in _INLINE:
             flush()
-            if tag in _CLOSES_P and any(t == "p" for t, _ in stack):
-                while stack.pop()[0] != "p":
-                    pass
+            if tag in _CLOSES_P and open_.count("p"):
+                open_.cut(open_.last(["p"]))
             if tag in _ITEMS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _ITEMS[tag]:
-                        break
-                    if stack[k][0] == tag or tag in ("td", "th") and stack[k][0] in ("td", "th") or tag in ("dt", "dd") and stack[k][0] in ("dt", "dd"):
-                        del stack[k:]
-                        break
-            links = sum(t == "a" for t, _ in stack)
+                same = open_.last(_SAME.get(tag, (tag,)))
+                if same > open_.last(_ITEMS[tag]):
+                    open_.cut(same)
         elif tag == "br":
             parts.append(" ")
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            start = at = found.end() if found else len(page)
             continue
-        if tag in _VOID or m[3].endswith("/") and tag not in _INLINE and tag not in _CLOSES_P:
+        if tag in _VOID or attributes.endswith("/") and tag not in _INLINE and tag not in _CLOSES_P:
             continue
-        stack.append((tag, " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3]))))
-        links += tag == "a"
-    add(page[at:])
+        open_.push(tag, " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)))
+    add(page[start:])
     flush()
     return out
 
 
-def features(page_blocks: list) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def local_features(page_blocks: list) -> list[list[str]]:
+    """Names of the features of each block's own text and place."""
     out, n = [], len(page_blocks)
     heading_seen = False
     for k, (text, above, linked) in enumerate(page_blocks):
-        f = ["bias"]
-        for tag, names in above:
-            f.append("in:" + tag)
-            f += ["name:" + w.lower() for w in _SPLIT_NAME.split(names) if w]
-        own = above[-1][0] if above else "none"
-        f.append("own:" + own)
-        size = len(text)
+        own = above.tag if above else "none"
+        size, share = len(text), linked / max(1, len(text))
+        f = ["bias", "own:" + own]
         f.append("size:" + ("xs" if size < 15 else "s" if size < 40 else "m" if size < 120 else "l" if size < 400 else "xl"))
-        share = linked / max(1, size)
         f.append("links:" + ("0" if share == 0 else "some" if share < 0.5 else "most"))
         f.append("end:" + ("stop" if text[-1] in ".!?…\"”»" else "other"))
         if text[:1] == "©" or "©" in text[:3] or "rights reserved" in text.lower():
             f.append("copyright")
         f.append("place:" + str(min(3, 4 * k // n)))
-        heading = own in ("h1", "h2", "h3")
         f.append("after-heading" if heading_seen else "before-heading")
         heading_seen |= own == "h1"
         out.append(f)
     return out
 
 
+def features(page_blocks: list) -> list[list[str]]:
+    """Names of all features of each block, those of every element around it included; for training."""
+    out = local_features(page_blocks)
+    for f, (_, node, _) in zip(out, page_blocks, strict=True):
+        while node:
+            f += node.own()
+            node = node.parent
+    return out
+
+
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -149,10 +221,28 @@ class Field:
     def emissions(self, found: list[list[str]]) -> np.ndarray:
         return np.array([self.weights[[self.index[x] for x in f if x in self.index]].sum(axis=0) for f in found]).reshape(-1, 2)
 
-    def viterbi(self, found: list[list[str]]) -> list[int]:
-        if not found:
+    def around(self, node: Node | None) -> np.ndarray:
+        """Weights of the elements around a block, added up once for each."""
+        chain = []
+        while node and node.total is None:
+            chain.append(node)
+            node = node.parent
+        total = node.total if node else np.zeros(2)
+        for x in reversed(chain):
+            total = x.total = total + self.emissions([x.own()])[0]
+        return total
+
+    def labels(self, page_blocks: list) -> list[int]:
+        """Best labels of a page's blocks."""
+        if not page_blocks:
             return []
-        e, back = self.emissions(found), []
+        return self.best(self.emissions(local_features(page_blocks)) + np.array([self.around(x[1]) for x in page_blocks]))
+
+    def viterbi(self, found: list[list[str]]) -> list[int]:
+        return self.best(self.emissions(found)) if found else []
+
+    def best(self, e: np.ndarray) -> list[int]:
+        back = []
         best = e[0]
         for row in e[1:]:
             paths = best[:, None] + self.change
@@ -310,7 +400,7 @@ def trained(pages: int = PAGES) -> Field:
 
 def main_text(page: str, field: Field) -> str:
     b = blocks(page)
-    return "\n".join(x[0] for x, y in zip(b, field.viterbi(features(b)), strict=True) if y)
+    return "\n".join(x[0] for x, y in zip(b, field.labels(b), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
