@@ -1,9 +1,10 @@
 """Benchmark decontamination: an FM-index for each shard of training text, searched for all test phrases.
 
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. A phrase is 10
-consecutive words of an item, or the whole of a shorter item with words. Words that no item has can't
-be part of a match; in a shard's sequence a run of them becomes one mark. Each shard (at most
-SHARD_WORDS words, or one longer document) is indexed in the task that reads it; backward search
+consecutive words of an item, or the whole of a shorter item with words. Each shard (at most
+SHARD_WORDS words, or one longer document) is indexed in the task that reads it, with all its words and
+without a look at the test set: words are numbered as they come, and the FM-index is built over those
+numbers. Test phrases are then translated to the shard's numbers; backward search
 gives the row interval of each phrase, sampled suffix positions place the occurrences, and spans are
 merged in each document. Nothing is shuffled for a test set of one block. The driver reads the test
 items (a stated query set, small next to a corpus) into blocks of about PHRASES words; each block is
@@ -19,15 +20,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelode.llm.common import doc_bytes, materialize, slices
+from datelode.llm.common import column, doc_bytes, fresh, materialize, slices
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -54,63 +57,53 @@ class Phrases:
         for length in sorted({len(p) for p in found}):
             some = [p for p in found if len(p) == length]
             self.by_length.append((length, np.array([[self.numbers[w] for w in p] for p in some], dtype=np.int64), [list(found[p]) for p in some]))
-        self.shortest = min((x[0] for x in self.by_length), default=window)
 
 
 class Shard:
-    """Documents gathered for one index."""
+    """Documents gathered for one index, and the numbers of their words."""
 
-    def __init__(self, phrases: Phrases) -> None:
-        self.phrases, self.docs, self.total = phrases, [], 0
+    def __init__(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        self.docs: list[np.ndarray] = []
+        self.total = 0
 
     def add(self, body: bytes) -> int:
         """Returns the number of words."""
         words = words_of(body)
-        numbers = self.phrases.numbers
-        ids = np.fromiter((numbers.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        known = np.concatenate([[0], ids != 0, [0]]).astype(np.int8)
-        edges = np.diff(known)
-        begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        long = end - begin >= self.phrases.shortest  # no phrase fits into a shorter run
-        pick = np.zeros(len(ids) + 1, dtype=np.int8)
-        pick[begin[long]] += 1
-        pick[end[long]] -= 1
-        at = np.flatnonzero(np.cumsum(pick[:-1]))
-        self.docs.append((len(words), ids[at], at))
-        self.total += len(at) + 1
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.total += len(words) + 1
         return len(words)
 
-    def hits(self) -> tuple[list[np.ndarray], list[set]]:
+    def hits(self, phrases: Phrases) -> tuple[list[np.ndarray], list[set]]:
         """For each document the hit word places (sorted, unique) and the items found."""
         from datelode.llm.fm_index import FmIndex
 
-        pieces, back, owner = [], [], []
-        for d, (_, ids, at) in enumerate(self.docs):
-            if not len(ids):
-                continue
-            cuts = np.flatnonzero(np.diff(at) != 1) + 1  # each run is closed by a 0 of its own
-            ids, at = np.insert(ids, [*cuts, len(ids)], 0), np.insert(at, [*cuts, len(at)], -1)
-            pieces.append(ids)
-            back.append(at)
-            owner.append(np.full(len(ids), d))
+        known = np.array([0, *(self.numbers.get(w, 0) for w in phrases.numbers)], dtype=np.int64)  # numbers stand in the order of their words
         places: list[list[np.ndarray]] = [[] for _ in self.docs]
         items: list[set] = [set() for _ in self.docs]
-        if pieces:
-            seq, back, owner = np.concatenate(pieces), np.concatenate(back), np.concatenate(owner)
+        if self.total > len(self.docs):
+            sizes = np.array([len(d) + 1 for d in self.docs])
+            first = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            seq = np.zeros(self.total, dtype=np.int64)  # each document is closed by a 0
+            seq[np.delete(np.arange(self.total), first + sizes - 1)] = np.concatenate(self.docs)
             index = FmIndex(seq)
-            for length, patterns, of in self.phrases.by_length:
-                lo, hi = index.search(patterns)
-                found = np.flatnonzero(hi > lo)
+            for length, patterns, of in phrases.by_length:
+                patterns = known[patterns]
+                here = np.flatnonzero(patterns.all(axis=1))  # a phrase with a word that the shard has not occurs nowhere in it
+                lo, hi = index.search(patterns[here])
+                some = np.flatnonzero(hi > lo)
+                found, lo, hi = here[some], lo[some], hi[some]
                 if not len(found):
                     continue
-                count = (hi - lo)[found]
-                rows = np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pattern, start = np.repeat(found, count), index.locate(rows)
+                n = hi - lo
+                rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pattern, start = np.repeat(found, n), index.locate(rows)
                 doc = owner[start]
                 for d, p in np.unique(np.stack([doc, pattern]), axis=1).T.tolist():
                     items[d].update(of[p])
                 by = np.argsort(doc, kind="stable")
-                doc, begin = doc[by], back[start[by]]
+                doc, begin = doc[by], (start - first[doc])[by]
                 cuts = np.flatnonzero(np.diff(doc)) + 1
                 for d, some in zip(doc[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts), strict=True):
                     places[d].append((some[:, None] + np.arange(length)).ravel())
@@ -122,15 +115,16 @@ def _scan(docs: DataFrame, phrases: Phrases, ddl: str, row) -> DataFrame:
     """Index shard by shard; row(bodies, n_words, places, items) gives the output columns after doc_id."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
     rows = doc_bytes(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, bodies, n = Shard(sent.value), [], [], []
+        shard, ids, bodies, n = Shard(), [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, ids, bodies, n
-            places, items = shard.hits()
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *row(bodies, n, places, items)], names=["doc_id", *[x.split()[0] for x in ddl.split(", ")]])
-            shard, ids, bodies, n = Shard(sent.value), [], [], []
+            places, items = shard.hits(sent.value)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *row(bodies, n, places, items)], names=["doc_id", *[x.split()[0] for x in ddl.split(", ")]])
+            shard, ids, bodies, n = Shard(), [], [], []
             return out
 
         for batch in batches:
@@ -144,7 +138,7 @@ def _scan(docs: DataFrame, phrases: Phrases, ddl: str, row) -> DataFrame:
         if ids:
             yield flush()
 
-    return rows.select(F.col("doc_id").cast("long"), "body").mapInArrow(run, f"doc_id long, {ddl}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {ddl}")
 
 
 def phrase_blocks(items: DataFrame, window: int = WINDOW, limit: int = PHRASES) -> list[Phrases]:
@@ -177,28 +171,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
         return _scan(docs, blocks[0], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", row)
 
-    keyed = _keyed(docs.select("doc_id", "text"))
-    merged = _found(keyed, blocks)
-    n_words = _scan(keyed.select(F.col("__row").alias("doc_id"), "text"), Phrases([], window), "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
-    return keyed.select("__row", "doc_id").join(n_words.select(F.col("doc_id").alias("__row"), "n_words"), "__row").join(merged, "__row", "left").select("doc_id", "n_words", F.coalesce(F.size("places").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"), F.col("places").isNotNull().alias("contaminated"))
+    keyed, row = _keyed(docs.select("doc_id", "text"))
+    merged = _found(keyed, row, blocks)
+    n_words = _scan(keyed.select(F.col(row).alias("doc_id"), "text"), Phrases([], window), "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
+    joined = keyed.select(row, "doc_id").join(n_words.select(F.col("doc_id").alias(row), "n_words"), row).join(merged, row, "left")
+    return joined.select("doc_id", "n_words", F.coalesce(F.size("places").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"), F.col("places").isNotNull().alias("contaminated"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written once and for all."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written once and for all, and the name of its column."""
+    row = fresh(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def _found(keyed: DataFrame, blocks: list[Phrases]) -> DataFrame:
-    """__row, places (hit words, sorted), found (item ids as text, sorted), n_items for each row that a block hits."""
+def _found(keyed: DataFrame, row: str, blocks: list[Phrases]) -> DataFrame:
+    """row, places (hit words, sorted), found (item ids as text, sorted), n_items for each row that a block hits."""
 
     def hit(bodies, n, places, found):
         return [pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array([[None if x is None else str(x) for x in f] for f in found], pa.list_(pa.string()))]
 
-    texts = keyed.select(F.col("__row").alias("doc_id"), "text")
+    texts = keyed.select(F.col(row).alias("doc_id"), "text")
     each = [_scan(texts, b, "places array<long>, found array<string>", hit).where(F.size("places") > 0) for b in blocks]
-    rows = reduce(DataFrame.unionByName, each).groupBy(F.col("doc_id").alias("__row"))  # bounded by the document's words
+    rows = reduce(DataFrame.unionByName, each).groupBy(F.col("doc_id").alias(row))  # bounded by the document's words
     all_ = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return rows.agg(F.array_sort(all_("places")).alias("places"), all_("found").alias("f")).select("__row", "places", F.array_sort(F.filter("f", lambda x: x.isNotNull())).alias("found"), F.size("f").alias("n_items"))
+    return rows.agg(F.array_sort(all_("places")).alias("places"), all_("found").alias("f")).select(row, "places", F.array_sort(F.filter("f", lambda x: x.isNotNull())).alias("found"), F.size("f").alias("n_items"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -211,9 +207,11 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     if len(blocks) == 1:
         text = _with_columns(docs, blocks[0], others, lambda bodies, n, places, found: [pa.array(map(_kept, bodies, places), pa.string())])
     else:
-        keyed = _keyed(docs.select(*others, "text"))
-        text = _cut_places(keyed.join(_found(keyed, blocks).select("__row", "places"), "__row", "left"), others)
-    return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else text.select(*docs.columns)
+        keyed, row = _keyed(docs.select(*map(column, others), "text"))
+        places = fresh(keyed, "places")
+        text = _cut_places(keyed.join(_found(keyed, row, blocks).select(row, F.col("places").alias(places)), row, "left"), others, places)
+    text = text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text
+    return text.select(*map(column, docs.columns))
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -231,32 +229,36 @@ def _kept(body: bytes, hit: np.ndarray) -> str:
     return body.decode("utf-8", "replace")
 
 
-def _cut_places(rows: DataFrame, others: list[str]) -> DataFrame:
+def _ddl(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", text string"
+
+
+def _cut_places(rows: DataFrame, others: list[str], places: str) -> DataFrame:
     """others and text for rows(others, text, places), cut at places."""
-    rows = rows.select(*others, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__body"), F.coalesce("places", F.array().cast("array<long>")).alias("__places"))
-    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", text string"
+    body = fresh(rows, "body")
+    rows = rows.select(*map(column, others), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body), F.coalesce(places, F.array().cast("array<long>")).alias(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__body", 4_000_000):
-                texts = [_kept(b, np.array(p, dtype=np.int64)) for b, p in zip(piece.column("__body").to_pylist(), piece.column("__places").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
+            for piece in slices(batch, body, 4_000_000):
+                texts = [_kept(b, np.array(p, dtype=np.int64)) for b, p in zip(piece.column(body).to_pylist(), piece.column(places).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(others)], pa.array(texts, pa.string())], names=[*others, "text"])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, _ddl(rows, others))
 
 
 def _with_columns(docs: DataFrame, phrases: Phrases, others: list[str], row) -> DataFrame:
     """Like _scan, but the other columns travel along."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    rows = docs.select(*others, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__body"))
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", text string"
+    body = fresh(docs, "body")
+    rows = docs.select(*map(column, others), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__body", 4_000_000):
-                shard, bodies = Shard(sent.value), piece.column("__body").to_pylist()
+            for piece in slices(batch, body, 4_000_000):
+                shard, bodies = Shard(), piece.column(body).to_pylist()
                 n = [shard.add(b) for b in bodies]
-                places, items = shard.hits()
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), *row(bodies, n, places, items)], names=[*others, "text"])
+                places, items = shard.hits(sent.value)
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(others)], *row(bodies, n, places, items)], names=[*others, "text"])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, _ddl(rows, others))

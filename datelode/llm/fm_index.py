@@ -26,7 +26,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     for k in range(per):  # the first symbols of each suffix in one number; nothing is added behind an end
         at = np.minimum(np.arange(n) + k, until)
         key = key << bits | np.where(np.arange(n) + k <= until, rank[at] + 1, 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # rank: the first place of the group
     rank = np.empty(n, dtype=np.int64)
@@ -39,7 +39,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
             return order
         at = order[left]
         key = rank[at] * (n + 1) + rank[np.minimum(at + depth, n - 1)]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[left] = at[by]
         key = key[by]
         fresh = np.concatenate([[True], np.diff(key) != 0])
