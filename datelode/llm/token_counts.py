@@ -5,7 +5,8 @@ a vocabulary spans the end of one, so the counts of pre-tokens add up to the cou
 Tier 1 is a compact table (UTF-8 blob, ends, counts) of the pre-tokens that a mergeable heavy-hitter
 sketch over all documents finds frequent; it is broadcast and its size is bounded by its capacity.
 Tier 2 is a cache in each Python worker: what misses tier 1 is encoded once and remembered. Pre-tokens
-are never shuffled, only one bounded sketch row per task is.
+are never shuffled, only one bounded sketch row per task is; sketches are merged in a tree of tasks, and the
+driver gets one.
 
 Null text counts as empty; empty text has no tokens; null ids, repeated rows and extra columns pass
 through untouched (one output row per input row); an empty table gives an empty result.
@@ -77,24 +78,28 @@ def frequent_pretokens(docs: DataFrame, capacity: int = CAPACITY, fan_in: int =
                 if len(total) > 12 * capacity:
                     total = _merge(total, capacity)
         row = _pack(_merge(total, capacity))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], schema=_SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], schema=_SKETCH)
 
-    def merge(key, pdf):
-        import pandas as pd
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        total: Counter = Counter()
-        for r in pdf.itertuples():
-            total = _merge(total + _unpack(r.blob, r.ends, r.counts), capacity)
-        return pd.DataFrame([[key[0], *_pack(total)]], columns=["slot", "blob", "ends", "counts"])
+        total, any_ = Counter(), False
+        for batch in batches:
+            for k in range(batch.num_rows):
+                total, any_ = _merge(total + _unpack(*(batch.column(c)[k].as_py() for c in ("blob", "ends", "counts"))), capacity), True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in _pack(total))], schema=_SKETCH)
 
     schema = "slot int, blob binary, ends binary, counts binary"
     rows = doc_bytes(docs).select("body").mapInArrow(sketch, schema)
-    if rows.rdd.getNumPartitions() > fan_in:  # one level of merging before the driver sees fan_in rows at most
-        rows = rows.groupBy("slot").applyInPandas(merge, schema)
-    total: Counter = Counter()
-    for r in rows.toLocalIterator():
-        total = _merge(total + _unpack(bytes(r.blob), bytes(r.ends), bytes(r.counts)), capacity)
-    return total
+    left = rows.rdd.getNumPartitions()
+    while True:  # a tree of merges: one sketch is held at a time, and about fan_in of them meet in a task
+        left = max(1, -(-left // fan_in))
+        rows = rows.repartition(left, F.pmod("slot", F.lit(left))).mapInArrow(merge, schema)
+        if left <= 1:
+            break
+    found = rows.collect()  # one row, none without documents
+    return _unpack(*(bytes(x) for x in (found[0].blob, found[0].ends, found[0].counts))) if found else Counter()
 
 
 def piece_counts(model, words: list[str]) -> list[int]:
