@@ -12,7 +12,8 @@ listed: a breadth-first search emits one link for each fingerprint that it reach
 than BUCKET fingerprints is split again by the same kind of masks over the bits that it does not
 share; since that halves the free bits each time, buckets are bounded after a few levels.
 
-Components: large-star and small-star rounds over the links, each written to the shared folder.
+Rows get their component by fingerprint: the few that many rows share by a broadcast of bounded size, the
+others by a join. Components: large-star and small-star rounds over the links, each written to the shared folder.
 
 Null ids keep their row (component: the smallest id of the group, null if it has none); repeated rows
 stay; extra columns are dropped; an empty table gives an empty result.
@@ -32,6 +33,8 @@ from datelode.llm.common import doc_bytes, materialize, parts
 RADIUS = 3
 #: Fingerprints in a bucket above which it is split by further masks.
 BUCKET = 4096
+#: Fingerprints that are broadcast with their component are fewer than this.
+HOT = 50_000
 
 
 def fingerprint(body: bytes, shingle: int = 3) -> int:
@@ -108,7 +111,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = dealt.repartition(parts(fps.sparkSession), "v", "key").sortWithinPartitions("v", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3  # the bucket at the end of a batch may go on in the next
+        held: list[list[np.ndarray]] = []  # pieces of the bucket at the end of a batch, which may go on in the next
 
         def search(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((np.diff(v) != 0) | (np.diff(key) != 0)) + 1
@@ -119,16 +122,18 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            now = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            now = [c.to_numpy() for c in batch.columns]
             if not len(now[0]):
                 continue
             new = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            cut = new[-1] + 1 if len(new) else 0
-            held = [x[cut:] for x in now]
-            if cut:
-                yield search(*(x[:cut] for x in now))
-        if len(held[0]):
-            yield search(*held)
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut or held and (held[-1][0][-1], held[-1][1][-1]) != (now[0][0], now[1][0]):
+                held.append([x[:cut] for x in now])
+                yield search(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield search(*map(np.concatenate, zip(*held, strict=True)))
 
     return dealt.select(F.col("v").cast("long"), "key", "fp").mapInArrow(run, "a long, b long").distinct()
 
@@ -164,10 +169,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs."""
     marked = materialize(fingerprints(docs))
-    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = components(links(ids.select("fp"), radius))
-    groups = ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    groups = ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     groups = materialize(groups)
     lowest = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = groups.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(groups.join(lowest, "root").select("fp", "n", "component_id"))
+    # fingerprints of more than 1 in HOT rows (so fewer than HOT of them) are broadcast, the others joined
+    hot = F.col("n") > F.lit(max(1, marked.count() // HOT))
+    often = marked.join(F.broadcast(named.where(hot).select("fp", F.col("component_id").alias("found"), F.lit(True).alias("hot"))), "fp", "left")
+    rest = often.where("hot IS NULL").select("doc_id", "fp").join(named.where(~hot).select("fp", "component_id"), "fp")
+    both = often.where("hot").select("doc_id", "fp", F.col("found").alias("component_id")).unionByName(rest)
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
