@@ -8,7 +8,7 @@ task leaves nothing behind. Where a document starts in the whole sequence is the
 before it (one number per shard, kept on the driver: bounded by the number of partitions) and its
 place inside the shard, which the writer knows.
 
-Null text is empty (only the end id); ids that are null sort first; repeated rows are kept, ordered
+Null text is empty (only the end id); ids may be of any type that sorts, null ids come first; repeated rows are kept, ordered
 by id, then by the hash of their text; other columns are dropped; an empty table gives no segments.
 """
 
@@ -75,13 +75,13 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-_FIELDS = [("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("length_offsets", pa.binary()), ("words", pa.binary()), ("offsets", pa.binary())]
-_DDL = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, lengths binary, length_offsets binary, words binary, offsets binary"
+_FIELDS = [("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", None), ("lengths", pa.binary()), ("length_offsets", pa.binary()), ("words", pa.binary()), ("offsets", pa.binary())]
+_DDL = "shard int, segment int, shard_start long, n_ids long, doc_ids array<{}>, lengths binary, length_offsets binary, words binary, offsets binary"
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int) -> None:
     """Write all documents of docs (doc_id, text) as coded segments under path."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("tie", F.crc32("body"))
     rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -100,7 +100,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int) ->
             words, offsets = simple8b.encode(np.frombuffer(b"".join(raws), dtype="<u4"))
             row = [shard, segment, start, size, ids, *(x.astype(x.dtype.newbyteorder("<")).tobytes() for x in (lengths, length_offsets, words, offsets))]
             segment, start, size, ids, raws = segment + 1, start + size, 0, [], []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+            return pa.RecordBatch.from_arrays([pa.array([v], t or pa.list_(batch.schema.field("doc_id").type)) for v, (_, t) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
         for batch in batches:
             for piece in slices(batch, "body"):
@@ -115,12 +115,13 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int) ->
         if ids:
             yield flush()
 
-    rows.drop("tie").mapInArrow(run, _DDL).write.parquet(path)
+    rows.drop("tie").mapInArrow(run, _DDL.format(docs.schema["doc_id"].dataType.simpleString())).write.parquet(path)
 
 
 def read_token_ids(spark, path: str, ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files; with ids=True also ids (array<long>)."""
-    coded = spark.read.schema(_DDL).parquet(path)
+    coded = spark.read.parquet(path)
+    kind = coded.schema["doc_ids"].dataType.elementType.simpleString()
     totals = {r.shard: r.n for r in coded.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}  # one row a shard
     bases, total = {}, 0
     for shard in sorted(totals):
@@ -137,14 +138,14 @@ def read_token_ids(spark, path: str, ids: bool = False) -> DataFrame:
                 ends = np.cumsum(lengths)
                 raw, begins = values.tobytes(), ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                out = [pa.array(r["doc_ids"], pa.int64()), pa.array(begins + (bases.value[r["shard"]] + r["shard_start"]), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
+                out = [pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(begins + (bases.value[r["shard"]] + r["shard_start"]), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
                     out.append(pa.array([values[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return coded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return coded.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
