@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python task, in bytes.
@@ -38,9 +38,31 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def documents(df: DataFrame, *keep: str) -> DataFrame:
-    """doc_id and text only (null text: empty), plus columns named in keep."""
-    return df.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, and that column's name.
+
+    The number is doc_id where ids are whole numbers and all different; else (null, repeated or textual
+    ids) rows are numbered and written once, so that each later use sees the same numbers.
+    """
+    name = fresh(docs, "row")
+    if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        n, ids = docs.select(F.count("*"), F.countDistinct("doc_id")).first()
+        if n == ids:
+            return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def doc_bytes(df: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Exact substring dedup by prefix-free parsing.
 
-Removed is each byte covered by a LENGTH-byte string that also starts somewhere else. The text is
-parsed by a rolling hash: a place whose 8 bytes hash below a bound is a trigger, so equal content has
-equal triggers whatever stands before it. A phrase runs from one trigger to the next; the first starts
+Removed is each byte covered by a LENGTH-byte string that also starts somewhere else (or, with
+by_words, each word covered by that many consecutive words that also start somewhere else: a text is
+then the sequence of its words' 32-bit hashes, and strings start at words only). The text is
+parsed by a rolling hash (the 8 bytes as a base-256 polynomial modulo 2**64, scaled): a place where it
+is below a bound is a trigger, so equal content has equal triggers whatever stands before it. A phrase runs from one trigger to the next; the first starts
 with the document. Which suffixes of the corpus agree in their first LENGTH bytes is decided in three
 steps, each a class of equal suffixes kept as 64-bit hashes instead of a sorted list (only classes are
 needed here, not the order between different ones):
@@ -26,45 +28,92 @@ dropped by the report and kept by removed(); an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datelode.llm.common import materialize, parts, slices
+from datelode.llm.common import column, fresh, materialize, numbered, parts, slices
 
 LENGTH = 400
-SPACING = 40
-CORE = 48
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def triggers(body: np.ndarray) -> np.ndarray:
-    """Places whose next 8 bytes hash below 2**64 / SPACING."""
-    n = len(body) - 7
-    if n <= 0:
+@dataclass(frozen=True)
+class Unit:
+    """What a text is to the parser: bytes, or words of 4 bytes each. All measures are in bytes."""
+
+    length: int = LENGTH  # of a string that is removed where it repeats
+    step: int = 1  # between places where a string may start
+    spacing: int = 40  # places from one trigger to the next, on average
+    core: int = 48  # least content of a dictionary key
+
+    def symbols(self, body: bytes) -> bytes:
+        return body if self.step == 1 else np.fromiter(map(_word_hashes().__getitem__, body.split()), dtype="<u4").tobytes()
+
+    def spans(self, body: bytes, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """Places in body of the symbols from each a to each b; words take the white space behind them along."""
+        if self.step == 1:
+            return list(zip(a, b, strict=True))
+        at = [*(m.start() for m in _WORD.finditer(body)), len(body)]
+        return [(at[x // self.step], at[y // self.step]) for x, y in zip(a, b, strict=True)]
+
+
+def words_unit(words: int) -> Unit:
+    """Strings of that many words; a trigger each 6 words, keys of 8 words."""
+    return Unit(4 * words, 4, 6, 32)
+
+
+class _Hashes(dict):
+    """Word -> 32-bit hash, remembered while there is room."""
+
+    ROOM = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        got = xxhash.xxh32_intdigest(word)
+        if len(self) < self.ROOM:
+            self[word] = got
+        return got
+
+
+@cache
+def _word_hashes() -> _Hashes:
+    """One a worker process."""
+    return _Hashes()
+
+
+def triggers(body: np.ndarray, unit: Unit = Unit()) -> np.ndarray:  # noqa: B008
+    """Places whose next 8 bytes hash below 2**64 / spacing."""
+    n = (len(body) - 8) // unit.step + 1
+    if len(body) < 8:
         return np.zeros(0, dtype=np.int64)
-    h = np.lib.stride_tricks.as_strided(body, (n, 8), (1, 1)).copy().view("<u8").ravel()
+    h = np.lib.stride_tricks.as_strided(body, (n, 8), (unit.step, 1)).copy().view("<u8").ravel()
     h *= _MULTIPLIER
     h ^= h >> np.uint64(29)
     h *= _MULTIPLIER
-    return np.flatnonzero(h < np.uint64((1 << 64) // SPACING))
+    return np.flatnonzero(h < np.uint64((1 << 64) // unit.spacing)) * unit.step
 
 
 class Parse:
-    """Phrases of one text of at least LENGTH bytes."""
+    """Phrases of the symbols of one text of at least the unit's length."""
 
-    def __init__(self, body: bytes, length: int = LENGTH) -> None:
-        n = len(body)
-        t = triggers(np.frombuffer(body, dtype=np.uint8))
+    def __init__(self, body: bytes, unit: Unit = Unit()) -> None:  # noqa: B008
+        n, length = len(body), unit.length
+        t = triggers(np.frombuffer(body, dtype=np.uint8), unit)
         self.start = t if len(t) and t[0] == 0 else np.concatenate([[0], t])
         self.next = np.concatenate([self.start[1:], [n]])  # where the phrase ends
-        self.last = np.minimum(self.next, n - length + 1)  # behind the last suffix of the phrase that has length bytes
+        self.last = np.minimum(self.next, n - length + unit.step)  # behind the last suffix of the phrase that has length bytes
         self.live = self.last > self.start
-        self.end = np.where(self.live, np.minimum(n, self.next - 1 + length), self.start)  # what its suffixes need
-        k = np.searchsorted(self.start, self.start + CORE)  # the first trigger CORE bytes on
+        self.end = np.where(self.live, np.minimum(n, self.next - unit.step + length), self.start)  # what its suffixes need
+        k = np.searchsorted(self.start, self.start + unit.core)  # the first trigger that many bytes on
         self.core = np.where(k < len(self.start), self.start[np.minimum(k, len(self.start) - 1)], n + 1)
         #: How many phrases behind this one have their key content, and the trigger behind it, in every suffix of it.
         self.guards = np.searchsorted(self.core, self.start + length - 8, side="right") - 1 - np.arange(len(self.start))
@@ -91,10 +140,8 @@ def _known(g: np.ndarray, e: np.ndarray) -> np.ndarray:
     return tag
 
 
-def _phrases(rows: DataFrame, length: int) -> DataFrame:
-    """For each phrase: row, k (its number), at and n (first place and number of the suffixes that start in it), need (guards of the phrase before it; -1 if no suffix starts there), g (dictionary key), e (parse key; 0 if no suffix starts in it).
-
-    """
+def _phrases(rows: DataFrame, unit: Unit) -> DataFrame:
+    """For each phrase: row, k (its number), at and n (the places at..at+n-1 where suffixes start in it), need (guards of the phrase before it; -1 if no suffix starts there), g (dictionary key), e (parse key; 0 if no suffix starts in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -104,9 +151,10 @@ def _phrases(rows: DataFrame, length: int) -> DataFrame:
             for piece in slices(batch, "body", 1_000_000):
                 ids, out = [], []
                 for row, body in zip(piece.column("row").to_pylist(), piece.column("body").to_pylist(), strict=True):
-                    if len(body) < length:
+                    body = unit.symbols(body)
+                    if len(body) < unit.length:
                         continue
-                    p = Parse(body, length)
+                    p = Parse(body, unit)
                     view = memoryview(body)
                     e = np.array([hash64(view[a:b]) if b > a else 0 for a, b in zip(p.start.tolist(), p.end.tolist(), strict=True)], dtype=np.uint64)
                     whole = p.core + 8 <= np.where(p.live, p.end, len(body))
@@ -211,8 +259,8 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield z.decompress(x.as_py())
 
 
-def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
-    """row, a, tag, g, e: a 128-bit hash (g, e) of the length bytes from each place a that is compared."""
+def _compared(texts: DataFrame, compare: DataFrame, unit: Unit) -> DataFrame:
+    """row, a, tag, g, e: a 128-bit hash (g, e) of the unit's length from each place a that is compared."""
     joined = texts.join(compare, "row", "left").select("row", "packed", "compare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,19 +279,20 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
                 return made
 
             for row, body, compare in zip(batch.column("row").to_pylist(), _unpack(batch), batch.column("compare"), strict=True):
-                if len(body) < length:
+                body = unit.symbols(body)
+                if len(body) < unit.length:
                     continue
-                p = Parse(body, length)
+                p = Parse(body, unit)
                 left = p.live & (p.guards == 0)  # no key guards these
                 if compare.is_valid:
                     left[compare.values.to_numpy()] = True
                     left &= p.live
                 if left.any():
                     view = memoryview(body)
-                    at = np.concatenate([np.arange(a, b) for a, b in zip(p.start[left].tolist(), p.last[left].tolist(), strict=True)])
+                    at = np.concatenate([np.arange(a, b, unit.step) for a, b in zip(p.start[left].tolist(), p.last[left].tolist(), strict=True)])
                     rows.append(np.full(len(at), row))
                     places.append(at)
-                    keys.append(b"".join([hash128(view[k : k + length]) for k in at.tolist()]))
+                    keys.append(b"".join([hash128(view[k : k + unit.length]) for k in at.tolist()]))
                     size += len(at)
                 if size > 100_000:
                     yield out()
@@ -253,34 +302,32 @@ def _compared(texts: DataFrame, compare: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "row long, a int, tag int, g long, e long")
 
 
-def repeated_starts(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_starts(rows: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
     """row, spans: for each text with repeats the runs [a, b) of places where a repeated string starts."""
-    decided, compare = _marks(_repeated_phrases(_phrases(rows, length)))
-    suffixes = _compared(texts, compare, length)
+    decided, compare = _marks(_repeated_phrases(_phrases(rows, unit)))
+    suffixes = _compared(texts, compare, unit)
     found = _runs(suffixes, 2)
-    spans = decided.union(found.select("row", "a", (F.col("a") + 1).alias("b")))
+    spans = decided.union(found.select("row", "a", (F.col("a") + unit.step).alias("b")))
     return spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the document
 
 
-def _removal(a: list[int], b: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+def _removal(a: list[int], b: list[int], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs from the runs of start places."""
-    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64) - 1 + length
+    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64) - unit.step + unit.length
     by = np.argsort(a, kind="stable")
     a, b = a[by], np.maximum.accumulate(b[by])
     new = np.concatenate([[True], a[1:] > b[:-1]])
     return a[new], b[np.append(new[1:], True)]
 
 
-def _cut(docs: DataFrame, length: int, keep: list[str], ddl: str, row) -> tuple[DataFrame, DataFrame]:
-    """Join each text with its repeats; row(bodies, runs) gives the output columns after keep."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    n, ids = docs.select(F.count("*"), F.countDistinct(F.col("doc_id").cast("long"))).first()
-    if n == ids:
-        rows = rows.withColumn("row", F.col("doc_id").cast("long"))
-    else:  # null or repeated ids: number the rows once and for all
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    texts = _packed(rows.select("row", "body"))
-    spans = repeated_starts(rows.select("row", "body"), texts, length)
+def _cut(docs: DataFrame, unit: Unit, keep: list[str], ddl: str, row) -> tuple[DataFrame, DataFrame, str]:
+    """Join each text with its repeats; row(bodies, spans) gives the output columns after keep. The last is the name of the row's number."""
+    rows, number = numbered(docs)
+    text = fresh(rows, "body")
+    rows = rows.select(number, *map(column, keep), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(text))
+    bodies = rows.select(F.col(number).alias("row"), F.col(text).alias("body"))
+    texts = _packed(bodies)
+    spans = repeated_starts(bodies, texts, unit)
     joined = texts.join(spans, "row", "left").select("row", "packed", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
     names = [x.split()[0] for x in ddl.split(", ")]
 
@@ -289,18 +336,16 @@ def _cut(docs: DataFrame, length: int, keep: list[str], ddl: str, row) -> tuple[
             n = 200
             for piece in (batch.slice(k, n) for k in range(0, batch.num_rows, n)):
                 bodies = list(_unpack(piece))
-                runs = [_removal(a.as_py(), b.as_py(), length) if a.is_valid else None for a, b in zip(piece.column("a"), piece.column("b"), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("row"), *row(bodies, runs)], names=["row", *names])
+                runs = [[] if not a.is_valid else unit.spans(x, *(c.tolist() for c in _removal(a.as_py(), b.as_py(), unit))) for x, a, b in zip(bodies, piece.column("a"), piece.column("b"), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("row"), *row(bodies, runs)], names=[number, *names])
 
-    made = joined.mapInArrow(run, f"row long, {ddl}")
-    return made, rows
+    made = joined.mapInArrow(run, f"`{number}` long, {ddl}")
+    return made, rows.drop(text), number
 
 
-def _kept(body: bytes, runs) -> bytes:
-    if runs is None:
-        return body
+def _kept(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
-    for a, b in zip(runs[0].tolist(), runs[1].tolist(), strict=True):
+    for a, b in runs:
         out.append(body[at:a])
         at = b
     return b"".join([*out, body[at:]])
@@ -311,20 +356,23 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def row(bodies, runs):
         kept = [_kept(b, r) for b, r in zip(bodies, runs, strict=True)]
-        return [pa.array(map(len, bodies), pa.int64()), pa.array([len(b) - len(k) for b, k in zip(bodies, kept, strict=True)], pa.int64()), pa.array([0 if r is None else len(r[0]) for r in runs], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        return [pa.array(map(len, bodies), pa.int64()), pa.array([len(b) - len(k) for b, k in zip(bodies, kept, strict=True)], pa.int64()), pa.array(map(len, runs), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
 
-    made, rows = _cut(docs, length, ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", row)
-    return rows.select("row", "doc_id").join(made, "row").drop("row")
+    made, rows, number = _cut(docs, Unit(length), ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", row)
+    return rows.join(made, number).drop(number)
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated bytes cut out of the text; n_chars set anew. A character cut in two goes whole; null text becomes empty."""
+def removed(docs: DataFrame, length: int = LENGTH, by_words: int = 0) -> DataFrame:
+    """docs with repeated bytes cut out of the text, or with by_words the repeated runs of that many words; n_chars set anew.
+
+    A character cut in two goes whole; null text becomes empty; all other columns stay, whatever their names.
+    """
 
     def row(bodies, runs):
         return [pa.array([_kept(b, r).decode("utf-8", "ignore") for b, r in zip(bodies, runs, strict=True)], pa.string())]
 
     keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    made, rows = _cut(docs.select(*[F.col(c).alias(c) for c in docs.columns]), length, keep, "text string", row)
-    out = rows.select("row", *keep).join(made, "row")
+    made, rows, number = _cut(docs, words_unit(by_words) if by_words else Unit(length), keep, "text string", row)
+    out = rows.join(made, number)
     out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    return out.select(*map(column, docs.columns))

@@ -38,6 +38,11 @@ def test_token_counts(spark, odd):
     want = Counter((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t, *_ in ODD)
     assert got == want
     assert token_counts(odd.limit(0), model).count() == 0
+    deep = token_counts(odd.repartition(9), model)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in deep.collect()) == want
+    from datelode.llm.token_counts import frequent_pretokens
+
+    assert frequent_pretokens(odd.repartition(9), fan_in=2) == frequent_pretokens(odd.coalesce(1)) and frequent_pretokens(odd.limit(0)) == {}
     assert _merge(Counter({"a": 5, "b": 3, "c": 1}), 2) == {"a": 4, "b": 2}
 
 
@@ -62,6 +67,32 @@ def test_bpe(spark, odd):
         assert np.frombuffer(own.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_pairs_and_long_pretokens():
+    import time
+
+    from tokenizers import Tokenizer
+
+    from datelode.llm.bpe import BacktrackingBpe
+
+    file = path("word_bpe_49k.json")
+    t, own, rng = Tokenizer.from_file(file), BacktrackingBpe(file), random.Random(2)
+    ids = sorted(own.vocab[s] for s in own.usable if own._check(-1 << 20 | own.vocab[s]))
+    short = [i for i in ids if len(own.text[i]) < 4]
+    for k in range(20000):
+        a, b = rng.choice(short if k % 2 else ids), rng.choice(short if k % 3 else ids)
+        if not own.text[a].endswith("\ue000") and len(own._units(own.text[a])) == len(own.text[a]):
+            want = own._merged(own._units(own.text[a]) + own._units(own.text[b]))[0] == [own.text[a], own.text[b]]
+            assert own.compatible(a, b) == want, (own.text[a], own.text[b])
+    taken = {}
+    for n in (100_000, 1_000_000):
+        for kind in ("a" * n, "".join(rng.choices("etaoinshr", k=n))):
+            began = time.perf_counter()
+            got = np.frombuffer(own.encode(kind), "<u4")
+            taken[n] = max(taken.get(n, 0), time.perf_counter() - began)
+            assert n > 100_000 or got.tolist() == t.encode(kind, add_special_tokens=False).ids
+    assert taken[1_000_000] < 25 * taken[100_000]  # linear: about 10
+
+
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 4095, 4096, 4097, 20000])
 @pytest.mark.parametrize("high", [1, 100, 49408, 2**40, 2**64 - 1])
 def test_simple8b(n, high):
@@ -91,6 +122,8 @@ def test_token_ids(spark, odd):
         left[r.doc_id, r.n_tokens, r.ids_crc32] -= 1
     assert not any(left.values())
     assert token_ids(odd.limit(0), file).count() == 0
+    named = odd.selectExpr("'d' || doc_id AS doc_id", "text", "1 AS start", "2 AS body")
+    assert sorted((r.doc_id or "", r.start) for r in token_ids(named, file).collect()) == [("d%d" % r.doc_id if r.doc_id is not None else "", r.start) for r in got]
 
 
 def removal(bodies, n):
@@ -133,6 +166,36 @@ def test_suffix_dedup(spark, seed):
         assert left[ids[5]] == "" and suffix_dedup.report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_dedup_by_words(spark, seed):
+    from datelode.llm import suffix_dedup
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "of", "thé", "x" * 30, "".join(rng.choices("abcde", k=rng.randint(1, 9)))])
+    pool = [[word() for _ in range(rng.randint(20, 200))] for _ in range(8)]
+    texts = [None, "", "a " * 130, "a b\n" * 60, " " + " ".join(pool[0]) + " \t", "\n".join(pool[0])]
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            p = rng.choice(pool)
+            a = rng.randint(0, len(p) - 1)
+            parts += p[a : a + rng.randint(1, 120)] if rng.random() < 0.6 else [word() for _ in range(rng.randint(1, 90))]
+        texts.append("".join(w + rng.choice([" ", "\n", "  "]) for w in parts))
+    df = spark.createDataFrame([(f"d{k // 2}", t, 0, f"r{k}", f"b{k}", k) for k, t in enumerate(texts)], "doc_id string, text string, n_chars long, row string, body string, `a.b` long").repartition(3)
+    split = [re.split(r"[\x20\x09-\x0D]+", (t or "").strip(" \t\n")) if (t or "").strip(" \t\n") else [] for t in texts]
+    count = Counter(tuple(w[k : k + 50]) for w in split for k in range(len(w) - 49))
+    want = Counter()
+    for k, w in enumerate(split):
+        gone = {x for a in range(len(w) - 49) if count[tuple(w[a : a + 50])] > 1 for x in range(a, a + 50)}
+        want[f"d{k // 2}", f"r{k}", f"b{k}", k, " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+    got = suffix_dedup.removed(df, by_words=50)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.row, r.body, r["a.b"], " ".join(r.text.split())) for r in got.collect()) == want
+    assert any(len(x[4].split()) < len(w) for x, w in zip(sorted(want, key=lambda x: x[3]), split, strict=True))
+    untouched = {r["a.b"]: r.text for r in got.collect()}
+    assert untouched[1] == "" and untouched[0] == ""
+
+
 def test_url_filter(spark):
     from datelode.llm.url_filter import Cascade, judge
 
@@ -142,6 +205,10 @@ def test_url_filter(spark):
     assert got == sorted([(1, "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "foo.net", "/a", "net/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "net", "", None, "allow"), (6, "notnet", "/", None, "allow"), (7, "c.b.org", "/xy", "b.org/x", "block"), (7, "c.b.org", "/xy", "b.org/x", "block"), (8, "net", "", None, "allow")], key=str)
     assert judge(pages, rules.limit(0)).where("verdict = 'block'").count() == 0 and judge(pages.limit(0), rules).count() == 0
     universe = spark.range(20000).selectExpr("cast(id as string) AS key")
+    many = [(f"h{k}.net", "/" * (k % 2), "block" if k % 3 else "allow") for k in range(60)] + [("net", "", "allow"), ("h1.net", "/a", "allow")]
+    urls = spark.createDataFrame([(k, f"http://h{k}.net/a") for k in range(70)], "page_id long, url string")
+    one, blocks = (sorted(tuple(r) for r in judge(urls, spark.createDataFrame(many, rules.schema), max_rules=m).collect()) for m in (1000, 9))
+    assert one == blocks and one[2][3:] == ("h2.net", "block") and one[65][3:] == ("net", "allow") and one[1][3:] == ("h1.net/a", "allow")
     cascade = Cascade(universe.where("cast(key as int) % 7 = 0"), universe)
     assert len(cascade.levels) > 1
     assert universe.where(cascade.holds(universe.key) != (universe.key.cast("int") % 7 == 0)).count() == 0
@@ -297,6 +364,26 @@ def test_html(spark):
     assert got.count((1, want, len(want))) == 2 and (2, "", 0) in got and (3, "", 0) in got and len(got) == 5 and extract(df.limit(0)).count() == 0
 
 
+def test_html_is_read_in_linear_time():
+    import time
+
+    from datelode.llm.html_crf import blocks, features, labelled_pages, main_text, trained
+
+    field = trained()
+    for page, _ in labelled_pages(40, seed=5):
+        b = blocks(page)
+        assert field.labels(b) == field.viterbi(features(b))
+    n = 60_000
+    pages = ["<a " * n, "<a '\">" * n, "<a \">" * n, "<a '>" * n, "<div>x" * n, "<li><ul>" + "<div>" * 10_000 + "<li>x</li>" * n, "</b>" * n, "<p>x<div>" * n, "<!-" * n, "<!--" * n, "<script>" * n, "&amp" * n, "<div>" * n + "</i></span></li>" * n, "<" * n, "<b>x" * n, "<span><b>" * n + "<p></u>" * n]
+    for page in pages:
+        began = time.perf_counter()
+        main_text(page, field)
+        assert time.perf_counter() - began < 15, page[:20]
+    assert blocks("<p>1 < 2 and <b 3")[0][0] == "1 < 2 and <b 3" and [x[0] for x in blocks("<p title='a>b'>x<p title='>y")] == ["x", "y"]
+    deep = blocks("<div class=a>" * 10_000 + "x")
+    assert len(deep) == 1 and deep[0][1].own() == ["in:div", "name:a"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
