@@ -7,9 +7,10 @@ return the columns of documents. A document survives as it is unless a stage's o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from datelode.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from datelode.llm.common import materialize
+from datelode.llm.common import materialize, numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row with the smallest doc_id stays (rows without an id stay)."""
-    groups = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each SimHash component one row stays: that with the smallest doc_id or, where ids are null or repeated, the smallest row number."""
+    rows, number = numbered(docs)
+    groups = simhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(number))
+    return rows.join(first, number, "left_semi").select(*docs.columns)
+
+
+#: Runs of as many words are cut out where they repeat.
+PASSAGE_WORDS = 50
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that start twice are cut out."""
-    return suffix_dedup.removed(docs)
+    """Passages of PASSAGE_WORDS words that start twice are cut out, all copies; what is left of a text stays, empty or not."""
+    return suffix_dedup.removed(docs, by_words=PASSAGE_WORDS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
