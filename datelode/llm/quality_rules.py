@@ -3,7 +3,7 @@
 Four ratios of each text (symbols, repeated words and repeated lines per word or line, and the mean
 word length) are summed up by mergeable KLL quantile sketches for each language and source; a group's
 sketch joins its language's and the whole corpus's by merging. The threshold of a group is a far
-fence of its quartiles, q3 + FENCE * max(q3 - q1, FLOOR) (for word length also the lower one); it
+fence of its quartiles, q3 + FENCE * max(q3 - q1, FLOOR) (for word length also q1 - the same); it
 comes from the group's own sketch if that holds MIN_GROUP texts, else from its language's, else from
 all. Since fences are set by quartiles, a group in which up to a quarter of all texts are junk still
 finds its own junk. The thresholds, one row a group, are joined back: broadcast if they are few,
@@ -92,8 +92,8 @@ def thresholds(ratios: DataFrame, min_group: int = MIN_GROUP, fence: float = FEN
     for k, t in enumerate(tiers):
         cols = [F.col("n").alias(f"n{k}")]
         for c, floor in FLOORS.items():
-            q = [F.kll_sketch_get_quantile_double(F.col(c), F.lit(x)) for x in (0.25, 0.5, 0.75)]
-            cols.append(F.struct((q[1] - fence * F.greatest(q[2] - q[0], F.lit(floor))).alias("low"), (q[2] + fence * F.greatest(q[2] - q[0], F.lit(floor))).alias("high")).alias(f"{c}{k}"))
+            q = [F.kll_sketch_get_quantile_double(F.col(c), F.lit(x)) for x in (0.25, 0.75)]
+            cols.append(F.struct((q[0] - fence * F.greatest(q[1] - q[0], F.lit(floor))).alias("low"), (q[1] + fence * F.greatest(q[1] - q[0], F.lit(floor))).alias("high")).alias(f"{c}{k}"))
         fences.append(t.select(*[c for c in ("lang", "source") if c in t.columns], *cols))
     own, lang, every = fences
     found = own.join(lang, "lang").crossJoin(F.broadcast(every))  # the last has one row
