@@ -51,6 +51,25 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def beside(docs: DataFrame, names: list[str], run, ddl: str) -> DataFrame:
+    """mapInArrow over the UTF-8 text of docs that leaves the columns of names as they are.
+
+    run(bodies) gives the Arrow columns of ddl for a list of texts; in tasks the other columns go by number,
+    so any name will do.
+    """
+    rows = docs.select(*[column(c).alias(f"c{k}") for k, c in enumerate(names)], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    made = [x.split()[0] for x in ddl.split(", ")]
+    kinds = [f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "body", 4_000_000):
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], *run(piece.column("body").to_pylist())], names=[*(f"c{k}" for k in range(len(names))), *made])
+
+    out = rows.mapInArrow(work, ", ".join([*kinds, ddl]))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *made)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a number of its own for each row, and that column's name.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelode.llm.common import column, doc_bytes, fresh, materialize, slices
+from datelode.llm.common import beside, column, doc_bytes, fresh, materialize, slices
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -205,7 +205,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     blocks = phrase_blocks(items, window)
     if len(blocks) == 1:
-        text = _with_columns(docs, blocks[0], others, lambda bodies, n, places, found: [pa.array(map(_kept, bodies, places), pa.string())])
+        text = _with_columns(docs, blocks[0], others)
     else:
         keyed, row = _keyed(docs.select(*map(column, others), "text"))
         places = fresh(keyed, "places")
@@ -229,36 +229,30 @@ def _kept(body: bytes, hit: np.ndarray) -> str:
     return body.decode("utf-8", "replace")
 
 
-def _ddl(rows: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", text string"
-
+def _with_columns(docs: DataFrame, phrases: Phrases, others: list[str]) -> DataFrame:
+    """others and the text without the words that phrases hit; a shard is what one task holds at once."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
-def _cut_places(rows: DataFrame, others: list[str], places: str) -> DataFrame:
-    """others and text for rows(others, text, places), cut at places."""
-    body = fresh(rows, "body")
-    rows = rows.select(*map(column, others), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body), F.coalesce(places, F.array().cast("array<long>")).alias(places))
+    def run(bodies: list[bytes]) -> list[pa.Array]:
+        shard = Shard()
+        for b in bodies:
+            shard.add(b)
+        places, _ = shard.hits(sent.value)
+        return [pa.array(map(_kept, bodies, places), pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, body, 4_000_000):
-                texts = [_kept(b, np.array(p, dtype=np.int64)) for b, p in zip(piece.column(body).to_pylist(), piece.column(places).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns[: len(others)], pa.array(texts, pa.string())], names=[*others, "text"])
+    return beside(docs, others, run, "text string")
 
-    return rows.mapInArrow(run, _ddl(rows, others))
 
-
-def _with_columns(docs: DataFrame, phrases: Phrases, others: list[str], row) -> DataFrame:
-    """Like _scan, but the other columns travel along."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    body = fresh(docs, "body")
-    rows = docs.select(*map(column, others), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body))
+def _cut_places(rows: DataFrame, others: list[str], places: str) -> DataFrame:
+    """others and text for rows(others, text, places), cut at places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, body, 4_000_000):
-                shard, bodies = Shard(), piece.column(body).to_pylist()
-                n = [shard.add(b) for b in bodies]
-                places, items = shard.hits(sent.value)
-                yield pa.RecordBatch.from_arrays([*piece.columns[: len(others)], *row(bodies, n, places, items)], names=[*others, "text"])
-
-    return rows.mapInArrow(run, _ddl(rows, others))
+            for piece in slices(batch, "body", 4_000_000):
+                texts = [_kept(b, np.array(p, dtype=np.int64)) for b, p in zip(piece.column("body").to_pylist(), piece.column("places").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(others)], pa.array(texts, pa.string())], names=[*(f"c{k}" for k in range(len(others))), "text"])
+
+    safe = [column(c).alias(f"c{k}") for k, c in enumerate(others)]
+    kinds = [f"c{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(others)]
+    rows = rows.select(*safe, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"), F.coalesce(places, F.array().cast("array<long>")).alias("places"))
+    return rows.mapInArrow(run, ", ".join([*kinds, "text string"])).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(others)], "text")

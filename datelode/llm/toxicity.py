@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datelode.llm.common import doc_bytes, slices
+from datelode.llm.common import beside, column, doc_bytes, fresh, slices
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -153,22 +154,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([(np.frombuffer(t, dtype="<i4"), int(y == 1)) for _, y, t in found])
 
 
-def score(docs: DataFrame, machine: Machine, *keep: str, threshold: float = 0.5) -> DataFrame:
-    """The columns of keep, score (double) and predicted (int) for each row of docs."""
+@cache
+def _terms() -> Terms:
+    """One a worker process."""
+    return Terms()
+
+
+def score(docs: DataFrame, machine: Machine, *keep: str, threshold: float = 0.5, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of keep, then score (double) and predicted (int), under the given names, for each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__body"))
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
-            for piece in slices(batch, "__body"):
-                sets = [terms.of(b) for b in piece.column("__body").to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                p = sent.value.scores(np.concatenate(sets), np.cumsum(sizes) - sizes).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+    def run(bodies: list[bytes]) -> list[pa.Array]:
+        sets = [_terms().of(b) for b in bodies]
+        sizes = np.array([len(s) for s in sets])
+        p = sent.value.scores(np.concatenate(sets), np.cumsum(sizes) - sizes).astype(np.float64)
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return rows.mapInArrow(run, f"{ddl}, score double, predicted int")
+    return beside(docs, list(keep), run, f"{names[0]} double, {names[1]} int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -179,5 +181,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
-    out = score(docs, train(docs, labels, sample), *docs.columns)
-    return out.where("predicted = 0").select(*docs.columns)
+    names = fresh(docs, "score"), fresh(docs, "predicted")
+    out = score(docs, train(docs, labels, sample), *docs.columns, names=names)
+    return out.where(f"{names[1]} = 0").select(*map(column, docs.columns))

@@ -324,6 +324,47 @@ def test_quality_rules(spark, odd):
     assert all(v == (k % 9 != 0) for k, v in kept.items())
 
 
+def test_quality_thresholds_by_hand(spark):
+    """kept against quartiles of the sorted ratios: groups are small enough for their sketches to be exact."""
+    import math
+
+    from datelode.llm.quality_rules import FENCE, FLOORS, base_counts, judge, with_ratios
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(330):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, "c")]) if k else ("fr", "z")
+        words = [rng.choice(["w%d" % rng.randrange(999), "long%dword" % rng.randrange(99), "#"]) for _ in range(rng.randint(15, 60))]
+        if rng.random() < 0.2:
+            words[10:18] = words[:8]
+        if rng.random() < 0.1:
+            words = [w + "#$" * rng.randrange(4) for w in words]
+        if rng.random() < 0.1:
+            words = [w[:1] + w[-1:] for w in words]
+        lines = [" ".join(words[a : a + 5]) for a in range(0, len(words), 5)]
+        rows.append((k, "\n".join(lines + [lines[0]] * rng.choice([0, 0, 0, 0, 3])), lang, source, 0, "h"))
+    df = spark.createDataFrame(rows, DOC)
+    ratios = {r.doc_id: r for r in with_ratios(base_counts(df)).collect()}
+    kept = {r.doc_id: r.kept for r in judge(df, min_group=40).collect()}
+    groups = {}
+    for k, _, lang, source, *_ in rows:
+        if not ratios[k].base_failed:
+            for g in ((lang or "", source), (lang or "",), ()):
+                groups.setdefault(g, []).append(k)
+    beyond = 0
+    for k, _, lang, source, *_ in rows:
+        g = next((g for g in ((lang or "", source), (lang or "",)) if len(groups.get(g, [])) >= 40), ())
+        ok = not ratios[k].base_failed
+        for c, floor in FLOORS.items():
+            v = sorted(ratios[x][c] for x in groups[g])
+            q1, q3 = (v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.75))
+            spread = FENCE * max(q3 - q1, floor)
+            ok &= not (ratios[k][c] > q3 + spread or c == "word_length" and ratios[k][c] < q1 - spread)
+        assert kept[k] == ok, (k, g)
+        beyond += not ok and not ratios[k].base_failed
+    assert beyond > 5
+
+
 def test_toxicity(spark):
     from datelode.llm.toxicity import toxicity, without_toxic
 
@@ -343,6 +384,9 @@ def test_toxicity(spark):
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.97
+    clash = df.selectExpr("*", "doc_id AS score", "'x' AS predicted", "text AS body", "1 AS `a.b`")
+    left = without_toxic(clash, lab)
+    assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == {r.score for r in left.collect()} == {r.doc_id for r in got if not r.predicted}
     assert set(without_toxic(df, lab).columns) == set(df.columns) and toxicity(df, lab.limit(0)).where("predicted = 1").count() == 0 and toxicity(df.limit(0), lab).count() == 0
 
 
@@ -384,16 +428,67 @@ def test_html_is_read_in_linear_time():
     assert len(deep) == 1 and deep[0][1].own() == ["in:div", "name:a"]
 
 
-def test_pipeline(spark):
+def test_decontamination_keeps_other_columns(spark):
+    from datelode.llm import decontaminate as d
+
+    w = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([("x", f"a {w} b", 1, "r", "b", 2), (None, None, 2, "r2", "b2", 3)], "doc_id string, text string, row long, body string, places string, `a.b` long")
+    bench = spark.createDataFrame([(1, w)], "item_id long, text string")
+    out = d.decontaminated(df, bench)
+    assert out.columns == df.columns and [(r.doc_id, r.text, r.row, r.body, r.places, r["a.b"]) for r in out.orderBy("row").collect()] == [("x", "a  b", 1, "r", "b", 2), (None, "", 2, "r2", "b2", 3)]
+    assert {(r.doc_id, r.n_hit) for r in d.contamination(df, bench).collect()} == {("x", 12), (None, 0)}
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline as p
 
-    from datelode.llm import queries
+    one, other = " ".join(f"one{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    rows = [(1, one), (7, one), (7, other), (9, "x y z"), (9, "x y z"), (None, one), (None, "null id of its own"), (11, None), (12, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "h") for i, t in rows], DOC)
+    left = p.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns and Counter(r.text or "" for r in left.collect()) == {one: 1, other: 1, "x y z": 1, "null id of its own": 1, "": 1}
+    unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in p.drop_near_duplicates(spark, unique, "").collect()} <= {1, 7, 9, 11}
+    assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    now = docs
-    for k, (_, stage) in enumerate(p.STAGES[:-1]):
-        after = stage(spark, now, "/root/testdata/sf0.001")
-        assert after.columns == docs.columns, k
-        now = spark.createDataFrame(after.collect(), docs.schema)
-    assert 0 < p.run(spark, "/root/testdata/sf0.001").count() == now.count() < docs.count()
-    assert set(queries.oracle_sql()) <= set(queries.queries())
+
+def test_pipeline(spark, tmp_path):
+    """run() against each stage's decision made by hand on a small corpus."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from datelode.llm import queries
+    from datelode.llm.simhash import fingerprint
+    from datelode.llm.toxicity import score, train
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    passage, item = prose(60), prose(14)
+    texts = [prose(120) for _ in range(60)]
+    for k in range(0, 60, 3):
+        texts[k] = " ".join([texts[k][:200], "badword Xlot", texts[k][200:]])
+    texts += [f"{prose(70)} {passage} {prose(70)}" for _ in range(4)] + [f"{prose(80)} {item} {prose(40)}", texts[1], texts[1], None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), "h") for k, t in enumerate(texts)], DOC)
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs.drop("host").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in p.run(spark, str(tmp_path)).collect()}
+    bad = {r.doc_id for r in score(docs, train(docs, labels), "doc_id").collect() if r.predicted}
+    assert len(bad & set(range(0, 60, 3))) > 15 and not bad - set(range(0, 60, 3))
+    left, seen = {}, []
+    for k, t in enumerate(texts):
+        fp = fingerprint((t or "").encode())
+        if k not in bad and all((fp ^ x).bit_count() > 3 for x in seen):
+            left[k] = t or ""
+            seen.append(fp)
+    words = {k: t.split() for k, t in left.items()}
+    count = Counter(tuple(w[a : a + 50]) for w in words.values() for a in range(len(w) - 49))
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    assert set(got) == set(left)
+    for k, w in words.items():
+        gone = {x for a in range(len(w) - 49) if count[tuple(w[a : a + 50])] > 1 for x in range(a, a + 50)}
+        kept = " ".join(x for a, x in enumerate(w) if a not in gone).replace(item, "")
+        assert got[k].n_tokens == len(tokenizer.encode(kept, add_special_tokens=False).ids), k
+    assert sum(got[k].n_tokens < 400 for k in range(60, 64)) == 4
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and [name for name, _ in p.STAGES] == ["toxicity", "near_duplicates", "repeats", "benchmark", "bpe"]
