@@ -49,6 +49,9 @@ BUILT_IN = [
 ]
 
 
+MATCHES = "array<struct<pattern_name:string,dt:timestamp_ntz,precision:string,confidence:double,matched_text:string,seq:int>>"
+
+
 def _match(text: Column, k: int, p: Pattern) -> Column:
     def one(m: Column, n: Column) -> Column:
         part = lambda i, default: F.regexp_extract(m, p.core, i).cast("int") if i <= p.parts else F.lit(default)
@@ -70,6 +73,10 @@ def match_all(text: Column, patterns: list[Pattern] | None = None) -> Column:
 
     An array of structs (pattern_name, dt, precision, confidence, matched_text, seq); invalid dates are left out.
     """
-    every = F.concat(*[_match(text, k, p) for k, p in enumerate(BUILT_IN if patterns is None else patterns)])
+    patterns = BUILT_IN if patterns is None else patterns
+    every = F.concat(*[_match(text, k, p) for k, p in enumerate(patterns)])
+    if all(p.core.startswith(_Y) for p in patterns):  # most names hold no year at all
+        every = F.when(text.rlike(_Y), every)
+        every = F.coalesce(every, F.array().cast(MATCHES))
     keyed = F.array_sort(F.transform(every, lambda x: F.struct((-x["confidence"]).alias("c"), (-precision_rank(x["precision"])).alias("p"), x["seq"].alias("s"), x.alias("m"))))
     return F.transform(keyed, lambda x: x["m"])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datelode.functions import paths
@@ -19,42 +17,79 @@ FOLDER_DISCOUNT, FOLDER_DECAY = 0.85, [1.0, 0.85, 0.7]
 COLUMNS = ["item_id", "ev_seq", "source", "dt", "precision", "confidence", "is_direct", "pattern_name", "matched_text", "folder_name"]
 
 
-def _rows(df: DataFrame, **columns) -> DataFrame:
-    for c in COLUMNS:
-        columns.setdefault(c, F.col(c) if c in df.columns else F.lit(None).cast("string"))
-    return df.select(*[columns[c].alias(c) for c in COLUMNS])
+TYPES = dict(zip(COLUMNS[1:], ("int", "string", "timestamp_ntz", "string", "double", "boolean", "string", "string", "string"), strict=True))
+
+
+def _entry(**columns: Column) -> Column:
+    """One piece of evidence as a struct; what is not given is null."""
+    return F.struct(*[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in TYPES.items()])
+
+
+def _if(condition: Column, entries: Column) -> Column:
+    """entries where condition holds, else none."""
+    return F.filter(entries, lambda e: condition & e["dt"].isNotNull())
+
+
+def _emit(items: DataFrame, *lists: Column) -> DataFrame:
+    """COLUMNS for every entry of the lists of each item: one pass over items, nothing is shuffled."""
+    return items.select("item_id", F.explode(F.concat(*lists)).alias("e")).select("item_id", *[f"e.{c}" for c in COLUMNS[1:]])
+
+
+def _has_metadata() -> Column:
+    return F.col("ext").isin(METADATA_EXTENSIONS) & ~F.col("unsupported")
+
+
+def _times(items: DataFrame) -> list[tuple[str, float, int]]:
+    return [(c, conf, k) for k, (c, conf) in enumerate((("exif_original", ORIGINAL), ("exif_digitized", DIGITIZED), ("exif_modify", MODIFIED))) if c in items.columns]
+
+
+def _exif(items: DataFrame) -> Column:
+    return _if(_has_metadata(), F.array(*[_entry(ev_seq=F.lit(k), source=F.lit("exif"), dt=F.col(c), precision=F.lit("second"), confidence=F.lit(conf), is_direct=F.lit(True)) for c, conf, k in _times(items)]))
+
+
+def _filesystem(items: DataFrame) -> Column:
+    bare = _has_metadata() & F.coalesce(*[F.col(c) for c, _, _ in _times(items)]).isNull()
+    return _if(bare, F.array(_entry(ev_seq=F.lit(3), source=F.lit("filesystem"), dt=F.col("mtime"), precision=F.lit("second"), confidence=F.lit(FILE_SYSTEM), is_direct=F.lit(False))))
+
+
+def _filename(patterns: list[Pattern] | None) -> Column:
+    keep = ("dt", "precision", "confidence", "pattern_name", "matched_text")
+    return _if(~F.col("unsupported"), F.transform(match_all(F.coalesce("stem", F.lit("")), patterns), lambda m, k: _entry(ev_seq=100 + k, source=F.lit("filename"), is_direct=F.lit(True), **{c: m[c] for c in keep})))
+
+
+def _foldername(patterns: list[Pattern] | None) -> Column:
+    decay = F.array(*map(F.lit, FOLDER_DECAY))
+
+    def one(name: Column, depth: Column) -> Column:
+        def entry(m: Column, k: Column) -> Column:
+            precision = F.when(precision_rank(m["precision"]) > 3, F.lit("day")).otherwise(m["precision"])
+            return _entry(ev_seq=1000 * (depth + 1) + k, source=F.lit("foldername"), dt=m["dt"], precision=precision, confidence=F.round(m["confidence"] * FOLDER_DISCOUNT * F.get(decay, depth), 3), is_direct=F.lit(False), pattern_name=m["pattern_name"], matched_text=m["matched_text"], folder_name=name)
+
+        return F.transform(match_all(name, patterns), entry)
+
+    return _if(~F.col("unsupported"), F.flatten(F.transform(paths.nearest_folders(F.coalesce("path", F.lit(""))), one)))
 
 
 def exif_evidence(items: DataFrame) -> DataFrame:
     """Up to three direct rows an item: original, digitized and modified time."""
-    fields = [(c, k, conf) for k, (c, conf) in enumerate((("exif_original", ORIGINAL), ("exif_digitized", DIGITIZED), ("exif_modify", MODIFIED))) if c in items.columns]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("dt"), F.lit(conf).alias("confidence")) for c, k, conf in fields]))
-    found = items.where(F.col("ext").isin(METADATA_EXTENSIONS) & ~F.col("unsupported")).select("item_id", each.alias("e")).where("e.dt IS NOT NULL")
-    return _rows(found, ev_seq=F.col("e.k"), source=F.lit("exif"), dt=F.col("e.dt"), precision=F.lit("second"), confidence=F.col("e.confidence"), is_direct=F.lit(True))
+    return _emit(items, _exif(items))
 
 
 def filesystem_evidence(items: DataFrame) -> DataFrame:
     """The modification time, indirect and weak, where no metadata time is there."""
-    times = [c for c in ("exif_original", "exif_digitized", "exif_modify") if c in items.columns]
-    bare = items.where(F.col("ext").isin(METADATA_EXTENSIONS) & ~F.col("unsupported") & F.coalesce(*times).isNull())
-    return _rows(bare, ev_seq=F.lit(3), source=F.lit("filesystem"), dt=F.col("mtime"), precision=F.lit("second"), confidence=F.lit(FILE_SYSTEM), is_direct=F.lit(False))
+    return _emit(items, _filesystem(items))
 
 
 def filename_evidence(items: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
     """One direct row for each pattern match in the stem."""
-    found = items.where(~F.col("unsupported")).select("item_id", F.posexplode(match_all(F.col("stem"), patterns)).alias("k", "m"))
-    return _rows(found, ev_seq=100 + F.col("k"), source=F.lit("filename"), is_direct=F.lit(True), **{c: F.col(f"m.{c}") for c in ("dt", "precision", "confidence", "pattern_name", "matched_text")})
+    return _emit(items, _filename(patterns))
 
 
 def foldername_evidence(items: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
     """Indirect rows for matches in the three nearest folders; weaker with distance, at most day precision."""
-    near = items.where(~F.col("unsupported")).select("item_id", F.posexplode(paths.nearest_folders(F.col("path"))).alias("depth", "folder_name"))
-    found = near.select("item_id", "depth", "folder_name", F.posexplode(match_all(F.col("folder_name"), patterns)).alias("k", "m"))
-    decay = F.element_at(F.array(*map(F.lit, FOLDER_DECAY)), F.col("depth") + 1)
-    precision = F.when(precision_rank(F.col("m.precision")) > 3, F.lit("day")).otherwise(F.col("m.precision"))
-    return _rows(found, ev_seq=1000 * (F.col("depth") + 1) + F.col("k"), source=F.lit("foldername"), is_direct=F.lit(False), precision=precision, confidence=F.round(F.col("m.confidence") * FOLDER_DISCOUNT * decay, 3), **{c: F.col(f"m.{c}") for c in ("dt", "pattern_name", "matched_text")})
+    return _emit(items, _foldername(patterns))
 
 
 def all_evidence(items: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
-    """The bag union of the four emitters; nothing is shuffled."""
-    return reduce(DataFrame.unionByName, [exif_evidence(items), filesystem_evidence(items), filename_evidence(items, patterns), foldername_evidence(items, patterns)])
+    """The bag union of the four emitters in one pass over items; nothing is shuffled."""
+    return _emit(items, _exif(items), _filesystem(items), _filename(patterns), _foldername(patterns))

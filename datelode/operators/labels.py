@@ -22,14 +22,22 @@ def bio_labels(text: Column, pattern: Column, start: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(text) - 1), at))
 
 
+def span_array(labels: Column) -> Column:
+    """Spans (field, begin, end behind) of one label array: a B, an O or another field ends a span; a stray I opens one.
+
+    Borders are the places where a span begins or an O stands, and the end; a span reaches to the next border.
+    """
+    label = lambda k: F.get(labels, k)
+    field = lambda k: F.when(label(k) != "O", F.substring_index(label(k), "-", -1))
+    border = lambda k: field(k).isNull() | label(k).startswith("B-") | ~field(k).eqNullSafe(field(k - 1))
+    borders = F.filter(F.sequence(F.lit(0), F.size(labels)), border)  # the place behind the last label has no field
+    found = F.transform(borders, lambda k, i: F.struct(field(k).alias("field"), k.alias("begin"), F.get(borders, i + 1).alias("end")))
+    return F.filter(found, lambda x: x["field"].isNotNull())
+
+
 def spans(labels: DataFrame) -> DataFrame:
-    """id, field, begin, end (behind) for labels(id, labels): a B, an O or another field ends a span; a stray I opens one."""
-    each = labels.select("id", F.posexplode("labels").alias("k", "label"))
-    w = Window.partitionBy("id").orderBy("k")  # bounded by the text
-    field = F.when(F.col("label") != "O", F.substring_index("label", "-", -1))
-    each = each.withColumn("field", field).withColumn("opens", F.col("field").isNotNull() & (F.col("label").startswith("B-") | (F.coalesce(F.lag("field").over(w), F.lit("")) != F.col("field"))))
-    each = each.withColumn("n", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(w)).where("field IS NOT NULL")
-    return each.groupBy("id", "n", "field").agg(F.min("k").alias("begin"), (F.max("k") + 1).alias("end")).select("id", "field", "begin", "end")
+    """id, field, begin, end for labels(id, labels); found inside each row, nothing is shuffled."""
+    return labels.select("id", F.explode(span_array(F.col("labels"))).alias("s")).select("id", "s.field", "s.begin", "s.end")
 
 
 def span_metrics(predicted: DataFrame, gold: DataFrame) -> DataFrame:

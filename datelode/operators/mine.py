@@ -23,7 +23,30 @@ _RANGE = ["(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
 
 
 def digit_lengths(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), F.length)
+    return F.transform(digit_values(text), F.length)
+
+
+def digit_values(text: Column) -> Column:
+    """The runs of digits of a text."""
+    return F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+
+
+def parse_digits(text: Column) -> Column:
+    """(precision, dt) that all digits of a text, one behind the other, stand for; null if they are no date.
+
+    Each number of digits has one reading (see FIELDS): schemes that put fields together differently give
+    the same fields.
+    """
+    s = F.array_join(digit_values(text), "")
+    n = F.length(s)
+    at = lambda a, k, low: F.when(n >= a + k - 1, F.substring(s, a, k).try_cast("int")).otherwise(F.lit(low))
+    year = F.substring(s, 1, 4).try_cast("int")
+    dt = F.try_make_timestamp_ntz(year, at(5, 2, 1), at(7, 2, 1), at(9, 2, 0), at(11, 2, 0), at(13, 2, 0).cast("decimal(16,6)"))
+    precision = F.lit(None).cast("string")
+    for total, name in PRECISION.items():
+        precision = F.when(n == total, F.lit(name)).otherwise(precision)
+    seconds = F.substring(s, 13, 2).try_cast("int")  # a 60th second is none here
+    return F.when(precision.isNotNull() & year.between(1900, 2100) & dt.isNotNull() & (F.coalesce(seconds, F.lit(0)) < 60), F.struct(precision.alias("precision"), dt.alias("dt")))
 
 
 def separators(text: Column) -> Column:
@@ -41,14 +64,17 @@ def name_parts(items: DataFrame) -> DataFrame:
 
 
 def signatures(parts: DataFrame) -> DataFrame:
-    """sig, lengths, seps, total, n, group_total of the digit structures of parts(item_id, text) that no built-in pattern dates to the day."""
+    """sig, lengths, seps, total, n, group_total of the digit structures of parts(item_id, text) that no built-in pattern dates to the day.
+
+    Equal texts are counted first, so each is matched once.
+    """
     best = F.get(match_all(F.col("text")), F.lit(0))
-    open_ = parts.where(~F.coalesce(precision_rank(best["precision"]) >= 3, F.lit(False)))
-    keyed = open_.select("text", digit_lengths(F.col("text")).alias("lengths"), separators(F.col("text")).alias("seps"))
+    open_ = parts.groupBy("text").agg(F.count("*").alias("rows")).where(~F.coalesce(precision_rank(best["precision"]) >= 3, F.lit(False)))
+    keyed = open_.select("text", "rows", digit_lengths(F.col("text")).alias("lengths"), separators(F.col("text")).alias("seps"))
     total = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
     keyed = keyed.where((total >= 4) & F.exists("lengths", lambda x: x >= 4)).withColumn("total", total)
     sig = F.concat(F.array_join(F.transform("lengths", lambda x: x.cast("string")), ","), F.lit("|"), F.array_join("seps", " "))
-    counted = keyed.groupBy(sig.alias("sig"), "lengths", "seps", "total").agg(F.count("*").alias("n"))
+    counted = keyed.groupBy(sig.alias("sig"), "lengths", "seps", "total").agg(F.sum("rows").alias("n"))
     groups = counted.groupBy("total").agg(F.sum("n").alias("group_total"))
     return counted.join(groups, "total").select("sig", "lengths", "seps", "total", "n", "group_total")
 
@@ -73,8 +99,8 @@ def _pattern(lengths: list[int], seps: list[str]) -> Pattern | None:
             field += 1
             left = FIELDS[total][field] if field < len(FIELDS[total]) else 0
         if k < len(seps):
-            out += {"W": "[^0-9]*[A-Za-z][^0-9]*", "?": "[^0-9]+"}.get(seps[k], f"[{re.escape(seps[k])}]")
-    bonus = 0.05 if len(lengths) >= 3 else 0.0
+            out += {"W": "[^0-9]+", "?": "[^0-9]?"}.get(seps[k], f"[{re.escape(seps[k])}]")
+    bonus = 0.05 if len(lengths) >= 3 and len(FIELDS[total]) >= 3 else 0.0
     name = "MINED_" + "_".join(map(str, lengths)) + "_" + PRECISION[total]
     return Pattern(name, out, PRECISION[total], min(BASE[PRECISION[total]] + bonus, CAP), len(FIELDS[total]), no_digit=True)
 
@@ -112,7 +138,7 @@ def _accepted(parts: DataFrame, found: list, limit: int) -> list[Pattern]:
     """The first patterns of found, at most limit, that date ACCEPT of their samples."""
     sig = F.concat(F.array_join(F.transform(digit_lengths(F.col("text")), lambda x: x.cast("string")), ","), F.lit("|"), F.array_join(separators(F.col("text")), " "))
     samples = parts.withColumn("sig", sig).where(F.col("sig").isin([r.sig for r, _ in found])).select("sig", "text").distinct()
-    w = Window.partitionBy("sig").orderBy(F.xxhash64("text"), "text")
+    w = Window.partitionBy("sig").orderBy(F.sha1(F.col("text").cast("binary")))
     samples = samples.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLES)
     rate = F.lit(None).cast("double")
     for r, p in found:

@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datelode.operators.components import saved
+
 # Light date tests of a name.
-LIGHT_DATES = [r"(19|20)[0-9]{6}", r"(19|20)[0-9]{2}[-_.][0-9]{1,2}", r"(19|20)[0-9]{2}年", r"[0-9]{1,2}月[0-9]{1,2}日"]
+LIGHT_DATES = [
+    r"(?<![0-9])(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[_-](?:[01][0-9]|2[0-3])[0-5][0-9][0-5][0-9])?(?![0-9])",
+    r"(?:19|20)[0-9]{2}[-_.](?:0[1-9]|1[0-2])[-_.](?:0[1-9]|[12][0-9]|3[01])",
+    r"(?:19|20)[0-9]{2}年(?:0?[1-9]|1[0-2])月(?:0?[1-9]|[12][0-9]|3[01])日",
+    r"(?<![0-9])(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?![0-9])",
+    r"(?:19|20)[0-9]{2}[-_.](?:0[1-9]|1[0-2])(?![-_.0-9])",
+    r"(?:19|20)[0-9]{2}年(?:0?[1-9]|1[0-2])月",
+    r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])",
+    r"(?:19|20)[0-9]{2}年",
+]
 
 
 def histogram(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -24,25 +35,33 @@ def length_bucket(n: Column) -> Column:
     return out.otherwise("65+")
 
 
-def char_class(c: Column) -> Column:
-    return F.when(c.rlike("[0-9]"), "digit").when(c.rlike("[A-Za-z]"), "latin").when(c.rlike("[\\x{4E00}-\\x{9FFF}]"), "han").when(c.isin("_", "-", ".", " ", "/", ":"), "separator").otherwise("other")
+# Classes of characters; what is in none is 'other'.
+CLASSES = {"digit": "[0-9]", "latin": "[A-Za-z]", "han": "[\\x{4E00}-\\x{9FFF}]", "separator": "[-_. /:]"}
 
 
 def char_histogram(texts: DataFrame, column: str) -> DataFrame:
-    """char_class, n over all characters: counted per text first, so only five numbers a text are exploded."""
-    return texts.select(F.explode(F.split(column, "")).alias("c")).where("c <> ''").groupBy(char_class(F.col("c")).alias("char_class")).agg(F.count("*").alias("n"))
+    """char_class, n over all characters: five counts a text are summed, no character becomes a row."""
+    t = F.coalesce(F.col(column), F.lit(""))
+    counts = {name: F.length(t) - F.length(F.regexp_replace(t, r, "")) for name, r in CLASSES.items()}
+    counts["other"] = F.length(F.regexp_replace(t, "|".join(CLASSES.values()), ""))
+    sums = texts.agg(*[F.sum(c.cast("long")).alias(name) for name, c in counts.items()])  # one row
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("char_class"), F.col(name).alias("n")) for name in counts])).alias("x")).select("x.*").where("n > 0")
 
 
 def percentile_at(values: DataFrame, column: str, p: int) -> DataFrame:
     """One row: the value at place min(floor(n * p / 100), n - 1) of the sorted column, without interpolation.
 
-    Values are counted first; the running count goes over distinct values only.
+    Values are counted, dealt by range and saved; the running count goes over the values of one range, on
+    top of the sums of the ranges before it (one row a range).
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("value"))).crossJoin(F.broadcast(total))  # total is one row
+    ranges = saved(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy("part").agg(F.sum("c").alias("s"))
+    every = Window.orderBy("part")
+    before = sums.select("part", (F.sum("s").over(every) - F.col("s")).alias("before"), F.sum("s").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("value"))
     place = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return running.where(F.col("upto") > place).agg(F.min("value").alias("value"), F.lit(p).alias("p"))
+    return ranges.join(F.broadcast(before), "part").withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("value").alias("value"), F.lit(p).alias("p"))
 
 
 def coverage(items: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def disambiguate(tokens: DataFrame) -> DataFrame:
     by_year = F.filter("candidates", lambda d: (F.year(d) == PLACEHOLDER_YEAR) | F.array_contains(years, F.year(d)))
     has_ends = F.col("time_start").isNotNull()
     months = F.flatten(F.transform(F.array(F.month("time_start"), F.month("time_end")), lambda m: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(m - 1 + k, F.lit(12)) + 1)))
-    t = tokens.withColumn("c1", F.when(F.size(by_year) > 0, by_year).otherwise(F.col("candidates")))
+    t = tokens.withColumn("c1", F.when((F.size(years) > 0) & (F.size(by_year) > 0), by_year).otherwise(F.col("candidates")))
     by_month = F.filter("c1", lambda d: (F.year(d) == PLACEHOLDER_YEAR) | F.array_contains(months, F.month(d)))
     t = t.withColumn("c2", F.when((F.size("c1") > 1) & has_ends & (F.size(by_month) > 0), by_month).otherwise(F.col("c1")))
     filled = F.transform("c2", lambda d: F.when(F.year(d) == PLACEHOLDER_YEAR, F.coalesce(_date(F.get(years, F.lit(0)), F.month(d), F.dayofmonth(d)), d)).otherwise(d))
@@ -160,9 +160,10 @@ def interpolate(members: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.withColumn("with_anchor", F.max("is_anchor").over(in_folder)).withColumn("n", F.row_number().over(order) - 1)
     here = F.when(F.col("is_anchor"), F.struct(F.col("n").alias("n"), F.col("t").alias("t"), F.col("c").alias("c"), F.col("folder").alias("folder")))
     rows = rows.withColumn("a", here)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*session).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # the same order backwards: a running frame, linear in the session
     rows = rows.withColumns({
-        "prev": F.last("a", ignorenulls=True).over(before), "next": F.first("a", ignorenulls=True).over(after),
+        "prev": F.last("a", ignorenulls=True).over(before), "next": F.last("a", ignorenulls=True).over(after),
         "first": F.min("a").over(whole), "last": F.max("a").over(whole), "n_anchors": F.count("a").over(whole), "t0": F.min("t").over(whole), "t1": F.max("t").over(whole),
     })
     seconds = lambda a, b: micros_between(a, b) / 1e6

@@ -6,6 +6,7 @@ from datelode.functions.patterns import BUILT_IN
 from datelode.functions.timeparts import PRECISIONS
 from datelode.operators.evidence import FOLDER_DECAY, FOLDER_DISCOUNT, METADATA_EXTENSIONS
 from datelode.operators.labels import FIELD_WIDTH
+from datelode.operators.profile import LIGHT_DATES
 from datelode.plans.export import EXTENSION, FORMATS, KINDS
 from datelode.sources.album import FACTS, FOLDER, FORMAT, NAME, PART, SCREEN_RATIO, SCREENS
 
@@ -16,7 +17,7 @@ ALBUM = f"""
 e0 AS (SELECT *, {", ".join(f"lpad(CAST(CAST(extract({u} FROM ts) AS INT) AS STRING), {n}, '0') AS {k}" for k, (u, n) in PART.items())} FROM events),
 e1 AS (SELECT *, {NAME} AS filename, {FOLDER} AS folder_name, {", ".join(f"{v} AS {k}" for k, v in FACTS.items())} FROM e0),
 e2 AS (SELECT *, 'u' || CAST(user_id AS STRING) || '/' || folder_name || '/' || filename AS relpath, regexp_replace(filename, '\\.[^.]*$', '') AS stem, lower(regexp_extract(filename, '\\.([^.]*)$', 1)) AS ext FROM e1),
-album AS (SELECT *, sha1(relpath || ':' || CAST(event_id AS STRING)) AS item_id, {FORMAT} AS format_real FROM e2)"""
+album AS MATERIALIZED (SELECT *, sha1(relpath || ':' || CAST(event_id AS STRING)) AS item_id, {FORMAT} AS format_real FROM e2)"""
 
 SHOTS = " OR ".join(f"(least(width, height) = {min(s)} AND greatest(width, height) = {max(s)})" for s in SCREENS) + f" OR greatest(width, height) / least(width, height) > {SCREEN_RATIO}"
 
@@ -34,28 +35,28 @@ def _pattern_rows(source: str, text: str, carry: str) -> str:
 
 _ORDER = f"confidence DESC, {_RANK('precision')} DESC, k"
 EVIDENCE = f"""{ALBUM},
-live AS (SELECT * FROM album WHERE NOT unsupported),
+live AS MATERIALIZED (SELECT * FROM album WHERE NOT unsupported),
 ex AS (SELECT item_id, ev_seq, 'exif' AS source, dt, 'second' AS precision, confidence, TRUE AS is_direct FROM (
   SELECT item_id, 0 AS ev_seq, exif_original AS dt, 1e0 AS confidence FROM live WHERE ext IN ({_CONTENT}) UNION ALL SELECT item_id, 1, exif_digitized, 0.9e0 FROM live WHERE ext IN ({_CONTENT})) WHERE dt IS NOT NULL),
 fs AS (SELECT item_id, 3 AS ev_seq, 'filesystem' AS source, mtime AS dt, 'second' AS precision, 0.2e0 AS confidence, FALSE AS is_direct FROM live WHERE ext IN ({_CONTENT}) AND exif_original IS NULL AND exif_digitized IS NULL),
-fn0 AS ({_pattern_rows("live", "stem", "item_id")}),
-fn AS (SELECT item_id, CAST(99 + row_number() OVER (PARTITION BY item_id ORDER BY {_ORDER}) AS INT) AS ev_seq, 'filename' AS source, dt, precision, confidence, TRUE AS is_direct, pattern_name, matched_text FROM fn0),
+fn0 AS MATERIALIZED ({_pattern_rows("live", "stem", "item_id")}),
+fn AS MATERIALIZED (SELECT item_id, CAST(99 + row_number() OVER (PARTITION BY item_id ORDER BY {_ORDER}) AS INT) AS ev_seq, 'filename' AS source, dt, precision, confidence, TRUE AS is_direct, pattern_name, matched_text FROM fn0),
 levels AS (SELECT item_id, 0 AS depth, folder_name AS name FROM live UNION ALL SELECT item_id, 1, 'u' || CAST(user_id AS STRING) FROM live UNION ALL SELECT item_id, 2, 'album' FROM live),
-fo0 AS ({_pattern_rows("levels", "name", "item_id, depth, name")}),
-fo AS (SELECT item_id, CAST(1000 * (depth + 1) - 1 + row_number() OVER (PARTITION BY item_id, depth ORDER BY {_ORDER}) AS INT) AS ev_seq, 'foldername' AS source, dt,
+fo0 AS MATERIALIZED ({_pattern_rows("levels", "name", "item_id, depth, name")}),
+fo AS MATERIALIZED (SELECT item_id, CAST(1000 * (depth + 1) - 1 + row_number() OVER (PARTITION BY item_id, depth ORDER BY {_ORDER}) AS INT) AS ev_seq, 'foldername' AS source, dt,
   CASE WHEN {_RANK("precision")} > 3 THEN 'day' ELSE precision END AS precision, round(confidence * {FOLDER_DISCOUNT}e0 * CASE depth WHEN 0 THEN {FOLDER_DECAY[0]}e0 WHEN 1 THEN {FOLDER_DECAY[1]}e0 ELSE {FOLDER_DECAY[2]}e0 END, 3) AS confidence, FALSE AS is_direct, name FROM fo0),
-ev AS (SELECT * FROM ex UNION ALL SELECT * FROM fs UNION ALL SELECT item_id, ev_seq, source, dt, precision, confidence, is_direct FROM fn UNION ALL SELECT item_id, ev_seq, source, dt, precision, confidence, is_direct FROM fo)"""
+ev AS MATERIALIZED (SELECT * FROM ex UNION ALL SELECT * FROM fs UNION ALL SELECT item_id, ev_seq, source, dt, precision, confidence, is_direct FROM fn UNION ALL SELECT item_id, ev_seq, source, dt, precision, confidence, is_direct FROM fo)"""
 
 
 def _resolve(ev: str) -> str:
     last = "- INTERVAL '1' MICROSECOND"
     wide = lambda u: f"date_trunc('{u}', dt)"
     return f"""
-rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY is_direct DESC, confidence DESC, {_RANK("precision")} DESC, ev_seq) AS rn FROM {ev} WHERE dt IS NOT NULL),
-pr AS (SELECT * FROM rk WHERE rn = 1),
-cf AS (SELECT rk.item_id, count(*) FILTER (WHERE rk.rn > 1 AND rk.confidence >= 0.5 AND abs(date_diff('microsecond', pr.dt, rk.dt)) > CASE WHEN rk.source = pr.source THEN 60 ELSE 30 END * 86400000000) AS n_conflicts FROM rk JOIN pr USING (item_id) GROUP BY 1),
-sm AS (SELECT item_id, string_agg(source, ',' ORDER BY rn) AS source_summary FROM (SELECT item_id, source, min(rn) AS rn FROM rk GROUP BY 1, 2) GROUP BY 1),
-resolved AS (SELECT item_id, dt AS final_datetime, confidence, precision,
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY is_direct DESC, confidence DESC, {_RANK("precision")} DESC, ev_seq) AS rn FROM {ev} WHERE dt IS NOT NULL),
+pr AS MATERIALIZED (SELECT * FROM rk WHERE rn = 1),
+cf AS MATERIALIZED (SELECT rk.item_id, count(*) FILTER (WHERE rk.rn > 1 AND rk.confidence >= 0.5 AND abs(date_diff('microsecond', pr.dt, rk.dt)) > CASE WHEN rk.source = pr.source THEN 60 ELSE 30 END * 86400000000) AS n_conflicts FROM rk JOIN pr USING (item_id) GROUP BY 1),
+sm AS MATERIALIZED (SELECT item_id, string_agg(source, ',' ORDER BY rn) AS source_summary FROM (SELECT item_id, source, min(rn) AS rn FROM rk GROUP BY 1, 2) GROUP BY 1),
+resolved AS MATERIALIZED (SELECT item_id, dt AS final_datetime, confidence, precision,
   CASE precision WHEN 'second' THEN dt WHEN 'minute' THEN dt - INTERVAL '30' SECOND WHEN 'hour' THEN dt - INTERVAL '30' MINUTE WHEN 'day' THEN {wide("day")} WHEN 'month' THEN {wide("month")} WHEN 'year' THEN {wide("year")} END AS range_start,
   CASE precision WHEN 'second' THEN dt WHEN 'minute' THEN dt + INTERVAL '30' SECOND WHEN 'hour' THEN dt + INTERVAL '30' MINUTE WHEN 'day' THEN {wide("day")} + INTERVAL '1' DAY {last} WHEN 'month' THEN {wide("month")} + INTERVAL '1' MONTH {last} WHEN 'year' THEN {wide("year")} + INTERVAL '1' YEAR {last} END AS range_end,
   source AS primary_source, source_summary, n_conflicts FROM pr JOIN cf USING (item_id) JOIN sm USING (item_id))"""
@@ -66,20 +67,20 @@ ORDERS = """oe AS (SELECT o_orderkey AS item_id, 0 AS ev_seq, 'order' AS source,
   UNION ALL SELECT l_orderkey, l_linenumber, 'ship', CAST(l_shipdate AS TIMESTAMP), 'second', 0.55e0, FALSE FROM lineitem),""" + _resolve("oe")
 
 SCORED = f"""{RESOLVED},
-scored AS (SELECT a.*, r.final_datetime, r.confidence, r.n_conflicts, r.primary_source, CASE WHEN r.confidence >= 0.9 THEN 2e0 WHEN r.confidence >= 0.7 THEN 1e0 ELSE 0e0 END + CASE WHEN exif_original IS NOT NULL THEN 3e0 ELSE 0e0 END + CASE WHEN has_gps THEN 0.5e0 ELSE 0e0 END
+scored AS MATERIALIZED (SELECT a.*, r.final_datetime, r.confidence, r.n_conflicts, r.primary_source, CASE WHEN r.confidence >= 0.9 THEN 2e0 WHEN r.confidence >= 0.7 THEN 1e0 ELSE 0e0 END + CASE WHEN exif_original IS NOT NULL THEN 3e0 ELSE 0e0 END + CASE WHEN has_gps THEN 0.5e0 ELSE 0e0 END
   + CASE WHEN (ext = 'jpg' AND format_real = 'JPEG') OR (ext = 'png' AND format_real = 'PNG') OR (ext = 'heic' AND format_real = 'HEIF') THEN 1e0 ELSE 0e0 END - CASE WHEN {SHOTS} THEN 1e0 ELSE 0e0 END AS score
   FROM album a LEFT JOIN resolved r USING (item_id)),
-dups AS (SELECT item_id, sha1 AS group_id, CAST(row_number() OVER (PARTITION BY sha1 ORDER BY score DESC, filesize DESC, relpath) - 1 AS INT) AS dup_rank, 'sha1' AS kind
+dups AS MATERIALIZED (SELECT item_id, sha1 AS group_id, CAST(row_number() OVER (PARTITION BY sha1 ORDER BY score DESC, filesize DESC, relpath) - 1 AS INT) AS dup_rank, 'sha1' AS kind
   FROM scored WHERE sha1 IN (SELECT sha1 FROM album WHERE sha1 <> '' GROUP BY 1 HAVING count(*) > 1))"""
 
 _MISMATCH = "(format_real <> '' AND (" + " OR ".join(f"ext = '{e}' AND format_real NOT IN ('{"', '".join(f)}')" for e, f in FORMATS.items()) + "))"
 _TARGET = "CASE format_real " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSION.items()) + " ELSE ext END"
 _KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
 PLAN = f"""{SCORED},
-p0 AS (SELECT s.*, d.group_id, d.dup_rank, d.kind, {_MISMATCH} AS bad, coalesce(d.dup_rank > 0, FALSE) AS dup FROM scored s LEFT JOIN dups d USING (item_id)),
-p1 AS (SELECT *, CASE WHEN bad THEN {_TARGET} ELSE ext END AS target, concat_ws('; ', CASE WHEN final_datetime IS NULL THEN 'time unresolved' WHEN confidence < 0.6 THEN 'low confidence (' || printf('%.2f', confidence) || ' < 0.6)' END,
+p0 AS MATERIALIZED (SELECT s.*, d.group_id, d.dup_rank, d.kind, {_MISMATCH} AS bad, coalesce(d.dup_rank > 0, FALSE) AS dup FROM scored s LEFT JOIN dups d USING (item_id)),
+p1 AS MATERIALIZED (SELECT *, CASE WHEN bad THEN {_TARGET} ELSE ext END AS target, concat_ws('; ', CASE WHEN final_datetime IS NULL THEN 'time unresolved' WHEN confidence < 0.6 THEN 'low confidence (' || printf('%.2f', confidence) || ' < 0.6)' END,
   CASE WHEN n_conflicts > 0 THEN 'time conflict detected' END, CASE WHEN bad THEN 'format mismatch: .' || ext || ' but actually ' || format_real END) AS reasons FROM p0),
-plan AS (SELECT item_id, relpath AS source_relpath, CASE WHEN unsupported THEN 'skip_unsupported' WHEN dup THEN 'duplicate' WHEN bad THEN 'convert' ELSE 'copy' END AS action,
+plan AS MATERIALIZED (SELECT item_id, relpath AS source_relpath, CASE WHEN unsupported THEN 'skip_unsupported' WHEN dup THEN 'duplicate' WHEN bad THEN 'convert' ELSE 'copy' END AS action,
   CASE WHEN unsupported THEN 'unsupported' WHEN dup THEN 'duplicate' WHEN reasons <> '' THEN 'review' ELSE 'confident' END AS bucket,
   CASE WHEN unsupported THEN 'unsupported format: .' || ext WHEN dup THEN {_KIND} || ' duplicate (group=' || substr(group_id, 1, 8) || '…, rank=' || CAST(dup_rank AS STRING) || ')' WHEN reasons <> '' THEN reasons ELSE 'ok' END AS reason,
   CASE WHEN NOT unsupported AND NOT dup AND target <> ext THEN regexp_replace(relpath, '\\.[^./]*$', '.' || target) ELSE relpath END AS dest_relpath, ext AS source_ext, CASE WHEN unsupported OR dup THEN ext ELSE target END AS target_ext,
@@ -99,13 +100,13 @@ HASH = """hs AS (SELECT vec_id AS id, list_reduce(list_transform(range(1, 65), l
 hp AS (SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM hs a JOIN hs b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 16)"""
 
 SESSIONS = f"""{RESOLVED},
-dated AS (SELECT a.*, r.final_datetime, r.confidence FROM album a LEFT JOIN resolved r USING (item_id)),
+dated AS MATERIALIZED (SELECT a.*, r.final_datetime, r.confidence FROM album a LEFT JOIN resolved r USING (item_id)),
 an0 AS (SELECT *, CASE WHEN date_diff('microsecond', lag(final_datetime) OVER w, final_datetime) > 21600000000 THEN 1 ELSE 0 END AS new FROM dated WHERE final_datetime IS NOT NULL AND confidence >= 0.6 WINDOW w AS (PARTITION BY user_id ORDER BY final_datetime, item_id)),
-an AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY final_datetime, item_id ROWS UNBOUNDED PRECEDING) AS INT) AS session_idx, 'u' || CAST(user_id AS STRING) || '/' || folder_name AS folder FROM an0),
-st AS (SELECT user_id, session_idx, min(final_datetime) AS time_start, max(final_datetime) AS time_end, count(*) AS n_anchors, string_agg(DISTINCT CAST(year(final_datetime) AS STRING), ',' ORDER BY CAST(year(final_datetime) AS STRING)) AS year_candidates, min(year(final_datetime)) AS y0, list(DISTINCT year(final_datetime)) AS years,
+an AS MATERIALIZED (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY final_datetime, item_id ROWS UNBOUNDED PRECEDING) AS INT) AS session_idx, 'u' || CAST(user_id AS STRING) || '/' || folder_name AS folder FROM an0),
+st AS MATERIALIZED (SELECT user_id, session_idx, min(final_datetime) AS time_start, max(final_datetime) AS time_end, count(*) AS n_anchors, string_agg(DISTINCT CAST(year(final_datetime) AS STRING), ',' ORDER BY CAST(year(final_datetime) AS STRING)) AS year_candidates, min(year(final_datetime)) AS y0, list(DISTINCT year(final_datetime)) AS years,
   arg_min(folder, (final_datetime, item_id)) AS first_folder FROM an GROUP BY 1, 2),
 fl AS (SELECT d.item_id, d.user_id, coalesce((SELECT min(session_idx) FROM st WHERE st.user_id = d.user_id AND st.first_folder = 'u' || CAST(d.user_id AS STRING) || '/' || d.folder_name), 0) AS session_idx FROM dated d WHERE d.final_datetime IS NULL OR d.confidence < 0.6),
-members AS (SELECT item_id, user_id, session_idx, TRUE AS is_anchor FROM an UNION ALL SELECT item_id, user_id, session_idx, FALSE FROM fl)"""
+members AS MATERIALIZED (SELECT item_id, user_id, session_idx, TRUE AS is_anchor FROM an UNION ALL SELECT item_id, user_id, session_idx, FALSE FROM fl)"""
 
 TOKENS = f"""{SESSIONS},
 fp AS (SELECT item_id, 0 AS depth, folder_name AS folder_text FROM live UNION ALL SELECT item_id, 1, 'u' || CAST(user_id AS STRING) FROM live),
@@ -143,13 +144,17 @@ lc AS (SELECT id, k, {_LABEL} AS label FROM (SELECT *, unnest(range(0, length(st
 sp AS (SELECT id, substr(label, 3) AS field, CAST(min(k) AS INT) AS begin, CAST(max(k) + 1 AS INT) AS "end" FROM lc WHERE label <> 'O' GROUP BY 1, 2)"""
 
 SIGS = f"""{EVIDENCE},
-tx AS (SELECT item_id, stem AS text FROM album UNION ALL SELECT item_id, folder_name FROM album UNION ALL SELECT item_id, 'u' || CAST(user_id AS STRING) FROM album UNION ALL SELECT item_id, 'album' FROM album),
-tm0 AS ({_pattern_rows("tx", "text", "item_id, text")}),
+tx AS MATERIALIZED (SELECT item_id, stem AS text FROM album UNION ALL SELECT item_id, folder_name FROM album UNION ALL SELECT item_id, 'u' || CAST(user_id AS STRING) FROM album UNION ALL SELECT item_id, 'album' FROM album),
+tm0 AS MATERIALIZED ({_pattern_rows("tx", "text", "item_id, text")}),
 cv AS (SELECT DISTINCT text FROM (SELECT text, first(precision ORDER BY {_ORDER}) AS precision FROM (SELECT DISTINCT text, k, precision, confidence FROM tm0) GROUP BY 1) WHERE {_RANK("precision")} >= 3),
 sg AS (SELECT list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)) AS l, list_transform(list_filter(regexp_extract_all(regexp_replace(text, '^[^0-9]+|[^0-9]+$', '', 'g'), '[^0-9]+'), lambda x: regexp_matches(text, '[0-9]')), lambda x: CASE WHEN regexp_matches(x, '\\pL') THEN 'W' WHEN regexp_extract(x, '[-_./: ]') <> '' THEN regexp_extract(x, '[-_./: ]') ELSE '?' END) AS seps FROM tx WHERE text NOT IN (SELECT text FROM cv)),
 sc AS (SELECT array_to_string(l, ',') || '|' || array_to_string(seps, ' ') AS sig, CAST(list_sum(l) AS INT) AS total, count(*) AS n FROM sg WHERE list_sum(l) >= 4 AND list_max(l) >= 4 GROUP BY 1, 2)"""
 
 
+# the light date tests without look-arounds: neighbours are matched instead
+LIGHT = "(" + " OR ".join(f"regexp_matches({{0}}, '{x}')" for x in (r.replace("(?<![0-9])", "(?:^|[^0-9])").replace("(?![0-9])", "(?:[^0-9]|$)").replace("(?![-_.0-9])", "(?:[^-_.0-9]|$)").replace("{", "{{").replace("}", "}}") for r in LIGHT_DATES)) + ")"
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
@@ -182,7 +187,7 @@ def sql() -> dict[str, str]:
         "folder_prefix": _with(SESSIONS, "SELECT m.user_id, session_idx, count(*) AS n_items, 'u' || CAST(m.user_id AS STRING) || CASE WHEN count(DISTINCT folder_name) = 1 THEN '/' || min(folder_name) ELSE '' END AS folder_path FROM members m JOIN album USING (item_id) GROUP BY 1, 2"),
         "struct_tokens": _with(TOKENS, "SELECT item_id, folder_text, depth, len(c) AS n_candidates, array_to_string(list_transform(c, lambda x: strftime(x, '%Y-%m-%d')), ',') AS dates FROM tokens"),
         "struct_resolve": _with(TOKENS + """, t0 AS (SELECT t.*, years, y0, time_start, time_end, n_anchors FROM tokens t JOIN members USING (item_id) LEFT JOIN st USING (user_id, session_idx) WHERE len(c) > 1),
-            t1 AS (SELECT *, list_filter(c, lambda x: year(x) = 2000 OR coalesce(list_contains(years, year(x)), FALSE)) AS f FROM t0), t2 AS (SELECT *, CASE WHEN len(f) > 0 THEN f ELSE c END AS c1 FROM t1),
+            t1 AS (SELECT *, list_filter(c, lambda x: year(x) = 2000 OR coalesce(list_contains(years, year(x)), FALSE)) AS f FROM t0), t2 AS (SELECT *, CASE WHEN y0 IS NOT NULL AND len(f) > 0 THEN f ELSE c END AS c1 FROM t1),
             t3 AS (SELECT *, list_filter(c1, lambda x: year(x) = 2000 OR (month(x) - month(time_start) + 12) % 12 IN (0, 1, 11) OR (month(x) - month(time_end) + 12) % 12 IN (0, 1, 11)) AS f2 FROM t2), t4 AS (SELECT *, CASE WHEN len(c1) > 1 AND time_start IS NOT NULL AND len(f2) > 0 THEN f2 ELSE c1 END AS c2 FROM t3),
             t5 AS (SELECT *, CASE WHEN y0 IS NULL THEN c2 ELSE list_transform(c2, lambda x: CASE WHEN year(x) = 2000 THEN coalesce(TRY_CAST(CAST(y0 AS STRING) || strftime(x, '-%m-%d') AS DATE), x) ELSE x END) END AS c3 FROM t4),
             t6 AS (SELECT *, len(list_distinct(c3)) AS n, len(list_distinct(list_transform(c3, lambda x: year(x)))) = 1 AS y, len(list_distinct(list_transform(c3, lambda x: month(x)))) = 1 AS mo, len(list_distinct(list_transform(c3, lambda x: day(x)))) = 1 AS d, len(list_filter(c, lambda x: year(x) = 2000)) > 0 AS ph FROM t5),
@@ -205,7 +210,7 @@ def sql() -> dict[str, str]:
         "profile_percentiles": _with(ALBUM, "SELECT v[least(CAST(floor(len(v) * p / 100) AS BIGINT), len(v) - 1) + 1] AS value, p FROM (SELECT list(filesize ORDER BY filesize) AS v FROM album), (SELECT unnest([95, 50]) AS p)"),
         "profile_ext": _with(ALBUM, "SELECT ext, count(*) AS n FROM album GROUP BY 1"),
         "profile_length": _with(ALBUM, "SELECT CASE WHEN l <= 4 THEN '0-4' WHEN l <= 8 THEN '5-8' WHEN l <= 12 THEN '9-12' WHEN l <= 16 THEN '13-16' WHEN l <= 24 THEN '17-24' WHEN l <= 32 THEN '25-32' WHEN l <= 48 THEN '33-48' WHEN l <= 64 THEN '49-64' ELSE '65+' END AS bucket, count(*) AS n FROM (SELECT length(stem) AS l FROM album) GROUP BY 1"),
-        "light_dates": _with(ALBUM, "SELECT regexp_matches(stem, '(19|20)[0-9]{6}') OR regexp_matches(stem, '(19|20)[0-9]{2}[-_.][0-9]{1,2}') OR regexp_matches(stem, '(19|20)[0-9]{2}年') OR regexp_matches(stem, '[0-9]{1,2}月[0-9]{1,2}日') AS has_date, count(*) AS n FROM album GROUP BY 1"),
+        "light_dates": _with(ALBUM, f"SELECT {LIGHT.format('stem')} AS has_date, count(*) AS n FROM album GROUP BY 1"),
         "top_folders": _with(ALBUM, "SELECT folder_name AS folder, count(*) AS n FROM album GROUP BY 1 ORDER BY n DESC, folder LIMIT 20"),
         "run_summary": _with(RESOLVED, "SELECT count(*) AS total, count(final_datetime) AS resolved, count(exif_original) AS has_exif, count(*) FILTER (WHERE coalesce(confidence < 0.6, TRUE)) AS low_confidence, count(*) FILTER (WHERE n_conflicts > 0) AS conflicts FROM album LEFT JOIN resolved USING (item_id)"),
         "bio_labels": _with(LABELS, "SELECT id, string_agg(label, ' ' ORDER BY k) AS labels FROM lc GROUP BY 1"),
