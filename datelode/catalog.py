@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from datelode import oracles
 from datelode.functions.vectors import sign_hash
-from datelode.operators import dedup, evidence, labels, mine, profile, resolve, similar, timeline
+from datelode import stages
+from datelode.functions import values
+from datelode.operators import compare, dataset, dedup, evidence, labels, mine, profile, resolve, similar, tagger, timeline
 from datelode.operators.components import saved
 from datelode.plans import export
-from datelode.sources import logs
+from datelode.sources import checkpoint, logs
 from datelode.sources.album import album, with_screenshot
 
 HAMMING_LIMIT, COSINE, LEND_COSINE = 16, 0.35, 0.3
@@ -281,6 +283,167 @@ def label_weights(spark, sf_dir):
     return labels.label_weights(_labelled(spark, sf_dir))
 
 
+def _tagged(spark, sf_dir) -> DataFrame:
+    """Spans as a tagger would give them, with a rule for how sure it is."""
+    rows = _labelled(spark, sf_dir)
+    spans = rows.select("id", "stem", F.explode(labels.span_array(F.col("labels"))).alias("s")).select("id", "stem", "s.*")
+    return spans.select("id", "field", F.substring("stem", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("value"), (0.5 + (F.col("begin") % 5) / 10).alias("confidence"), F.lit(0.9).alias("clf"))
+
+
+def tagger_dates(spark, sf_dir):
+    return tagger.dates(_tagged(spark, sf_dir)).select("id", F.size("fields").alias("n_fields"), "precision", "dt", "confidence")
+
+
+def tagger_evidence(spark, sf_dir):
+    rows = tagger.dates(_tagged(spark, sf_dir))
+    depth = F.when(F.col("id") < "8", -1).when(F.col("id") < "a", 0).when(F.col("id") < "c", 1).otherwise(4)
+    return tagger.evidence(rows.withColumn("depth", depth).withColumn("source", F.when(depth < 0, F.lit("stem")).otherwise(F.lit("folder"))))
+
+
+def char_ids(spark, sf_dir):
+    items = album(spark, sf_dir)
+    return tagger.encode(items.select("item_id", "stem"), "stem", labels.vocabulary(items, "stem", min_freq=500)).select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+def tag_errors(spark, sf_dir):
+    gold = labels.spans(_labelled(spark, sf_dir))
+    guess = gold.where("field <> 'SECOND' AND id < 'f'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end")))
+    return tagger.error_counts(tagger.error_types(guess, gold))
+
+
+def label_shares(spark, sf_dir):
+    """Softmax and arg max over the first four numbers of each vector, taken for logits."""
+    shares = tagger.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: 4.0 * x.cast("double")))
+    rows = _read(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", shares.alias("p"))
+    return rows.select("vec_id", tagger.argmax(F.col("p")).cast("int").alias("best"), F.round(F.array_max("p"), 6).alias("share"))
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    items = album(spark, sf_dir).select("item_id", "relpath", "stem", "exif_original")
+    return dataset.segments(items.join(_resolved(spark, sf_dir).select("item_id", "confidence"), "item_id", "left"))
+
+
+def segment_samples(spark, sf_dir):
+    return dataset.verdicts(_segments(spark, sf_dir), max_length=24).groupBy("source", "status").agg(F.count("*").alias("n"))
+
+
+def segment_counts(spark, sf_dir):
+    return dataset.segment_counts(_segments(spark, sf_dir))
+
+
+def select_intervals(spark, sf_dir):
+    """Greedy choice of ship intervals of each order that do not overlap: n_kept, days and the lines kept."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    one = F.struct((F.col("l_linenumber") % 3).alias("rank"), day.alias("begin"), (day + F.col("l_quantity").cast("int")).alias("end"), F.col("l_linenumber").alias("line"))
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("x"))  # the lines of one order
+    kept = rows.select("l_orderkey", dataset.select_intervals(F.col("x")).alias("k"))
+    return kept.select("l_orderkey", F.size("k").alias("n_kept"), F.array_join(F.array_sort(F.transform("k", lambda x: x["line"].cast("string"))), ",").alias("lines"))
+
+
+def checkpoint_restore(spark, sf_dir):
+    flags, sup = F.array().cast("array<string>"), F.array(F.lit("UNSUPPORTED"))
+    items = album(spark, sf_dir).withColumns({"flags": F.when(F.col("unsupported"), sup).otherwise(flags), "completed_stages": flags})
+    known = items.where("event_id % 3 = 0").select("item_id", "event_id")
+    first = known.select("item_id", F.lit(1).alias("seq"), F.array(F.lit("OLD")).alias("flags"), F.array(F.lit("scan")).alias("completed_stages"), F.lit("stale").alias("sha1"), F.lit(1).alias("width"))
+    second = known.where("event_id % 2 = 0").select("item_id", F.lit(2).alias("seq"), F.when(F.col("event_id") % 4 == 0, F.array(F.lit("NO_EXIF"))).alias("flags"), F.array(F.lit("scan"), F.lit("exif")).alias("completed_stages"), F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("s"), F.col("event_id").cast("string"))).alias("sha1"), (F.col("event_id") % 7).cast("int").alias("width"))
+    items = items.select("item_id", "flags", "completed_stages", "sha1", F.col("width").cast("int").alias("width"))
+    return checkpoint.restore(items, first.unionByName(second)).select("item_id", F.array_join("flags", ",").alias("flags"), F.array_join("completed_stages", ",").alias("stages"), "sha1", "width")
+
+
+def snapshot_stats(spark, sf_dir):
+    items = album(spark, sf_dir).join(_resolved(spark, sf_dir).select("item_id", "final_datetime", "n_conflicts"), "item_id", "left")
+    flags = F.array_compact(F.array(F.when(F.col("unsupported"), "UNSUPPORTED"), F.when(F.col("exif_original").isNull(), "NO_EXIF"), F.when(F.col("n_conflicts") > 0, "CONFLICT_TIME")))
+    stage = F.array_compact(F.array(F.lit("scan"), F.when(~F.col("unsupported"), "exif")))
+    return checkpoint.snapshot_stats(items.withColumns({"flags": flags, "completed_stages": stage, "embedding": F.when(F.col("event_id") % 4 == 0, F.lit(1))}))
+
+
+def json_rows(spark, sf_dir):
+    return checkpoint.json_rows(album(spark, sf_dir), "item_id", "relpath", "filesize")
+
+
+def before_after(spark, sf_dir):
+    return compare.improved(_dated(spark, sf_dir).select("item_id", "final_datetime", "confidence"), interpolate(spark, sf_dir))
+
+
+def timeline_spread(spark, sf_dir):
+    return compare.spread(interpolate(spark, sf_dir))
+
+
+def confidence_bins(spark, sf_dir):
+    return _resolved(spark, sf_dir).groupBy(compare.bins(F.col("confidence"), (0.9, 0.7, 0.5)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def reresolve(spark, sf_dir):
+    """Vectors of which two thirds have a time lend to their neighbours; everything is resolved again."""
+    v = _vectors(spark, sf_dir)
+    dt = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 365 as int))")
+    known = v.where("id % 3 <> 0").select(F.col("id").alias("item_id"), F.lit(0).alias("ev_seq"), F.lit("known").alias("source"), dt.alias("dt"), F.lit("second").alias("precision"), (F.lit(0.5) + (F.col("id") % 5) / 10).alias("confidence"), F.lit(True).alias("is_direct"))
+    return _flat(similar.improve(known, similar.nearest(v, v, 5, LEND_COSINE))).select("item_id", "final_datetime", "confidence", "primary_source", "source_summary", "n_conflicts")
+
+
+def best_evidence(spark, sf_dir):
+    return resolve.best_evidence(evidence.all_evidence(album(spark, sf_dir))).select("item_id", "ev_seq", "source", "dt", "confidence")
+
+
+def direct_evidence(spark, sf_dir):
+    every = evidence.all_evidence(album(spark, sf_dir))
+    return resolve.evidence_by(every, source="filename", direct=True).groupBy("precision").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+
+
+def _hashed(spark, sf_dir) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", sign_hash(F.col("embedding")).alias("h"))
+    return rows.withColumn("sha1", F.expr("CASE WHEN id % 9 = 0 THEN '' WHEN id % 4 = 0 THEN sha1('c' || CAST(id - id % 20 AS STRING)) ELSE sha1('e' || CAST(id AS STRING)) END"))
+
+
+def dedup_sha1(spark, sf_dir):
+    return dedup.grouped(_hashed(spark, sf_dir), "sha1")
+
+
+def dedup_phash(spark, sf_dir):
+    return dedup.grouped(_hashed(spark, sf_dir), "phash", HAMMING_LIMIT)
+
+
+def dedup_clip(spark, sf_dir):
+    return dedup.review_flags(dedup.grouped(_hashed(spark, sf_dir), "phash", HAMMING_LIMIT), similar.cosine_pairs(_vectors(spark, sf_dir), COSINE))
+
+
+def hash_search(spark, sf_dir):
+    hashes = _hashes(spark, sf_dir)
+    return dedup.hamming_matches(hashes.where("id % 100 = 0"), hashes, 20).where("rk <= 5")
+
+
+def digit_parse(spark, sf_dir):
+    texts = mine.name_parts(album(spark, sf_dir)).select("text").distinct()
+    return texts.select("text", mine.parse_digits(F.col("text")).alias("p")).where("p IS NOT NULL").select("text", "p.precision", "p.dt")
+
+
+def path_order(spark, sf_dir):
+    """The first 50 paths, compared part by part."""
+    return album(spark, sf_dir).select("relpath").orderBy(F.split("relpath", "/")).limit(50)
+
+
+def stage_gate(spark, sf_dir):
+    """Two row stages, one gated by the other's flag: how many rows each leaves in which state."""
+    none = F.array().cast("array<string>")
+    items = album(spark, sf_dir).withColumns({"flags": F.when(F.col("unsupported"), F.array(F.lit("UNSUPPORTED"))).otherwise(none), "completed_stages": none})
+    exif = stages.Stage("exif", lambda df: {"flags": F.when(F.col("exif_original").isNull(), stages.add_flag("NO_EXIF")).otherwise(F.col("flags"))}, F.col("ext") != "mp4")
+    name = stages.Stage("filename", lambda df: {"flags": stages.remove_flag("NO_EXIF")}, stages.has_flag("NO_EXIF") & F.col("stem").startswith("IMG"))
+    rows = stages.run_stages(items, exif, name, exif)
+    return rows.groupBy(F.array_join("completed_stages", ",").alias("stages"), F.array_join("flags", ",").alias("flags")).agg(F.count("*").alias("n"))
+
+
+def time_values(spark, sf_dir):
+    """ISO text, its reading, the days of the month and a time from an epoch, for each event."""
+    rows = _read(spark, sf_dir, "events").select("event_id", "ts")
+    iso = values.iso(F.col("ts"))
+    return rows.select("event_id", iso.alias("iso"), (values.from_iso(iso) == F.col("ts")).alias("same"), values.month_days(F.col("ts")).alias("days"), values.from_epoch(F.col("event_id") * F.lit(86400.5)).alias("epoch"))
+
+
+def bytes_text(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("FF00"))).when(F.col("event_id") % 3 == 1, F.concat(F.encode("stem", "UTF-8"), F.unhex(F.lit("00")))).otherwise(F.encode(F.concat(F.lit("a"), F.char(F.lit(7)), "stem"), "UTF-8"))
+    return album(spark, sf_dir).select("item_id", values.bytes_text(raw).alias("text"))
+
+
 def livephoto_entry(spark, sf_dir):
     entries = album(spark, sf_dir).select(F.concat(F.lit("a"), F.pmod("event_id", F.lit(40)).cast("string")).alias("archive"), F.concat(F.when(F.col("event_id") % 3 == 0, "__").otherwise(""), "filename").alias("name"))
     return logs.first_photo(entries)
@@ -290,6 +453,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate,
         digit_signatures, mined_patterns, export_plan, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
+        tagger_dates, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
+        reresolve, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, stage_gate, time_values, bytes_text,
     ]
     found = {f.__name__: f for f in plain}
     return found | {f.__name__: _evidence(f) for f in (evidence.exif_evidence, evidence.filesystem_evidence, evidence.filename_evidence, evidence.foldername_evidence)}

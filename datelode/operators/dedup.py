@@ -48,6 +48,21 @@ def hamming_pairs(hashes: DataFrame, limit: int = HAMMING, bits: int = 64) -> Da
     return found.where((distance <= limit) & (first == F.col("a.band"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance.alias("distance"))
 
 
+def hamming_matches(queries: DataFrame, hashes: DataFrame, limit: int = HAMMING, bits: int = 64) -> DataFrame:
+    """query_id, id, distance, rk: what lies within limit of each query(id, h), nearest first; by the same bands as hamming_pairs."""
+    n = limit + 1
+    edges = [bits * k // n for k in range(n + 1)]
+    band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    dealt = lambda df: df.where("h IS NOT NULL").select("id", "h", F.posexplode(F.array(*[band(F.col("h"), k) for k in range(n)])).alias("band", "value"))
+    q = dealt(queries).withColumnsRenamed({"id": "query_id", "h": "qh"})
+    first = F.lit(n - 1)
+    for k in range(n - 2, -1, -1):
+        first = F.when(band(F.col("qh"), k) == band(F.col("h"), k), F.lit(k)).otherwise(first)
+    found = q.join(dealt(hashes), ["band", "value"]).where((F.col("query_id") != F.col("id")) & (first == F.col("band")))
+    found = found.select("query_id", "id", hamming(F.col("qh"), F.col("h")).alias("distance")).where(F.col("distance") <= limit)
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+
+
 def near_groups(hashes: DataFrame, limit: int = HAMMING) -> DataFrame:
     """id, group_id (smallest id), for hashes in transitive groups of two or more. Equal hashes are searched once."""
     one = hashes.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("id"))
@@ -73,3 +88,33 @@ def group_kind(members: DataFrame) -> DataFrame:
     """group_id, n, kind for members(group_id, sha1): 'sha1' if all share one content, else 'phash'."""
     distinct = F.count_distinct(F.nullif(F.col("sha1"), F.lit("")))
     return members.groupBy("group_id").agg(F.count("*").alias("n"), F.when(distinct == 1, F.lit("sha1")).otherwise(F.lit("phash")).alias("kind"))
+
+
+def grouped(items: DataFrame, mode: str = "sha1", limit: int = HAMMING) -> DataFrame:
+    """id, group_id, kind of items(id, sha1, h) in groups of two or more. Each mode takes in the one before it.
+
+    no: none. sha1: equal content (an empty hash stands alone). phash: groups are joined where their
+    representatives, the smallest ids with an h, are within limit; kind is sha1 if all contents are equal.
+    """
+    if mode == "no":
+        return items.select("id", F.col("id").alias("group_id"), F.lit("").alias("kind")).limit(0)
+    key = F.when(F.coalesce("sha1", F.lit("")) == "", F.concat(F.lit("nosha1_"), F.col("id").cast("string"))).otherwise(F.col("sha1"))
+    rows = items.withColumn("key", key)
+    groups = rows.groupBy("key").agg(F.min("id").alias("first"), F.min(F.when(F.col("h").isNotNull(), F.struct("id", "h"))).alias("r"))
+    if mode == "sha1":
+        named = groups.select("key", F.col("first").alias("group_id"))
+    else:
+        near = near_groups(groups.where("r IS NOT NULL").select("r.id", "r.h"), limit).select(F.col("id").alias("rid"), F.col("group_id").alias("near"))
+        joined = groups.join(near, F.col("r.id") == F.col("rid"), "left").select("key", "first", F.coalesce("near", "first").alias("near"))
+        named = joined.join(joined.groupBy("near").agg(F.min("first").alias("group_id")), "near").select("key", "group_id")
+    members = rows.join(named, "key").select("id", "sha1", "group_id")
+    kinds = group_kind(members).where("n > 1").select("group_id", "kind")
+    return members.join(kinds, "group_id").select("id", "group_id", "kind")
+
+
+def review_flags(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, related_id, score: rows in no group whose best pair(id_a, id_b, score) is in none either; for review only, they form no group."""
+    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("related_id"), "score").union(pairs.select("id_b", "id_a", "score"))
+    known = groups.select("id")
+    alone = both.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "related_id"), "related_id", "left_anti")
+    return alone.groupBy("id").agg(F.max_by("related_id", F.struct("score", -F.col("related_id"))).alias("related_id"), F.max("score").alias("score"))

@@ -38,6 +38,18 @@ def resolve(evidence: DataFrame) -> DataFrame:
     return found.select("item_id", F.col("p.dt").alias("final_datetime"), F.col("p.confidence").alias("confidence"), F.col("p.precision").alias("precision"), start.alias("range_start"), end.alias("range_end"), F.col("p.source").alias("primary_source"), "source_summary", "n_conflicts")
 
 
+def best_evidence(evidence: DataFrame) -> DataFrame:
+    """The most certain row of each item, the first emitted of equal ones, whatever its kind."""
+    rest = [c for c in evidence.columns if c != "item_id"]
+    return evidence.groupBy("item_id").agg(F.max_by(F.struct(*rest), F.struct("confidence", -F.col("ev_seq"))).alias("e")).select("item_id", *[f"e.{c}" for c in rest])
+
+
+def evidence_by(evidence: DataFrame, source: str | None = None, direct: bool | None = None) -> DataFrame:
+    """Rows of one source, or only the direct (or indirect) ones."""
+    rows = evidence if source is None else evidence.where(F.col("source") == source)
+    return rows if direct is None else rows.where(F.col("is_direct") == direct)
+
+
 def order_evidence(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Evidence at scale: the order date (direct) and each ship date (indirect) of an order."""
     made = orders.select(F.col("o_orderkey").alias("item_id"), F.lit(0).alias("ev_seq"), F.lit("order").alias("source"), F.col("o_orderdate").cast("timestamp_ntz").alias("dt"), F.lit("day").alias("precision"), F.lit(0.7).alias("confidence"), F.lit(True).alias("is_direct"))

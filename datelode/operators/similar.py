@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datelode.functions.vectors import lent_confidence
+from datelode.operators.components import saved
+from datelode.operators.resolve import resolve
 
 BLOCK = 1024
 NEIGHBOURS = 5
@@ -91,3 +93,21 @@ def lend(neighbours: DataFrame, resolved: DataFrame, threshold: float = LENDER_C
     needy = resolved.where(F.col("final_datetime").isNull() | (F.col("confidence") < threshold)).select(F.col("item_id").alias("query_id"))
     found = neighbours.join(needy, "query_id", "left_semi").join(lenders, "vec_id")
     return found.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("related_id"), "dt", lent_confidence(F.col("score")).alias("confidence"), F.col("score").alias("cosine"))
+
+
+def lent_evidence(lent: DataFrame) -> DataFrame:
+    """lend()'s rows as evidence: indirect, to the day, the best lender first."""
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "related_id"))  # at most the neighbours of an item
+    return lent.select("item_id", (9000 + order).alias("ev_seq"), F.lit("similar").alias("source"), "dt", F.lit("day").alias("precision"), "confidence", F.lit(False).alias("is_direct"))
+
+
+def improve(evidence: DataFrame, neighbours: DataFrame, passes: int = 1, threshold: float = LENDER_CONFIDENCE) -> DataFrame:
+    """resolve()'s rows after lending: evidence and what neighbours lend are resolved again, passes times.
+
+    In each pass all lenders are read as they were before it; a pass is written before the next one reads it.
+    """
+    for _ in range(passes):
+        known = resolve(evidence).select("item_id", "final_datetime", "confidence")
+        everyone = known.union(neighbours.select(F.col("query_id").alias("item_id")).distinct().join(known, "item_id", "left_anti").select("item_id", F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("double")))
+        evidence = saved(evidence.unionByName(lent_evidence(lend(neighbours, everyone, threshold)).select(*evidence.columns)))
+    return resolve(evidence)

@@ -159,6 +159,27 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
+_FINEST = "CASE " + " ".join(f"WHEN list_contains(fs, '{f}') THEN '{f.lower()}'" for f in ("SECOND", "MINUTE", "HOUR", "DAY", "MONTH", "YEAR")) + " END"
+_PART = lambda f, low: f"coalesce(max(CASE WHEN field = '{f}' THEN TRY_CAST(value AS INT) END), {low})"
+TAGGED = f"""{LABELS},
+tg AS (SELECT id, field, substr(stem, begin + 1, "end" - begin) AS value, 0.5e0 + (begin % 5) / 10 AS c FROM sp JOIN lt USING (id)),
+td0 AS (SELECT id, list(field) AS fs, avg(c) AS mean, {_PART("YEAR", 0)} AS y, {_PART("MONTH", 1)} AS mo, {_PART("DAY", 1)} AS d, {_PART("HOUR", 0)} AS h, {_PART("MINUTE", 0)} AS mi, {_PART("SECOND", 0)} AS s FROM tg GROUP BY id),
+td AS (SELECT id, CAST(len(fs) AS INT) AS n_fields, {_FINEST} AS precision, CASE WHEN y BETWEEN 1900 AND 2100 THEN TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, h, mi, s) AS TIMESTAMP) END AS dt, round(0.9e0 * mean, 4) AS confidence FROM td0)"""
+SEGMENTS = f"""{RESOLVED},
+sg0 AS (SELECT item_id, exif_original, confidence, 'stem' AS source, stem AS text FROM album LEFT JOIN (SELECT item_id, confidence FROM resolved) USING (item_id) UNION ALL
+  SELECT item_id, exif_original, confidence, 'folder', f FROM (SELECT a.*, r.confidence, unnest([folder_name, 'u' || CAST(user_id AS STRING)]) AS f FROM album a LEFT JOIN resolved r USING (item_id))),
+sgx AS MATERIALIZED (SELECT DISTINCT text AS t FROM sg0),
+sgm AS MATERIALIZED ({_pattern_rows("sgx", "t", "t")}),
+sga AS (SELECT s.*, (SELECT count(*) FROM sgm WHERE t = s.text AND dt IS NOT NULL) AS n_m FROM (SELECT *, row_number() OVER () AS rid FROM sg0) s),
+sgp AS (SELECT DISTINCT rid FROM sga JOIN sgm ON t = text AND year(dt) = year(exif_original) AND ({_RANK("precision")} < 2 OR month(dt) = month(exif_original)) AND ({_RANK("precision")} < 3 OR day(dt) = day(exif_original)))"""
+GROUPED = """hx AS MATERIALIZED (SELECT vec_id AS id, h, CASE WHEN vec_id % 9 = 0 THEN '' WHEN vec_id % 4 = 0 THEN sha1('c' || CAST(vec_id - vec_id % 20 AS STRING)) ELSE sha1('e' || CAST(vec_id AS STRING)) END AS sha1 FROM embeddings JOIN hs ON hs.id = vec_id),
+hk AS MATERIALIZED (SELECT *, CASE WHEN sha1 = '' THEN 'nosha1_' || CAST(id AS STRING) ELSE sha1 END AS key FROM hx),
+hr AS MATERIALIZED (SELECT key, min(id) AS first, arg_min(h, id) AS h FROM hk GROUP BY 1)"""
+_GROUPED = lambda named: f"{named}, gm AS MATERIALIZED (SELECT id, sha1, g.group_id FROM hk JOIN gn g USING (key)), gg AS MATERIALIZED (SELECT id, group_id, kind FROM gm JOIN (SELECT group_id, CASE WHEN count(DISTINCT nullif(sha1, '')) = 1 THEN 'sha1' ELSE 'phash' END AS kind FROM gm GROUP BY 1 HAVING count(*) > 1) USING (group_id))"
+BY_SHA1 = HASH + "," + GROUPED + "," + _GROUPED("gn AS MATERIALIZED (SELECT key, first AS group_id FROM hr)")
+BY_PHASH = HASH + "," + GROUPED + """, pe AS MATERIALIZED (SELECT a.first AS a, b.first AS b FROM hr a JOIN hr b ON a.first <> b.first AND bit_count(xor(a.h, b.h)) <= 16), pc AS (SELECT a, b FROM pe UNION SELECT pc.a, pe.b FROM pc JOIN pe ON pc.b = pe.a),""" + _GROUPED("gn AS MATERIALIZED (SELECT key, coalesce(least(first, (SELECT min(b) FROM pc WHERE a = first)), first) AS group_id FROM hr)")
+
+
 def sql() -> dict[str, str]:
     cols = "item_id, ev_seq, source, dt, precision, confidence, is_direct"
     return {
@@ -221,4 +242,44 @@ def sql() -> dict[str, str]:
         "char_vocab": _with(ALBUM, "SELECT c AS char, n, CAST(row_number() OVER (ORDER BY n DESC, c) + 1 AS INT) AS id FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(stem, '')) AS c FROM album) WHERE c <> '' GROUP BY 1)"),
         "label_weights": _with(LABELS + ", lw AS (SELECT label, count(*) AS n FROM lc GROUP BY 1)", "SELECT label, n, CASE WHEN label = 'O' THEN 1e0 ELSE round(greatest(1e0, least(5e0, (SELECT sum(n) FROM lw) / ((SELECT count(*) FROM lw) * n))), 6) END AS weight FROM lw"),
         "livephoto_entry": _with(ALBUM + ", en AS (SELECT 'a' || CAST(event_id % 40 AS STRING) AS archive, CASE WHEN event_id % 3 = 0 THEN '__' ELSE '' END || filename AS name FROM album), er AS (SELECT *, list_position(['heic', 'heif', 'jpg', 'jpeg', 'png'], lower(regexp_extract(name, '\\.([^./]*)$', 1))) AS r FROM en)", "SELECT archive, arg_min(name, (r, name)) AS name FROM er WHERE r > 0 AND NOT starts_with(name, '__') GROUP BY 1"),
+        "tagger_dates": _with(TAGGED, "SELECT * FROM td"),
+        "tagger_evidence": _with(TAGGED + ", te AS (SELECT *, CASE WHEN id < '8' THEN 1e0 WHEN id < 'a' THEN 0.85e0 WHEN id < 'c' THEN 0.85e0 * 0.85e0 ELSE 0.85e0 * 0.7e0 END AS w, id < '8' AS stem FROM td)",
+            "SELECT id AS item_id, CASE WHEN stem THEN 'filename' ELSE 'foldername' END AS source, dt, CASE WHEN NOT stem AND precision IN ('hour', 'minute', 'second') THEN 'day' ELSE precision END AS precision, round(least(confidence * w * 0.95e0, 0.82e0), 3) AS confidence, stem AS is_direct FROM te WHERE least(confidence * w * 0.95e0, 0.82e0) >= 0.3"),
+        "char_ids": _with(ALBUM + ", cu AS (SELECT item_id, k, c FROM (SELECT item_id, unnest(string_split(stem, '')) AS c, generate_subscripts(string_split(stem, ''), 1) AS k FROM album) WHERE c <> ''), cn AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) + 1 AS id FROM cu GROUP BY c HAVING count(*) >= 500)",
+            "SELECT item_id, string_agg(CAST(coalesce(id, 1) AS STRING), ' ' ORDER BY k) AS ids FROM cu LEFT JOIN cn USING (c) GROUP BY 1"),
+        "tag_errors": _with(LABELS + """, gu AS (SELECT id, field, begin, CASE WHEN id < '4' THEN "end" + 1 ELSE "end" END AS "end" FROM sp WHERE field <> 'SECOND' AND id < 'f'),
+            ee AS (SELECT 'ner_FP:' || string_agg(field, ',' ORDER BY field) AS type FROM (SELECT * FROM gu EXCEPT SELECT * FROM sp) GROUP BY id UNION ALL SELECT 'ner_FN:' || string_agg(field, ',' ORDER BY field) FROM (SELECT * FROM sp EXCEPT SELECT * FROM gu) GROUP BY id
+            UNION ALL SELECT 'clf_FN' FROM (SELECT DISTINCT id FROM sp WHERE id NOT IN (SELECT id FROM gu)))""", "SELECT type, count(*) AS n FROM ee GROUP BY 1"),
+        "label_shares": "WITH x AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: exp(4e0 * CAST(v AS DOUBLE) - 4e0 * list_max(list_transform(embedding[1:4], lambda w: CAST(w AS DOUBLE))))) AS e FROM embeddings WHERE vec_id < 200) SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS INT) AS best, round(list_max(e) / list_sum(e), 6) AS share FROM x",
+        "segment_samples": _with(SEGMENTS, "SELECT source, CASE WHEN length(text) > 24 THEN 'toolong' WHEN n_m = 0 THEN 'neg' WHEN exif_original IS NULL OR coalesce(confidence, 0) < 0.85 THEN 'no_conf' WHEN rid IN (SELECT rid FROM sgp) THEN 'pos' ELSE 'noise' END AS status, count(*) AS n FROM sga GROUP BY 1, 2"),
+        "segment_counts": _with(SEGMENTS, f"SELECT *, round(neg / nullif(pos, 0), 1) AS ratio FROM (SELECT count(*) FILTER (WHERE d AND s) AS pos, count(*) FILTER (WHERE d AND NOT s) AS ambiguous, count(*) FILTER (WHERE NOT d) AS neg FROM (SELECT {LIGHT.format('text')} AS d, exif_original IS NOT NULL AND coalesce(confidence, 0) >= 0.9 AS s FROM sg0))"),
+        "select_intervals": """WITH x AS (SELECT l_orderkey, l_linenumber AS line, l_linenumber % 3 AS r, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS b, CAST(l_quantity AS INT) AS q FROM lineitem),
+            y AS (SELECT l_orderkey, list([{'b': b, 'e': b + q, 'line': line}] ORDER BY r DESC, q DESC, b, line) AS xs FROM x GROUP BY 1),
+            z AS (SELECT l_orderkey, list_reduce(xs, lambda a, v: CASE WHEN len(list_filter(a, lambda k: k.b < v[1].e AND v[1].b < k.e)) = 0 THEN list_concat(a, v) ELSE a END) AS k FROM y)
+            SELECT l_orderkey, CAST(len(k) AS INT) AS n_kept, array_to_string(list_sort(list_transform(k, lambda v: CAST(v.line AS STRING))), ',') AS lines FROM z""",
+        "checkpoint_restore": _with(ALBUM, """SELECT item_id, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN unsupported THEN 'UNSUPPORTED' ELSE '' END WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 4 = 0 THEN 'NO_EXIF' ELSE '' END ELSE 'OLD' END AS flags,
+            CASE WHEN event_id % 3 <> 0 THEN '' WHEN event_id % 2 = 0 THEN 'scan,exif' ELSE 'scan' END AS stages, CASE WHEN event_id % 3 <> 0 OR (event_id % 2 = 0 AND event_id % 5 = 0) THEN sha1 WHEN event_id % 2 = 0 THEN 's' || CAST(event_id AS STRING) ELSE 'stale' END AS sha1,
+            CAST(CASE WHEN event_id % 3 <> 0 OR (event_id % 2 = 0 AND event_id % 7 = 0) THEN width WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 1 END AS INT) AS width FROM album"""),
+        "snapshot_stats": _with(RESOLVED + ", sn AS (SELECT a.*, r.final_datetime, r.n_conflicts FROM album a LEFT JOIN resolved r USING (item_id))", " UNION ALL ".join(f"SELECT '{k}' AS kind, '{v}' AS name, count(*) AS n FROM sn WHERE {c}" for k, v, c in (("total", "total", "TRUE"), ("total", "resolved", "final_datetime IS NOT NULL"), ("total", "has_exif", "exif_original IS NOT NULL"), ("total", "has_clip", "event_id % 4 = 0"), ("flag", "UNSUPPORTED", "unsupported"), ("flag", "NO_EXIF", "exif_original IS NULL"), ("flag", "CONFLICT_TIME", "n_conflicts > 0"), ("stage", "scan", "TRUE"), ("stage", "exif", "NOT unsupported")))),
+        "json_rows": _with(ALBUM, """SELECT '{"item_id":"' || item_id || '","relpath":"' || relpath || '","filesize":' || CAST(filesize AS STRING) || '}' AS json FROM album"""),
+        "before_after": _with(INTERPOLATE, "SELECT count(*) FILTER (WHERE final_datetime IS NULL) AS newly, count(*) FILTER (WHERE final_datetime IS NOT NULL AND confidence < 0.6) AS boosted FROM dated WHERE item_id IN (SELECT item_id FROM ip)"),
+        "timeline_spread": _with(INTERPOLATE, "SELECT precision, CASE WHEN confidence >= 0.6 THEN '>=0.6' WHEN confidence >= 0.4 THEN '0.4~0.6' ELSE '<0.4' END AS bin, count(*) AS n FROM ip GROUP BY 1, 2"),
+        "confidence_bins": _with(RESOLVED, "SELECT CASE WHEN confidence >= 0.9 THEN '>=0.9' WHEN confidence >= 0.7 THEN '0.7~0.9' WHEN confidence >= 0.5 THEN '0.5~0.7' ELSE '<0.5' END AS bin, count(*) AS n FROM resolved GROUP BY 1"),
+        "reresolve": _with(KNN + """, kn AS MATERIALIZED (SELECT vec_id AS id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(vec_id % 365 AS INT)) AS t, 0.5e0 + (vec_id % 5) / 10 AS c FROM embeddings WHERE vec_id % 3 <> 0),
+            le AS MATERIALIZED (SELECT n.query_id AS item_id, CAST(9000 + row_number() OVER (PARTITION BY n.query_id ORDER BY score DESC, n.vec_id) AS INT) AS ev_seq, 'similar' AS source, l.t AS dt, 'day' AS precision, CASE WHEN score >= 0.98 THEN 0.75e0 WHEN score >= 0.95 THEN 0.65e0 WHEN score >= 0.90 THEN 0.55e0 WHEN score >= 0.85 THEN 0.45e0 ELSE 0.40e0 END AS confidence, FALSE AS is_direct
+              FROM nn n LEFT JOIN kn q ON q.id = n.query_id JOIN kn l ON l.id = n.vec_id AND l.c >= 0.6 WHERE q.id IS NULL OR q.c < 0.6),
+            xe AS MATERIALIZED (SELECT id AS item_id, 0 AS ev_seq, 'known' AS source, t AS dt, 'second' AS precision, c AS confidence, TRUE AS is_direct FROM kn UNION ALL SELECT * FROM le),""" + _resolve("xe"), "SELECT item_id, final_datetime, confidence, primary_source, source_summary, n_conflicts FROM resolved"),
+        "best_evidence": _with(EVIDENCE, "SELECT item_id, ev_seq, source, dt, confidence FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, ev_seq) AS rn FROM ev) WHERE rn = 1"),
+        "direct_evidence": _with(EVIDENCE, "SELECT precision, count(*) AS n, max(confidence) AS best FROM ev WHERE source = 'filename' AND is_direct GROUP BY 1"),
+        "dedup_sha1": _with(BY_SHA1, "SELECT * FROM gg"),
+        "dedup_phash": _with(BY_PHASH, "SELECT * FROM gg"),
+        "dedup_clip": _with(BY_PHASH + "," + COS, "SELECT query_id AS id, arg_max(vec_id, (score, -vec_id)) AS related_id, max(score) AS score FROM cs WHERE score >= 0.35 AND query_id NOT IN (SELECT id FROM gg) AND vec_id NOT IN (SELECT id FROM gg) GROUP BY 1"),
+        "hash_search": _with(HASH, "SELECT * FROM (SELECT a.id AS query_id, b.id, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance, CAST(row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.h, b.h)), b.id) AS INT) AS rk FROM hs a JOIN hs b ON a.id <> b.id AND a.id % 100 = 0 AND bit_count(xor(a.h, b.h)) <= 20) WHERE rk <= 5"),
+        "digit_parse": _with(ALBUM + """, px AS (SELECT DISTINCT text, regexp_replace(text, '[^0-9]', '', 'g') AS s FROM (SELECT stem AS text FROM album UNION ALL SELECT folder_name FROM album UNION ALL SELECT 'u' || CAST(user_id AS STRING) FROM album UNION ALL SELECT 'album')),
+            py AS (SELECT text, CASE length(s) WHEN 14 THEN 'second' WHEN 12 THEN 'minute' WHEN 8 THEN 'day' WHEN 6 THEN 'month' WHEN 4 THEN 'year' END AS precision, TRY_CAST(substr(s, 1, 4) || '-' || CASE WHEN length(s) >= 6 THEN substr(s, 5, 2) ELSE '01' END || '-' || CASE WHEN length(s) >= 8 THEN substr(s, 7, 2) ELSE '01' END || ' ' || CASE WHEN length(s) >= 10 THEN substr(s, 9, 2) ELSE '00' END || ':' || CASE WHEN length(s) >= 12 THEN substr(s, 11, 2) ELSE '00' END || ':' || CASE WHEN length(s) >= 14 THEN substr(s, 13, 2) ELSE '00' END AS TIMESTAMP) AS dt, s FROM px WHERE length(s) IN (4, 6, 8, 12, 14))""", "SELECT text, precision, dt FROM py WHERE dt IS NOT NULL AND CAST(substr(s, 1, 4) AS INT) BETWEEN 1900 AND 2100"),
+        "path_order": _with(ALBUM, "SELECT relpath FROM album ORDER BY string_split(relpath, '/') LIMIT 50"),
+        "stage_gate": _with(ALBUM + ", s1 AS (SELECT *, NOT unsupported AND ext <> 'mp4' AS x FROM album), s2 AS (SELECT *, x AND exif_original IS NULL AND starts_with(stem, 'IMG') AS f FROM s1)",
+            "SELECT CASE WHEN f THEN 'exif,filename' WHEN x THEN 'exif' ELSE '' END AS stages, CASE WHEN unsupported THEN 'UNSUPPORTED' WHEN x AND exif_original IS NULL AND NOT f THEN 'NO_EXIF' ELSE '' END AS flags, count(*) AS n FROM s2 GROUP BY 1, 2"),
+        "time_values": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN extract(microsecond FROM ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso, TRUE AS same, CAST(day(last_day(ts)) AS INT) AS days, TIMESTAMP '1970-01-01 00:00:00' + to_microseconds(CAST(event_id * 86400500000 AS BIGINT)) AS epoch FROM events",
+        "bytes_text": _with(ALBUM, "SELECT item_id, CASE event_id % 3 WHEN 0 THEN '0xff00' WHEN 1 THEN stem ELSE '0x6107' || lower(hex(encode(stem))) END AS text FROM album"),
     }
