@@ -63,14 +63,15 @@ def name_parts(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(F.concat(F.array("stem"), folders)).alias("text"))
 
 
-def signatures(parts: DataFrame) -> DataFrame:
-    """sig, lengths, seps, total, n, group_total of the digit structures of parts(item_id, text) that no built-in pattern dates to the day.
-
-    Equal texts are counted first, so each is matched once.
-    """
+def open_texts(parts: DataFrame) -> DataFrame:
+    """text, rows of parts(item_id, text) that no built-in pattern dates to the day; equal texts are counted first, so each is matched once."""
     best = F.get(match_all(F.col("text")), F.lit(0))
-    open_ = parts.groupBy("text").agg(F.count("*").alias("rows")).where(~F.coalesce(precision_rank(best["precision"]) >= 3, F.lit(False)))
-    keyed = open_.select("text", "rows", digit_lengths(F.col("text")).alias("lengths"), separators(F.col("text")).alias("seps"))
+    return parts.groupBy("text").agg(F.count("*").alias("rows")).where(~F.coalesce(precision_rank(best["precision"]) >= 3, F.lit(False)))
+
+
+def signatures(parts: DataFrame) -> DataFrame:
+    """sig, lengths, seps, total, n, group_total of the digit structures of parts(item_id, text) that no built-in pattern dates to the day."""
+    keyed = open_texts(parts).select("text", "rows", digit_lengths(F.col("text")).alias("lengths"), separators(F.col("text")).alias("seps"))
     total = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
     keyed = keyed.where((total >= 4) & F.exists("lengths", lambda x: x >= 4)).withColumn("total", total)
     sig = F.concat(F.array_join(F.transform("lengths", lambda x: x.cast("string")), ","), F.lit("|"), F.array_join("seps", " "))
@@ -137,7 +138,7 @@ def mined_patterns(items: DataFrame, limit: int = MAX_PATTERNS) -> list[Pattern]
 def _accepted(parts: DataFrame, found: list, limit: int) -> list[Pattern]:
     """The first patterns of found, at most limit, that date ACCEPT of their samples."""
     sig = F.concat(F.array_join(F.transform(digit_lengths(F.col("text")), lambda x: x.cast("string")), ","), F.lit("|"), F.array_join(separators(F.col("text")), " "))
-    samples = parts.withColumn("sig", sig).where(F.col("sig").isin([r.sig for r, _ in found])).select("sig", "text").distinct()
+    samples = open_texts(parts).withColumn("sig", sig).where(F.col("sig").isin([r.sig for r, _ in found])).select("sig", "text")
     w = Window.partitionBy("sig").orderBy(F.sha1(F.col("text").cast("binary")))
     samples = samples.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLES)
     rate = F.lit(None).cast("double")

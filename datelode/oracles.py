@@ -6,6 +6,8 @@ from datelode.functions.patterns import BUILT_IN
 from datelode.functions.timeparts import PRECISIONS
 from datelode.operators.evidence import FOLDER_DECAY, FOLDER_DISCOUNT, METADATA_EXTENSIONS
 from datelode.operators.labels import FIELD_WIDTH
+from datelode.operators.mine import _RANGE as RANGES
+from datelode.operators.mine import BASE, FIELDS, PRECISION
 from datelode.operators.profile import LIGHT_DATES
 from datelode.plans.export import EXTENSION, FORMATS, KINDS
 from datelode.sources.album import FACTS, FOLDER, FORMAT, NAME, PART, SCREEN_RATIO, SCREENS
@@ -147,7 +149,7 @@ SIGS = f"""{EVIDENCE},
 tx AS MATERIALIZED (SELECT item_id, stem AS text FROM album UNION ALL SELECT item_id, folder_name FROM album UNION ALL SELECT item_id, 'u' || CAST(user_id AS STRING) FROM album UNION ALL SELECT item_id, 'album' FROM album),
 tm0 AS MATERIALIZED ({_pattern_rows("tx", "text", "item_id, text")}),
 cv AS (SELECT DISTINCT text FROM (SELECT text, first(precision ORDER BY {_ORDER}) AS precision FROM (SELECT DISTINCT text, k, precision, confidence FROM tm0) GROUP BY 1) WHERE {_RANK("precision")} >= 3),
-sg AS (SELECT list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)) AS l, list_transform(list_filter(regexp_extract_all(regexp_replace(text, '^[^0-9]+|[^0-9]+$', '', 'g'), '[^0-9]+'), lambda x: regexp_matches(text, '[0-9]')), lambda x: CASE WHEN regexp_matches(x, '\\pL') THEN 'W' WHEN regexp_extract(x, '[-_./: ]') <> '' THEN regexp_extract(x, '[-_./: ]') ELSE '?' END) AS seps FROM tx WHERE text NOT IN (SELECT text FROM cv)),
+sg AS (SELECT text, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)) AS l, list_transform(list_filter(regexp_extract_all(regexp_replace(text, '^[^0-9]+|[^0-9]+$', '', 'g'), '[^0-9]+'), lambda x: regexp_matches(text, '[0-9]')), lambda x: CASE WHEN regexp_matches(x, '\\pL') THEN 'W' WHEN regexp_extract(x, '[-_./: ]') <> '' THEN regexp_extract(x, '[-_./: ]') ELSE '?' END) AS seps FROM tx WHERE text NOT IN (SELECT text FROM cv)),
 sc AS (SELECT array_to_string(l, ',') || '|' || array_to_string(seps, ' ') AS sig, CAST(list_sum(l) AS INT) AS total, count(*) AS n FROM sg WHERE list_sum(l) >= 4 AND list_max(l) >= 4 GROUP BY 1, 2)"""
 
 
@@ -180,6 +182,21 @@ BY_SHA1 = HASH + "," + GROUPED + "," + _GROUPED("gn AS MATERIALIZED (SELECT key,
 BY_PHASH = HASH + "," + GROUPED + """, pe AS MATERIALIZED (SELECT a.first AS a, b.first AS b FROM hr a JOIN hr b ON a.first <> b.first AND bit_count(xor(a.h, b.h)) <= 16), pc AS (SELECT a, b FROM pe UNION SELECT pc.a, pe.b FROM pc JOIN pe ON pc.b = pe.a),""" + _GROUPED("gn AS MATERIALIZED (SELECT key, coalesce(least(first, (SELECT min(b) FROM pc WHERE a = first)), first) AS group_id FROM hr)")
 
 
+_ENDS = "CASE total " + " ".join(f"WHEN {n} THEN {[sum(f[: k + 1]) for k in range(len(f))]}" for n, f in FIELDS.items()) + " END"
+_PRECISION = "CASE total " + " ".join(f"WHEN {n} THEN '{p}'" for n, p in PRECISION.items()) + " END"
+_BASE = "CASE total " + " ".join(f"WHEN {n} THEN {BASE[p]}e0" for n, p in PRECISION.items()) + " END"
+_SEPARATOR = "CASE seps[k] WHEN 'W' THEN '[^0-9]+' WHEN '?' THEN '[^0-9]?' ELSE '[' || regexp_replace(seps[k], '([-. ])', '\\\\\\1') || ']' END"
+_STAMP = " || ".join(f"CASE WHEN length(d) >= {a + n - 1} THEN '{sep}' || substr(d, {a}, {n}) ELSE '{sep}{low}' END" for a, n, sep, low in ((1, 4, "", ""), (5, 2, "-", "01"), (7, 2, "-", "01"), (9, 2, " ", "00"), (11, 2, ":", "00"), (13, 2, ":", "00")))
+MINED = f"""{SIGS},
+m0 AS MATERIALIZED (SELECT array_to_string(l, ',') || '|' || array_to_string(seps, ' ') AS sig, any_value(l) AS l, any_value(seps) AS seps, CAST(list_sum(any_value(l)) AS INT) AS total, count(*) AS n FROM sg WHERE list_sum(l) >= 4 AND list_max(l) >= 4 GROUP BY 1),
+m1 AS (SELECT *, sum(n) OVER (PARTITION BY total) AS gt, list_transform(range(1, len(l) + 1), lambda k: list_sum(l[1:k])) AS cum, {_ENDS} AS ends FROM m0),
+m2 AS MATERIALIZED (SELECT *, array_to_string(list_transform(range(1, len(l) + 1), lambda k: array_to_string(list_transform(list_filter(range(1, len(ends) + 1), lambda i: ends[i] > CASE WHEN k = 1 THEN 0 ELSE cum[k - 1] END AND ends[i] <= cum[k]), lambda i: '(' || {RANGES}[i] || ')'), '') || CASE WHEN k <= len(seps) THEN {_SEPARATOR} ELSE '' END), '') AS core
+  FROM m1 WHERE (n >= CASE WHEN total >= 12 THEN 2 WHEN total >= 8 THEN 3 WHEN total >= 6 THEN 4 ELSE 5 END OR (gt >= 5 AND n >= 2)) AND ends IS NOT NULL AND len(seps) = len(l) - 1 AND len(list_filter(cum, lambda c: NOT list_contains(ends, c))) = 0),
+m3 AS (SELECT sig, core, text, regexp_replace(text, '[^0-9]', '', 'g') AS d, row_number() OVER (PARTITION BY sig ORDER BY sha1(text)) AS k FROM (SELECT DISTINCT text, array_to_string(l, ',') || '|' || array_to_string(seps, ' ') AS sig FROM sg) JOIN m2 USING (sig)),
+m4 AS (SELECT sig, avg(CASE WHEN regexp_matches(text, '(?:^|[^0-9])' || core || '(?:[^0-9]|$)') AND TRY_CAST({_STAMP} AS TIMESTAMP) IS NOT NULL THEN 1e0 ELSE 0e0 END) AS rate FROM m3 WHERE k <= 50 GROUP BY 1),
+m5 AS (SELECT 'MINED_' || array_to_string(l, '_') || '_' || {_PRECISION} AS name, core, {_PRECISION} AS precision, round(least(least({_BASE} + CASE WHEN len(l) >= 3 AND len(ends) >= 3 THEN 0.05e0 ELSE 0e0 END, 0.89e0) + 0.05e0 * (rate - 0.75e0), 0.89e0), 4) AS confidence FROM m2 JOIN m4 USING (sig) WHERE rate >= 0.75 ORDER BY n DESC, sig LIMIT 20)"""
+
+
 def sql() -> dict[str, str]:
     cols = "item_id, ev_seq, source, dt, precision, confidence, is_direct"
     return {
@@ -242,6 +259,7 @@ def sql() -> dict[str, str]:
         "char_vocab": _with(ALBUM, "SELECT c AS char, n, CAST(row_number() OVER (ORDER BY n DESC, c) + 1 AS INT) AS id FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(stem, '')) AS c FROM album) WHERE c <> '' GROUP BY 1)"),
         "label_weights": _with(LABELS + ", lw AS (SELECT label, count(*) AS n FROM lc GROUP BY 1)", "SELECT label, n, CASE WHEN label = 'O' THEN 1e0 ELSE round(greatest(1e0, least(5e0, (SELECT sum(n) FROM lw) / ((SELECT count(*) FROM lw) * n))), 6) END AS weight FROM lw"),
         "livephoto_entry": _with(ALBUM + ", en AS (SELECT 'a' || CAST(event_id % 40 AS STRING) AS archive, CASE WHEN event_id % 3 = 0 THEN '__' ELSE '' END || filename AS name FROM album), er AS (SELECT *, list_position(['heic', 'heif', 'jpg', 'jpeg', 'png'], lower(regexp_extract(name, '\\.([^./]*)$', 1))) AS r FROM en)", "SELECT archive, arg_min(name, (r, name)) AS name FROM er WHERE r > 0 AND NOT starts_with(name, '__') GROUP BY 1"),
+        "mined_patterns": _with(MINED, "SELECT * FROM m5"),
         "tagger_dates": _with(TAGGED, "SELECT * FROM td"),
         "tagger_evidence": _with(TAGGED + ", te AS (SELECT *, CASE WHEN id < '8' THEN 1e0 WHEN id < 'a' THEN 0.85e0 WHEN id < 'c' THEN 0.85e0 * 0.85e0 ELSE 0.85e0 * 0.7e0 END AS w, id < '8' AS stem FROM td)",
             "SELECT id AS item_id, CASE WHEN stem THEN 'filename' ELSE 'foldername' END AS source, dt, CASE WHEN NOT stem AND precision IN ('hour', 'minute', 'second') THEN 'day' ELSE precision END AS precision, round(least(confidence * w * 0.95e0, 0.82e0), 3) AS confidence, stem AS is_direct FROM te WHERE least(confidence * w * 0.95e0, 0.82e0) >= 0.3"),

@@ -39,5 +39,5 @@ def test_mined_patterns(spark):
     assert found["MINED_4_4_6_second"].confidence == 0.89
 
 
-def test_all_have_sql_but_rules():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"mined_patterns"}
+def test_all_have_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
