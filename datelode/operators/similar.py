@@ -2,7 +2,10 @@
 
 Vectors are compared block against block with numpy inside tasks: the block table (id, matrix) is
 joined with itself by block number, so each task holds two blocks, whatever the number of rows. That is
-the exact search; it is quadratic in time by nature, not in memory, and emits only what passes.
+the exact search; it is quadratic in time by nature, not in memory, and emits only what passes. For
+collections too large for it, nearest() takes probes: vectors are put into the cells of their nearest
+centers (a sample of the vectors, CELLS at most, broadcast), and a query is compared with the cells of its
+nearest probes centers only; every row is indexed, and large cells are several blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +30,12 @@ LENDER_CONFIDENCE = 0.6
 def _blocks(vectors: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
     """Blocks of about size rows: number, ids and the matrix as bytes."""
     n = max(1, -(-vectors.count() // size))
+    dealt = vectors.where("embedding IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.col("id").cast("long").alias("id"), "embedding")
+    return _packed(dealt, name, n)
+
+
+def _packed(dealt: DataFrame, name: str, n: int) -> DataFrame:
+    """dealt(block, id, embedding) as rows of block, ids and matrix, over n tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,10 +44,40 @@ def _blocks(vectors: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for b in np.unique(number):
                 mine = number == b
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([ids[mine].tolist()], pa.list_(pa.int64())), pa.array([matrix[mine].tobytes()], pa.binary())], names=["block", f"ids_{name}", f"m_{name}"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([ids[mine].tolist()], pa.list_(pa.int64())), pa.array([matrix[mine].tobytes()], pa.binary())], names=["block", f"ids_{name}", f"m_{name}"])
+
+    dealt = dealt.select(F.col("block").cast("long"), "id", "embedding").repartition(n, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(pack, f"block long, ids_{name} array<long>, m_{name} binary")
+
 
-    dealt = vectors.where("embedding IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), "embedding")
-    return dealt.repartition(n, "block").sortWithinPartitions("block").mapInArrow(pack, f"block int, ids_{name} array<long>, m_{name} binary")
+CELLS = 4096
+_SUB = 20  # bits of a block's number inside its cell
+
+
+def _in_cells(vectors: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    """cell, id, embedding: each vector once for each of its probes nearest centers."""
+    sent = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK)):
+                s = np.array(piece.column("embedding").to_pylist(), dtype="<f8") @ sent.value.T
+                near = np.argpartition(-s, min(probes, s.shape[1]) - 1, axis=1)[:, :probes]
+                pick = pa.array(np.repeat(np.arange(len(s)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), piece.column("id").take(pick), piece.column("embedding").take(pick)], names=["cell", "id", "embedding"])
+
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(assign, "cell long, id long, embedding array<double>")
+
+
+def _cell_blocks(dealt: DataFrame, name: str) -> DataFrame:
+    """Blocks of about BLOCK rows of each cell: cell, ids, matrix."""
+    dealt = saved(dealt)
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"))  # CELLS rows at most
+    sub = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
+    blocks = dealt.join(F.broadcast(sizes), "cell").select((F.shiftleft("cell", _SUB) + sub).alias("block"), "id", "embedding")
+    n = max(1, -(-dealt.count() // BLOCK))
+    return _packed(blocks, name, n).withColumn("cell", F.shiftright("block", _SUB)).drop("block")
 
 
 def scored(queries: DataFrame, vectors: DataFrame, least: float, top: int | None = None) -> DataFrame:
@@ -49,7 +88,11 @@ def scored(queries: DataFrame, vectors: DataFrame, least: float, top: int | None
     """
     a, b = _blocks(queries, "a"), _blocks(vectors, "b")
     numbers = b.select("block").distinct()
-    tasks = a.withColumnRenamed("block", "block_a").crossJoin(F.broadcast(numbers)).join(b, "block")  # block numbers only: rows / BLOCK of them
+    return _compared(a.withColumnRenamed("block", "block_a").crossJoin(F.broadcast(numbers)).join(b, "block"), least, top)  # block numbers only: rows / BLOCK of them
+
+
+def _compared(tasks: DataFrame, least: float, top: int | None) -> DataFrame:
+    """query_id, vec_id, score for pairs of blocks (ids_a, m_a, ids_b, m_b)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +121,22 @@ def cosine_pairs(vectors: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     return scored(vectors, vectors, least).where("query_id < vec_id").select(F.col("query_id").alias("id_a"), F.col("vec_id").alias("id_b"), "score")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, least: float = MIN_COSINE) -> DataFrame:
-    """query_id, vec_id, score, rk: the k best of each query with score >= least."""
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, least: float = MIN_COSINE, probes: int | None = None) -> DataFrame:
+    """query_id, vec_id, score, rk: the k best of each query with score >= least.
+
+    Exact without probes; with probes only that many cells are searched (see above), so far ones can be missed.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored(queries, vectors, least, k).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    if probes is None:
+        found = scored(queries, vectors, least, k)
+    else:
+        sample = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(min(CELLS, max(1, round(vectors.count() ** 0.5)))).select("embedding").collect()
+        if not sample:
+            return scored(queries, vectors, least, k).withColumn("rk", F.row_number().over(w))
+        centers = np.array([r.embedding for r in sample], dtype="<f8")
+        pairs = _cell_blocks(_in_cells(queries, centers, probes), "a").join(_cell_blocks(_in_cells(vectors, centers, 1), "b"), "cell")
+        found = _compared(pairs, least, k)
+    return found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
 def lend(neighbours: DataFrame, resolved: DataFrame, threshold: float = LENDER_CONFIDENCE) -> DataFrame:

@@ -33,10 +33,16 @@ FACTS = {
 FORMAT = "CASE WHEN event_id % 104 = 0 THEN 'PNG' WHEN event_id % 104 = 8 THEN 'MPO' WHEN ext = 'jpg' THEN 'JPEG' WHEN ext = 'png' THEN 'PNG' WHEN ext = 'heic' THEN 'HEIF' ELSE '' END"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its files make fewer; larger tables are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def album(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a file; item_id is a SHA-1 of path and event, so it is stable across runs."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.selectExpr("event_id", "user_id", "event_type", "ts", *[f"lpad(CAST(CAST(extract({unit} FROM ts) AS INT) AS STRING), {n}, '0') AS {name}" for name, (unit, n) in PART.items()])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts")
+    rows = spread(events).selectExpr("event_id", "user_id", "event_type", "ts", *[f"lpad(CAST(CAST(extract({unit} FROM ts) AS INT) AS STRING), {n}, '0') AS {name}" for name, (unit, n) in PART.items()])
     rows = rows.withColumns({"filename": F.expr(NAME), "folder_name": F.expr(FOLDER), **{k: F.expr(v) for k, v in FACTS.items()}})
     rows = rows.withColumn("relpath", F.expr("'u' || CAST(user_id AS STRING) || '/' || folder_name || '/' || filename"))
     rows = rows.withColumns({"path": F.concat(F.lit("/album/"), "relpath"), "item_id": F.expr("sha1(relpath || ':' || CAST(event_id AS STRING))"), "stem": paths.stem(F.col("filename")), "ext": paths.suffix(F.col("filename"))})

@@ -115,6 +115,15 @@ def test_lending(spark):
     assert {(r.item_id, r.related_id, r.confidence) for r in similar.lend(near, known).collect()} == {(1, 2, 0.75), (3, 2, 0.45)}
 
 
+def test_cells_recall(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = v.where("id % 100 = 0")
+    top = lambda probes: {(r.query_id, r.vec_id) for r in similar.nearest(queries, v, 5, 0.0, probes).collect()}
+    exact, cells = top(None), top(30)
+    assert len(exact) == 5 * queries.count() and len(exact & cells) >= 0.9 * len(exact)
+    assert similar.nearest(queries, v.limit(0), 5, 0.0, 4).count() == 0 and top(45) == exact
+
+
 def test_plan(spark):
     items_ = spark.createDataFrame([("u", "a.xyz", "xyz", "", True), ("j", "b/j.jpg", "jpg", "PNG", False), ("m", "m.jpg", "jpg", "MPO", False), ("v", "v.mp4", "mp4", "", False)], "item_id string, relpath string, ext string, format_real string, unsupported boolean")
     res = spark.createDataFrame([("j", BASE, 1.0, "exif", 0), ("m", BASE, 0.5, "exif", 1)], "item_id string, final_datetime timestamp_ntz, confidence double, primary_source string, n_conflicts long")
