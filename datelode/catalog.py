@@ -444,6 +444,29 @@ def bytes_text(spark, sf_dir):
     return album(spark, sf_dir).select("item_id", values.bytes_text(raw).alias("text"))
 
 
+def session_summary(spark, sf_dir):
+    dated = _dated(spark, sf_dir)
+    return timeline.session_summary(timeline.build_sessions(dated, KEY).join(dated.select("item_id", "final_datetime", "confidence"), "item_id"), KEY)
+
+
+def path_profile(spark, sf_dir):
+    return profile.path_profile(album(spark, sf_dir))
+
+
+def exif_quality(spark, sf_dir):
+    return profile.exif_quality(album(spark, sf_dir), _resolved(spark, sf_dir))
+
+
+def date_coverage(spark, sf_dir):
+    return profile.date_coverage(album(spark, sf_dir))
+
+
+def overall_scores(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    gold = labels.spans(rows)
+    return labels.overall_scores(gold.where("field <> 'SECOND' AND id < 'f'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end"))), gold, rows)
+
+
 def livephoto_entry(spark, sf_dir):
     entries = album(spark, sf_dir).select(F.concat(F.lit("a"), F.pmod("event_id", F.lit(40)).cast("string")).alias("archive"), F.concat(F.when(F.col("event_id") % 3 == 0, "__").otherwise(""), "filename").alias("name"))
     return logs.first_photo(entries)
@@ -454,7 +477,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate,
         digit_signatures, mined_patterns, export_plan, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
         tagger_dates, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
-        reresolve, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, stage_gate, time_values, bytes_text,
+        reresolve, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,
     ]
     found = {f.__name__: f for f in plain}
     return found | {f.__name__: _evidence(f) for f in (evidence.exif_evidence, evidence.filesystem_evidence, evidence.filename_evidence, evidence.foldername_evidence)}

@@ -49,6 +49,17 @@ def span_metrics(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": precision, "recall": recall}).withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))
 
 
+def overall_scores(predicted: DataFrame, gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row over all fields and texts(id): micro precision, recall and f1 of spans, and whether a text has any: clf_tp, clf_fp, clf_fn, clf_tn."""
+    spans = span_metrics(predicted, gold).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    p, g = (df.select("id").distinct().withColumn(name, F.lit(True)) for df, name in ((predicted, "p"), (gold, "g")))
+    said, true = F.coalesce("p", F.lit(False)), F.coalesce("g", F.lit(False))
+    clf = texts.select("id").join(p, "id", "left").join(g, "id", "left").agg(F.count_if(said & true).alias("clf_tp"), F.count_if(said & ~true).alias("clf_fp"), F.count_if(~said & true).alias("clf_fn"), F.count_if(~said & ~true).alias("clf_tn"))
+    precision, recall = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
+    rows = spans.crossJoin(F.broadcast(clf)).withColumns({"precision": precision, "recall": recall})  # one row each
+    return rows.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))
+
+
 def vocabulary(texts: DataFrame, column: str, special: int = 2, min_freq: int = 1) -> DataFrame:
     """char, n, id: dense ids behind the special ones, most frequent first, ties by character."""
     counts = texts.select(F.explode(F.split(column, "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("n")).where(F.col("n") >= min_freq)

@@ -70,11 +70,33 @@ def coverage(items: DataFrame, evidence: DataFrame) -> DataFrame:
     return have.crossJoin(F.broadcast(items.agg(F.count("*").alias("n_items"))))
 
 
+def path_profile(items: DataFrame) -> DataFrame:
+    """depth (parts of relpath), n, and over the stems of that depth: mean and greatest length, distinct stems."""
+    n = F.length("stem")
+    return items.groupBy(F.size(F.split("relpath", "/")).alias("depth")).agg(F.count("*").alias("n"), F.round(F.avg(n), 3).alias("mean_length"), F.max(n).alias("max_length"), F.count_distinct("stem").alias("stems"))
+
+
+def exif_quality(items: DataFrame, resolved: DataFrame, sure: float = 0.9) -> DataFrame:
+    """One row: with an original time, with any metadata time, without, sure ones, and those that only the file system dates."""
+    rows = items.select("item_id", "exif_original", "exif_digitized").join(resolved.select("item_id", "confidence", "source_summary"), "item_id", "left")
+    any_ = F.coalesce("exif_original", "exif_digitized").isNotNull()
+    only = (F.size("source_summary") == 1) & (F.get("source_summary", F.lit(0)) == "filesystem")
+    return rows.agg(F.count_if(F.col("exif_original").isNotNull()).alias("original"), F.count_if(any_).alias("any_time"), F.count_if(~any_).alias("no_exif"), F.count_if(F.col("exif_original").isNotNull() & (F.col("confidence") >= sure)).alias("sure"), F.count_if(F.coalesce(only, F.lit(False))).alias("filesystem_only"))
+
+
+def date_coverage(items: DataFrame) -> DataFrame:
+    """level ('segment' or 'item'), dated, n: how many names of paths, and how many items by any of them, a light date test knows."""
+    names = F.concat(F.array("stem"), F.slice(F.split("relpath", "/"), F.lit(1), F.size(F.split("relpath", "/")) - 1))
+    hits = items.select(F.transform(names, has_light_date).alias("d"))
+    each = F.concat(F.transform("d", lambda x: F.struct(F.lit("segment").alias("level"), x.alias("dated"))), F.array(F.struct(F.lit("item").alias("level"), F.exists("d", lambda x: x).alias("dated"))))
+    return hits.select(F.explode(each).alias("x")).groupBy("x.level", "x.dated").agg(F.count("*").alias("n"))
+
+
 def run_summary(items: DataFrame, resolved: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """One row: total, resolved, has_exif, low_confidence, conflicts."""
+    """One row: total, resolved, has_exif, no_exif, low_confidence, conflicts."""
     rows = items.select("item_id", "exif_original").join(resolved, "item_id", "left")
     return rows.agg(
-        F.count("*").alias("total"), F.count_if(F.col("final_datetime").isNotNull()).alias("resolved"), F.count_if(F.col("exif_original").isNotNull()).alias("has_exif"),
+        F.count("*").alias("total"), F.count_if(F.col("final_datetime").isNotNull()).alias("resolved"), F.count_if(F.col("exif_original").isNotNull()).alias("has_exif"), F.count_if(F.col("exif_original").isNull()).alias("no_exif"),
         F.count_if(F.coalesce(F.col("confidence") < threshold, F.lit(True))).alias("low_confidence"), F.count_if(F.coalesce(F.col("n_conflicts") > 0, F.lit(False))).alias("conflicts"),
     )
 

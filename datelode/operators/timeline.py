@@ -68,6 +68,18 @@ def session_folders(members: DataFrame, key: list[str]) -> DataFrame:
     return ends.select(*key, "session_idx", "n_items", F.array_join(paths.common_prefix(F.col("a"), F.col("b")), "/").alias("folder_path"))
 
 
+def session_summary(members: DataFrame, key: list[str], threshold: float = ANCHOR) -> DataFrame:
+    """key, session_idx, n_items, n_unresolved, n_weak, seconds, has_anchor for members(key, session_idx, is_anchor, final_datetime, confidence)."""
+    at = F.when(F.col("is_anchor"), F.col("final_datetime"))
+    return members.groupBy(*key, "session_idx").agg(
+        F.count("*").alias("n_items"),
+        F.count_if(F.col("final_datetime").isNull()).alias("n_unresolved"),
+        F.count_if(F.col("final_datetime").isNotNull() & (F.col("confidence") < threshold)).alias("n_weak"),
+        F.coalesce(micros_between(F.min(at), F.max(at)) / 1e6, F.lit(0.0)).alias("seconds"),
+        F.max("is_anchor").alias("has_anchor"),
+    )
+
+
 # -- ambiguous digits in folder names ---------------------------------------------------------------
 
 PLACEHOLDER_YEAR = 2000

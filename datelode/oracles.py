@@ -250,7 +250,7 @@ def sql() -> dict[str, str]:
         "profile_length": _with(ALBUM, "SELECT CASE WHEN l <= 4 THEN '0-4' WHEN l <= 8 THEN '5-8' WHEN l <= 12 THEN '9-12' WHEN l <= 16 THEN '13-16' WHEN l <= 24 THEN '17-24' WHEN l <= 32 THEN '25-32' WHEN l <= 48 THEN '33-48' WHEN l <= 64 THEN '49-64' ELSE '65+' END AS bucket, count(*) AS n FROM (SELECT length(stem) AS l FROM album) GROUP BY 1"),
         "light_dates": _with(ALBUM, f"SELECT {LIGHT.format('stem')} AS has_date, count(*) AS n FROM album GROUP BY 1"),
         "top_folders": _with(ALBUM, "SELECT folder_name AS folder, count(*) AS n FROM album GROUP BY 1 ORDER BY n DESC, folder LIMIT 20"),
-        "run_summary": _with(RESOLVED, "SELECT count(*) AS total, count(final_datetime) AS resolved, count(exif_original) AS has_exif, count(*) FILTER (WHERE coalesce(confidence < 0.6, TRUE)) AS low_confidence, count(*) FILTER (WHERE n_conflicts > 0) AS conflicts FROM album LEFT JOIN resolved USING (item_id)"),
+        "run_summary": _with(RESOLVED, "SELECT count(*) AS total, count(final_datetime) AS resolved, count(exif_original) AS has_exif, count(*) FILTER (WHERE exif_original IS NULL) AS no_exif, count(*) FILTER (WHERE coalesce(confidence < 0.6, TRUE)) AS low_confidence, count(*) FILTER (WHERE n_conflicts > 0) AS conflicts FROM album LEFT JOIN resolved USING (item_id)"),
         "bio_labels": _with(LABELS, "SELECT id, string_agg(label, ' ' ORDER BY k) AS labels FROM lc GROUP BY 1"),
         "bio_spans": _with(LABELS, "SELECT * FROM sp"),
         "span_prf": _with(LABELS + """, pd AS (SELECT id, field, begin, CASE WHEN id < '4' THEN "end" + 1 ELSE "end" END AS "end" FROM sp WHERE field <> 'SECOND'),
@@ -259,6 +259,14 @@ def sql() -> dict[str, str]:
         "char_vocab": _with(ALBUM, "SELECT c AS char, n, CAST(row_number() OVER (ORDER BY n DESC, c) + 1 AS INT) AS id FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(stem, '')) AS c FROM album) WHERE c <> '' GROUP BY 1)"),
         "label_weights": _with(LABELS + ", lw AS (SELECT label, count(*) AS n FROM lc GROUP BY 1)", "SELECT label, n, CASE WHEN label = 'O' THEN 1e0 ELSE round(greatest(1e0, least(5e0, (SELECT sum(n) FROM lw) / ((SELECT count(*) FROM lw) * n))), 6) END AS weight FROM lw"),
         "livephoto_entry": _with(ALBUM + ", en AS (SELECT 'a' || CAST(event_id % 40 AS STRING) AS archive, CASE WHEN event_id % 3 = 0 THEN '__' ELSE '' END || filename AS name FROM album), er AS (SELECT *, list_position(['heic', 'heif', 'jpg', 'jpeg', 'png'], lower(regexp_extract(name, '\\.([^./]*)$', 1))) AS r FROM en)", "SELECT archive, arg_min(name, (r, name)) AS name FROM er WHERE r > 0 AND NOT starts_with(name, '__') GROUP BY 1"),
+        "session_summary": _with(SESSIONS, "SELECT m.user_id, session_idx, count(*) AS n_items, count(*) FILTER (WHERE final_datetime IS NULL) AS n_unresolved, count(*) FILTER (WHERE confidence < 0.6 AND final_datetime IS NOT NULL) AS n_weak, coalesce(date_diff('microsecond', min(final_datetime) FILTER (WHERE is_anchor), max(final_datetime) FILTER (WHERE is_anchor)) / 1e6, 0e0) AS seconds, bool_or(is_anchor) AS has_anchor FROM members m JOIN dated d USING (item_id) GROUP BY 1, 2"),
+        "path_profile": _with(ALBUM, "SELECT CAST(len(string_split(relpath, '/')) AS INT) AS depth, count(*) AS n, round(avg(length(stem)), 3) AS mean_length, CAST(max(length(stem)) AS INT) AS max_length, count(DISTINCT stem) AS stems FROM album GROUP BY 1"),
+        "exif_quality": _with(RESOLVED, "SELECT count(exif_original) AS original, count(coalesce(exif_original, exif_digitized)) AS any_time, count(*) FILTER (WHERE coalesce(exif_original, exif_digitized) IS NULL) AS no_exif, count(*) FILTER (WHERE exif_original IS NOT NULL AND confidence >= 0.9) AS sure, count(*) FILTER (WHERE source_summary = 'filesystem') AS filesystem_only FROM album LEFT JOIN resolved USING (item_id)"),
+        "date_coverage": _with(ALBUM + f", dc AS (SELECT item_id, {LIGHT.format('stem')} AS a, {LIGHT.format('folder_name')} AS b FROM album)", "SELECT 'segment' AS level, d AS dated, count(*) AS n FROM (SELECT unnest([a, b, FALSE]) AS d FROM dc) GROUP BY 1, 2 UNION ALL SELECT 'item', a OR b, count(*) FROM dc GROUP BY 1, 2"),
+        "overall_scores": _with(LABELS + """, pd AS (SELECT id, field, begin, CASE WHEN id < '4' THEN "end" + 1 ELSE "end" END AS "end" FROM sp WHERE field <> 'SECOND' AND id < 'f'),
+            bo AS (SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM (SELECT *, TRUE AS p FROM pd) FULL JOIN (SELECT *, TRUE AS g FROM sp) USING (id, field, begin, "end")),
+            cf2 AS (SELECT id IN (SELECT id FROM pd) AS p, id IN (SELECT id FROM sp) AS g FROM lt), cl AS (SELECT count(*) FILTER (WHERE p AND g) AS clf_tp, count(*) FILTER (WHERE p AND NOT g) AS clf_fp, count(*) FILTER (WHERE NOT p AND g) AS clf_fn, count(*) FILTER (WHERE NOT p AND NOT g) AS clf_tn FROM cf2),
+            b2 AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM bo, cl)""", "SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-9) AS f1 FROM b2"),
         "mined_patterns": _with(MINED, "SELECT * FROM m5"),
         "tagger_dates": _with(TAGGED, "SELECT * FROM td"),
         "tagger_evidence": _with(TAGGED + ", te AS (SELECT *, CASE WHEN id < '8' THEN 1e0 WHEN id < 'a' THEN 0.85e0 WHEN id < 'c' THEN 0.85e0 * 0.85e0 ELSE 0.85e0 * 0.7e0 END AS w, id < '8' AS stem FROM td)",
