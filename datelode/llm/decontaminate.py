@@ -8,8 +8,9 @@ numbers. Test phrases are then translated to the shard's numbers; backward searc
 gives the row interval of each phrase, sampled suffix positions place the occurrences, and spans are
 merged in each document. Nothing is shuffled for a test set of one block. The driver reads the test
 items (a stated query set, small next to a corpus) into blocks of about PHRASES words; each block is
-broadcast on its own, so what is sent at once is bounded however many test items there are. All
-blocks search the unchanged text; what they find is joined row by row, and text is cut once.
+broadcast on its own, and a pass over the corpus searches BLOCKS of them in the same indexes, so what is sent
+is bounded however many test items there are. More blocks are more passes: all search the unchanged text, what
+they find is joined row by row, and text is cut once.
 
 Null texts have no words: never contaminated, and null items are never found. Item ids that are null
 are left out of the list of ids and count as one item. Repeated rows give one output row each; other columns are dropped;
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -36,6 +37,8 @@ WINDOW = 10
 SHARD_WORDS = 500_000
 #: Phrases searched and broadcast at once.
 PHRASES = 500_000
+#: Blocks that one pass over the corpus searches, one after the other in each shard's index.
+BLOCKS = 8
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -74,11 +77,10 @@ class Shard:
         self.total += len(words) + 1
         return len(words)
 
-    def hits(self, phrases: Phrases) -> tuple[list[np.ndarray], list[set]]:
-        """For each document the hit word places (sorted, unique) and the items found."""
+    def hits(self, blocks: Iterable[Phrases]) -> tuple[list[np.ndarray], list[set]]:
+        """For each document the hit word places (sorted, unique) and the items found, over all blocks."""
         from datelode.llm.fm_index import FmIndex
 
-        known = np.array([0, *(self.numbers.get(w, 0) for w in phrases.numbers)], dtype=np.int64)  # numbers stand in the order of their words
         places: list[list[np.ndarray]] = [[] for _ in self.docs]
         items: list[set] = [set() for _ in self.docs]
         if self.total > len(self.docs):
@@ -87,33 +89,49 @@ class Shard:
             owner = np.repeat(np.arange(len(sizes)), sizes)
             seq = np.zeros(self.total, dtype=np.int64)  # each document is closed by a 0
             seq[np.delete(np.arange(self.total), first + sizes - 1)] = np.concatenate(self.docs)
-            index = FmIndex(seq)
-            for length, patterns, of in phrases.by_length:
-                patterns = known[patterns]
-                here = np.flatnonzero(patterns.all(axis=1))  # a phrase with a word that the shard has not occurs nowhere in it
-                lo, hi = index.search(patterns[here])
-                some = np.flatnonzero(hi > lo)
-                found, lo, hi = here[some], lo[some], hi[some]
-                if not len(found):
-                    continue
-                n = hi - lo
-                rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pattern, start = np.repeat(found, n), index.locate(rows)
-                doc = owner[start]
-                for d, p in np.unique(np.stack([doc, pattern]), axis=1).T.tolist():
-                    items[d].update(of[p])
-                by = np.argsort(doc, kind="stable")
-                doc, begin = doc[by], (start - first[doc])[by]
-                cuts = np.flatnonzero(np.diff(doc)) + 1
-                for d, some in zip(doc[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts), strict=True):
-                    places[d].append((some[:, None] + np.arange(length)).ravel())
+            index = None
+            for phrases in blocks:
+                index = index or FmIndex(seq)
+                known = np.array([0, *(self.numbers.get(w, 0) for w in phrases.numbers)], dtype=np.int64)  # numbers stand in the order of their words
+                for length, patterns, of in phrases.by_length:
+                    patterns = known[patterns]
+                    here = np.flatnonzero(patterns.all(axis=1))  # a phrase with a word that the shard has not occurs nowhere in it
+                    lo, hi = index.search(patterns[here])
+                    some = np.flatnonzero(hi > lo)
+                    found, lo, hi = here[some], lo[some], hi[some]
+                    if not len(found):
+                        continue
+                    n = hi - lo
+                    rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    pattern, start = np.repeat(found, n), index.locate(rows)
+                    doc = owner[start]
+                    for d, p in np.unique(np.stack([doc, pattern]), axis=1).T.tolist():
+                        items[d].update(of[p])
+                    by = np.argsort(doc, kind="stable")
+                    doc, begin = doc[by], (start - first[doc])[by]
+                    cuts = np.flatnonzero(np.diff(doc)) + 1
+                    for d, some in zip(doc[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts), strict=True):
+                        places[d].append((some[:, None] + np.arange(length)).ravel())
         merged = [np.unique(np.concatenate(p)) if p else np.zeros(0, dtype=np.int64) for p in places]
         return merged, items
 
 
-def _scan(docs: DataFrame, phrases: Phrases, ddl: str, row) -> DataFrame:
+class Sent:
+    """Blocks broadcast one by one; a task holds one at a time."""
+
+    def __init__(self, docs: DataFrame, blocks: list[Phrases]) -> None:
+        self.each = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for b in self.each:
+            yield b.value
+            if len(self.each) > 1:
+                b.__dict__.pop("_value", None)  # read again from the executor's disk for the next shard
+
+
+def _scan(docs: DataFrame, blocks: list[Phrases], ddl: str, row) -> DataFrame:
     """Index shard by shard; row(bodies, n_words, places, items) gives the output columns after doc_id."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    sent = Sent(docs, blocks)
     rows = doc_bytes(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -122,7 +140,7 @@ def _scan(docs: DataFrame, phrases: Phrases, ddl: str, row) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, ids, bodies, n
-            places, items = shard.hits(sent.value)
+            places, items = shard.hits(sent)
             out = pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *row(bodies, n, places, items)], names=["doc_id", *[x.split()[0] for x in ddl.split(", ")]])
             shard, ids, bodies, n = Shard(), [], [], []
             return out
@@ -164,16 +182,16 @@ def _listed(items) -> str:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     blocks = phrase_blocks(items, window)
-    if len(blocks) == 1:
+    if len(blocks) <= BLOCKS:
 
         def row(bodies, n, places, found):
             return [pa.array(n, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([hashlib.sha256(_listed(x).encode()).hexdigest() for x in found], pa.string()), pa.array([len(p) > 0 for p in places], pa.bool_())]
 
-        return _scan(docs, blocks[0], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", row)
+        return _scan(docs, blocks, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", row)
 
     keyed, row = _keyed(docs.select("doc_id", "text"))
     merged = _found(keyed, row, blocks)
-    n_words = _scan(keyed.select(F.col(row).alias("doc_id"), "text"), Phrases([], window), "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
+    n_words = _scan(keyed.select(F.col(row).alias("doc_id"), "text"), [], "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
     joined = keyed.select(row, "doc_id").join(n_words.select(F.col("doc_id").alias(row), "n_words"), row).join(merged, row, "left")
     return joined.select("doc_id", "n_words", F.coalesce(F.size("places").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"), F.col("places").isNotNull().alias("contaminated"))
 
@@ -191,7 +209,7 @@ def _found(keyed: DataFrame, row: str, blocks: list[Phrases]) -> DataFrame:
         return [pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array([[None if x is None else str(x) for x in f] for f in found], pa.list_(pa.string()))]
 
     texts = keyed.select(F.col(row).alias("doc_id"), "text")
-    each = [_scan(texts, b, "places array<long>, found array<string>", hit).where(F.size("places") > 0) for b in blocks]
+    each = [_scan(texts, blocks[k : k + BLOCKS], "places array<long>, found array<string>", hit).where(F.size("places") > 0) for k in range(0, len(blocks), BLOCKS)]
     rows = reduce(DataFrame.unionByName, each).groupBy(F.col("doc_id").alias(row))  # bounded by the document's words
     all_ = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     return rows.agg(F.array_sort(all_("places")).alias("places"), all_("found").alias("f")).select(row, "places", F.array_sort(F.filter("f", lambda x: x.isNotNull())).alias("found"), F.size("f").alias("n_items"))
@@ -204,8 +222,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     blocks = phrase_blocks(items, window)
-    if len(blocks) == 1:
-        text = _with_columns(docs, blocks[0], others)
+    if len(blocks) <= BLOCKS:
+        text = _with_columns(docs, blocks, others)
     else:
         keyed, row = _keyed(docs.select(*map(column, others), "text"))
         places = fresh(keyed, "places")
@@ -229,15 +247,15 @@ def _kept(body: bytes, hit: np.ndarray) -> str:
     return body.decode("utf-8", "replace")
 
 
-def _with_columns(docs: DataFrame, phrases: Phrases, others: list[str]) -> DataFrame:
-    """others and the text without the words that phrases hit; a shard is what one task holds at once."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+def _with_columns(docs: DataFrame, blocks: list[Phrases], others: list[str]) -> DataFrame:
+    """others and the text without the words that blocks hit; a shard is what one task holds at once."""
+    sent = Sent(docs, blocks)
 
     def run(bodies: list[bytes]) -> list[pa.Array]:
         shard = Shard()
         for b in bodies:
             shard.add(b)
-        places, _ = shard.hits(sent.value)
+        places, _ = shard.hits(sent)
         return [pa.array(map(_kept, bodies, places), pa.string())]
 
     return beside(docs, others, run, "text string")

@@ -73,7 +73,9 @@ def test_decontamination_by_blocks_is_that_of_one_block(spark, monkeypatch):
     blocks = d.phrase_blocks
     monkeypatch.setattr(d, "phrase_blocks", lambda items, window: blocks(items, window, 14))
     assert len(d.phrase_blocks(bench, 10)) > 2
-    assert (report(), cut()) == want
+    assert (report(), cut()) == want  # several blocks in one pass
+    monkeypatch.setattr(d, "BLOCKS", 1)
+    assert (report(), cut()) == want  # a pass for each
 
 
 def test_quality_rules_each_find_an_outlier(spark):
