@@ -32,6 +32,12 @@ def altitude(value: Column, ref: Column) -> Column:
     return F.when(F.coalesce(ref, F.lit(0)) == 1, -value).otherwise(value)
 
 
+def gps_time(day: Column, hours: Column, minutes: Column, seconds: Column) -> Column:
+    """UTC time of a position: 'yyyy:MM:dd' and three numbers; fractions of a second are cut; null if they are no time."""
+    part = lambda a, n: F.substring(day, a, n).try_cast("int")
+    return F.when(day.rlike("^[0-9]{4}:[0-9]{2}:[0-9]{2}"), F.try_make_timestamp_ntz(part(1, 4), part(6, 2), part(9, 2), hours.cast("int"), minutes.cast("int"), F.floor(seconds).cast("decimal(16,6)")))
+
+
 def device(raw: Column) -> Column:
     """A make or model field as text: UTF-8, without NULs and blanks around it; null if nothing is left."""
     return F.nullif(F.trim(F.translate(F.try_validate_utf8(raw.cast("string")), "\0", "")), F.lit(""))

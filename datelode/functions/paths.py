@@ -44,3 +44,9 @@ def common_prefix(a: Column, b: Column) -> Column:
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(a, k) == F.get(b, k))
     upto = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n.cast("bigint"))
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.slice(a, F.lit(1), upto.cast("int")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """How much two folders share from the top: the lengths of equal leading parts, one more for each."""
+    shared = common_prefix(F.split(a, "/"), F.split(b, "/"))
+    return F.aggregate(shared, F.lit(0), lambda n, p: n + F.length(p) + 1)

@@ -60,9 +60,11 @@ def overall_scores(predicted: DataFrame, gold: DataFrame, texts: DataFrame) -> D
     return rows.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))
 
 
-def vocabulary(texts: DataFrame, column: str, special: int = 2, min_freq: int = 1) -> DataFrame:
-    """char, n, id: dense ids behind the special ones, most frequent first, ties by character."""
-    counts = texts.select(F.explode(F.split(column, "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("n")).where(F.col("n") >= min_freq)
+def vocabulary(texts: DataFrame, column: str, special: int = 2, min_freq: int = 1, min_freq_han: int | None = None) -> DataFrame:
+    """char, n, id: dense ids behind the special ones, most frequent first, ties by character; Han characters may have a bound of their own."""
+    counts = texts.select(F.explode(F.split(column, "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("n"))
+    least = F.when(F.col("char").rlike(r"^\p{IsHan}"), F.lit(min_freq if min_freq_han is None else min_freq_han)).otherwise(F.lit(min_freq))
+    counts = counts.where(F.col("n") >= least)
     return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "char")) + special - 1)  # the alphabet, not the corpus
 
 

@@ -103,14 +103,18 @@ def latest(log: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def html_summary(actions: DataFrame, rows: int = 50) -> str:
-    """A report page: the counts of all buckets and at most rows lines of each but the confident one."""
+    """A report page: the counts of all buckets, at most rows lines of each, and the largest duplicate groups with the file that is kept."""
     from html import escape
 
     counts = {r.bucket: r.n for r in bucket_counts(actions).collect()}
     out = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>Export plan</title></head><body><h1>Export plan</h1><table>"]
     out += [f"<tr><th>{b}</th><td>{counts.get(b, 0)}</td></tr>" for b in ("confident", "review", "duplicate", "unsupported")]
     out.append(f"<tr><th>total</th><td>{sum(counts.values())}</td></tr></table>")
-    for b in ("review", "duplicate", "unsupported"):
+    groups = actions.where("duplicate_group_id <> ''").groupBy("duplicate_group_id").agg(F.count("*").alias("n"), F.min_by("source_relpath", "duplicate_rank").alias("kept")).orderBy(F.desc("n"), "duplicate_group_id").limit(rows)
+    out.append("<h2>duplicate groups</h2><ul>")
+    out += [f"<li>{escape(r.kept)}: {r.n} files</li>" for r in groups.collect()]
+    out.append("</ul>")
+    for b in ("confident", "review", "duplicate", "unsupported"):
         out.append(f"<h2>{b}</h2><ul>")
         out += [f"<li>{escape(r.source_relpath)}: {escape(r.reason)}</li>" for r in actions.where(F.col("bucket") == b).orderBy("source_relpath").limit(rows).collect()]
         out.append("</ul>")

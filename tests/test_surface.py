@@ -106,3 +106,29 @@ def test_improve_cascades_with_passes(spark):
 def test_digit_readings(spark):
     df = spark.createDataFrame([("a2020x02x30",), ("2020-02-29",), ("20200229 235960",), ("202013",), ("x",)], "t string")
     assert [r.p and (r.p.precision, str(r.p.dt.date())) for r in df.select(mine.parse_digits(F.col("t")).alias("p")).collect()] == [None, ("day", "2020-02-29"), None, None, None]
+
+
+def test_live_photos(spark, tmp_path):
+    import zipfile
+
+    from datelode.sources import livephoto
+
+    (tmp_path / "a").mkdir()
+    for name, entries in {"a/x.livp": {"__M/y.heic": b"no", "b.jpg": b"jpg", "c.HEIC": b"heic"}, "n.livp": {"v.mov": b"v"}}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, content in entries.items():
+                z.writestr(n, content)
+    (tmp_path / "broken.livp").write_bytes(b"PK")
+    (tmp_path / "other.jpg").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: (r.name, r.content and bytes(r.content), (r.error or "").split(":")[0]) for r in livephoto.unpack(spark, str(tmp_path)).collect()}
+    assert got == {"x.livp": ("c.HEIC", b"heic", ""), "n.livp": (None, None, "ValueError"), "broken.livp": (None, None, "BadZipFile")}
+
+
+def test_small_functions(spark):
+    from datelode.functions import metadata, paths
+
+    df = spark.createDataFrame([("a/b/c", "a/b/d", "2020:02:30", 1.0, 2.0, 3.9), (".", "a", "2020:02:29", 23.0, 59.0, 59.9)], "a string, b string, d string, h double, m double, s double")
+    got = df.select(paths.overlap(F.col("a"), F.col("b")), metadata.gps_time(F.col("d"), F.col("h"), F.col("m"), F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [(4, None), (0, datetime(2020, 2, 29, 23, 59, 59))]
+    texts = spark.createDataFrame([("aab",), ("年年a",)], "t string")
+    assert {r.char: r.id for r in labels.vocabulary(texts, "t", min_freq=2).collect()} == {"a": 2, "年": 3} and {r.char for r in labels.vocabulary(texts, "t", min_freq=1, min_freq_han=3).collect()} == {"a", "b"}
