@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelode.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from datelode.llm.common import materialize, numbered
+from datelode.llm.common import column, materialize, numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows, number = numbered(docs)
     groups = simhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(number))
-    return rows.join(first, number, "left_semi").select(*docs.columns)
+    return rows.join(first, number, "left_semi").select(*map(column, docs.columns))
 
 
 #: Runs of as many words are cut out where they repeat.
