@@ -5,8 +5,8 @@ password or api_key, a sign, a value of 6 characters or more), `access` (AKIA an
 or more) and `hex` (24 lower-case hex digits or more).
 
 Novelty adds spans of kind `novel`. A candidate is a run of MIN_LENGTH characters or more of
-[A-Za-z0-9+/_.-], padded by = or not, with a letter, outside base spans, in a sensitive context: a word of
-SENSITIVE stands on its line in the REACH code points before it. Its marginal bytes are what zstandard needs for the
+[A-Za-z0-9+/_.-], padded by = or not, with letters and a digit or letters of both cases (a plain word is none), outside
+base spans, in a sensitive context: a word of SENSITIVE stands on its line in the REACH code points before it. Its marginal bytes are what zstandard needs for the
 surrounding code with the candidate less what it needs for the surrounding code alone. The compressor
 is primed with a dictionary of identifiers: fixed ones of programs, and the words that stand in sensitive
 contexts of the most documents of the corpus. Names, paths and prose are in the dictionary or around
@@ -51,15 +51,16 @@ IDENTIFIERS = (
     "query random readonly record refresh region register release remote request require resource response return role sample schema scope select self server service session setting static storage string struct subject sudo system "
     "table target template tenant test throw timeout true type undefined update upload user username value variable vector version void volume webhook window workspace www your xxxxxxxx changeme"
 )
-MIN_LENGTH, REACH, SHARE = 12, 48, 0.85
+MIN_LENGTH, REACH, SHARE = 12, 48, 0.75
 #: A word enters the dictionary from so many documents on.
 MIN_DOCS = 10
 #: Code points around a candidate that are compressed with it, words taken from the corpus, level of compression.
 BEFORE, AFTER, DICTIONARY, LEVEL = 160, 80, 4096, 9
+LEAD, TAIL = 256, 16  # bytes
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_.-]{{{MIN_LENGTH},}}={{0,2}}")
 _SENSITIVE = re.compile("(?ai:" + "|".join(map(re.escape, SENSITIVE)) + ")")
-_LETTER = re.compile("[A-Za-z]")
+_LETTER, _MIXED = re.compile("[A-Za-z]"), re.compile("[0-9]|[a-z][A-Z]")
 _WORD = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z]{3,20}(?![A-Za-z0-9+/_-])")
 #: What a text must have for a span of any kind.
 _ANY = "(?i:api_?key|" + "|".join(map(re.escape, SENSITIVE)) + ")|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -84,7 +85,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             near, word = word.end(), next(words, None)
         while k < len(taken) and taken[k][0] < end:
             covered, k = max(covered, taken[k][2]), k + 1
-        if near >= 0 and start - near <= REACH and text.find("\n", near, start) < 0 and covered <= start and _LETTER.search(text, start, end):
+        if near >= 0 and start - near <= REACH and text.find("\n", near, start) < 0 and covered <= start and _LETTER.search(text, start, end) and _MIXED.search(text, start, end):
             out.append((start, end))
     return out
 
@@ -105,10 +106,14 @@ def _compressor(content: bytes):
 
 
 def marginal_bytes(text: str, start: int, end: int, content: bytes) -> int:
-    """Bytes that the string from start to end adds to its compressed surroundings."""
+    """Bytes that the string from start to end adds to its compressed surroundings.
+
+    Pieces of the dictionary go before and behind them: a block that saves too little would be stored as it is,
+    and the last bytes of a block are never matched.
+    """
     string = text[start:end]
     before, after = text[max(0, start - BEFORE) : start].replace(string, ""), text[end : end + AFTER].replace(string, "")
-    size = lambda s: len(_compressor(content).compress(s.encode()))
+    size = lambda s: len(_compressor(content).compress(content[-LEAD:] + s.encode() + content[-TAIL:]))
     return size(before + string + after) - size(before + after)
 
 
