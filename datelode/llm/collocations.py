@@ -36,7 +36,7 @@ from datelode.llm.common import materialize, slices
 
 MAX_N, MIN_COUNT, TOP, COVER = 3, 10, 2000, 50
 #: Bytes of text exploded at once, and words of a window.
-SLICE_BYTES, WINDOW = 8_000_000, 2_000_000
+SLICE_BYTES, WINDOW = 4_000_000, 2_000_000
 #: Bits of a filter for one frequent phrase, bits at most (16 MB), probes.
 ITEM_BITS, MAX_BITS, PROBES = 12, 1 << 27, 4
 SALTS = 64
