@@ -11,7 +11,7 @@ from datelode import oracles
 from datelode.functions.vectors import sign_hash
 from datelode import stages
 from datelode.functions import values
-from datelode.operators import compare, dataset, dedup, evidence, labels, mine, profile, resolve, similar, tagger, timeline
+from datelode.operators import compare, dataset, dedup, evidence, labels, mine, ordered, profile, resolve, similar, tagger, timeline
 from datelode.operators.components import saved
 from datelode.plans import export
 from datelode.sources import checkpoint, logs
@@ -170,6 +170,31 @@ def interpolate(spark, sf_dir):
     return timeline.interpolate(members, KEY)
 
 
+def interpolate_wide(spark, sf_dir):
+    """The sessions of users again, each dealt over ranges."""
+    dated = _dated(spark, sf_dir)
+    members = timeline.build_sessions(dated, KEY).join(dated.select("item_id", "relpath", "stem", "final_datetime", "confidence", "mtime"), "item_id")
+    return timeline.interpolate_wide(members, KEY)
+
+
+def sessions_global(spark, sf_dir):
+    """Sessions of all events together, whoever they are of."""
+    rows = ordered.sessions(_read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts", [], "event_id", gap_hours=0.125)
+    return rows.groupBy("session_idx").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").alias("time_start"), F.max("ts").alias("time_end"))
+
+
+def session_album(spark, sf_dir):
+    """Sessions of the whole album, without a key."""
+    return timeline.build_sessions(_dated(spark, sf_dir), [])
+
+
+def interpolate_album(spark, sf_dir):
+    """Times between the anchors of the whole album's sessions; one of them holds nearly all items."""
+    dated = _dated(spark, sf_dir)
+    members = timeline.build_sessions(dated, []).join(dated.select("item_id", "relpath", "stem", "final_datetime", "confidence", "mtime"), "item_id")
+    return timeline.interpolate_wide(members, [])
+
+
 def digit_signatures(spark, sf_dir):
     return mine.signatures(mine.name_parts(album(spark, sf_dir))).select("sig", "total", "n", "group_total")
 
@@ -474,7 +499,7 @@ def livephoto_entry(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate,
+        album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
         digit_signatures, mined_patterns, export_plan, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
         tagger_dates, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
         reresolve, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,

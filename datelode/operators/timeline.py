@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datelode.functions import paths
 from datelode.functions.timeparts import micros_between
+from datelode.operators import ordered
 
 GAP_HOURS = 6
 ANCHOR = 0.6
@@ -54,8 +55,12 @@ def assign_floating(floating: DataFrame, stats: DataFrame, key: list[str]) -> Da
 
 
 def build_sessions(items: DataFrame, key: list[str], gap_hours: float = GAP_HOURS, least: float = ANCHOR) -> DataFrame:
-    """item_id, key, session_idx, is_anchor for every item(item_id, key, relpath, final_datetime, confidence)."""
-    anchored = sessionize(anchors(items, least), "final_datetime", key, "item_id", gap_hours)
+    """item_id, key, session_idx, is_anchor for every item(item_id, key, relpath, final_datetime, confidence).
+
+    An empty key makes sessions of the whole album, by ranges of time.
+    """
+    cut = sessionize if key else ordered.sessions
+    anchored = cut(anchors(items, least), "final_datetime", key, "item_id", gap_hours)
     rest = items.where(F.col("final_datetime").isNull() | (F.col("confidence") < least))
     floating = assign_floating(rest, session_stats(anchored, key), key)
     return anchored.select("item_id", *key, "session_idx", F.lit(True).alias("is_anchor")).unionByName(floating.withColumn("is_anchor", F.lit(False)))
@@ -155,6 +160,13 @@ def disambiguate(tokens: DataFrame) -> DataFrame:
 # -- interpolation ----------------------------------------------------------------------------------
 
 
+def _lined_up(members: DataFrame, session: list[str]) -> DataFrame:
+    return members.select(*session, "item_id", "is_anchor", paths.folder(F.col("relpath")).alias("folder"), paths.tail_number(F.col("stem")).alias("tail"), F.when(F.col("is_anchor"), F.col("final_datetime")).alias("t"), F.when(F.col("is_anchor"), F.col("confidence")).alias("c"), F.when(F.col("is_anchor"), F.col("final_datetime")).otherwise(F.col("mtime")).alias("by_time"))
+
+
+_ORDER = [F.desc, "with_anchor"], [F.asc, "folder"], [F.asc, "tail"], [F.desc, "is_anchor"], [F.asc, "by_time"], [F.asc, "item_id"]
+
+
 def interpolate(members: DataFrame, key: list[str]) -> DataFrame:
     """Evidence between and beside anchors: item_id, dt, precision, confidence, mode.
 
@@ -162,14 +174,13 @@ def interpolate(members: DataFrame, key: list[str]) -> DataFrame:
     a session stand in order of folder (those with anchors first), tail number, anchors first, time. With
     two anchors or more, positions are stretched to the seconds between the first and the last; where the
     last is earlier, order and positions run against each other, and the neighbours are the outermost ones.
+    A session is sorted in one task; interpolate_wide() has no such bound.
     """
     session = [*key, "session_idx"]
-    folder = paths.folder(F.col("relpath"))
-    rows = members.select(*session, "item_id", "is_anchor", folder.alias("folder"), paths.tail_number(F.col("stem")).alias("tail"), F.when(F.col("is_anchor"), F.col("final_datetime")).alias("t"), F.when(F.col("is_anchor"), F.col("confidence")).alias("c"), F.when(F.col("is_anchor"), F.col("final_datetime")).otherwise(F.col("mtime")).alias("by_time"))
     in_folder = Window.partitionBy(*session, "folder")
     whole = Window.partitionBy(*session)
-    order = Window.partitionBy(*session).orderBy(F.desc("with_anchor"), "folder", "tail", F.desc("is_anchor"), "by_time", "item_id")
-    rows = rows.withColumn("with_anchor", F.max("is_anchor").over(in_folder)).withColumn("n", F.row_number().over(order) - 1)
+    order = whole.orderBy(*[way(c) for way, c in _ORDER])
+    rows = _lined_up(members, session).withColumn("with_anchor", F.max("is_anchor").over(in_folder)).withColumn("n", F.row_number().over(order) - 1)
     here = F.when(F.col("is_anchor"), F.struct(F.col("n").alias("n"), F.col("t").alias("t"), F.col("c").alias("c"), F.col("folder").alias("folder")))
     rows = rows.withColumn("a", here)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -178,6 +189,22 @@ def interpolate(members: DataFrame, key: list[str]) -> DataFrame:
         "prev": F.last("a", ignorenulls=True).over(before), "next": F.last("a", ignorenulls=True).over(after),
         "first": F.min("a").over(whole), "last": F.max("a").over(whole), "n_anchors": F.count("a").over(whole), "t0": F.min("t").over(whole), "t1": F.max("t").over(whole),
     })
+    return _estimates(rows)
+
+
+def interpolate_wide(members: DataFrame, key: list[str], ranges: int | None = None) -> DataFrame:
+    """interpolate() for sessions of any size: each is dealt over ranges of its order, the last and the next anchor are carried over their edges."""
+    session = [*key, "session_idx"]
+    rows = _lined_up(members, session)
+    marked = rows.groupBy(*session, "folder").agg(F.max("is_anchor").alias("with_anchor"))
+    rows = ordered.joined(rows, marked, [*session, "folder"])
+    mark = F.when(F.col("is_anchor"), F.struct("t", "c", "folder"))
+    rows = ordered.neighbours(rows, session, [way(c) for way, c in _ORDER], mark, ranges)
+    ends = rows.where("is_anchor").groupBy(*session).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    return _estimates(ordered.joined(rows.where("NOT is_anchor"), ends, session).withColumnRenamed("n_marked", "n_anchors"))
+
+
+def _estimates(rows: DataFrame) -> DataFrame:
     seconds = lambda a, b: micros_between(a, b) / 1e6
     p, length = (F.col("last.n") - F.col("first.n")).cast("double"), seconds(F.col("first.t"), F.col("last.t"))
     rows = rows.where("n_anchors > 0 AND NOT is_anchor").withColumn("scale", F.when((F.col("n_anchors") > 1) & (p != 0) & (length != 0), length / p))

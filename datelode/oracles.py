@@ -101,14 +101,21 @@ KNN = COS + """, nn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITI
 HASH = """hs AS (SELECT vec_id AS id, list_reduce(list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > 0 THEN CAST(1 AS UBIGINT) << CAST(k - 1 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END), lambda a, b: a | b) AS h FROM embeddings),
 hp AS (SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM hs a JOIN hs b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 16)"""
 
-SESSIONS = f"""{RESOLVED},
-dated AS MATERIALIZED (SELECT a.*, r.final_datetime, r.confidence FROM album a LEFT JOIN resolved r USING (item_id)),
-an0 AS (SELECT *, CASE WHEN date_diff('microsecond', lag(final_datetime) OVER w, final_datetime) > 21600000000 THEN 1 ELSE 0 END AS new FROM dated WHERE final_datetime IS NOT NULL AND confidence >= 0.6 WINDOW w AS (PARTITION BY user_id ORDER BY final_datetime, item_id)),
-an AS MATERIALIZED (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY final_datetime, item_id ROWS UNBOUNDED PRECEDING) AS INT) AS session_idx, 'u' || CAST(user_id AS STRING) || '/' || folder_name AS folder FROM an0),
-st AS MATERIALIZED (SELECT user_id, session_idx, min(final_datetime) AS time_start, max(final_datetime) AS time_end, count(*) AS n_anchors, string_agg(DISTINCT CAST(year(final_datetime) AS STRING), ',' ORDER BY CAST(year(final_datetime) AS STRING)) AS year_candidates, min(year(final_datetime)) AS y0, list(DISTINCT year(final_datetime)) AS years,
+def _sessions(key: str, dated: str, floating: str) -> str:
+    return f"""{RESOLVED},
+dated AS MATERIALIZED (SELECT a.*, r.final_datetime, r.confidence{dated} FROM album a LEFT JOIN resolved r USING (item_id)),
+an0 AS (SELECT *, CASE WHEN date_diff('microsecond', lag(final_datetime) OVER w, final_datetime) > 21600000000 THEN 1 ELSE 0 END AS new FROM dated WHERE final_datetime IS NOT NULL AND confidence >= 0.6 WINDOW w AS (PARTITION BY {key} ORDER BY final_datetime, item_id)),
+an AS MATERIALIZED (SELECT *, CAST(sum(new) OVER (PARTITION BY {key} ORDER BY final_datetime, item_id ROWS UNBOUNDED PRECEDING) AS INT) AS session_idx, 'u' || CAST(user_id AS STRING) || '/' || folder_name AS folder FROM an0),
+st AS MATERIALIZED (SELECT {key}, session_idx, min(final_datetime) AS time_start, max(final_datetime) AS time_end, count(*) AS n_anchors, string_agg(DISTINCT CAST(year(final_datetime) AS STRING), ',' ORDER BY CAST(year(final_datetime) AS STRING)) AS year_candidates, min(year(final_datetime)) AS y0, list(DISTINCT year(final_datetime)) AS years,
   arg_min(folder, (final_datetime, item_id)) AS first_folder FROM an GROUP BY 1, 2),
-fl AS (SELECT d.item_id, d.user_id, coalesce((SELECT min(session_idx) FROM st WHERE st.user_id = d.user_id AND st.first_folder = 'u' || CAST(d.user_id AS STRING) || '/' || d.folder_name), 0) AS session_idx FROM dated d WHERE d.final_datetime IS NULL OR d.confidence < 0.6),
-members AS MATERIALIZED (SELECT item_id, user_id, session_idx, TRUE AS is_anchor FROM an UNION ALL SELECT item_id, user_id, session_idx, FALSE FROM fl)"""
+fl AS (SELECT d.item_id, d.{key}, coalesce({floating}, 0) AS session_idx FROM dated d WHERE d.final_datetime IS NULL OR d.confidence < 0.6),
+members AS MATERIALIZED (SELECT item_id, {key}, session_idx, TRUE AS is_anchor FROM an UNION ALL SELECT item_id, {key}, session_idx, FALSE FROM fl)"""
+
+
+_FOLDER_OF = "'u' || CAST(d.user_id AS STRING) || '/' || d.folder_name"
+SESSIONS = _sessions("user_id", "", f"(SELECT min(session_idx) FROM st WHERE st.user_id = d.user_id AND st.first_folder = {_FOLDER_OF})")
+# the whole album as one key: the same folder, else any folder of the same user
+ALBUM_SESSIONS = _sessions("whole", ", 0 AS whole", f"(SELECT min(session_idx) FROM st WHERE st.first_folder = {_FOLDER_OF}), (SELECT min(session_idx) FROM st WHERE string_split(st.first_folder, '/')[1] = 'u' || CAST(d.user_id AS STRING))")
 
 TOKENS = f"""{SESSIONS},
 fp AS (SELECT item_id, 0 AS depth, folder_name AS folder_text FROM live UNION ALL SELECT item_id, 1, 'u' || CAST(user_id AS STRING) FROM live),
@@ -119,18 +126,19 @@ d2 AS (SELECT item_id, depth, folder_text, s, CASE WHEN n = 4 AND CAST(s AS INT)
 tk AS (SELECT item_id, depth, folder_text, s, list_filter([c1, c2, c3], lambda x: x IS NOT NULL) AS c FROM d2),
 tokens AS (SELECT item_id, depth, folder_text, s, c FROM tk WHERE len(c) > 0)"""
 
-INTERPOLATE = f"""{SESSIONS},
-i0 AS (SELECT m.*, 'u' || CAST(m.user_id AS STRING) || '/' || a.folder_name AS folder, coalesce(TRY_CAST(nullif(regexp_extract(a.stem, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT), 0) AS tail, d.final_datetime AS t, d.confidence AS c, CASE WHEN is_anchor THEN d.final_datetime ELSE a.mtime END AS by_time
+def _interpolate(sessions: str, key: str) -> str:
+    return f"""{sessions},
+i0 AS (SELECT m.*, 'u' || CAST(a.user_id AS STRING) || '/' || a.folder_name AS folder, coalesce(TRY_CAST(nullif(regexp_extract(a.stem, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT), 0) AS tail, d.final_datetime AS t, d.confidence AS c, CASE WHEN is_anchor THEN d.final_datetime ELSE a.mtime END AS by_time
   FROM members m JOIN album a USING (item_id) JOIN dated d USING (item_id)),
-i1 AS (SELECT *, max(CASE WHEN is_anchor THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, session_idx, folder) AS wa FROM i0),
-i2 AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_idx ORDER BY wa DESC, folder, tail, is_anchor DESC, by_time, item_id) - 1 AS n FROM i1),
-ia AS (SELECT user_id, session_idx, n, t, c, folder FROM i2 WHERE is_anchor),
-ig AS (SELECT user_id, session_idx, count(*) AS na, min(n) AS n0, max(n) AS n1, arg_min(t, n) AS tf, arg_max(t, n) AS tl, min(t) AS t0, max(t) AS t1 FROM ia GROUP BY 1, 2),
-i3 AS (SELECT i2.*, na, n0, n1, t0, t1, CASE WHEN na > 1 AND n1 <> n0 AND tl <> tf THEN date_diff('microsecond', tf, tl) / 1e6 / CAST(n1 - n0 AS DOUBLE) END AS scale FROM i2 JOIN ig USING (user_id, session_idx) WHERE NOT is_anchor),
-i4 AS (SELECT *, CASE WHEN scale < 0 THEN CASE WHEN n1 > n THEN n1 END ELSE (SELECT max(ia.n) FROM ia WHERE ia.user_id = i3.user_id AND ia.session_idx = i3.session_idx AND ia.n < i3.n) END AS ln,
-  CASE WHEN scale < 0 THEN CASE WHEN n0 < n THEN n0 END ELSE (SELECT min(ia.n) FROM ia WHERE ia.user_id = i3.user_id AND ia.session_idx = i3.session_idx AND ia.n > i3.n) END AS rn FROM i3),
+i1 AS (SELECT *, max(CASE WHEN is_anchor THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, session_idx, folder) AS wa FROM i0),
+i2 AS (SELECT *, row_number() OVER (PARTITION BY {key}, session_idx ORDER BY wa DESC, folder, tail, is_anchor DESC, by_time, item_id) - 1 AS n FROM i1),
+ia AS (SELECT {key}, session_idx, n, t, c, folder FROM i2 WHERE is_anchor),
+ig AS (SELECT {key}, session_idx, count(*) AS na, min(n) AS n0, max(n) AS n1, arg_min(t, n) AS tf, arg_max(t, n) AS tl, min(t) AS t0, max(t) AS t1 FROM ia GROUP BY 1, 2),
+i3 AS (SELECT i2.*, na, n0, n1, t0, t1, CASE WHEN na > 1 AND n1 <> n0 AND tl <> tf THEN date_diff('microsecond', tf, tl) / 1e6 / CAST(n1 - n0 AS DOUBLE) END AS scale FROM i2 JOIN ig USING ({key}, session_idx) WHERE NOT is_anchor),
+i4 AS (SELECT *, CASE WHEN scale < 0 THEN CASE WHEN n1 > n THEN n1 END ELSE (SELECT max(ia.n) FROM ia WHERE ia.{key} = i3.{key} AND ia.session_idx = i3.session_idx AND ia.n < i3.n) END AS ln,
+  CASE WHEN scale < 0 THEN CASE WHEN n0 < n THEN n0 END ELSE (SELECT min(ia.n) FROM ia WHERE ia.{key} = i3.{key} AND ia.session_idx = i3.session_idx AND ia.n > i3.n) END AS rn FROM i3),
 i5 AS (SELECT i4.*, l.t AS lt, l.c AS lc, l.folder AS lf, r.t AS rt, r.c AS rc, r.folder AS rf, coalesce((i4.n - n0) * scale, CAST(i4.n AS DOUBLE)) AS x, coalesce((ln - n0) * scale, CAST(ln AS DOUBLE)) AS pl, coalesce((rn - n0) * scale, CAST(rn AS DOUBLE)) AS pr
-  FROM i4 LEFT JOIN ia l ON l.user_id = i4.user_id AND l.session_idx = i4.session_idx AND l.n = ln LEFT JOIN ia r ON r.user_id = i4.user_id AND r.session_idx = i4.session_idx AND r.n = rn),
+  FROM i4 LEFT JOIN ia l ON l.{key} = i4.{key} AND l.session_idx = i4.session_idx AND l.n = ln LEFT JOIN ia r ON r.{key} = i4.{key} AND r.session_idx = i4.session_idx AND r.n = rn),
 i6 AS (SELECT *, ln IS NOT NULL AND rn IS NOT NULL AS inner_, date_diff('microsecond', lt, rt) AS gap, coalesce(lt, rt) AS ot, coalesce(lc, rc) AS oc, coalesce(lf, rf) AS of_, coalesce(pl, pr) AS op, CASE WHEN na > 1 THEN date_diff('microsecond', t0, t1) / 1e6 / (na - 1) ELSE 60e0 END AS av FROM i5),
 ip AS (SELECT item_id, CASE WHEN inner_ THEN lt + to_microseconds(CAST(round(gap * ((x - pl) / (pr - pl))) AS BIGINT)) ELSE ot END AS dt,
   CASE WHEN inner_ THEN CASE WHEN abs(gap / 1e6) / (pr - pl) < 3600 THEN 'minute' WHEN abs(gap / 1e6) / (pr - pl) < 86400 THEN 'hour' ELSE 'day' END ELSE 'day' END AS precision,
@@ -138,6 +146,9 @@ ip AS (SELECT item_id, CASE WHEN inner_ THEN lt + to_microseconds(CAST(round(gap
   ELSE round(greatest(0.1e0, least(0.6e0, oc - 0.08e0 * (abs(x - op) / CASE WHEN av = 0 THEN 1e0 ELSE av END) + CASE WHEN folder = of_ THEN 0.1e0 ELSE 0e0 END)), 3) END AS confidence,
   CASE WHEN inner_ THEN 'inner' ELSE 'outer' END AS mode FROM i6)"""
 
+
+INTERPOLATE = _interpolate(SESSIONS, "user_id")
+
 _LABEL = "CASE " + " ".join(f"WHEN p = '{name}' AND k - start = {o} THEN 'B-{f}' WHEN p = '{name}' AND k - start > {o} AND k - start < {o + w} THEN 'I-{f}'" for name, fields in FIELD_WIDTH.items() for f, o, w in fields) + " ELSE 'O' END"
 LABELS = f"""{EVIDENCE},
 bp AS (SELECT item_id, arg_max(pattern_name, length(matched_text)) AS p, arg_max(matched_text, length(matched_text)) AS m FROM fn WHERE pattern_name IN ('DATETIME8_6', 'DATE8') GROUP BY 1),
@@ -234,6 +245,10 @@ def sql() -> dict[str, str]:
             round(greatest(0.1e0, least(0.85e0, CASE WHEN n = 1 THEN 0.5e0 ELSE 0.3e0 END + CASE WHEN len(c1) < len(c) THEN 0.1e0 ELSE 0e0 END + CASE WHEN len(c2) < len(c1) THEN 0.1e0 ELSE 0e0 END + least(0.05e0 * coalesce(n_anchors, 0), 0.2e0) - 0.1e0 * depth)), 3) AS confidence FROM t6)""",
             "SELECT * FROM t7 WHERE dt IS NOT NULL AND confidence >= 0.25"),
         "interpolate": _with(INTERPOLATE, "SELECT * FROM ip"),
+        "interpolate_wide": _with(INTERPOLATE, "SELECT * FROM ip"),
+        "sessions_global": "WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) > 450000000 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INT) AS session_idx FROM g) SELECT session_idx, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS time_start, max(ts) AS time_end FROM s GROUP BY 1",
+        "session_album": _with(ALBUM_SESSIONS, "SELECT item_id, session_idx, is_anchor FROM members"),
+        "interpolate_album": _with(_interpolate(ALBUM_SESSIONS, "whole"), "SELECT * FROM ip"),
         "digit_signatures": _with(SIGS, "SELECT sig, total, n, CAST(sum(n) OVER (PARTITION BY total) AS BIGINT) AS group_total FROM sc"),
         "export_plan": _with(PLAN, "SELECT * FROM plan"),
         "bucket_counts": _with(PLAN, "SELECT bucket, count(*) AS n FROM plan GROUP BY 1"),
