@@ -210,6 +210,27 @@ def _plan(spark, sf_dir) -> DataFrame:
     return export.plan(album(spark, sf_dir), resolved, near)
 
 
+def _alike(spark, sf_dir) -> DataFrame:
+    """Items with score, and with hash and vector of the embedding of the same number."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), sign_hash(F.col("embedding")).alias("h"), "embedding")
+    return saved(_scored(spark, sf_dir, _resolved(spark, sf_dir)).join(rows, "event_id", "left").select(F.col("event_id").alias("id"), "item_id", "sha1", "h", "embedding", "score", "filesize", "relpath"))
+
+
+def _plan_by(spark, sf_dir, mode: str) -> DataFrame:
+    items = _alike(spark, sf_dir)
+    pairs = similar.cosine_pairs(items.select("id", "embedding"), COSINE) if mode == "clip" else None
+    dups = dedup.ranked(items.drop("embedding"), mode, HAMMING_LIMIT, pairs).join(items.select("id", "item_id"), "id").drop("id")
+    return export.plan(album(spark, sf_dir), _resolved(spark, sf_dir), dups)
+
+
+def export_plan_phash(spark, sf_dir):
+    return _plan_by(spark, sf_dir, "phash")
+
+
+def export_plan_clip(spark, sf_dir):
+    return _plan_by(spark, sf_dir, "clip")
+
+
 def export_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
@@ -406,6 +427,15 @@ def reresolve(spark, sf_dir):
     return _flat(similar.improve(known, similar.nearest(v, v, 5, LEND_COSINE))).select("item_id", "final_datetime", "confidence", "primary_source", "source_summary", "n_conflicts")
 
 
+def lend_in_order(spark, sf_dir):
+    """As reresolve, but one vector after the other: what took a time lends it to those behind it."""
+    v = _vectors(spark, sf_dir)
+    dt = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 365 as int))")
+    precision = F.when(F.col("id") % 2 == 0, F.lit("second")).otherwise(F.lit("day"))
+    known = v.where("id % 5 = 0").select(F.col("id").alias("item_id"), F.lit(0).alias("ev_seq"), F.lit("known").alias("source"), dt.alias("dt"), precision.alias("precision"), (F.lit(0.3) + (F.col("id") % 4) / 10).alias("confidence"), (F.col("id") % 3 > 0).alias("is_direct"))
+    return _flat(similar.improve_in_order(known, similar.nearest(v, v, 5, LEND_COSINE), 0.4))
+
+
 def best_evidence(spark, sf_dir):
     return resolve.best_evidence(evidence.all_evidence(album(spark, sf_dir))).select("item_id", "ev_seq", "source", "dt", "confidence")
 
@@ -500,9 +530,9 @@ def livephoto_entry(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
-        digit_signatures, mined_patterns, export_plan, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
+        digit_signatures, mined_patterns, export_plan, export_plan_phash, export_plan_clip, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
         tagger_dates, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
-        reresolve, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,
+        reresolve, lend_in_order, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,
     ]
     found = {f.__name__: f for f in plain}
     return found | {f.__name__: _evidence(f) for f in (evidence.exif_evidence, evidence.filesystem_evidence, evidence.filename_evidence, evidence.foldername_evidence)}

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datelode.functions.vectors import hamming
-from datelode.operators.components import components
+from datelode.operators import ordered
+from datelode.operators.components import components, saved
 
 HAMMING = 4
 # The format that counts as right for an extension in the quality score.
@@ -117,4 +118,22 @@ def review_flags(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("related_id"), "score").union(pairs.select("id_b", "id_a", "score"))
     known = groups.select("id")
     alone = both.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "related_id"), "related_id", "left_anti")
-    return alone.groupBy("id").agg(F.max_by("related_id", F.struct("score", -F.col("related_id"))).alias("related_id"), F.max("score").alias("score"))
+    return alone.groupBy("id").agg(F.min_by("related_id", F.struct(-F.col("score"), "related_id")).alias("related_id"), F.max("score").alias("score"))
+
+
+def ranked(items: DataFrame, mode: str = "sha1", limit: int = HAMMING, pairs: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """id, group_id, dup_rank, kind, needs_review of items(id, sha1, h, score, filesize, relpath), as export.plan() reads them.
+
+    Groups are those of grouped(); rank 0 is kept: the best score, then the largest file, then the first path
+    and id. Ranks are counted by ranges of that order, so one group may hold most of the table. Mode clip
+    ranks as phash does; rows of pairs(id_a, id_b, score) that stand in no group come with rank -1, no group and
+    needs_review. Rows that are in neither are left out.
+    """
+    groups = saved(grouped(items, "phash" if mode == "clip" else mode, limit))
+    members = groups.join(items.select("id", "score", "filesize", "relpath"), "id")
+    order = [F.desc("score"), F.desc("filesize"), F.asc("relpath"), F.asc("id")]
+    placed = ordered.numbered(members, ["group_id"], order, "dup_rank", ranges)
+    out = placed.select("id", F.col("group_id").cast("string").alias("group_id"), F.col("dup_rank").cast("int").alias("dup_rank"), "kind", F.lit(False).alias("needs_review"))
+    if mode == "clip" and pairs is not None:
+        out = out.unionByName(review_flags(groups, pairs).select("id", F.lit("").alias("group_id"), F.lit(-1).alias("dup_rank"), F.lit("clip").alias("kind"), F.lit(True).alias("needs_review")))
+    return out

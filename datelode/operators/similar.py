@@ -11,6 +11,7 @@ nearest probes centers only; every row is indexed, and large cells are several b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,3 +167,49 @@ def improve(evidence: DataFrame, neighbours: DataFrame, passes: int = 1, thresho
         everyone = known.union(neighbours.select(F.col("query_id").alias("item_id")).distinct().join(known, "item_id", "left_anti").select("item_id", F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("double")))
         evidence = saved(evidence.unionByName(lent_evidence(lend(neighbours, everyone, threshold)).select(*evidence.columns)))
     return resolve(evidence)
+
+
+#: Written tables of finished rounds that are read one by one before they are put together.
+ROUNDS = 8
+
+
+def improve_in_order(evidence: DataFrame, neighbours: DataFrame, threshold: float = LENDER_CONFIDENCE) -> DataFrame:
+    """resolve()'s rows and n_lent after lending one item after the other, in the order of item_id.
+
+    Each item that is unresolved or below threshold takes the times of its neighbours(query_id, vec_id, score)
+    that are resolved at threshold or above when its turn comes, and is resolved again at once, so it may lend to
+    those behind it. An item only waits for neighbours before it that could become lenders by that: weak
+    now, without direct evidence (which would stay first), and with a neighbour near enough. All others are done in
+    the first round, the rest round by round once nothing before them is open; rounds are as many as the longest
+    such chain, each a written table. The outcome is that of the loop over items.
+    """
+    known = resolve(evidence).select("item_id", "final_datetime", "precision", "confidence")
+    good = (F.col("final_datetime").isNotNull()) & (F.col("confidence") >= threshold)
+    loan = [F.col("item_id").alias("vec_id"), F.col("final_datetime").alias("dt"), "precision"]
+    lenders = saved(known.where(good).select(*loan))
+    links = neighbours.select("query_id", "vec_id", "score").where("query_id <> vec_id")
+    mine = saved(links.join(lenders.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti"))
+    direct = evidence.where("is_direct AND dt IS NOT NULL").select(F.col("item_id").alias("query_id"))
+    able = mine.where(lent_confidence(F.col("score")) >= threshold).select("query_id").distinct().join(direct, "query_id", "left_anti")
+    waits = saved(mine.where("vec_id < query_id").join(able.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select("query_id", "vec_id", "score"))
+    first = mine.join(lenders, "vec_id")
+    open_, done, lent = saved(mine.select("query_id").distinct()), [], []
+    while not open_.isEmpty():
+        blocked = waits.join(open_.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select("query_id").distinct()
+        ready = saved(open_.join(blocked, "query_id", "left_anti"))
+        loans = first.join(ready, "query_id", "left_semi")
+        for earlier in done:
+            loans = loans.unionByName(waits.join(ready, "query_id", "left_semi").join(earlier, "vec_id"))
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # the neighbours of one item
+        taken = saved(loans.select(F.col("query_id").alias("item_id"), (9000 + order).alias("ev_seq"), F.lit("similar").alias("source"), "dt", "precision", lent_confidence(F.col("score")).alias("confidence"), F.lit(False).alias("is_direct")))
+        own = evidence.join(ready.select(F.col("query_id").alias("item_id")), "item_id", "left_semi")
+        done.append(saved(resolve(own.select(*taken.columns).unionByName(taken)).where(good).select(*loan)))
+        lent.append(taken)
+        for tables in (done, lent):
+            if len(tables) > ROUNDS:
+                tables[:] = [saved(reduce(DataFrame.unionByName, tables))]
+        open_ = saved(open_.join(ready, "query_id", "left_anti"))
+    every = evidence.select("item_id", "ev_seq", "source", "dt", "precision", "confidence", "is_direct")
+    every = reduce(DataFrame.unionByName, lent, every)
+    counts = every.where("source = 'similar'").groupBy("item_id").agg(F.count("*").alias("n_lent"))
+    return resolve(every).join(counts, "item_id", "left").withColumn("n_lent", F.coalesce("n_lent", F.lit(0).cast("long")))

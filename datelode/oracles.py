@@ -68,20 +68,22 @@ RESOLVED = EVIDENCE + "," + _resolve("ev")
 ORDERS = """oe AS (SELECT o_orderkey AS item_id, 0 AS ev_seq, 'order' AS source, CAST(o_orderdate AS TIMESTAMP) AS dt, 'day' AS precision, 0.7e0 AS confidence, TRUE AS is_direct FROM orders
   UNION ALL SELECT l_orderkey, l_linenumber, 'ship', CAST(l_shipdate AS TIMESTAMP), 'second', 0.55e0, FALSE FROM lineitem),""" + _resolve("oe")
 
-SCORED = f"""{RESOLVED},
+_SCORES = f"""{RESOLVED},
 scored AS MATERIALIZED (SELECT a.*, r.final_datetime, r.confidence, r.n_conflicts, r.primary_source, CASE WHEN r.confidence >= 0.9 THEN 2e0 WHEN r.confidence >= 0.7 THEN 1e0 ELSE 0e0 END + CASE WHEN exif_original IS NOT NULL THEN 3e0 ELSE 0e0 END + CASE WHEN has_gps THEN 0.5e0 ELSE 0e0 END
   + CASE WHEN (ext = 'jpg' AND format_real = 'JPEG') OR (ext = 'png' AND format_real = 'PNG') OR (ext = 'heic' AND format_real = 'HEIF') THEN 1e0 ELSE 0e0 END - CASE WHEN {SHOTS} THEN 1e0 ELSE 0e0 END AS score
-  FROM album a LEFT JOIN resolved r USING (item_id)),
-dups AS MATERIALIZED (SELECT item_id, sha1 AS group_id, CAST(row_number() OVER (PARTITION BY sha1 ORDER BY score DESC, filesize DESC, relpath) - 1 AS INT) AS dup_rank, 'sha1' AS kind
+  FROM album a LEFT JOIN resolved r USING (item_id))"""
+SCORED = f"""{_SCORES},
+dups AS MATERIALIZED (SELECT item_id, sha1 AS group_id, CAST(row_number() OVER (PARTITION BY sha1 ORDER BY score DESC, filesize DESC, relpath) - 1 AS INT) AS dup_rank, 'sha1' AS kind, FALSE AS needs_review
   FROM scored WHERE sha1 IN (SELECT sha1 FROM album WHERE sha1 <> '' GROUP BY 1 HAVING count(*) > 1))"""
 
 _MISMATCH = "(format_real <> '' AND (" + " OR ".join(f"ext = '{e}' AND format_real NOT IN ('{"', '".join(f)}')" for e, f in FORMATS.items()) + "))"
 _TARGET = "CASE format_real " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSION.items()) + " ELSE ext END"
 _KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
-PLAN = f"""{SCORED},
-p0 AS MATERIALIZED (SELECT s.*, d.group_id, d.dup_rank, d.kind, {_MISMATCH} AS bad, coalesce(d.dup_rank > 0, FALSE) AS dup FROM scored s LEFT JOIN dups d USING (item_id)),
+def _plan(scored: str) -> str:
+    return f"""{scored},
+p0 AS MATERIALIZED (SELECT s.*, d.group_id, d.dup_rank, d.kind, d.needs_review, {_MISMATCH} AS bad, coalesce(d.dup_rank > 0, FALSE) AS dup FROM scored s LEFT JOIN dups d USING (item_id)),
 p1 AS MATERIALIZED (SELECT *, CASE WHEN bad THEN {_TARGET} ELSE ext END AS target, concat_ws('; ', CASE WHEN final_datetime IS NULL THEN 'time unresolved' WHEN confidence < 0.6 THEN 'low confidence (' || printf('%.2f', confidence) || ' < 0.6)' END,
-  CASE WHEN n_conflicts > 0 THEN 'time conflict detected' END, CASE WHEN bad THEN 'format mismatch: .' || ext || ' but actually ' || format_real END) AS reasons FROM p0),
+  CASE WHEN n_conflicts > 0 THEN 'time conflict detected' END, CASE WHEN needs_review THEN 'visually similar to another photo' END, CASE WHEN bad THEN 'format mismatch: .' || ext || ' but actually ' || format_real END) AS reasons FROM p0),
 plan AS MATERIALIZED (SELECT item_id, relpath AS source_relpath, CASE WHEN unsupported THEN 'skip_unsupported' WHEN dup THEN 'duplicate' WHEN bad THEN 'convert' ELSE 'copy' END AS action,
   CASE WHEN unsupported THEN 'unsupported' WHEN dup THEN 'duplicate' WHEN reasons <> '' THEN 'review' ELSE 'confident' END AS bucket,
   CASE WHEN unsupported THEN 'unsupported format: .' || ext WHEN dup THEN {_KIND} || ' duplicate (group=' || substr(group_id, 1, 8) || '…, rank=' || CAST(dup_rank AS STRING) || ')' WHEN reasons <> '' THEN reasons ELSE 'ok' END AS reason,
@@ -89,6 +91,9 @@ plan AS MATERIALIZED (SELECT item_id, relpath AS source_relpath, CASE WHEN unsup
   final_datetime, coalesce(confidence, 0e0) AS confidence, coalesce(primary_source, '') AS primary_source, coalesce(group_id, '') AS duplicate_group_id, coalesce(dup_rank, 0) AS duplicate_rank, coalesce(kind, '') AS duplicate_kind FROM p1),
 kept AS (SELECT p.*, k.source_relpath AS duplicate_kept_relpath FROM plan p LEFT JOIN (SELECT duplicate_group_id, source_relpath FROM plan WHERE duplicate_group_id <> '' AND duplicate_rank = 0) k USING (duplicate_group_id))"""
 
+
+PLAN = _plan(SCORED)
+
 _LINE = "─" * 40
 NOTES = f"""SELECT item_id, bucket, CASE WHEN bucket = 'review' THEN concat_ws(chr(10), 'review note', '{_LINE}', 'file      : ' || source_relpath, 'reason    : ' || reason, '', 'resolved time:', '  datetime : ' || coalesce(CAST(final_datetime AS STRING), 'unknown'),
   '  confidence: ' || printf('%.2f', confidence), '  source   : ' || CASE WHEN primary_source = '' THEN '-' ELSE primary_source END,
@@ -185,12 +190,18 @@ sgx AS MATERIALIZED (SELECT DISTINCT text AS t FROM sg0),
 sgm AS MATERIALIZED ({_pattern_rows("sgx", "t", "t")}),
 sga AS (SELECT s.*, (SELECT count(*) FROM sgm WHERE t = s.text AND dt IS NOT NULL) AS n_m FROM (SELECT *, row_number() OVER () AS rid FROM sg0) s),
 sgp AS (SELECT DISTINCT rid FROM sga JOIN sgm ON t = text AND year(dt) = year(exif_original) AND ({_RANK("precision")} < 2 OR month(dt) = month(exif_original)) AND ({_RANK("precision")} < 3 OR day(dt) = day(exif_original)))"""
-GROUPED = """hx AS MATERIALIZED (SELECT vec_id AS id, h, CASE WHEN vec_id % 9 = 0 THEN '' WHEN vec_id % 4 = 0 THEN sha1('c' || CAST(vec_id - vec_id % 20 AS STRING)) ELSE sha1('e' || CAST(vec_id AS STRING)) END AS sha1 FROM embeddings JOIN hs ON hs.id = vec_id),
-hk AS MATERIALIZED (SELECT *, CASE WHEN sha1 = '' THEN 'nosha1_' || CAST(id AS STRING) ELSE sha1 END AS key FROM hx),
+_GROUPED_ROWS = """hk AS MATERIALIZED (SELECT *, CASE WHEN sha1 = '' THEN 'nosha1_' || CAST(id AS STRING) ELSE sha1 END AS key FROM hx),
 hr AS MATERIALIZED (SELECT key, min(id) AS first, arg_min(h, id) AS h FROM hk GROUP BY 1)"""
+GROUPED = """hx AS MATERIALIZED (SELECT vec_id AS id, h, CASE WHEN vec_id % 9 = 0 THEN '' WHEN vec_id % 4 = 0 THEN sha1('c' || CAST(vec_id - vec_id % 20 AS STRING)) ELSE sha1('e' || CAST(vec_id AS STRING)) END AS sha1 FROM embeddings JOIN hs ON hs.id = vec_id),
+""" + _GROUPED_ROWS
 _GROUPED = lambda named: f"{named}, gm AS MATERIALIZED (SELECT id, sha1, g.group_id FROM hk JOIN gn g USING (key)), gg AS MATERIALIZED (SELECT id, group_id, kind FROM gm JOIN (SELECT group_id, CASE WHEN count(DISTINCT nullif(sha1, '')) = 1 THEN 'sha1' ELSE 'phash' END AS kind FROM gm GROUP BY 1 HAVING count(*) > 1) USING (group_id))"
 BY_SHA1 = HASH + "," + GROUPED + "," + _GROUPED("gn AS MATERIALIZED (SELECT key, first AS group_id FROM hr)")
-BY_PHASH = HASH + "," + GROUPED + """, pe AS MATERIALIZED (SELECT a.first AS a, b.first AS b FROM hr a JOIN hr b ON a.first <> b.first AND bit_count(xor(a.h, b.h)) <= 16), pc AS (SELECT a, b FROM pe UNION SELECT pc.a, pe.b FROM pc JOIN pe ON pc.b = pe.a),""" + _GROUPED("gn AS MATERIALIZED (SELECT key, coalesce(least(first, (SELECT min(b) FROM pc WHERE a = first)), first) AS group_id FROM hr)")
+_NEAR = """, pe AS MATERIALIZED (SELECT a.first AS a, b.first AS b FROM hr a JOIN hr b ON a.first <> b.first AND bit_count(xor(a.h, b.h)) <= 16), pc AS (SELECT a, b FROM pe UNION SELECT pc.a, pe.b FROM pc JOIN pe ON pc.b = pe.a),""" + _GROUPED("gn AS MATERIALIZED (SELECT key, coalesce(least(first, (SELECT min(b) FROM pc WHERE a = first)), first) AS group_id FROM hr)")
+BY_PHASH = HASH + "," + GROUPED + _NEAR
+_ALIKE = f"""{_SCORES}, {HASH}, hx AS MATERIALIZED (SELECT event_id AS id, hs.h, coalesce(sha1, '') AS sha1 FROM album LEFT JOIN hs ON hs.id = event_id), {_GROUPED_ROWS}{_NEAR},
+rd AS MATERIALIZED (SELECT item_id, CAST(group_id AS STRING) AS group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, filesize DESC, relpath, event_id) - 1 AS INT) AS dup_rank, kind, FALSE AS needs_review FROM gg JOIN scored ON id = event_id)"""
+PLAN_PHASH = _plan(_ALIKE + ", dups AS (SELECT * FROM rd)")
+PLAN_CLIP = _plan(_ALIKE + f""", {COS}, dups AS (SELECT * FROM rd UNION ALL SELECT DISTINCT item_id, '', -1, 'clip', TRUE FROM cs JOIN album ON event_id = query_id WHERE score >= 0.35 AND query_id NOT IN (SELECT id FROM gg) AND vec_id NOT IN (SELECT id FROM gg) AND vec_id IN (SELECT event_id FROM album))""")
 
 
 _ENDS = "CASE total " + " ".join(f"WHEN {n} THEN {[sum(f[: k + 1]) for k in range(len(f))]}" for n, f in FIELDS.items()) + " END"
@@ -222,7 +233,7 @@ def sql() -> dict[str, str]:
         "conflict_report": _with(RESOLVED, "SELECT primary_source, n_conflicts, count(*) AS items FROM resolved WHERE n_conflicts > 0 GROUP BY 1, 2"),
         "resolve_orders": _with(ORDERS, "SELECT item_id, final_datetime, primary_source, source_summary, n_conflicts FROM resolved"),
         "exact_dups": "SELECT sha1(text) AS sha1, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-        "dup_rank": _with(SCORED, "SELECT * FROM dups"),
+        "dup_rank": _with(SCORED, "SELECT * EXCLUDE needs_review FROM dups"),
         "group_kinds": _with(ALBUM, "SELECT ext || CAST(event_id % 50 AS STRING) AS group_id, count(*) AS n, CASE WHEN count(DISTINCT nullif(sha1, '')) = 1 THEN 'sha1' ELSE 'phash' END AS kind FROM album GROUP BY 1"),
         "hamming_pairs": _with(HASH, "SELECT * FROM hp"),
         "near_dup_groups": _with(HASH + ", ed AS (SELECT id_a AS a, id_b AS b FROM hp UNION SELECT id_b, id_a FROM hp), rc AS (SELECT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a)", "SELECT a AS id, least(a, min(b)) AS group_id FROM rc GROUP BY a"),
@@ -251,6 +262,8 @@ def sql() -> dict[str, str]:
         "interpolate_album": _with(_interpolate(ALBUM_SESSIONS, "whole"), "SELECT * FROM ip"),
         "digit_signatures": _with(SIGS, "SELECT sig, total, n, CAST(sum(n) OVER (PARTITION BY total) AS BIGINT) AS group_total FROM sc"),
         "export_plan": _with(PLAN, "SELECT * FROM plan"),
+        "export_plan_phash": _with(PLAN_PHASH, "SELECT * FROM plan"),
+        "export_plan_clip": _with(PLAN_CLIP, "SELECT * FROM plan"),
         "bucket_counts": _with(PLAN, "SELECT bucket, count(*) AS n FROM plan GROUP BY 1"),
         "kept_backfill": _with(PLAN, "SELECT item_id, duplicate_group_id, duplicate_rank, duplicate_kept_relpath FROM kept WHERE duplicate_rank > 0"),
         "review_notes": _with(PLAN, NOTES),
@@ -310,6 +323,16 @@ def sql() -> dict[str, str]:
             le AS MATERIALIZED (SELECT n.query_id AS item_id, CAST(9000 + row_number() OVER (PARTITION BY n.query_id ORDER BY score DESC, n.vec_id) AS INT) AS ev_seq, 'similar' AS source, l.t AS dt, 'day' AS precision, CASE WHEN score >= 0.98 THEN 0.75e0 WHEN score >= 0.95 THEN 0.65e0 WHEN score >= 0.90 THEN 0.55e0 WHEN score >= 0.85 THEN 0.45e0 ELSE 0.40e0 END AS confidence, FALSE AS is_direct
               FROM nn n LEFT JOIN kn q ON q.id = n.query_id JOIN kn l ON l.id = n.vec_id AND l.c >= 0.6 WHERE q.id IS NULL OR q.c < 0.6),
             xe AS MATERIALIZED (SELECT id AS item_id, 0 AS ev_seq, 'known' AS source, t AS dt, 'second' AS precision, c AS confidence, TRUE AS is_direct FROM kn UNION ALL SELECT * FROM le),""" + _resolve("xe"), "SELECT item_id, final_datetime, confidence, primary_source, source_summary, n_conflicts FROM resolved"),
+        "lend_in_order": _with(KNN + """, kn AS MATERIALIZED (SELECT vec_id AS id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(vec_id % 365 AS INT)) AS t, CASE WHEN vec_id % 2 = 0 THEN 'second' ELSE 'day' END AS p, 0.3e0 + (vec_id % 4) / 10 AS c, vec_id % 3 > 0 AS direct FROM embeddings WHERE vec_id % 5 = 0),
+            nk AS MATERIALIZED (SELECT nn.*, CASE WHEN score >= 0.98 THEN 0.75e0 WHEN score >= 0.95 THEN 0.65e0 WHEN score >= 0.90 THEN 0.55e0 WHEN score >= 0.85 THEN 0.45e0 ELSE 0.40e0 END AS lc FROM nn),
+            todo AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT query_id AS id FROM nn WHERE query_id NOT IN (SELECT id FROM kn WHERE c >= 0.4))),
+            lo(k, id, t, p, c, lent) USING KEY (id) AS (
+              SELECT CAST(0 AS BIGINT), vec_id, t, coalesce(p, ''), c, CAST([] AS STRUCT(id BIGINT, t TIMESTAMP, p VARCHAR, c DOUBLE, s DOUBLE)[]) FROM embeddings LEFT JOIN kn ON kn.id = vec_id
+              UNION SELECT x.k, x.id, r.t, r.p, r.c, l.lent FROM (SELECT todo.* FROM todo WHERE k = (SELECT max(k) + 1 FROM lo)) x
+              CROSS JOIN LATERAL (SELECT coalesce(list({'id': n.vec_id, 't': o.t, 'p': o.p, 'c': n.lc, 's': n.score} ORDER BY n.score DESC, n.vec_id), []) AS lent FROM nk n JOIN recurring.lo o ON o.id = n.vec_id WHERE n.query_id = x.id AND o.t IS NOT NULL AND o.c >= 0.4) l
+              CROSS JOIN LATERAL (SELECT first(t ORDER BY direct DESC, c DESC, rank DESC, s DESC, v) AS t, first(p ORDER BY direct DESC, c DESC, rank DESC, s DESC, v) AS p, first(c ORDER BY direct DESC, c DESC, rank DESC, s DESC, v) AS c FROM (
+                SELECT direct, t, p, c, CASE p WHEN 'second' THEN 6 ELSE 3 END AS rank, 2e0 AS s, 0 AS v FROM kn WHERE kn.id = x.id UNION ALL SELECT FALSE, e.t, e.p, e.c, CASE e.p WHEN 'second' THEN 6 ELSE 3 END, e.s, e.id FROM (SELECT unnest(l.lent) AS e))) r),
+            xe AS MATERIALIZED (SELECT id AS item_id, 0 AS ev_seq, 'known' AS source, t AS dt, p AS precision, c AS confidence, direct AS is_direct FROM kn UNION ALL SELECT id, 9000 + k, 'similar', e.t, e.p, e.c, FALSE FROM (SELECT id, unnest(range(1, len(lent) + 1)) AS k, unnest(lent) AS e FROM lo)),""" + _resolve("xe"), "SELECT resolved.*, coalesce((SELECT count(*) FROM xe WHERE xe.item_id = resolved.item_id AND source = 'similar'), 0) AS n_lent FROM resolved"),
         "best_evidence": _with(EVIDENCE, "SELECT item_id, ev_seq, source, dt, confidence FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, ev_seq) AS rn FROM ev) WHERE rn = 1"),
         "direct_evidence": _with(EVIDENCE, "SELECT precision, count(*) AS n, max(confidence) AS best FROM ev WHERE source = 'filename' AND is_direct GROUP BY 1"),
         "dedup_sha1": _with(BY_SHA1, "SELECT * FROM gg"),

@@ -71,9 +71,14 @@ def plan(items: DataFrame, resolved: DataFrame, dups: DataFrame, threshold: floa
 
 
 def with_kept(actions: DataFrame) -> DataFrame:
-    """Adds duplicate_kept_relpath: the path of rank 0 of the same group."""
-    kept = actions.where("duplicate_group_id <> '' AND duplicate_rank = 0").select("duplicate_group_id", F.col("source_relpath").alias("duplicate_kept_relpath"))
-    return actions.join(kept, "duplicate_group_id", "left")
+    """Adds duplicate_kept_relpath: the path of rank 0 of the same group.
+
+    Rows without a group are joined by a key of their own, which nothing has: they are most of the table and
+    would meet in one task under the empty group.
+    """
+    kept = actions.where("duplicate_group_id <> '' AND duplicate_rank = 0").select(F.concat(F.lit("g"), "duplicate_group_id").alias("__key"), F.col("source_relpath").alias("duplicate_kept_relpath"))
+    key = F.when(F.col("duplicate_group_id") == "", F.concat(F.lit("i"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("g"), "duplicate_group_id"))
+    return actions.withColumn("__key", key).join(kept, "__key", "left").drop("__key")
 
 
 def bucket_counts(actions: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datelode.operators.components import saved
+
 CHUNK = 1 << 20
 
 
@@ -28,10 +31,10 @@ def _digest(fs, path: str) -> str:
     return h.hexdigest()
 
 
-def _put(fs, source: str, target: str) -> None:
-    """Copies to a name of this attempt's own, then renames: a lost task leaves no half file."""
+def _put(fs, source: str, target: str, attempt: int = 0) -> None:
+    """Copies to a name of this attempt's own, then renames: a lost task leaves no half file, two at once do not meet in one."""
     fs.create_dir(posixpath.dirname(target), recursive=True)
-    part = f"{target}.{hashlib.sha1(source.encode()).hexdigest()[:8]}.part"
+    part = f"{target}.{attempt}.{hashlib.sha1(source.encode()).hexdigest()[:8]}.part"
     with fs.open_input_stream(source) as a, fs.open_output_stream(part) as b:
         while chunk := a.read(CHUNK):
             b.write(chunk)
@@ -44,10 +47,11 @@ def execute(plan: DataFrame, input_dir: str, export_dir: str, notes: DataFrame |
     Files go to export_dir/bucket/dest_relpath. One that stands there with the same content is left alone; a
     conversion needs an image library that is not here, so its row fails and says so. notes(item_id, note) are
     written beside files of the buckets review and duplicate. filesystem: any of Arrow's (object stores
-    too); without one, the file system that all executors mount. The plan is written before it is carried out,
-    rows are dealt by item.
+    too); without one, the file system that all executors mount. The plan is written before it is carried out, and
+    so is the outcome: files are copied once, however often the returned rows are read.
     """
     check_target(export_dir, input_dir)
+    plan = saved(plan)
     rows = plan.select("item_id", "action", "bucket", "source_relpath", "dest_relpath")
     rows = rows.join(notes.select("item_id", "note"), "item_id", "left") if notes is not None else rows.withColumn("note", F.lit(None).cast("string"))
 
@@ -64,7 +68,7 @@ def execute(plan: DataFrame, input_dir: str, export_dir: str, notes: DataFrame |
                         raise NotImplementedError("no image library for a conversion")
                     there = fs.get_file_info(target).type != arrow_fs.FileType.NotFound and _digest(fs, target) == _digest(fs, source)
                     if not there:
-                        _put(fs, source, target)
+                        _put(fs, source, target, TaskContext.get().taskAttemptId())
                     if r["note"] and r["bucket"] in ("review", "duplicate"):
                         with fs.open_output_stream(f"{target}.{r['bucket']}.txt") as f:
                             f.write(r["note"].encode())
@@ -76,4 +80,4 @@ def execute(plan: DataFrame, input_dir: str, export_dir: str, notes: DataFrame |
                 errors.append(outcome[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(status, pa.string()), pa.array(errors, pa.string())], names=["item_id", "status", "error"])
 
-    return rows.mapInArrow(run, "item_id string, status string, error string")
+    return saved(rows.mapInArrow(run, "item_id string, status string, error string"))
