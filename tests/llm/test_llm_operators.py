@@ -325,44 +325,80 @@ def test_quality_rules(spark, odd):
 
 
 def test_quality_thresholds_by_hand(spark):
-    """kept against quartiles of the sorted ratios: groups are small enough for their sketches to be exact."""
+    """kept against quantiles of the sorted ratios: groups are small enough for their sketches to be exact."""
     import math
 
-    from datelode.llm.quality_rules import FENCE, FLOORS, base_counts, judge, with_ratios
+    from datelode.llm.quality_rules import FENCE, FLOORS, GAP, MIN_POSITIVE, RARE, RATES, base_counts, judge, thresholds, with_ratios
 
     rng = random.Random(11)
     rows = []
-    for k in range(330):
-        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, "c")]) if k else ("fr", "z")
-        words = [rng.choice(["w%d" % rng.randrange(999), "long%dword" % rng.randrange(99), "#"]) for _ in range(rng.randint(15, 60))]
+    for k in range(700):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, "c"), ("", "c")]) if k else ("fr", "z")
+        words = [rng.choice(["w%d" % rng.randrange(999), "long%dword" % rng.randrange(99), *(["#"] if source == "a" else [])]) for _ in range(rng.randint(15, 60))]
         if rng.random() < 0.2:
             words[10:18] = words[:8]
-        if rng.random() < 0.1:
-            words = [w + "#$" * rng.randrange(4) for w in words]
+        if rng.random() < 0.15:
+            words = [w + "#$" * rng.choice([0, 1, 3]) for w in words] if source == "b" else [w + "%&|" for w in words]
         if rng.random() < 0.1:
             words = [w[:1] + w[-1:] for w in words]
         lines = [" ".join(words[a : a + 5]) for a in range(0, len(words), 5)]
         rows.append((k, "\n".join(lines + [lines[0]] * rng.choice([0, 0, 0, 0, 3])), lang, source, 0, "h"))
     df = spark.createDataFrame(rows, DOC)
     ratios = {r.doc_id: r for r in with_ratios(base_counts(df)).collect()}
-    kept = {r.doc_id: r.kept for r in judge(df, min_group=40).collect()}
+    kept = {r.doc_id: r.kept for r in judge(df, min_group=60).collect()}
+    fences = {(r.lang, r.source): r for r in thresholds(with_ratios(base_counts(df)), 60).collect()}
     groups = {}
     for k, _, lang, source, *_ in rows:
         if not ratios[k].base_failed:
-            for g in ((lang or "", source), (lang or "",), ()):
+            for g in ((lang, source), (lang,), ()):
                 groups.setdefault(g, []).append(k)
-    beyond = 0
+    quantile = lambda v, p: sorted(v)[max(0, math.ceil(p * len(v)) - 1)]
+
+    def by_hand(c, lang, source):
+        for tier, g in enumerate(((lang, source), (lang,), ())):
+            every = [ratios[x][c] for x in groups.get(g, [])]
+            some = [x for x in every if x > 0]
+            q1, q3 = quantile(every, 0.25), quantile(every, 0.75)
+            usual = c not in RATES or len(some) >= RARE * len(every)
+            if tier < 2 and (len(every) < 60 or not usual and len(some) < MIN_POSITIVE):
+                continue
+            if usual or len(some) < MIN_POSITIVE:
+                spread = FENCE * max(q3 - q1, FLOORS[c])
+                return q1 - spread, q3 + spread, "usual" if usual else "floor", tier
+            low, p1, p3 = (quantile(some, p) for p in (0.1, 0.25, 0.75))
+            if low >= GAP * (p3 - p1) and low / 2 >= FLOORS[c]:
+                return 0.0, low / 2, "apart", tier
+            return p1 - FENCE * (p3 - p1), p3 + FENCE * (p3 - p1), "tail", tier
+
+    beyond, seen = 0, set()
     for k, _, lang, source, *_ in rows:
-        g = next((g for g in ((lang or "", source), (lang or "",)) if len(groups.get(g, [])) >= 40), ())
         ok = not ratios[k].base_failed
-        for c, floor in FLOORS.items():
-            v = sorted(ratios[x][c] for x in groups[g])
-            q1, q3 = (v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.75))
-            spread = FENCE * max(q3 - q1, floor)
-            ok &= not (ratios[k][c] > q3 + spread or c == "word_length" and ratios[k][c] < q1 - spread)
-        assert kept[k] == ok, (k, g)
+        for c in FLOORS:
+            low, high, how, tier = by_hand(c, lang, source)
+            seen.add((how, tier))
+            if ok:
+                got = fences[lang, source][f"fence_{c}"]
+                assert (got.how, got.tier) == (how, tier) and math.isclose(got.high, high) and math.isclose(got.low, low, abs_tol=1e-12), (c, lang, source, got)
+            ok &= not (ratios[k][c] > high or c == "word_length" and ratios[k][c] < low)
+        assert kept[k] == ok, k
         beyond += not ok and not ratios[k].base_failed
-    assert beyond > 5
+    assert beyond > 5 and {how for how, _ in seen} >= {"usual", "apart", "tail"} and {tier for _, tier in seen} == {0, 1, 2}
+
+
+def test_quality_thresholds_follow_the_group(spark):
+    """The same text is usual in a source full of symbols and junk in one without; null and empty source are two groups."""
+    from datelode.llm.quality_rules import base_counts, judge, thresholds, with_ratios
+
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choices([f"word{j}" for j in range(400)], k=60))
+    code = lambda: " ".join(w + rng.choice(["$", "&&", "|<", ""]) for w in prose().split())
+    rows = [(k, code() if source == "" else prose(), "en", source, 0, "h") for k, source in enumerate(["", None] * 300)]
+    rows += [(k, code(), "en", None, 0, "h") for k in range(1000, 1030)]
+    df = spark.createDataFrame(rows, DOC)
+    fences = {r.source: r.fence_symbol_ratio for r in thresholds(with_ratios(base_counts(df))).collect()}
+    assert set(fences) == {"", None} and (fences[""].how, fences[None].how) == ("usual", "apart") and fences[""].high > 3 * fences[None].high
+    kept = {r.doc_id: r.kept for r in judge(df).collect()}
+    assert all(kept[k] for k in range(600)) and not any(kept[k] for k in range(1000, 1030))
 
 
 def test_toxicity(spark):
