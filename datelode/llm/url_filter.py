@@ -1,7 +1,7 @@
 """URL filters by a Bloom filter cascade, in DataFrame functions only.
 
-A url's keys are each suffix of its host (host, parent domains) with its path cut to each length that
-a rule's path has. A cascade stands for a set of listed keys within a universe, here all keys
+A url's keys are the suffixes of its host (host, parent domains) of as many labels as the longest rule has, each
+with its path cut to each length that a rule's path has. A cascade stands for a set of listed keys within a universe, here all keys
 that the urls of the corpus have: level 0 is a Bloom filter of the listed keys, level 1 one of the
 keys of the universe that level 0 wrongly lets through, level 2 one of the listed keys that level 1
 lets through, and so on until nothing is left. A key is listed if the first level that does not hold
@@ -43,10 +43,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys of a url, longest first: each host suffix with the path cut to each length that rules have."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def keys_of(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """Keys of a url, longest first: each host suffix of up to so many labels with the path cut to each length that rules have.
+
+    Suffixes are read from the right, so a host of any length costs its bytes times labels.
+    """
+    hosts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda k: F.call_function("substring_index", host, F.lit("."), -k)))
     prefixes = F.array_distinct(F.array(*[F.substring(path, 1, n) for n in lengths]))
     both = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     by_length = F.array_sort(F.transform(both, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
@@ -117,7 +119,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect()) or [0]
-    rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     universe = rows.select(F.explode("keys").alias("key"))
     listed = rules.select(F.concat("host", "path").alias("key"), "verdict")
     blocks = max(1, -(-listed.count() // max_rules))
