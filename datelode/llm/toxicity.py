@@ -11,7 +11,7 @@ of its chance gradient (L1), then factors, with L2, join in for what weights lea
 size is fixed by BUCKETS and FACTORS. Rows whose crc32(doc_id as text) mod FOLDS is 0 never train.
 
 Null text is empty and scores as w0 alone does; null ids score too and are never training rows (their
-remainder is taken as not held out); repeated rows score alike; several labels of one id all train;
+remainder is taken as not held out); repeated rows score alike; several labels of one id all train, and so do the rows of a repeated id, as far as SAMPLE goes;
 other columns are dropped; without labelled rows every score is about 0.
 """
 
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sets, pa.binary()), piece.column("toxic")], names=["doc_id", "terms", "toxic"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, terms binary, toxic int").toArrow()  # at most the sample's rows
+    sets = rows.mapInArrow(run, f"doc_id {kind}, terms binary, toxic int")
+    got = sets.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(sample).toArrow()  # an id may stand in many rows
     found = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True))
     return fit([(np.frombuffer(t, dtype="<i4"), int(y == 1)) for _, y, t in found])
 
