@@ -7,10 +7,10 @@ without a look at the test set: words are numbered as they come, and the FM-inde
 numbers. Test phrases are then translated to the shard's numbers; backward search
 gives the row interval of each phrase, sampled suffix positions place the occurrences, and spans are
 merged in each document. Nothing is shuffled for a test set of one block. The driver reads the test
-items (a stated query set, small next to a corpus) into blocks of about PHRASES words; each block is
-broadcast on its own, and a pass over the corpus searches BLOCKS of them in the same indexes, so what is sent
-is bounded however many test items there are. More blocks are more passes: all search the unchanged text, what
-they find is joined row by row, and text is cut once.
+items one after the other into blocks of about PHRASES words; each block is broadcast on its own, and a pass over
+the corpus searches BLOCKS of them in the same indexes. A pass is written and its blocks are dropped before those of
+the next are read, so what the driver holds and sends is bounded however many test items there are. All
+passes search the unchanged text, what they find is joined row by row, and text is cut once.
 
 Null texts have no words: never contaminated, and null items are never found. Item ids that are null
 are left out of the list of ids and count as one item. Repeated rows give one output row each; other columns are dropped;
@@ -24,7 +24,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -159,20 +159,26 @@ def _scan(docs: DataFrame, blocks: list[Phrases], ddl: str, row) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, {ddl}")
 
 
-def phrase_blocks(items: DataFrame, window: int = WINDOW, limit: int = PHRASES) -> list[Phrases]:
-    """The test set in blocks of about limit words."""
-    blocks, some, size = [], [], 0
+def phrase_blocks(items: DataFrame, window: int = WINDOW, limit: int = PHRASES) -> Iterator[Phrases]:
+    """The test set in blocks of about limit words, made as they are asked for; one at least."""
+    some, size = [], 0
     rows = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     for r in rows.toLocalIterator():
         body = bytes(r.body)
         n = len(words_of(body))
         if some and size + n > limit:
-            blocks.append(Phrases(some, window))
+            yield Phrases(some, window)
             some, size = [], 0
         some.append((r.item_id, body))
         size += n
-    blocks.append(Phrases(some, window))
-    return blocks
+    yield Phrases(some, window)
+
+
+def _passes(items: DataFrame, window: int) -> tuple[list[Phrases], Iterator[list[Phrases]]]:
+    """The blocks of the first pass over the corpus, and those of the others, if there are any."""
+    each = phrase_blocks(items, window)
+    passes = iter(lambda: list(islice(each, BLOCKS)), [])
+    return next(passes), passes
 
 
 def _listed(items) -> str:
@@ -181,8 +187,9 @@ def _listed(items) -> str:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
-    blocks = phrase_blocks(items, window)
-    if len(blocks) <= BLOCKS:
+    blocks, passes = _passes(items, window)
+    more = next(passes, None)
+    if more is None:
 
         def row(bodies, n, places, found):
             return [pa.array(n, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([hashlib.sha256(_listed(x).encode()).hexdigest() for x in found], pa.string()), pa.array([len(p) > 0 for p in places], pa.bool_())]
@@ -190,7 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         return _scan(docs, blocks, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", row)
 
     keyed, row = _keyed(docs.select("doc_id", "text"))
-    merged = _found(keyed, row, blocks)
+    merged = _found(keyed, row, chain([blocks, more], passes))
     n_words = _scan(keyed.select(F.col(row).alias("doc_id"), "text"), [], "n_words long", lambda bodies, n, places, found: [pa.array(n, pa.int64())])
     joined = keyed.select(row, "doc_id").join(n_words.select(F.col("doc_id").alias(row), "n_words"), row).join(merged, row, "left")
     return joined.select("doc_id", "n_words", F.coalesce(F.size("places").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"), F.col("places").isNotNull().alias("contaminated"))
@@ -202,14 +209,14 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def _found(keyed: DataFrame, row: str, blocks: list[Phrases]) -> DataFrame:
+def _found(keyed: DataFrame, row: str, passes: Iterable[list[Phrases]]) -> DataFrame:
     """row, places (hit words, sorted), found (item ids as text, sorted), n_items for each row that a block hits."""
 
     def hit(bodies, n, places, found):
         return [pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array([[None if x is None else str(x) for x in f] for f in found], pa.list_(pa.string()))]
 
     texts = keyed.select(F.col(row).alias("doc_id"), "text")
-    each = [_scan(texts, blocks[k : k + BLOCKS], "places array<long>, found array<string>", hit).where(F.size("places") > 0) for k in range(0, len(blocks), BLOCKS)]
+    each = [materialize(_scan(texts, blocks, "places array<long>, found array<string>", hit).where(F.size("places") > 0)) for blocks in passes]
     rows = reduce(DataFrame.unionByName, each).groupBy(F.col("doc_id").alias(row))  # bounded by the document's words
     all_ = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     return rows.agg(F.array_sort(all_("places")).alias("places"), all_("found").alias("f")).select(row, "places", F.array_sort(F.filter("f", lambda x: x.isNotNull())).alias("found"), F.size("f").alias("n_items"))
@@ -221,13 +228,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     A row keeps its other columns; a null text without hits becomes empty.
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    blocks = phrase_blocks(items, window)
-    if len(blocks) <= BLOCKS:
+    blocks, passes = _passes(items, window)
+    more = next(passes, None)
+    if more is None:
         text = _with_columns(docs, blocks, others)
     else:
         keyed, row = _keyed(docs.select(*map(column, others), "text"))
         places = fresh(keyed, "places")
-        text = _cut_places(keyed.join(_found(keyed, row, blocks).select(row, F.col("places").alias(places)), row, "left"), others, places)
+        text = _cut_places(keyed.join(_found(keyed, row, chain([blocks, more], passes)).select(row, F.col("places").alias(places)), row, "left"), others, places)
     text = text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text
     return text.select(*map(column, docs.columns))
 

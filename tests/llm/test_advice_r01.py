@@ -72,7 +72,7 @@ def test_decontamination_by_blocks_is_that_of_one_block(spark, monkeypatch):
     assert want[1] == [" end", " ".join(w[25:30]) + "  " + " ".join(w[30:35]), "", "nothing here"] and want[0][0][3] == 3
     blocks = d.phrase_blocks
     monkeypatch.setattr(d, "phrase_blocks", lambda items, window: blocks(items, window, 14))
-    assert len(d.phrase_blocks(bench, 10)) > 2
+    assert len([*d.phrase_blocks(bench, 10)]) > 2
     assert (report(), cut()) == want  # several blocks in one pass
     monkeypatch.setattr(d, "BLOCKS", 1)
     assert (report(), cut()) == want  # a pass for each
@@ -94,3 +94,63 @@ def test_quality_rules_each_find_an_outlier(spark):
     assert all(got[k].kept for k in range(400)) and not any(r.base_failed for r in got.values())
     assert 100 * got[400].n_repeat_words == 25 * got[400].n_words and 10 * got[401].n_dup_lines == 6 * 20
     assert [k for k in range(400, 404) if got[k].kept] == []
+
+
+def test_toxicity_collects_no_more_than_the_sample(spark, monkeypatch):
+    from datelode.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a, **k: seen.append(len(rows)))
+    docs = spark.createDataFrame([(7 if k % 2 else k, f"word{k} text", "en", "s", 0, "h") for k in range(600)], DOC)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(600)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels, sample=50)
+    toxicity.train(docs, labels.where("doc_id = 7"), sample=50)
+    assert 0 < seen[0] <= 50 and seen[1] == 50
+
+
+def test_url_filter_is_linear_in_the_host(spark):
+    import time
+
+    from datelode.llm.url_filter import judge
+
+    rules = spark.createDataFrame([("net", "/", "block"), ("a.b.net", "/", "allow")], "host string, path string, verdict string")
+    urls = ["http://" + ".".join(["x"] * 4000) + ".a.b.net/q", "http://" + ".".join(["x"] * 4000) + ".net/q", "http://a.b.net/", "http://b.net/", "http://net", "http://" + "y" * 8000 + ".org/"]
+    run = lambda some: {r.page_id: (r.rule, r.verdict) for r in judge(spark.createDataFrame(list(enumerate(some)), "page_id int, url string"), rules).collect()}
+    run(["http://net/"])
+    began = time.perf_counter()
+    run(["http://a.net/", "http://b.net/"] * 3)
+    short = time.perf_counter() - began
+    began = time.perf_counter()
+    assert run(urls) == {0: ("a.b.net/", "allow"), 1: ("net/", "block"), 2: ("a.b.net/", "allow"), 3: ("net/", "block"), 4: (None, "allow"), 5: (None, "allow")}
+    assert time.perf_counter() - began < 2 * short + 3
+
+
+def test_decontamination_drops_the_blocks_of_a_pass(spark, monkeypatch):
+    from datelode.llm import decontaminate as d
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(80)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=14))) for k in range(40)]
+    docs = documents(spark, [" ".join([*rng.choices(words, k=30), *(items[rng.randrange(40)][1].split() if k % 2 else [])]) for k in range(30)])
+    test = spark.createDataFrame(items, "item_id string, text string")
+    want = {tuple(r) for r in d.contamination(docs, test).collect()}
+    cut = {tuple(r) for r in d.decontaminated(docs, test).collect()}
+    alive, most, made = [0], [0], [0]
+    start = d.Phrases.__init__
+
+    def born(self, *a):
+        start(self, *a)
+        made[0] += 1
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+
+    def gone(self):
+        alive[0] -= 1
+
+    monkeypatch.setattr(d.Phrases, "__init__", born)
+    monkeypatch.setattr(d.Phrases, "__del__", gone, raising=False)
+    blocks = d.phrase_blocks
+    monkeypatch.setattr(d, "BLOCKS", 2)
+    monkeypatch.setattr(d, "phrase_blocks", lambda items, window: blocks(items, window, 50))
+    assert {tuple(r) for r in d.contamination(docs, test).collect()} == want and made[0] >= 10 and most[0] <= 8, (made, most)
+    assert {tuple(r) for r in d.decontaminated(docs, test).collect()} == cut

@@ -242,7 +242,7 @@ def test_decontamination(spark):
         want[i, len(w), len(hit), listed, bool(hit)] += 1
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in d.contamination(df, bench).collect())
     assert got == Counter({(i, n, h, hashlib.sha256(s.encode()).hexdigest(), c): v for (i, n, h, s, c), v in want.items()})
-    d_blocks = d.phrase_blocks(bench, limit=40)
+    d_blocks = [*d.phrase_blocks(bench, limit=40)]
     assert len(d_blocks) > 2
     old, d.PHRASES = d.PHRASES, 40
     try:
