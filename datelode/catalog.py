@@ -11,7 +11,7 @@ from datelode import oracles
 from datelode.functions.vectors import sign_hash
 from datelode import stages
 from datelode.functions import values
-from datelode.operators import compare, dataset, dedup, evidence, labels, mine, ordered, profile, resolve, similar, tagger, timeline
+from datelode.operators import char_tagger, compare, dataset, dedup, evidence, labels, mine, ordered, profile, resolve, similar, tagger, timeline
 from datelode.operators.components import saved
 from datelode.plans import export
 from datelode.sources import checkpoint, logs
@@ -340,6 +340,21 @@ def tagger_dates(spark, sf_dir):
     return tagger.dates(_tagged(spark, sf_dir)).select("id", F.size("fields").alias("n_fields"), "precision", "dt", "confidence")
 
 
+def _fitted(spark, sf_dir) -> DataFrame:
+    """Spans that a tagger, fitted on the names of the train share, finds in the names of all supported files."""
+    live = album(spark, sf_dir).where("NOT unsupported").select(F.col("item_id").alias("id"))
+    rows = saved(_labelled(spark, sf_dir).join(live, "id"))
+    model, _ = char_tagger.fit(rows.select("id", F.filter(F.split("stem", ""), lambda c: c != "").alias("chars"), "labels"))
+    models = char_tagger.Models(spark)
+    models.put("tagger", model)
+    return char_tagger.found(char_tagger.tagged(rows.select("id", "stem"), "stem", models), "stem")
+
+
+def tagger_fitted(spark, sf_dir):
+    """Dates of the fitted tagger's own predictions."""
+    return tagger.dates(_fitted(spark, sf_dir)).select("id", F.size("fields").alias("n_fields"), "precision", "dt")
+
+
 def tagger_evidence(spark, sf_dir):
     rows = tagger.dates(_tagged(spark, sf_dir))
     depth = F.when(F.col("id") < "8", -1).when(F.col("id") < "a", 0).when(F.col("id") < "c", 1).otherwise(4)
@@ -531,7 +546,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
         digit_signatures, mined_patterns, export_plan, export_plan_phash, export_plan_clip, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
-        tagger_dates, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
+        tagger_dates, tagger_fitted, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
         reresolve, lend_in_order, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,
     ]
     found = {f.__name__: f for f in plain}

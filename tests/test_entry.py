@@ -40,4 +40,4 @@ def test_mined_patterns(spark):
 
 
 def test_all_have_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"tagger_fitted"}  # a fitted network; tests/test_char_tagger.py
