@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from datelode.llm.common import doc_bytes, slices
 
 #: Memory bounds of a worker's memo tables, in entries.
-WORDS = 500_000
-PAIRS = 400_000
+WORDS = 250_000
+PAIRS = 200_000
 _END = ""  # stands for the word-end mark, so that each unit is one character
 #: Up to this character, letters and numbers are the same in every version of Unicode.
 STABLE = "\u017f"

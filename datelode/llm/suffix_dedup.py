@@ -73,7 +73,7 @@ def words_unit(words: int) -> Unit:
 class _Hashes(dict):
     """Word -> 32-bit hash, remembered while there is room."""
 
-    ROOM = 400_000
+    ROOM = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -44,7 +44,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 class Terms(dict):
     """Word -> bucket, remembered while there is room."""
 
-    ROOM = 400_000
+    ROOM = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
