@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelode import oracles
+from datelode.functions.patterns import BUILT_IN
 from datelode.functions.vectors import sign_hash
 from datelode import stages
 from datelode.functions import values
@@ -52,6 +53,12 @@ def time_interval(spark, sf_dir):
     return _resolved(spark, sf_dir).select("item_id", "precision", "range_start", "range_end")
 
 
+def resolve_mined(spark, sf_dir):
+    """Resolution with the patterns that the album's own names have, behind the built-in ones."""
+    items = saved(album(spark, sf_dir))
+    return _flat(resolve.resolve(evidence.all_evidence(items, [*BUILT_IN, *mine.mined_patterns(items)])))
+
+
 def conflict_report(spark, sf_dir):
     return _resolved(spark, sf_dir).where("n_conflicts > 0").groupBy("primary_source", "n_conflicts").agg(F.count("*").alias("items"))
 
@@ -544,7 +551,7 @@ def livephoto_entry(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        album_items, evidence_union, resolve_time, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
+        album_items, evidence_union, resolve_time, resolve_mined, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
         digit_signatures, mined_patterns, export_plan, export_plan_phash, export_plan_clip, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
         tagger_dates, tagger_fitted, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
         reresolve, lend_in_order, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,

@@ -216,7 +216,22 @@ m2 AS MATERIALIZED (SELECT *, array_to_string(list_transform(range(1, len(l) + 1
   FROM m1 WHERE (n >= CASE WHEN total >= 12 THEN 2 WHEN total >= 8 THEN 3 WHEN total >= 6 THEN 4 ELSE 5 END OR (gt >= 5 AND n >= 2)) AND ends IS NOT NULL AND len(seps) = len(l) - 1 AND len(list_filter(cum, lambda c: NOT list_contains(ends, c))) = 0),
 m3 AS (SELECT sig, core, text, regexp_replace(text, '[^0-9]', '', 'g') AS d, row_number() OVER (PARTITION BY sig ORDER BY sha1(text)) AS k FROM (SELECT DISTINCT text, array_to_string(l, ',') || '|' || array_to_string(seps, ' ') AS sig FROM sg) JOIN m2 USING (sig)),
 m4 AS (SELECT sig, avg(CASE WHEN regexp_matches(text, '(?:^|[^0-9])' || core || '(?:[^0-9]|$)') AND TRY_CAST({_STAMP} AS TIMESTAMP) IS NOT NULL THEN 1e0 ELSE 0e0 END) AS rate FROM m3 WHERE k <= 50 GROUP BY 1),
-m5 AS (SELECT 'MINED_' || array_to_string(l, '_') || '_' || {_PRECISION} AS name, core, {_PRECISION} AS precision, round(least(least({_BASE} + CASE WHEN len(l) >= 3 AND len(ends) >= 3 THEN 0.05e0 ELSE 0e0 END, 0.89e0) + 0.05e0 * (rate - 0.75e0), 0.89e0), 4) AS confidence FROM m2 JOIN m4 USING (sig) WHERE rate >= 0.75 ORDER BY n DESC, sig LIMIT 20)"""
+m5 AS (SELECT 'MINED_' || array_to_string(l, '_') || '_' || {_PRECISION} AS name, core, {_PRECISION} AS precision, round(least(least({_BASE} + CASE WHEN len(l) >= 3 AND len(ends) >= 3 THEN 0.05e0 ELSE 0e0 END, 0.89e0) + 0.05e0 * (rate - 0.75e0), 0.89e0), 4) AS confidence, row_number() OVER (ORDER BY n DESC, sig) AS r FROM m2 JOIN m4 USING (sig) WHERE rate >= 0.75 ORDER BY n DESC, sig LIMIT 20)"""
+
+
+
+def _mined_rows(source: str, text: str, carry: str) -> str:
+    return f"""SELECT {carry}, 100 + r AS k, pattern_name, precision, confidence, matched_text, TRY_CAST({_STAMP} AS TIMESTAMP) AS dt FROM (SELECT *, regexp_replace(matched_text, '[^0-9]', '', 'g') AS d
+  FROM (SELECT {carry}, r, m5.name AS pattern_name, precision, confidence, regexp_extract({text}, '(?:^|[^0-9])(' || core || ')(?:[^0-9]|$)', 1) AS matched_text FROM {source}, m5) WHERE matched_text <> '')"""
+
+
+RESOLVED_MINED = f"""{MINED},
+fx0 AS (SELECT * FROM fn0 UNION ALL {_mined_rows("live", "stem", "item_id")}),
+fx AS (SELECT item_id, CAST(99 + row_number() OVER (PARTITION BY item_id ORDER BY {_ORDER}) AS INT) AS ev_seq, 'filename' AS source, dt, precision, confidence, TRUE AS is_direct FROM fx0 WHERE dt IS NOT NULL),
+fy0 AS (SELECT * FROM fo0 UNION ALL {_mined_rows("(SELECT item_id, depth, name AS folder FROM levels)", "folder", "item_id, depth, folder")}),
+fy AS (SELECT item_id, CAST(1000 * (depth + 1) - 1 + row_number() OVER (PARTITION BY item_id, depth ORDER BY {_ORDER}) AS INT) AS ev_seq, 'foldername' AS source, dt, CASE WHEN {_RANK("precision")} > 3 THEN 'day' ELSE precision END AS precision,
+  round(confidence * {FOLDER_DISCOUNT}e0 * CASE depth WHEN 0 THEN {FOLDER_DECAY[0]}e0 WHEN 1 THEN {FOLDER_DECAY[1]}e0 ELSE {FOLDER_DECAY[2]}e0 END, 3) AS confidence, FALSE AS is_direct FROM fy0 WHERE dt IS NOT NULL),
+ev2 AS MATERIALIZED (SELECT * FROM ex UNION ALL SELECT * FROM fs UNION ALL SELECT * FROM fx UNION ALL SELECT * FROM fy),{_resolve("ev2")}"""
 
 
 def sql() -> dict[str, str]:
@@ -295,7 +310,8 @@ def sql() -> dict[str, str]:
             bo AS (SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM (SELECT *, TRUE AS p FROM pd) FULL JOIN (SELECT *, TRUE AS g FROM sp) USING (id, field, begin, "end")),
             cf2 AS (SELECT id IN (SELECT id FROM pd) AS p, id IN (SELECT id FROM sp) AS g FROM lt), cl AS (SELECT count(*) FILTER (WHERE p AND g) AS clf_tp, count(*) FILTER (WHERE p AND NOT g) AS clf_fp, count(*) FILTER (WHERE NOT p AND g) AS clf_fn, count(*) FILTER (WHERE NOT p AND NOT g) AS clf_tn FROM cf2),
             b2 AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM bo, cl)""", "SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-9) AS f1 FROM b2"),
-        "mined_patterns": _with(MINED, "SELECT * FROM m5"),
+        "mined_patterns": _with(MINED, "SELECT * EXCLUDE r FROM m5"),
+        "resolve_mined": _with(RESOLVED_MINED, "SELECT * FROM resolved"),
         "tagger_dates": _with(TAGGED, "SELECT * FROM td"),
         "tagger_evidence": _with(TAGGED + ", te AS (SELECT *, CASE WHEN id < '8' THEN 1e0 WHEN id < 'a' THEN 0.85e0 WHEN id < 'c' THEN 0.85e0 * 0.85e0 ELSE 0.85e0 * 0.7e0 END AS w, id < '8' AS stem FROM td)",
             "SELECT id AS item_id, CASE WHEN stem THEN 'filename' ELSE 'foldername' END AS source, dt, CASE WHEN NOT stem AND precision IN ('hour', 'minute', 'second') THEN 'day' ELSE precision END AS precision, round(least(confidence * w * 0.95e0, 0.82e0), 3) AS confidence, stem AS is_direct FROM te WHERE least(confidence * w * 0.95e0, 0.82e0) >= 0.3"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from datelode.plans.export import latest
+from datelode.sources.checkpoint import first_rows
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str, key: str, order: str | None = None) -> DataFrame:
@@ -19,9 +20,12 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str, key: str,
     return latest(rows.withColumn("__at", place).drop("file_modification_time", "file_name", "file_block_start", "__line"), key, "__at").drop("__at")
 
 
-def write_snapshot(items: DataFrame, path: str, key: str = "item_id") -> None:
-    """One row a key, as JSON lines."""
-    items.dropDuplicates([key]).write.mode("overwrite").json(path)
+def write_snapshot(items: DataFrame, path: str, key: str = "item_id", order: str | None = None) -> None:
+    """One row a key, as JSON lines: the first by order, or by place in items; rows without a key are left out."""
+    place = order or "__line"
+    rows = items if order else items.withColumn(place, F.monotonically_increasing_id())
+    first = first_rows(rows, key, place)
+    (first if order else first.drop(place)).write.mode("overwrite").json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -33,12 +37,13 @@ def cached_and_new(files: DataFrame, cache: DataFrame, keys: list[str]) -> tuple
     return files.join(cache.select(*keys).distinct(), keys, "left_semi"), files.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
-def scan(spark: SparkSession, root: str, skip: tuple[str, ...] = (), content: bool = False) -> DataFrame:
-    """Files below root, hidden ones and skipped extensions left out: path, relpath, filesize, mtime, with content also sha1."""
+def scan(spark: SparkSession, root: str, skip: tuple[str, ...] = (), content: bool = False, keep: bool = False) -> DataFrame:
+    """Files below root, hidden ones and skipped extensions left out: path, relpath, filesize, mtime, with content also sha1, with keep also content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.locate(root.rstrip("/").split("://")[-1] + "/", F.col("path"))
-    rel = F.expr(f"substring(path, {len(root.rstrip('/').split('://')[-1]) + 1} + locate('{root.rstrip('/').split('://')[-1]}/', path))")
-    rows = files.where(at > 0).select("path", rel.alias("relpath"), F.col("length").alias("filesize"), F.col("modificationTime").alias("mtime"), *([F.sha1("content").alias("sha1")] if content else []))
+    base = root.rstrip("/").split("://")[-1] + "/"
+    at = F.instr("path", base)
+    more = [*([F.sha1("content").alias("sha1")] if content else []), *(["content"] if keep else [])]
+    rows = files.where(at > 0).select("path", F.substring("path", at + F.lit(len(base)), F.length("path")).alias("relpath"), F.col("length").alias("filesize"), F.col("modificationTime").alias("mtime"), *more)
     ext = F.lower(F.regexp_extract("relpath", r"[^/]\.([^./]*)$", 1))
     return rows.where(~F.concat(F.lit("/"), "relpath").rlike(r"/\.") & ~ext.isin(list(skip)) if skip else ~F.concat(F.lit("/"), "relpath").rlike(r"/\."))
 
