@@ -9,7 +9,7 @@ from datelode import options, stages
 from datelode.functions import values
 from datelode.operators import dataset, dedup, labels, mine, similar, tagger
 from datelode.plans import writer
-from datelode.sources import checkpoint
+from datelode.sources import checkpoint, logs
 
 
 def test_options():
@@ -132,3 +132,19 @@ def test_small_functions(spark):
     assert [tuple(r) for r in got] == [(4, None), (0, datetime(2020, 2, 29, 23, 59, 59))]
     texts = spark.createDataFrame([("aab",), ("年年a",)], "t string")
     assert {r.char: r.id for r in labels.vocabulary(texts, "t", min_freq=2).collect()} == {"a": 2, "年": 3} and {r.char for r in labels.vocabulary(texts, "t", min_freq=1, min_freq_han=3).collect()} == {"a", "b"}
+
+
+def test_snapshots_keep_the_first_row(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 3, "late"), ("b", 1, None), ("a", 1, "first"), (None, 0, "no key"), ("a", 2, "later")], "item_id string, seq int, note string").coalesce(1)
+    logs.write_snapshot(rows, str(tmp_path / "by"), order="seq")
+    logs.write_snapshot(rows, str(tmp_path / "place"))
+    read = lambda name: {r.item_id: (r.seq, r.note) for r in spark.read.schema("item_id string, seq int, note string").json(str(tmp_path / name)).collect()}
+    assert read("by") == {"a": (1, "first"), "b": (1, None)} and read("place") == {"a": (3, "late"), "b": (1, None)}
+
+
+def test_scan_of_a_folder_with_an_apostrophe(spark, tmp_path):
+    root = tmp_path / "o'clock 100%"
+    (root / "in").mkdir(parents=True)
+    (root / "in/a.jpg").write_bytes(b"x")
+    got = logs.scan(spark, str(root), content=True, keep=True).collect()
+    assert [(r.relpath, r.filesize, bytes(r.content)) for r in got] == [("in/a.jpg", 1, b"x")]
