@@ -544,6 +544,11 @@ def overall_scores(spark, sf_dir):
     return labels.overall_scores(gold.where("field <> 'SECOND' AND id < 'f'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end"))), gold, rows)
 
 
+def exact_dates(spark, sf_dir):
+    gold = labels.spans(_labelled(spark, sf_dir))
+    return labels.exact_dates(gold.where("field <> 'DAY' OR id < 'e'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end"))), gold)
+
+
 def livephoto_entry(spark, sf_dir):
     entries = album(spark, sf_dir).select(F.concat(F.lit("a"), F.pmod("event_id", F.lit(40)).cast("string")).alias("archive"), F.concat(F.when(F.col("event_id") % 3 == 0, "__").otherwise(""), "filename").alias("name"))
     return logs.first_photo(entries)
@@ -554,7 +559,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         album_items, evidence_union, resolve_time, resolve_mined, time_interval, conflict_report, resolve_orders, exact_dups, dup_rank, group_kinds, hamming_pairs, near_dup_groups, cosine_pairs, knn_topk, similar_lend, sessions_by_user, session_stats, session_assign, folder_prefix, struct_tokens, struct_resolve, interpolate, interpolate_wide, sessions_global, session_album, interpolate_album,
         digit_signatures, mined_patterns, export_plan, export_plan_phash, export_plan_clip, bucket_counts, kept_backfill, review_notes, latest_status, incremental_scan, profile_depth, profile_conf_hist, profile_charclass, profile_coverage, profile_percentiles, profile_ext, profile_length, light_dates, top_folders, run_summary, bio_labels, bio_spans, span_prf, char_vocab, label_weights, livephoto_entry,
         tagger_dates, tagger_fitted, tagger_evidence, char_ids, tag_errors, label_shares, segment_samples, segment_counts, select_intervals, checkpoint_restore, snapshot_stats, json_rows, before_after, timeline_spread, confidence_bins,
-        reresolve, lend_in_order, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, stage_gate, time_values, bytes_text,
+        reresolve, lend_in_order, best_evidence, direct_evidence, dedup_sha1, dedup_phash, dedup_clip, hash_search, digit_parse, path_order, session_summary, path_profile, exif_quality, date_coverage, overall_scores, exact_dates, stage_gate, time_values, bytes_text,
     ]
     found = {f.__name__: f for f in plain}
     return found | {f.__name__: _evidence(f) for f in (evidence.exif_evidence, evidence.filesystem_evidence, evidence.filename_evidence, evidence.foldername_evidence)}

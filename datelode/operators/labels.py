@@ -74,3 +74,13 @@ def label_weights(labels: DataFrame, low: float = 1.0, high: float = 5.0) -> Dat
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
     raw = F.col("total") / (F.col("k") * F.col("n"))
     return counts.crossJoin(F.broadcast(total)).select("label", "n", F.when(F.col("label") == "O", F.lit(low)).otherwise(F.round(F.greatest(F.lit(low), F.least(F.lit(high), raw)), 6)).alias("weight"))
+
+
+def exact_dates(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: total texts whose gold spans(id, field, begin, end) have a year, a month and a day, correct ones whose predicted spans of these fields are just those, accuracy."""
+    day = F.col("field").isin("YEAR", "MONTH", "DAY")
+    sets = lambda df: df.where(day).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("field", "begin", "end"))).alias("s"), F.count_distinct("field").alias("fields"))
+    whole = sets(gold).where("fields = 3").select("id", F.col("s").alias("g"))
+    both = whole.join(sets(predicted).select("id", "s"), "id", "left")
+    counts = both.agg(F.count("*").alias("total"), F.count_if(F.col("g").eqNullSafe(F.col("s"))).alias("correct"))
+    return counts.withColumn("accuracy", F.round(F.col("correct") / F.greatest("total", F.lit(1)), 4))

@@ -310,6 +310,8 @@ def sql() -> dict[str, str]:
             bo AS (SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM (SELECT *, TRUE AS p FROM pd) FULL JOIN (SELECT *, TRUE AS g FROM sp) USING (id, field, begin, "end")),
             cf2 AS (SELECT id IN (SELECT id FROM pd) AS p, id IN (SELECT id FROM sp) AS g FROM lt), cl AS (SELECT count(*) FILTER (WHERE p AND g) AS clf_tp, count(*) FILTER (WHERE p AND NOT g) AS clf_fp, count(*) FILTER (WHERE NOT p AND g) AS clf_fn, count(*) FILTER (WHERE NOT p AND NOT g) AS clf_tn FROM cf2),
             b2 AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM bo, cl)""", "SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-9) AS f1 FROM b2"),
+        "exact_dates": _with(LABELS + """, gs AS (SELECT id, list_sort(list(field || ':' || begin || ':' || "end")) AS s FROM sp WHERE field IN ('YEAR', 'MONTH', 'DAY') GROUP BY id HAVING count(DISTINCT field) = 3),
+            ps AS (SELECT id, list_sort(list(field || ':' || begin || ':' || CASE WHEN id < '4' THEN "end" + 1 ELSE "end" END)) AS p FROM sp WHERE field IN ('YEAR', 'MONTH', 'DAY') AND (field <> 'DAY' OR id < 'e') GROUP BY id)""", "SELECT count(*) AS total, count(*) FILTER (WHERE s = p) AS correct, round(count(*) FILTER (WHERE s = p) / greatest(count(*), 1), 4) AS accuracy FROM gs LEFT JOIN ps USING (id)"),
         "mined_patterns": _with(MINED, "SELECT * EXCLUDE r FROM m5"),
         "resolve_mined": _with(RESOLVED_MINED, "SELECT * FROM resolved"),
         "tagger_dates": _with(TAGGED, "SELECT * FROM td"),

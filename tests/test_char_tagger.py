@@ -90,3 +90,11 @@ def test_weights_are_a_table(spark, fitted, tmp_path):
     assert got[2].labels[4:] == ["B-YEAR", "I-YEAR", "I-YEAR", "I-YEAR", "B-MONTH", "I-MONTH", "B-DAY", "I-DAY"] and got[2] == got[5]
     with pytest.raises(ValueError):
         ct.fit(spark.createDataFrame([], "id string, chars array<string>, labels array<string>"))
+
+
+def test_exact_dates(spark):
+    kind = "id int, field string, begin int, end int"
+    day = [("YEAR", 0, 4), ("MONTH", 4, 6), ("DAY", 6, 8)]
+    gold = spark.createDataFrame([(i, *s) for i in (1, 2, 3, 4) for s in day] + [(5, "YEAR", 0, 4)], kind)
+    said = spark.createDataFrame([(1, *s) for s in [*day, ("HOUR", 9, 11)]] + [(2, *s) for s in day[:2]] + [(3, "YEAR", 0, 4), (3, "MONTH", 4, 6), (3, "DAY", 6, 9)] + [(5, "YEAR", 0, 4)], kind)
+    assert labels.exact_dates(said, gold).collect() == [(4, 1, 0.25)] and labels.exact_dates(said, gold.limit(0)).collect() == [(0, 0, 0.0)]
