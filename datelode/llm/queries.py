@@ -48,9 +48,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datelode.llm.passages import WORDS
     from datelode.llm.suffix_dedup import report
 
-    return report(_table(spark, sf_dir, "documents"))
+    return report(_table(spark, sf_dir, "documents"), by_words=WORDS)
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

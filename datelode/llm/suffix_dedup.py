@@ -320,12 +320,13 @@ def _removal(a: list[int], b: list[int], unit: Unit) -> tuple[np.ndarray, np.nda
     return a[new], b[np.append(new[1:], True)]
 
 
-def _cut(docs: DataFrame, unit: Unit, keep: list[str], ddl: str, row) -> tuple[DataFrame, DataFrame, str]:
-    """Join each text with its repeats; row(bodies, spans) gives the output columns after keep. The last is the name of the row's number."""
+def _cut(docs: DataFrame, unit: Unit, keep: list[str], ddl: str, row, beside=None) -> tuple[DataFrame, DataFrame, str]:
+    """Join each text with its repeats; row(bodies, spans) gives the output columns after keep, beside(bodies) more by row. The last is the name of the row's number."""
     rows, number = numbered(docs)
     text = fresh(rows, "body")
     rows = rows.select(number, *map(column, keep), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(text))
     bodies = rows.select(F.col(number).alias("row"), F.col(text).alias("body"))
+    more = materialize(beside(bodies)).withColumnRenamed("row", number) if beside else None  # written first, so its shuffles can go
     texts = _packed(bodies)
     spans = repeated_starts(bodies, texts, unit)
     joined = texts.join(spans, "row", "left").select("row", "packed", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
@@ -340,6 +341,7 @@ def _cut(docs: DataFrame, unit: Unit, keep: list[str], ddl: str, row) -> tuple[D
                 yield pa.RecordBatch.from_arrays([piece.column("row"), *row(bodies, runs)], names=[number, *names])
 
     made = joined.mapInArrow(run, f"`{number}` long, {ddl}")
+    made = made if more is None else made.join(more, number, "left")
     return made, rows.drop(text), number
 
 
@@ -351,15 +353,20 @@ def _kept(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, body[at:]])
 
 
-def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+def report(docs: DataFrame, length: int = LENGTH, by_words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
+
+    With by_words, also n_passages and n_passage_words: maximal runs covered by that many words that start
+    somewhere else, too, and their words. Nothing is removed for them.
+    """
+    from datelode.llm.passages import passages
 
     def row(bodies, runs):
         kept = [_kept(b, r) for b, r in zip(bodies, runs, strict=True)]
         return [pa.array(map(len, bodies), pa.int64()), pa.array([len(b) - len(k) for b, k in zip(bodies, kept, strict=True)], pa.int64()), pa.array(map(len, runs), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
 
-    made, rows, number = _cut(docs, Unit(length), ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", row)
-    return rows.join(made, number).drop(number)
+    made, rows, number = _cut(docs, Unit(length), ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", row, (lambda bodies: passages(bodies, by_words)) if by_words else None)
+    return rows.join(made, number).drop(number).fillna(0, ["n_passages", "n_passage_words"] if by_words else [])
 
 
 def removed(docs: DataFrame, length: int = LENGTH, by_words: int = 0) -> DataFrame:
