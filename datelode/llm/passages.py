@@ -4,14 +4,15 @@ A byte rule of 400 leaves shorter passages alone, so these are counted in words,
 the white space between them is not compared. As in suffix_dedup, content alone decides where texts are
 parsed, so equal content is parsed alike whatever stands before it:
 
-1. Each window of WORDS words has a core, that of its runs of CORE words with the least hash (the first
-   such). Equal windows have equal cores. Neighbouring windows share theirs, so a core stands for a range of
+1. Each window of WORDS words has a core, that of its runs of CORE words with the least hash (by 40 bits, the
+   first such). Equal windows have equal cores. Neighbouring windows share theirs, so a core stands for a range of
    windows, about one in 16 words. If the core is unique in the corpus, so are its windows.
 2. If the words of the whole range occur twice with that core, all its windows do.
 3. The windows of the other ranges, and of one range of each class of equal ones whose core such a
    range has, are compared by a 128-bit hash.
 
-Hashes of runs are differences of prefix sums of two polynomials modulo 2**64 over 64-bit word hashes.
+Hashes of runs are differences of prefix sums of two polynomials modulo 2**64 over 64-bit word hashes,
+and so are those of words over their bytes; words of more than LONG bytes go through XXH3.
 """
 
 from __future__ import annotations
@@ -31,57 +32,65 @@ WORDS = 50
 CORE = 20
 _BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)  # both 3 modulo 8
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_HIGH, _LOW = np.uint64(2**64 - 2**24), np.uint64(2**24 - 1)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SLICE = 500_000  # bytes of text handled at once
+LONG = 32  # words of more bytes are hashed one by one
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered while there is room."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
-    ROOM = 100_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.ROOM:
-            self[word] = got
-        return got
+_BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[1])))
 
 
 @cache
-def _word_hashes() -> _Hashes:
-    """One a worker process."""
-    return _Hashes()
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, dtype=np.uint64)
     p[:1] = 1
     return np.cumprod(p, dtype=np.uint64)
 
 
+class Runs:
+    """Hashes of the runs of some 64-bit values, as differences of prefix sums."""
+
+    def __init__(self, values: np.ndarray, base: int) -> None:
+        n = len(values)
+        up, self.down = (_powers(b, 2 * SLICE)[:n] if n <= 2 * SLICE else _powers.__wrapped__(b, n) for b in (base, pow(base, -1, 1 << 64)))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * up, out=self.sums[1:])
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hash of the values from each a to each b."""
+        return (self.sums[b] - self.sums[a]) * self.down[a]
+
+
 class Texts:
     """The words of some texts one behind the other: those of text k from start[k] to start[k + 1]."""
 
     def __init__(self, bodies: list[bytes]) -> None:
-        words, counts = [], []
-        for body in bodies:
-            found = body.split()
-            words += found
-            counts.append(len(found))
-        self.start = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        h = np.fromiter(map(_word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
-        mixed = (h ^ (h >> np.uint64(32))) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        self.sums = []
-        for base, x in zip(_BASES, (h, mixed), strict=True):
-            sums = np.zeros(len(h) + 1, dtype=np.uint64)
-            np.cumsum(x * _powers(base, len(h)), out=sums[1:])
-            self.sums.append((sums, _powers(pow(base, -1, 1 << 64), len(h))))
+        joined = b"\n".join(bodies)
+        x = np.frombuffer(joined, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[x], [True]])))
+        a, b = edges[::2], edges[1::2]
+        self.start = np.searchsorted(a, np.concatenate([[0], np.cumsum([len(y) + 1 for y in bodies])]))
+        h = Runs(_BYTES[x], _BASES[0])(a, b) if len(a) else np.zeros(0, dtype=np.uint64)
+        for k in np.flatnonzero(b - a > LONG).tolist():
+            h[k] = _long(joined[a[k] : b[k]])
+        h = _mixed(h)
+        self.sums = (Runs(h, _BASES[0]), Runs(_mixed(h + np.uint64(1)), _BASES[1]))
 
     def hashes(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The k-th hash of the words from each a to each b."""
-        sums, down = self.sums[k]
-        return (sums[b] - sums[a]) * down[a]
+        return self.sums[k](a, b)
+
+
+def _long(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def ranges(texts: Texts, words: int, core: int) -> tuple[np.ndarray, ...]:
@@ -90,13 +99,17 @@ def ranges(texts: Texts, words: int, core: int) -> tuple[np.ndarray, ...]:
     if total < words:
         return (np.zeros(0, dtype=np.int64),) * 4
     a = np.arange(total - core + 1)
-    g = texts.hashes(0, a, a + core)
-    best, span = a, 1  # the place of the least hash of span runs from each place; the first of equals
-    while span < width:
-        step = min(span, width - span)
-        left, right = best[:-step], best[step:]
-        best = np.where(g[left] <= g[right], left, right)
-        span += step
+    g = texts.hashes(0, a, a + core) & _HIGH  # the other bits hold the place in a block
+    best, block = np.empty(total - words + 1, dtype=np.int64), 1 << 15
+    for s in range(0, len(best), block):
+        least = g[s : s + block + width - 1]
+        least = least | np.arange(len(least), dtype=np.uint64)
+        span = 1  # the least of span runs from each place; the first of equals
+        while span < width:
+            step = min(span, width - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        best[s : s + block] = (least & _LOW).view(np.int64) + s
     text = np.repeat(np.arange(len(texts.start) - 1), np.diff(texts.start))[: len(best)]
     at = np.flatnonzero(np.arange(len(best)) + words <= texts.start[text + 1])  # windows that end in their text
     text, best = text[at], best[at]
@@ -111,7 +124,7 @@ def _cores(bodies: DataFrame, words: int, core: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "body", 1_000_000):
+            for piece in slices(batch, "body", SLICE):
                 texts = Texts(piece.column("body").to_pylist())
                 text, a, n, at = ranges(texts, words, core)
                 if not len(text):
@@ -130,7 +143,7 @@ def _windows(bodies: DataFrame, compare: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "body", 1_000_000):
+            for piece in slices(batch, "body", SLICE):
                 texts = Texts(piece.column("body").to_pylist())
                 a, n = (np.concatenate([x.values.to_numpy() for x in piece.column(c)]).astype(np.int64) for c in ("a", "n"))
                 text = np.repeat(np.arange(piece.num_rows), [len(x) for x in piece.column("a")])
