@@ -35,6 +35,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HIGH, _LOW = np.uint64(2**64 - 2**24), np.uint64(2**24 - 1)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SLICE = 500_000  # bytes of text handled at once
+SALTS = 1023  # ways that rows of a locally known core or window are spread: many to a task, so tasks get about as many
 LONG = 32  # words of more bytes are hashed one by one
 
 
@@ -133,7 +134,7 @@ def _cores(bodies: DataFrame, words: int, core: int) -> DataFrame:
                 g = texts.hashes(0, first + at, first + at + core).view(np.int64)
                 e = np.maximum(texts.hashes(1, first + a, first + a + n - 1 + words), np.uint64(1)).view(np.int64)
                 row = piece.column("row").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), *map(pa.array, (_known(g, e), g, e))], names=["row", "a", "n", "tag", "g", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), *map(pa.array, (_known(g, e, SALTS), g, e))], names=["row", "a", "n", "tag", "g", "e"])
 
     return bodies.mapInArrow(run, "row long, a int, n int, tag int, g long, e long")
 
@@ -153,7 +154,7 @@ def _windows(bodies: DataFrame, compare: DataFrame, words: int) -> DataFrame:
                 g = texts.hashes(0, at, at + words).view(np.int64)
                 e = np.maximum(texts.hashes(1, at, at + words), np.uint64(1)).view(np.int64)
                 row = piece.column("row").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *map(pa.array, (_known(g, e), g, e))], names=["row", "a", "tag", "g", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *map(pa.array, (_known(g, e, SALTS), g, e))], names=["row", "a", "tag", "g", "e"])
 
     return bodies.join(compare, "row").select("row", "body", "a", "n").mapInArrow(run, "row long, a int, tag int, g long, e long")
 

@@ -124,7 +124,7 @@ class Parse:
 SALTS = 63
 
 
-def _known(g: np.ndarray, e: np.ndarray) -> np.ndarray:
+def _known(g: np.ndarray, e: np.ndarray, salts: int = SALTS) -> np.ndarray:
     """What one task sees of its own keys, as tag: known (1: g occurs twice, 2: g and e do) + 4 * salt.
 
     The first row of each (g, e) has salt 0 and goes where all of its key meet; the others already know
@@ -136,7 +136,7 @@ def _known(g: np.ndarray, e: np.ndarray) -> np.ndarray:
     same = np.concatenate([[False], up[1:] & (e[1:] == e[:-1])])
     known = (up | np.append(up[1:], False)) + 2 * ((same | np.append(same[1:], False)) & (e != 0))
     tag = np.empty(len(g), dtype=np.int32)
-    tag[order] = known + 4 * np.where(same, 1 + np.arange(len(g)) % SALTS, 0)
+    tag[order] = known + 4 * np.where(same, 1 + np.arange(len(g)) % salts, 0)
     return tag
 
 
