@@ -47,7 +47,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
     best = _plan(values)
-    step = _COUNTS[best].tolist()
+    step = _COUNTS[best].astype(np.uint8).tobytes()
     starts, heads, i = [], [], 0
     add = starts.append
     for end in range(BLOCK, n + BLOCK, BLOCK):  # the last word of a block takes what is left of it

@@ -14,7 +14,6 @@ by id, then by the hash of their text; other columns are dropped; an empty table
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -32,41 +31,77 @@ SEGMENT_IDS = 1 << 17
 CACHE_ENTRIES = 600_000
 
 
+class _Numbers(dict):
+    """Pre-token -> its number, in order of appearance; new holds those that have no ids yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library; each pre-token is encoded once per worker.
 
-    Texts are lowered and split as the vocabulary's rules say. Pre-tokens written with blanks between are
-    split into themselves, each ending in a word-end token: many new ones go through the library in one
-    call. Texts with special strings or characters beyond the stable ones go through it whole.
+    Texts are lowered and split as the vocabulary's rules say, pre-tokens are numbered, and the ids of all
+    are one array with offsets, from which those of many texts are gathered at once. Pre-tokens written with
+    blanks between are split into themselves, each ending in a word-end token: many new ones go through the
+    library in one call. Texts with special strings or characters beyond the stable ones go through it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split, self.odd = bpe.pretoken_pattern(), re.compile(rf"<\||[^\0-{bpe.STABLE}]").search
+        self.split = bpe.pretoken_pattern()
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.offsets = _Numbers(), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Does text hold a special string or a character beyond STABLE, the last one with its first UTF-8 byte?"""
+        return "<|" in text or not text.isascii() and np.frombuffer(text.encode(), dtype=np.uint8).max() > bpe.STABLE.encode()[0]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd(t) else self.split.findall(t.lower()) for t in texts]
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        new = list(set().union(*filter(None, split)) - self.words.keys())
+    def _learn(self) -> None:
+        """Ids of the new pre-tokens."""
+        new, ids, offsets = self.words.new, [self.ids], [self.offsets]
         for k in range(0, len(new), 4000):
             some = new[k : k + 4000]
-            ids = self._whole(" ".join(some))
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                self.words[word] = raw[at:end]
-                at = end
-        known = self.words.__getitem__
-        return [self._whole(t).tobytes() if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
+            ids.append(self._whole(" ".join(some)))
+            ends = np.flatnonzero(self.ends[ids[-1]]) + 1
+            if len(ends) != len(some):
+                raise ValueError(f"{len(some)} pre-tokens have {len(ends)} ends")
+            offsets.append(ends + offsets[-1][-1])
+        if new:
+            self.ids, self.offsets = np.concatenate(ids), np.concatenate(offsets)
+            new.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > CACHE_ENTRIES or self.words.new:  # new ones are left where a call broke off
+            self._forget()
+        number, split = self.words.__getitem__, self.split.findall
+        none = np.zeros(0, dtype=np.int64)
+        odd = [self.odd(t) for t in texts]
+        numbers = [none if o else np.fromiter(map(number, split(t.lower())), dtype=np.int64) for t, o in zip(texts, odd, strict=True)]
+        self._learn()
+        n = np.concatenate([none, *numbers])
+        sizes = self.offsets[n + 1] - self.offsets[n]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.ids[np.repeat(self.offsets[n] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.cumsum([0, *map(len, numbers)])]).tolist()
+        return [self._whole(t).tobytes() if o else raw[a:b] for t, o, a, b in zip(texts, odd, cuts, cuts[1:], strict=False)]
 
 
 @cache
