@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def from_epoch(seconds: Column) -> Column:
-    """A time without zone (UTC) from seconds since 1970, fractions included."""
-    return F.timestamp_add("MICROSECOND", F.round(seconds * 1_000_000).cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    """A time without zone (UTC) from seconds since 1970, fractions included.
+
+    Whole seconds are counted in integers: as a double, the microseconds of far times would not be exact.
+    """
+    whole = F.floor(seconds).cast("bigint")
+    micros = whole * 1_000_000 + F.round((seconds - whole) * 1_000_000).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def iso(dt: Column) -> Column:
