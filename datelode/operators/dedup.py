@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datelode.functions.vectors import hamming
-from datelode.operators import ordered
+from datelode.operators import allpairs, ordered
 from datelode.operators.components import components, saved
 
 HAMMING = 4
+#: Bits of a band below which a join by bands is nearly all pairs, row by row; hashes are compared in blocks then.
+NARROW = 8
 # The format that counts as right for an extension in the quality score.
 RIGHT_FORMAT = {"jpg": "JPEG", "jpeg": "JPEG", "png": "PNG", "heic": "HEIF", "heif": "HEIF", "tif": "TIFF", "tiff": "TIFF", "webp": "WEBP"}
 
@@ -27,14 +33,31 @@ def exact_groups(items: DataFrame) -> DataFrame:
     return items.where("sha1 <> ''").groupBy("sha1").agg(F.count("*").alias("n"), F.min("item_id").alias("first_id")).where("n > 1")
 
 
+def _within(limit: int) -> allpairs.Find:
+    def find(_a: pa.Array, a: np.ndarray, _b: pa.Array, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        a, b = a.view(np.uint64), b.view(np.uint64)  # of signed numbers the absolute value's bits would be counted
+        for k in range(0, len(a), 16):
+            for j in range(0, len(b), 16_384):  # what a core keeps at hand
+                apart = np.bitwise_count(a[k : k + 16, None] ^ b[None, j : j + 16_384])
+                at = np.flatnonzero(apart <= limit)
+                p, q = np.divmod(at, apart.shape[1])
+                yield p + k, q + j, apart.ravel()[at].astype(np.int32)
+
+    return find
+
+
 def hamming_pairs(hashes: DataFrame, limit: int = HAMMING, bits: int = 64) -> DataFrame:
     """id_a < id_b and distance of all pairs of hashes(id, h) within limit.
 
     The hash is cut into limit+1 bands; two hashes within limit agree in one of them (pigeonhole), so
     candidates come from an equi-join on (band, value) instead of all pairs. A pair is kept in the first
-    band that it agrees in, so no distinct is needed.
+    band that it agrees in, so no distinct is needed. Where bands would have less than NARROW bits, all pairs
+    are compared in blocks.
     """
     n = limit + 1
+    if bits // n < NARROW:
+        rows = hashes.select("id", F.col("h").alias("x"))
+        return allpairs.compared(rows, rows, _within(limit), ("id_a", "id_b", "distance"), "int", half=True)
     edges = [bits * k // n for k in range(n + 1)]
     band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
     if edges[1] >= 63:
