@@ -225,8 +225,8 @@ def _alike(spark, sf_dir) -> DataFrame:
 
 def _plan_by(spark, sf_dir, mode: str) -> DataFrame:
     items = _alike(spark, sf_dir)
-    pairs = similar.cosine_pairs(items.select("id", "embedding"), COSINE) if mode == "clip" else None
-    dups = dedup.ranked(items.drop("embedding"), mode, HAMMING_LIMIT, pairs).join(items.select("id", "item_id"), "id").drop("id")
+    alike = lambda grouped: similar.cosine_pairs(items.where("embedding IS NOT NULL").select("id", "embedding").join(grouped, "id", "left_anti"), COSINE)
+    dups = dedup.ranked(items.drop("embedding"), mode, HAMMING_LIMIT, alike).join(items.select("id", "item_id"), "id").drop("id")
     return export.plan(album(spark, sf_dir), _resolved(spark, sf_dir), dups)
 
 
@@ -481,7 +481,8 @@ def dedup_phash(spark, sf_dir):
 
 
 def dedup_clip(spark, sf_dir):
-    return dedup.review_flags(dedup.grouped(_hashed(spark, sf_dir), "phash", HAMMING_LIMIT), similar.cosine_pairs(_vectors(spark, sf_dir), COSINE))
+    groups = saved(dedup.grouped(_hashed(spark, sf_dir), "phash", HAMMING_LIMIT))
+    return dedup.review_flags(groups, similar.cosine_pairs(_vectors(spark, sf_dir).join(groups, "id", "left_anti"), COSINE))  # what is in a group needs no flag
 
 
 def hash_search(spark, sf_dir):

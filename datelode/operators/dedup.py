@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,19 +138,21 @@ def grouped(items: DataFrame, mode: str = "sha1", limit: int = HAMMING) -> DataF
 
 def review_flags(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, related_id, score: rows in no group whose best pair(id_a, id_b, score) is in none either; for review only, they form no group."""
-    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("related_id"), "score").union(pairs.select("id_b", "id_a", "score"))
+    ways = [F.struct(F.col(a).alias("id"), F.col(b).alias("related_id")) for a, b in (("id_a", "id_b"), ("id_b", "id_a"))]
+    both = pairs.select(F.explode(F.array(*ways)).alias("w"), "score").select("w.*", "score")  # pairs are found once
     known = groups.select("id")
     alone = both.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "related_id"), "related_id", "left_anti")
     return alone.groupBy("id").agg(F.min_by("related_id", F.struct(-F.col("score"), "related_id")).alias("related_id"), F.max("score").alias("score"))
 
 
-def ranked(items: DataFrame, mode: str = "sha1", limit: int = HAMMING, pairs: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+def ranked(items: DataFrame, mode: str = "sha1", limit: int = HAMMING, pairs: DataFrame | Callable[[DataFrame], DataFrame] | None = None, ranges: int | None = None) -> DataFrame:
     """id, group_id, dup_rank, kind, needs_review of items(id, sha1, h, score, filesize, relpath), as export.plan() reads them.
 
     Groups are those of grouped(); rank 0 is kept: the best score, then the largest file, then the first path
     and id. Ranks are counted by ranges of that order, so one group may hold most of the table. Mode clip
     ranks as phash does; rows of pairs(id_a, id_b, score) that stand in no group come with rank -1, no group and
-    needs_review. Rows that are in neither are left out.
+    needs_review. Rows that are in neither are left out. pairs may be a function of the ids that stand in groups: what
+    is in one need not be compared at all.
     """
     groups = saved(grouped(items, "phash" if mode == "clip" else mode, limit))
     members = groups.join(items.select("id", "score", "filesize", "relpath"), "id")
@@ -158,5 +160,6 @@ def ranked(items: DataFrame, mode: str = "sha1", limit: int = HAMMING, pairs: Da
     placed = ordered.numbered(members, ["group_id"], order, "dup_rank", ranges)
     out = placed.select("id", F.col("group_id").cast("string").alias("group_id"), F.col("dup_rank").cast("int").alias("dup_rank"), "kind", F.lit(False).alias("needs_review"))
     if mode == "clip" and pairs is not None:
+        pairs = pairs(groups.select("id")) if callable(pairs) else pairs
         out = out.unionByName(review_flags(groups, pairs).select("id", F.lit("").alias("group_id"), F.lit(-1).alias("dup_rank"), F.lit("clip").alias("kind"), F.lit(True).alias("needs_review")))
     return out

@@ -84,7 +84,8 @@ def group_items(items: DataFrame, resolved: DataFrame, options: Options, vectors
     if options.dedup == "clip":
         if vectors is None:
             raise ValueError("mode clip needs vectors")
-        pairs = similar.cosine_pairs(vectors.select(F.xxhash64("item_id").alias("id"), "embedding"), options.min_cosine)
+        numbered = vectors.select(F.xxhash64("item_id").alias("id"), "embedding")
+        pairs = lambda grouped: similar.cosine_pairs(numbered.join(grouped, "id", "left_anti"), options.min_cosine)
     names = rows.select("id", "item_id")
     groups = dedup.ranked(rows.drop("item_id"), options.dedup, options.hamming, pairs).join(names, "id")
     keeper = names.select(F.col("id").cast("string").alias("group_id"), F.col("item_id").alias("group_item"))  # a group is called by the item it is named after
