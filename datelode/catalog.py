@@ -217,17 +217,18 @@ def _plan(spark, sf_dir) -> DataFrame:
     return export.plan(album(spark, sf_dir), resolved, near)
 
 
-def _alike(spark, sf_dir) -> DataFrame:
+def _alike(spark, sf_dir, resolved: DataFrame) -> DataFrame:
     """Items with score, and with hash and vector of the embedding of the same number."""
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), sign_hash(F.col("embedding")).alias("h"), "embedding")
-    return saved(_scored(spark, sf_dir, _resolved(spark, sf_dir)).join(rows, "event_id", "left").select(F.col("event_id").alias("id"), "item_id", "sha1", "h", "embedding", "score", "filesize", "relpath"))
+    return saved(_scored(spark, sf_dir, resolved).join(rows, "event_id", "left").select(F.col("event_id").alias("id"), "item_id", "sha1", "h", "embedding", "score", "filesize", "relpath"))
 
 
 def _plan_by(spark, sf_dir, mode: str) -> DataFrame:
-    items = _alike(spark, sf_dir)
+    resolved = saved(_resolved(spark, sf_dir))  # for the scores and for the plan
+    items = _alike(spark, sf_dir, resolved)
     alike = lambda grouped: similar.cosine_pairs(items.where("embedding IS NOT NULL").select("id", "embedding").join(grouped, "id", "left_anti"), COSINE)
     dups = dedup.ranked(items.drop("embedding"), mode, HAMMING_LIMIT, alike).join(items.select("id", "item_id"), "id").drop("id")
-    return export.plan(album(spark, sf_dir), _resolved(spark, sf_dir), dups)
+    return export.plan(album(spark, sf_dir), resolved, dups)
 
 
 def export_plan_phash(spark, sf_dir):

@@ -123,15 +123,16 @@ def grouped(items: DataFrame, mode: str = "sha1", limit: int = HAMMING) -> DataF
     if mode == "no":
         return items.select("id", F.col("id").alias("group_id"), F.lit("").alias("kind")).limit(0)
     key = F.when(F.coalesce("sha1", F.lit("")) == "", F.concat(F.lit("nosha1_"), F.col("id").cast("string"))).otherwise(F.col("sha1"))
-    rows = items.withColumn("key", key)
-    groups = rows.groupBy("key").agg(F.min("id").alias("first"), F.min(F.when(F.col("h").isNotNull(), F.struct("id", "h"))).alias("r"))
+    rows = items.select("id", "sha1", "h", key.alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(F.col("h").isNotNull(), F.struct("id", "h"))).alias("r"))
     if mode == "sha1":
-        named = groups.select("key", F.col("first").alias("group_id"))
+        named = groups.where("n > 1").select("key", F.col("first").alias("group_id"))
     else:
-        near = near_groups(groups.where("r IS NOT NULL").select("r.id", "r.h"), limit).select(F.col("id").alias("rid"), F.col("group_id").alias("near"))
-        joined = groups.join(near, F.col("r.id") == F.col("rid"), "left").select("key", "first", F.coalesce("near", "first").alias("near"))
+        groups = saved(groups.where("n > 1 OR r IS NOT NULL"))  # all others stand alone, most of an album
+        near = saved(near_groups(groups.where("r IS NOT NULL").select("r.id", "r.h"), limit).select(F.col("id").alias("rid"), F.col("group_id").alias("near")))
+        joined = groups.join(near, F.col("r.id") == F.col("rid"), "left").select("key", "first", F.coalesce("near", "first").alias("near"), ((F.col("n") > 1) | F.col("rid").isNotNull()).alias("shared")).where("shared")
         named = joined.join(joined.groupBy("near").agg(F.min("first").alias("group_id")), "near").select("key", "group_id")
-    members = rows.join(named, "key").select("id", "sha1", "group_id")
+    members = saved(rows.join(named, "key").select("id", "sha1", "group_id"))
     kinds = group_kind(members).where("n > 1").select("group_id", "kind")
     return members.join(kinds, "group_id").select("id", "group_id", "kind")
 

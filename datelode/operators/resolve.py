@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from datelode.functions.timeparts import interval_bounds, micros_between, precision_rank
 
@@ -12,20 +13,24 @@ CONFLICT_DAYS = 30
 _DAY = 86_400_000_000
 
 
+def _by_rank() -> WindowSpec:
+    return Window.partitionBy("item_id").orderBy(F.desc("is_direct"), F.desc("confidence"), F.desc(precision_rank(F.col("precision"))), "ev_seq")
+
+
 def rank_evidence(evidence: DataFrame) -> DataFrame:
     """Adds rn: direct first, then confidence, precision, and order of emission."""
-    w = Window.partitionBy("item_id").orderBy(F.desc("is_direct"), F.desc("confidence"), F.desc(precision_rank(F.col("precision"))), "ev_seq")
-    return evidence.where("dt IS NOT NULL").withColumn("rn", F.row_number().over(w))
+    return evidence.where("dt IS NOT NULL").withColumn("rn", F.row_number().over(_by_rank()))
 
 
 def resolve(evidence: DataFrame) -> DataFrame:
     """item_id, final_datetime, confidence, precision, range_start, range_end, primary_source, source_summary, n_conflicts.
 
-    One window and one aggregate on the same key: a single exchange. The window holds the evidence of
+    One window and one aggregate on the same key: a single exchange and a single sort. The window holds the evidence of
     one item, a handful of rows.
     """
-    first = Window.partitionBy("item_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = rank_evidence(evidence).withColumns({"p_dt": F.first("dt").over(first), "p_source": F.first("source").over(first)})
+    first = _by_rank().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = {"rn": F.row_number().over(_by_rank()), "p_dt": F.first("dt").over(first), "p_source": F.first("source").over(first)}
+    ranked = evidence.where("dt IS NOT NULL").withColumns(own)
     apart = F.abs(micros_between(F.col("p_dt"), F.col("dt")))
     limit = F.when(F.col("source") == F.col("p_source"), F.lit(2 * CONFLICT_DAYS * _DAY)).otherwise(F.lit(CONFLICT_DAYS * _DAY))
     conflict = (F.col("rn") > 1) & (F.col("confidence") >= CONFLICT_CONFIDENCE) & (apart > limit)
