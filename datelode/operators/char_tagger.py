@@ -36,6 +36,8 @@ LABELS = ["O", *(f"{b}-{f}" for f in tagger.FIELDS for b in "BI")]
 REACH, WIDTH, HIDDEN = 8, 12, 48
 STEPS, PATIENCE, RATE, CLASS_SHARE = 60, 10, 0.03, 0.3
 PAD, SPECIAL = 0, 2
+#: Training rows of a step.
+BATCH = 32_768
 #: Characters that a task looks at in one go.
 SLICE = 20_000
 
@@ -159,7 +161,7 @@ def _summed(rows: DataFrame, model: Tagger, weights: np.ndarray, by_label: float
     groups = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
     got = rows.mapInArrow(work, ddl).groupBy(F.expr(f"slot % {groups}")).applyInArrow(add, ddl).collect()  # one row a group
     sent.destroy()
-    return sum(np.frombuffer(r.grad) for r in got), sum(r.loss for r in got), sum(r.held for r in got)
+    return sum((np.frombuffer(r.grad) for r in got), np.zeros_like(model.theta)), sum(r.loss for r in got), sum(r.held for r in got)
 
 
 def fit(samples: DataFrame, steps: int = STEPS, patience: int = PATIENCE, rate: float = RATE, min_freq: int = 1, min_freq_han: int | None = 3, tasks: int | None = None, **shape) -> tuple[Tagger, list[tuple[float, float]]]:
@@ -167,11 +169,12 @@ def fit(samples: DataFrame, steps: int = STEPS, patience: int = PATIENCE, rate:
 
     The share of ids that sampling.split() calls val is held for validation; test rows are left out.
     """
-    rows = samples.withColumn("split", split(F.col("id"))).where("split <> 'test' AND size(chars) > 0")
+    rows = saved(samples.withColumn("split", split(F.col("id"))).where("split <> 'test' AND size(chars) > 0"))  # read five times
     train = rows.where("split = 'train'")
     alphabet = {r.char: r.id for r in L.vocabulary(train.select(F.array_join("chars", "").alias("text")), "text", SPECIAL, min_freq, min_freq_han).collect()}  # the alphabet
     weight = {r.label: r.weight for r in L.label_weights(train).collect()}
     counts = train.agg(F.count("*").alias("n")).first().n
+    batches = max(1, round(counts / BATCH))
     if not counts:
         raise ValueError("no samples to fit on")
     model = Tagger.fresh(alphabet, **shape)
@@ -180,16 +183,19 @@ def fit(samples: DataFrame, steps: int = STEPS, patience: int = PATIENCE, rate:
     tag = {x: k for k, x in enumerate(model.labels)}
     code = lambda table, low: F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map(F.lit(""), F.lit(low))
     number = lambda c, table, low: F.transform(c, lambda x: F.coalesce(F.try_element_at(code(table, low), x), F.lit(low)))
-    encoded = rows.select(number(F.col("chars"), alphabet, tagger.UNKNOWN).alias("ids"), number(F.col("labels"), tag, 0).alias("tags"), F.exists("labels", lambda x: x != "O").cast("int").alias("has"), (F.col("split") == "val").alias("held"))
-    encoded = saved(encoded.repartition(tasks or samples.sparkSession.sparkContext.defaultParallelism))
-    m, v, best, log = np.zeros_like(model.theta), np.zeros_like(model.theta), (np.inf, model.theta), []
-    for step in range(1, steps + 1):
-        grad, loss, held = _summed(encoded, model, weights, (1 - CLASS_SHARE) / total, CLASS_SHARE / counts)
+    encoded = rows.select(number(F.col("chars"), alphabet, tagger.UNKNOWN).alias("ids"), number(F.col("labels"), tag, 0).alias("tags"), F.exists("labels", lambda x: x != "O").cast("int").alias("has"), (F.col("split") == "val").alias("held"), F.pmod(F.xxhash64(F.lit("batch"), "id"), F.lit(batches)).cast("int").alias("batch"))
+    encoded = saved(encoded.repartition(tasks or samples.sparkSession.sparkContext.defaultParallelism), "batch")
+    m, v, best, log, since = np.zeros_like(model.theta), np.zeros_like(model.theta), (np.inf, model.theta), [], 0
+    for step in range(1, -(-steps // batches) * batches + 1):
+        batch = encoded.where(F.col("batch") == (step - 1) % batches).drop("batch")
+        grad, loss, held = _summed(batch, model, weights, batches * (1 - CLASS_SHARE) / total, batches * CLASS_SHARE / counts)
         log.append((loss, held))
-        if held < best[0] or not held and loss < best[0]:
-            best, since = (held or loss, model.theta.copy()), 0
-        elif (since := since + 1) >= patience:
-            break
+        if step % batches == 0:
+            loss, held = (sum(x) / batches for x in zip(*log[-batches:], strict=True))
+            if held < best[0] or not held and loss < best[0]:
+                best, since = (held or loss, model.theta.copy()), 0
+            elif (since := since + batches) >= patience:
+                break
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         model.theta = model.theta - rate * min(1.0, step / 5) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.theta = best[1]

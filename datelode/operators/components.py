@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset)."""
+def saved(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset), in folders by the columns by."""
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="datelode-")
     path, schema = f"{base.rstrip('/')}/{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
