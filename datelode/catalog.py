@@ -311,7 +311,8 @@ def run_summary(spark, sf_dir):
 
 def _labelled(spark, sf_dir) -> DataFrame:
     items = album(spark, sf_dir)
-    best = evidence.filename_evidence(items).where("pattern_name IN ('DATETIME8_6', 'DATE8')").groupBy("item_id").agg(F.max_by(F.struct("pattern_name", "matched_text"), F.length("matched_text")).alias("m"))
+    asked = [p for p in BUILT_IN if p.name in ("DATETIME8_6", "DATE8")]
+    best = evidence.filename_evidence(items, asked).groupBy("item_id").agg(F.max_by(F.struct("pattern_name", "matched_text"), F.length("matched_text")).alias("m"))
     rows = items.join(best, "item_id", "left").select("item_id", "stem", F.coalesce("m.pattern_name", F.lit("")).alias("p"), (F.coalesce(F.expr("locate(m.matched_text, stem)"), F.lit(1)) - 1).alias("start"))
     return rows.select(F.col("item_id").alias("id"), "stem", labels.bio_labels(F.col("stem"), F.col("p"), F.col("start")).alias("labels"))
 
@@ -541,8 +542,8 @@ def date_coverage(spark, sf_dir):
 
 
 def overall_scores(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    gold = labels.spans(rows)
+    rows = saved(_labelled(spark, sf_dir))  # read for the texts and for the spans, and these as guess and as gold
+    gold = saved(labels.spans(rows))
     return labels.overall_scores(gold.where("field <> 'SECOND' AND id < 'f'").withColumn("end", F.when(F.col("id") < "4", F.col("end") + 1).otherwise(F.col("end"))), gold, rows)
 
 

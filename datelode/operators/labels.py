@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 FIELD_WIDTH = {"DATETIME14": [("YEAR", 0, 4), ("MONTH", 4, 2), ("DAY", 6, 2), ("HOUR", 8, 2), ("MINUTE", 10, 2), ("SECOND", 12, 2)], "DATETIME8_6": [("YEAR", 0, 4), ("MONTH", 4, 2), ("DAY", 6, 2), ("HOUR", 9, 2), ("MINUTE", 11, 2), ("SECOND", 13, 2)], "DATE8": [("YEAR", 0, 4), ("MONTH", 4, 2), ("DAY", 6, 2)], "YEAR4": [("YEAR", 0, 4)]}
 
 
-def bio_labels(text: Column, pattern: Column, start: Column) -> Column:
-    """One label a character: B-/I- of the fields of the pattern that starts at start (0-based), O elsewhere."""
+def _template(fields: list[tuple[str, int, int]]) -> list[str]:
+    """The labels of a pattern's own characters."""
+    out = ["O"] * max(offset + width for _, offset, width in fields)
+    for field, offset, width in fields:
+        out[offset : offset + width] = ["B-" + field, *["I-" + field] * (width - 1)]
+    return out
+
 
-    def at(k: Column) -> Column:
-        out = F.when(F.lit(False), F.lit("O"))
-        for name, fields in FIELD_WIDTH.items():
-            for field, offset, width in fields:
-                rel = k - start - offset
-                out = out.when((pattern == name) & (rel == 0), F.lit("B-" + field)).when((pattern == name) & (rel > 0) & (rel < width), F.lit("I-" + field))
-        return out.otherwise(F.lit("O"))
+def bio_labels(text: Column, pattern: Column, start: Column) -> Column:
+    """One label a character: B-/I- of the fields of the pattern that starts at start (0-based), O elsewhere.
 
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(text) - 1), at))
+    The labels of a pattern are fixed, so they are laid between O's as a whole instead of being asked for one by one.
+    """
+    own = F.when(F.lit(False), F.array().cast("array<string>"))
+    for name, fields in FIELD_WIDTH.items():
+        own = own.when(pattern == name, F.array(*map(F.lit, _template(fields))))
+    own = F.when(start.isNotNull(), own).otherwise(F.lit(None))
+    own = F.coalesce(own, F.array().cast("array<string>"))
+    at, n = F.greatest(F.coalesce(start, F.lit(0)), F.lit(0)).cast("int"), F.length(text)
+    cut = F.greatest(-F.coalesce(start, F.lit(0)), F.lit(0)).cast("int")  # what stands before the text
+    outside = lambda k: F.array_repeat(F.lit("O"), k)
+    every = F.concat(outside(F.least(at, n)), F.slice(own, cut + 1, F.size(own)), outside(n))
+    return F.slice(every, F.lit(1), n)
 
 
 def span_array(labels: Column) -> Column:
